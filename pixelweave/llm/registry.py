@@ -1,5 +1,5 @@
 """The modules whose queries are registered."""
 
-from . import near_dedup
+from . import chat, decontaminate, mixing, near_dedup, quality, sharding
 
-MODULES = [near_dedup]
+MODULES = [decontaminate, chat, near_dedup, mixing, quality, sharding]
