@@ -24,7 +24,7 @@ CONTROL = (("<", r"\||/?s>"), ("[", r"/?INST\]"))
 def escape(text: Column) -> Column:
     """One backslash more behind the first character of every control string, escaped or not."""
     for head, rest in CONTROL:
-        text = F.regexp_replace(text, rf"(?<=\{head})(?=\\*(?:{rest}))", r"\\\\")
+        text = F.regexp_replace(text, rf"(?<=\{head})(?=\\*(?:{rest}))", r"\\")
     return text
 
 
