@@ -25,6 +25,9 @@ MOST_ROWS = 12_000
 SHARDS = 1
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
+#: Features of fewer rows are not learned: they would only memorise those rows.
+LEAST_SEEN = 4
+MOST_WEIGHT = 2.0
 THRESHOLD = 0.7
 SEED = 3
 _KEEP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -43,10 +46,12 @@ def hashed(text: bytes | None, bits: int = BITS) -> np.ndarray:
 def train(rows: list[np.ndarray], labels: list[int], bits: int = BITS, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, float]:
     """Weights and bias of FTRL-proximal over rows of distinct feature numbers; the bias is not penalised.
     Where label 1 is the rarer, its rows weigh more, so that both labels weigh the same."""
+    seen = np.bincount(np.concatenate(rows), minlength=1 << bits) if rows else np.zeros(1 << bits)
+    rows = [x[seen[x] >= LEAST_SEEN] for x in rows]
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = 0.0
     rng = np.random.default_rng(seed)
-    heavier = max(1.0, (len(labels) - sum(labels)) / max(1, sum(labels)))
+    heavier = min(MOST_WEIGHT, max(1.0, (len(labels) - sum(labels)) / max(1, sum(labels))))
 
     def weight(zs: np.ndarray, ns: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zs) <= L1, 0.0, -(zs - np.sign(zs) * L1) / ((BETA + np.sqrt(ns)) / ALPHA + L2))
