@@ -17,15 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder of spark.checkpoint.dir and read it from there: later
-    steps neither compute it again nor lose it with an executor. Where that setting is absent
-    (a local test session) a temporary folder takes its place."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where that setting is absent (a local test
+    session) a temporary folder takes its place."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it from there: later steps neither compute it again
+    nor lose it with an executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
