@@ -57,21 +57,16 @@ def is_column_transparent(df: DataFrame, x: int, y: int, h: int, cutoff: int = 0
 def image_hash(df: DataFrame) -> DataFrame:
     """(image_id, hash): h * 65599 + pixel modulo 2^32 in row-major order, r in the pixel's low byte.
 
-    The fold is a polynomial: a pixel's factor is 65599 to the power of the pixels behind it, so the hash is a
-    sum and needs no order. Powers come from squares, modulo 2^32.
+    The fold is a polynomial, so each row is folded by itself and rows are then folded with the factor
+    65599^width: no group holds more than a row of pixels or an image's column of row hashes.
     """
-    rest = F.col("width").cast("long") * F.col("height") - 1 - (F.col("y").cast("long") * F.col("width") + F.col("x"))
-    mod = 1 << 32
+    mod = F.lit(1 << 32)
     word = F.col("r").cast("long") + F.col("g") * 256 + F.col("b") * 65_536 + F.col("a").cast("long") * 16_777_216
-
-    def times(a, b):
-        """Product of two 32-bit numbers modulo 2^32, in halves that do not overflow."""
-        low, high = F.pmod(b, F.lit(65_536)), F.shiftright(b, 16)
-        return F.pmod(a * low + F.pmod(a * high, F.lit(65_536)) * 65_536, F.lit(mod))
-
-    squares = [65_599 ** (1 << k) % mod for k in range(31)]
-    table = F.array(*[F.lit(s).cast("long") for s in squares])
-    one = F.lit(1).cast("long")
-    factor = F.aggregate(F.sequence(F.lit(0), F.lit(30)), one, lambda acc, k: F.when(F.getbit(rest, k) == 1, times(acc, F.get(table, k))).otherwise(acc))
-    term = times(word, factor)
-    return df.groupBy("image_id").agg(F.pmod(F.sum(term), F.lit(mod)).alias("hash"))
+    in_row = F.sort_array(F.collect_list(F.struct("x", word.alias("p"))))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    rows = df.groupBy("image_id", "width", "y").agg(F.aggregate(in_row, zero, lambda h, s: F.pmod(h * 65_599 + s["p"], mod)).alias("h"))
+    rows = rows.withColumn("f", F.aggregate(F.sequence(F.lit(1), F.col("width")), one, lambda acc, _: F.pmod(acc * 65_599, mod)))
+    # A product of two 32-bit numbers modulo 2^32 goes in halves of the factor, which do not overflow.
+    in_image = F.sort_array(F.collect_list(F.struct("y", "h", F.pmod("f", F.lit(65_536)).alias("low"), F.shiftright("f", 16).alias("high"))))
+    step = lambda h, s: F.pmod(h * s["low"] + F.pmod(h * s["high"], F.lit(65_536)) * 65_536 + s["h"], mod)
+    return rows.groupBy("image_id").agg(F.aggregate(in_image, zero, step).alias("hash"))

@@ -58,7 +58,7 @@ _ALPHA = "regexp_replace(printf('%.3f', floor(d.a * 1000e0 / 255e0 + 0.5e0) / 10
 scalar("p11_color_text", lambda d, s: {"hex6": K.hex6(d), "hex8": K.hex8(d), "hex": K.hex_text(d), "rgb": K.rgb_text(d), "vector": K.vector_text(d)},
        {"hex6": _HEX, "hex8": f"{_HEX} || printf('%02x', d.a)", "hex": f"CASE WHEN d.a < 255 THEN {_HEX} || printf('%02x', d.a) ELSE {_HEX} END",
         "rgb": f"CASE WHEN d.a < 255 THEN 'rgba(' || d.r || ',' || d.g || ',' || d.b || ',' || {_ALPHA} || ')' ELSE 'rgb(' || d.r || ',' || d.g || ',' || d.b || ')' END", "vector": "'(' || d.r || ', ' || d.g || ', ' || d.b || ', ' || d.a || ')'"})
-_MX, _MN = "greatest(d.r, d.g, d.b) / 255e0", "least(d.r, d.g, d.b) / 255e0"
+_MX, _MN = "(greatest(d.r, d.g, d.b) / 255e0)", "(least(d.r, d.g, d.b) / 255e0)"
 _H0 = f"60 * CASE WHEN d.r = greatest(d.r, d.g, d.b) THEN (d.g / 255e0 - d.b / 255e0) / ({_MX} - {_MN}) WHEN d.g = greatest(d.r, d.g, d.b) THEN (d.b / 255e0 - d.r / 255e0) / ({_MX} - {_MN}) + 2 ELSE (d.r / 255e0 - d.g / 255e0) / ({_MX} - {_MN}) + 4 END"
 
 
