@@ -1,7 +1,7 @@
 """Balanced label propagation: documents that share a key move towards one shard, shards stay even.
 
 All steps are joins, group-bys and windows. Linked documents (two or more of one key) start in a shard
-given by a hash of the row. In each round a key's members, counted for each shard, name the shard that holds most
+given by a hash of the row; large groups go first, the others into the room they leave. In each round a key's members, counted for each shard, name the shard that holds most
 of them and has room; members elsewhere ask to move there, and are let in by a hash as far as the shard's quota
 of rows goes. Documents without links cut no edge wherever they lie, so they fill the shards up to
 their exact quota in the end; what exceeds a quota joins them. The law kept is `rows`: the sizes of
@@ -20,11 +20,15 @@ ROUNDS = 6
 SEED = 5
 
 
-def _propagate(linked: DataFrame, shards: int, quota: int, rounds: int, seed: int) -> DataFrame:
-    """`linked` (group, ..., shard) after some rounds of moves; loads stay near or below `quota`."""
+def _propagate(linked: DataFrame, shards: int, quota: dict[int, int], rounds: int, seed: int, avoid_full: bool) -> DataFrame:
+    """`linked` (group, ..., shard) after some rounds of moves; loads stay near or below the quotas.
+
+    With `avoid_full` a full shard neither attracts nor gives up rows, so a group larger than a shard fills
+    one after the other. Without, full shards still swap rows.
+    """
     for step in range(rounds):
         load = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-        closed = [s for s, n in load.items() if n >= quota]
+        closed = [s for s in range(shards) if load.get(s, 0) >= quota[s]] if avoid_full else []
         held = linked.where(~F.col("shard").isin(closed)).groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
         # Most members win; a hash of key and shard breaks ties, so that ties spread over the shards.
         rank = F.struct("n", F.xxhash64(F.lit(seed), "group", "shard").alias("tie"))
@@ -41,7 +45,7 @@ def _propagate(linked: DataFrame, shards: int, quota: int, rounds: int, seed: in
             for t in range(shards):
                 n = flows.get((s, t), 0)
                 if s != t and n:
-                    free = max(0, quota - load.get(t, 0)) * n / want[t]
+                    free = max(0, quota[t] - load.get(t, 0)) * n / want[t]
                     share[s, t] = min(1.0, (free + min(n, flows.get((t, s), 0))) / n)
         cases = F.lit(0.0)
         for (s, t), p in share.items():
@@ -60,12 +64,24 @@ def assign_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, s
     """
     rows = cut(rows)
     total = rows.count()
-    many = cut(rows.where("group IS NOT NULL").groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("group").alias("g")))
-    spread = F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(shards)).cast("int")
-    linked = cut(rows.join(many, F.col("group") == F.col("g"), "left_semi").withColumn("shard", spread))
-    single = rows.join(many, F.col("group") == F.col("g"), "left_anti")
     quota = {s: total // shards + (s < total % shards) for s in range(shards)}
-    linked = _propagate(linked, shards, min(quota.values()), rounds, seed)
+    many = cut(rows.where("group IS NOT NULL").groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("group").alias("g"), (F.col("n") > max(2, min(quota.values()) // 16)).alias("large")))
+    linked = cut(rows.join(many, F.col("group") == F.col("g")).drop("g"))
+    single = rows.join(many, F.col("group") == F.col("g"), "left_anti")
+    big, left = linked.where("large").drop("large"), dict(quota)
+    if not big.isEmpty():  # they go first, while there is room; at most 16 * shards groups
+        even = F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(shards)).cast("int")
+        big = cut(_propagate(cut(big.withColumn("shard", even)), shards, quota, rounds + shards, seed, True))
+        left = {s: max(0, quota[s]) for s in range(shards)} | {r["shard"]: max(0, quota[r["shard"]] - r["n"]) for r in big.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    else:
+        big = big.withColumn("shard", F.lit(0))
+    room, at, start = max(1, sum(left.values())), 0, F.lit(0)
+    draw = uniform(seed + 1, *order)
+    for s in range(shards):  # a hash of the row deals shards by the room that is left
+        start = F.when(draw * room >= at, F.lit(s)).otherwise(start) if left[s] else start
+        at += left[s]
+    small = _propagate(cut(linked.where("NOT large").drop("large").withColumn("shard", start)), shards, left, rounds, seed, False)
+    linked = big.unionByName(small)
     placed = cut(numbered(linked, ["shard"], [*order, "group"], "slot"))
     full = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     cap = F.element_at(F.array(*[F.lit(quota[s]) for s in range(shards)]), F.col("shard") + 1)
