@@ -107,24 +107,26 @@ DIFFUSION: dict[str, tuple[int, list[tuple[int, int, int]]]] = {
 
 def diffuse(image: np.ndarray, palette: np.ndarray, name: str) -> np.ndarray:
     """Indices of an (h, w, 3) image. Pixels whose inputs are all known form slanted fronts, x + slant * y
-    constant, and each front is done at once; shifts floor and other divisors truncate."""
+    constant, and each front is done at once. A pixel takes its errors in raster order of their sources, each
+    followed by a clamp; shifts floor and other divisors truncate."""
     divisor, taps = DIFFUSION[name]
     h, w = image.shape[:2]
-    reach = max(-dx for dx, dy, _ in taps if dy) if any(dy for _, dy, _ in taps) else 0
-    slant, work, out = reach + 1, image.astype(np.int64), np.zeros((h, w), dtype=np.int32)
+    slant = max(-dx for dx, dy, _ in taps if dy) + 1
+    errors, out = np.zeros((h, w, 3), np.int64), np.zeros((h, w), dtype=np.int32)
+    sources = sorted(taps, key=lambda t: (-t[1], -t[0]))
     for front in range(w + slant * (h - 1)):
         y = np.arange(max(0, -(-(front - w + 1) // slant)), min(h - 1, front // slant) + 1)
         x = front - slant * y
-        old = work[y, x]
-        d = ((old[:, None, :] - palette[None]) ** 2).sum(axis=2)
-        v = d.argmin(axis=1)
-        out[y, x] = v
-        error = old - palette[v]
-        for dx, dy, weight in taps:
-            ok = (x + dx >= 0) & (x + dx < w) & (y + dy < h)
-            e = error[ok] * weight
+        value = image[y, x].astype(np.int64)
+        for dx, dy, weight in sources:
+            sx, sy = x - dx, y - dy
+            ok = (sx >= 0) & (sx < w) & (sy >= 0)
+            e = errors[sy[ok], sx[ok]] * weight
             share = e // divisor if divisor & (divisor - 1) == 0 else np.trunc(e / divisor).astype(np.int64)
-            work[y[ok] + dy, x[ok] + dx] = np.clip(work[y[ok] + dy, x[ok] + dx] + share, 0, 255)
+            value[ok] = np.clip(value[ok] + share, 0, 255)
+        v = ((value[:, None, :] - palette[None]) ** 2).sum(axis=2).argmin(axis=1)
+        out[y, x] = v
+        errors[y, x] = value - palette[v]
     return out
 
 

@@ -49,7 +49,7 @@ def _sniff(spark, d):
     for fmt in ("png", "bmp", "targa"):
         one = L.save(px, fmt).select(F.concat(F.lit(f"{fmt}/"), F.col("image_id").cast("string")).alias("path"), "content")
         files = one if files is None else files.unionByName(one)
-    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("text/"), F.col("doc_id").cast("string")).alias("path"), F.encode(F.concat(F.lit("~~~"), F.col("text")), "UTF-8").alias("content"))
+    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("text/"), F.col("doc_id").cast("string")).alias("path"), F.encode(F.concat(F.lit("~" * 20), F.col("text")), "UTF-8").alias("content"))
     return L.metadata(files.unionByName(texts))
 
 

@@ -124,3 +124,43 @@ def test_stream_counts_all_pixels(spark, tmp_path):
         assert [tuple(r) for r in spark.sql("SELECT * FROM hist").collect()] == [(255, 255, 255, 24)]
     finally:
         q.stop()
+
+
+def sprite():
+    """Two frames of one 2 x 1 layer, the second a link, with a tag."""
+    import struct
+    import zlib
+
+    def chunk(kind, body):
+        return struct.pack("<IH", 6 + len(body), kind) + body
+
+    name = b"ink"
+    layer = chunk(0x2004, struct.pack("<6HB3x", 1, 0, 0, 0, 0, 0, 255) + struct.pack("<H", len(name)) + name)
+    cel = chunk(0x2005, struct.pack("<HhhBH7x", 0, 1, -1, 200, 2) + struct.pack("<2H", 2, 1) + zlib.compress(bytes([1, 2, 3, 4, 5, 6, 7, 8])))
+    link = chunk(0x2005, struct.pack("<HhhBH7x", 0, 0, 0, 255, 1) + struct.pack("<H", 0))
+    tag = chunk(0x2018, struct.pack("<H8x", 1) + struct.pack("<HHB12x", 0, 1, 2) + struct.pack("<H", 3) + b"run")
+    frames = b""
+    for chunks, ms in (([layer, tag, cel], 100), ([link], 50)):
+        body = b"".join(chunks)
+        frames += struct.pack("<IHHHHI", 16 + len(body), 0xF1FA, len(chunks), ms, 0, len(chunks)) + body
+    head = struct.pack("<IHHHHH", 128 + len(frames), 0xA5E0, 2, 4, 4, 32)
+    return head + bytes(128 - len(head)) + frames
+
+
+def test_sprites(spark):
+    from pixelweave.sources import sprites
+
+    rows = spark.createDataFrame([("a.ase", bytearray(sprite())), ("b.ase", bytearray(b"no sprite"))], "path string, content binary")
+    found = sprites.cels(rows).orderBy("frame_no").collect()
+    assert [(r.frame_no, r.duration_ms, r.layer_name, r.cel_x, r.cel_y, r.opacity) for r in found] == [(0, 100, "ink", 1, -1, 200), (1, 50, "ink", 0, 0, 255)]
+    assert bytes(found[1].data) == bytes(range(1, 9))
+    assert [tuple(r)[1:] for r in sprites.tags(rows).collect()] == [("run", 0, 1, 2)]
+    assert files.unpack(sprites.cels(rows)).count() == 4
+
+
+def test_jvm_reader(spark, tmp_path):
+    image = np.random.default_rng(6).integers(0, 256, (4, 6, 4)).astype(np.uint8)
+    image[:, :, 3] = 255
+    (tmp_path / "a.png").write_bytes(codecs.encode_png(image, alpha=False))
+    for r in files.read_with_jvm(spark, str(tmp_path)).collect():
+        assert (r.r, r.g, r.b, r.a) == tuple(image[r.y, r.x].tolist())
