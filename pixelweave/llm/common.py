@@ -51,6 +51,11 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of `df` as one struct, so that an operator's own columns cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` evaluated once, also where `body` uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -71,7 +76,7 @@ def uniform(seed: int, *cols: Column | str) -> Column:
     return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
 
 
-def numbered(df: DataFrame, within: Sequence[str], spread: Sequence[str], out: str, per_bucket: int = 20_000, rows: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, within: Sequence[str], spread: Sequence[str], out: str, per_bucket: int = 4_000, rows: int | None = None) -> DataFrame:
     """Number the rows from 0 without gaps within each value of `within`.
 
     No task sees more than a bucket: rows are dealt by a hash of `spread`, numbered inside

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, table, uniform, word_count
+from .common import cut, numbered, packed, table, uniform, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -87,8 +87,9 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     """
     sized = source_sizes(docs, source_col, word_count(F.col(text_col)))
     plan = targets(cyclic_weights(sized, weights), most, share)
-    taken = with_copies(docs, plan, source_col, [id_col, source_col], seed).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[taken[c] for c in docs.columns])
+    rows = docs.select(packed(docs).alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"))
+    taken = with_copies(rows, plan, "source", ["id", "source"], seed).where("__copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("row.*")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, WORD, let, table
+from .common import BLANK, WORD, let, packed, table
 
 MIN_WORDS = 50
 MOST_REPEATED = 0.5
@@ -95,11 +95,17 @@ def measures(docs: DataFrame, text_col: str = "text", most_lost: float = MOST_LO
 
 def clean_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
     """`docs` without rejected rows, the text without its failing lines; `length_col`, if there, follows it."""
-    found = measures(docs, text_col, **options).where("__q.kept")
-    cleaned = found.withColumn(text_col, F.col("__q.clean_text"))
-    if length_col in docs.columns:
-        cleaned = cleaned.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return cleaned.select(*docs.columns)
+    rows = docs.select(packed(docs).alias("row"), F.col(text_col).alias("text"))
+    found = measures(rows, "text", **options).where("__q.kept")
+    clean, columns = F.col("__q.clean_text"), []
+    for c in docs.columns:
+        if c == text_col:
+            columns.append(clean.alias(c))
+        elif c == length_col:
+            columns.append(F.length(clean).cast(docs.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col("row")[c].alias(c))
+    return found.select(*columns)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def edge_docs(spark):
     """Nulls in every column, empty and long texts, ties and repeated rows, a clashing extra column."""
     long = "the quick brown fox jumps over the lazy dog and runs away again. " * 3000
     rows = [(1, None, None, None, None), (None, "a b c", "en", "s", 5), (2, "", "en", "", 0), (3, long, "de", "s", len(long)), (3, long, "de", "s", len(long)), (4, " \t\n", "fr", None, 3), (5, "!!! ### |||", "en", "t", 11), (6, "naïve café ☕ 𝒳 words", "fr", "t", 20)]
-    return frame(spark, rows).withColumn("bucket", F.lit(7)).withColumn("fp", F.lit("x")).withColumn("id", F.lit(0))
+    return frame(spark, rows).withColumn("bucket", F.lit(7)).withColumn("fp", F.lit("x")).withColumn("id", F.lit(0)).withColumn("__copies", F.lit("y")).withColumn("__q", F.lit(1)).withColumn("__words", F.lit(2)).withColumn("row", F.lit(3))
 
 
 @pytest.mark.parametrize("name", sorted(n for n in SQL if re.match(r"op\d+_", n)))
@@ -200,8 +200,9 @@ def test_op5_lines_and_edges(spark):
     rows = {r.doc_id: r["__q"] for r in quality.measures(docs).collect()}
     assert rows[1].kept and rows[1].clean_text == prose and rows[1].n_bad_lines == 2 and not rows[2].kept and not rows[3].kept
     assert rows[2].n_dup_lines == 19
-    edge = {(r.doc_id, r.text is None): r["__q"] for r in quality.measures(edge_docs(spark)).collect()}
+    edge = {(r.doc_id, r.text is None): r["__q"] for r in quality.measures(edge_docs(spark).select("doc_id", "text")).collect()}
     assert edge[1, True].n_words == 0 and edge[1, True].base_failed and edge[3, False].n_repeat_words == edge[3, False].n_words
+    assert quality.clean_documents(edge_docs(spark)).columns == edge_docs(spark).columns
     assert quality.clean_documents(edge_docs(spark).where("false")).count() == 0
 
 
