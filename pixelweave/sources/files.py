@@ -25,58 +25,71 @@ def stream_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def _at(head: Column, i: int) -> Column:
-    """Byte i as a number, null beyond the end."""
-    piece = F.substring(head, i + 1, 1)
-    return F.when(F.octet_length(head) > i, F.conv(F.hex(piece), 16, 10).cast("int"))
+def _let(value: Column, body) -> Column:
+    """`body(value)` with `value` worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _starts(head: Column, values: bytes, at: int = 0) -> Column:
+def _bytes(content: Column, n: int = 64) -> Column:
+    """The first `n` bytes as an array of numbers."""
+    size = F.least(F.octet_length(content), F.lit(n))
+    one = lambda i: F.conv(F.hex(F.substring(content, i, F.lit(1))), 16, 10).cast("int")
+    return F.when(size > 0, F.transform(F.sequence(F.lit(1), size), one)).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def _matching(b: Column, values: bytes, at: int = 0) -> Column:
     """How many of the bytes match."""
     total = F.lit(0)
     for i, v in enumerate(values):
-        total = total + F.when(_at(head, at + i) == v, 1).otherwise(0)
+        total = total + F.when(F.get(b, F.lit(at + i)) == v, 1).otherwise(0)
     return total
 
 
-def certainty(content: Column) -> dict[str, Column]:
-    """0 (no), 1 (maybe), 2 (probably), 3 (yes) for each format, from at most the first 64 bytes."""
-    head, size = F.substring(content, 1, 64), F.octet_length(content)
-    level = lambda score, yes, probably, maybe: F.when(score >= yes, 3).when(score >= probably, 2).when(score >= maybe, 1).otherwise(0)
-    png = _starts(head, codecs.MAGIC + b"\0\0\0\rIHDR")
-    gif = _starts(head, b"GIF8", 0) + F.when(_at(head, 4).isin(0x37, 0x39), 1).otherwise(0) + F.when(_at(head, 5) == 0x61, 1).otherwise(0) + F.when(_at(head, 7) < 128, 1).otherwise(0) + F.when(_at(head, 9) < 128, 1).otherwise(0)
-    jfif = 4 * _starts(head, b"\xff", 0) + 4 * _starts(head, b"\xd8", 1) + 4 * _starts(head, b"\xff", 2) + 2 * F.when(_at(head, 3).isin(0xE0, 0xE1), 1).otherwise(0) + F.greatest(_starts(head, b"JFIF\0", 6), _starts(head, b"Exif\0", 6))
-    bmp = F.when(_starts(head, b"BM") == 2, F.when(_at(head, 14).isin(12, 40, 52, 56, 108, 124), 1).otherwise(0) + F.when((_at(head, 26) == 1) & (_at(head, 27) == 0), 1).otherwise(0) + F.when(_at(head, 28).isin(1, 4, 8, 16, 24, 32) & (_at(head, 29) == 0), 4).otherwise(0) + F.when(_at(head, 17) == 0, 3).otherwise(0)).otherwise(0)
-    targa = F.when(_at(head, 1).isin(0, 1), 1).otherwise(0) + F.when(_at(head, 2).isin(1, 2, 3, 9, 10, 11), 1).otherwise(0) + F.when(_at(head, 16).isin(8, 15, 16, 24, 32), 1).otherwise(0) + F.when((_at(head, 12) + _at(head, 13) > 0) & (_at(head, 14) + _at(head, 15) > 0), 1).otherwise(0)
+def certainty(b: Column, size: Column) -> dict[str, Column]:
+    """0 (no), 1 (maybe), 2 (probably), 3 (yes) for each format, from the first 64 bytes `b` and the file size."""
+    at = lambda i: F.get(b, F.lit(i))
+    one = lambda c: F.when(c, 1).otherwise(0)
+    level = lambda score, yes, probably, maybe: _let(score, lambda v: F.when(v >= yes, 3).when(v >= probably, 2).when(v >= maybe, 1).otherwise(0))
+    png = _matching(b, codecs.MAGIC + b"\0\0\0\rIHDR")
+    gif = _matching(b, b"GIF8") + one(at(4).isin(0x37, 0x39)) + one(at(5) == 0x61) + one(at(7) < 128) + one(at(9) < 128)
+    jpeg = 4 * _matching(b, b"\xff\xd8\xff") + 2 * one(at(3).isin(0xE0, 0xE1)) + F.greatest(_matching(b, b"JFIF\0", 6), _matching(b, b"Exif\0", 6))
+    bmp = F.when(_matching(b, b"BM") == 2, one(at(14).isin(12, 40, 52, 56, 108, 124)) + one((at(26) == 1) & (at(27) == 0)) + 4 * one(at(28).isin(1, 4, 8, 16, 24, 32) & (at(29) == 0)) + 3 * one(at(17) == 0)).otherwise(0)
+    targa = one(at(1).isin(0, 1)) + one(at(2).isin(1, 2, 3, 9, 10, 11)) + one(at(16).isin(8, 15, 16, 24, 32)) + one((at(12) + at(13) > 0) & (at(14) + at(15) > 0))
     out = {
-        "png": F.when(size >= 41, level(png, 16, 13, 10)), "gif": F.when(size >= 16, level(gif, 8, 6, 4)), "jpeg": F.when(size >= 12, level(jfif, 15, 11, 7)),
+        "png": F.when(size >= 41, level(png, 16, 13, 10)), "gif": F.when(size >= 16, level(gif, 8, 6, 4)), "jpeg": F.when(size >= 12, level(jpeg, 15, 11, 7)),
         "bmp": F.when(size >= 30, level(bmp, 9, 6, 1)), "targa": F.when(size >= 18, level(targa, 99, 4, 2)),
     }
     return {k: F.coalesce(v, F.lit(0)) for k, v in out.items()}
 
 
 def guess_format(content: Column, path: Column | None = None) -> Column:
-    """The most certain format by content; a `yes` wins at once, a fitting extension breaks ties, and without
-    any hint of the content the result is null."""
-    found = certainty(content)
-    scores = []
-    for i, (name, c) in enumerate(found.items()):
-        named = F.lit(0)
-        if path is not None:
-            for e in EXTENSIONS[name]:
-                named = F.greatest(named, F.when(F.lower(path).endswith(e), 1).otherwise(0))
-        scores.append(F.struct((c * 2 + named).alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("name"), c.alias("c")))
-    best = F.array_max(F.array(*scores))
-    return F.when(best["c"] > 0, best["name"])
+    """The most certain format by content; a fitting extension breaks ties, and without any hint of the
+    content the result is null."""
+
+    def entry(c: Column, i: int, name: str, named: Column) -> Column:
+        return _let(c, lambda v: F.struct((v * 2 + named).alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("name"), v.alias("c")))
+
+    def best(b: Column) -> Column:
+        scores = []
+        for i, (name, c) in enumerate(certainty(b, F.octet_length(content)).items()):
+            named = F.lit(0)
+            if path is not None:
+                for e in EXTENSIONS[name]:
+                    named = F.greatest(named, F.when(F.lower(path).endswith(e), 1).otherwise(0))
+            scores.append(entry(c, i, name, named))
+        return _let(F.array_max(F.array(*scores)), lambda s: F.when(s["c"] > 0, s["name"]))
+
+    return _let(_bytes(content), best)
 
 
 def metadata(files: DataFrame) -> DataFrame:
-    """(path, format, width, height) from the first 16,384 bytes, in SQL."""
-    f = files.select("path", F.substring("content", 1, 16_384).alias("head"), guess_format(F.col("content"), F.col("path")).alias("format"))
-    big = lambda i: ((_at(F.col("head"), i) * 256 + _at(F.col("head"), i + 1)) * 256 + _at(F.col("head"), i + 2)) * 256 + _at(F.col("head"), i + 3)
-    little = lambda i: _at(F.col("head"), i) + _at(F.col("head"), i + 1) * 256
-    at = {"png": (big(16), big(20)), "gif": (little(6), little(8)), "bmp": (little(18), little(22)), "targa": (little(12), little(14))}
-    pick = lambda k: F.coalesce(*[F.when(F.col("format") == name, v[k]) for name, v in at.items()])
+    """(path, format, width, height) from the head of each file, in SQL."""
+    f = files.select("path", _bytes(F.col("content"), 32).alias("b"), guess_format(F.col("content"), F.col("path")).alias("format"))
+    at = lambda i: F.get("b", F.lit(i))
+    big = lambda i: ((at(i) * 256 + at(i + 1)) * 256 + at(i + 2)) * 256 + at(i + 3)
+    little = lambda i: at(i) + at(i + 1) * 256
+    places = {"png": (big(16), big(20)), "gif": (little(6), little(8)), "bmp": (little(18), little(22)), "targa": (little(12), little(14))}
+    pick = lambda k: F.coalesce(*[F.when(F.col("format") == name, v[k]) for name, v in places.items()])
     return f.select("path", "format", pick(0).cast("int").alias("width"), pick(1).cast("int").alias("height"))
 
 
