@@ -194,8 +194,7 @@ def test_op4_edges(spark):
 
 
 def test_op5_lines_and_edges(spark):
-    good = "This is a plain sentence with many different words, number {0}, that says a thing. "
-    prose = "".join(good.format(i) for i in range(10)).strip()
+    prose = " ".join(f"Word{i} alpha{i} beta{i} gamma{i} delta{i}." for i in range(20))
     docs = frame(spark, [(1, prose + "\nHome | About | Contact | Login\nAll rights reserved.", "en", "s", 1), (2, "a | b | c | d\n" * 20, "en", "s", 1), (3, prose.upper().replace(" ", "!! "), "en", "s", 1)])
     rows = {r.doc_id: r["__q"] for r in quality.measures(docs).collect()}
     assert rows[1].kept and rows[1].clean_text == prose and rows[1].n_bad_lines == 2 and not rows[2].kept and not rows[3].kept
