@@ -168,8 +168,8 @@ def links_in_cell(fps: np.ndarray, radius: int, homes: int | None = None, spanni
     """Index pairs of linked `fps` that have a home point, the first `homes` of them, on one side at least.
 
     `spanning` pairs join the linked sets and are fewer than the fingerprints. Otherwise all pairs come, or,
-    in a dense cell, the spanning ones and besides each point's three nearest and the stars around the points with
-    most neighbours: at most six a point either way.
+    in a cell with more pairs than points, those of each home point with its three nearest and with the centre of a
+    star, four for a home point at most.
     """
     n = len(fps)
     homes = n if homes is None else homes
@@ -181,7 +181,7 @@ def links_in_cell(fps: np.ndarray, radius: int, homes: int | None = None, spanni
         firsts.append(i[keep] + k)
         seconds.append(j[keep] + k)
         found += int(keep.sum())
-        if found > 4 * n:
+        if found > (4 if spanning else 1) * n:
             break
     else:
         if not spanning:
@@ -200,6 +200,8 @@ def links_in_cell(fps: np.ndarray, radius: int, homes: int | None = None, spanni
                 parent[y] = x
                 out.append((a, b))
         return out
+    if not spanning:
+        return _close_pairs(fps, radius, homes)
     out, rest = [], np.arange(n)  # dense: each search removes what it reaches
     while len(rest):
         front, rest = [int(rest[0])], rest[1:]
@@ -210,26 +212,27 @@ def links_in_cell(fps: np.ndarray, radius: int, homes: int | None = None, spanni
             out += [(v, x) for x in reached]
             front += reached
             rest = rest[~near]
-    return out if spanning else sorted({*out, *_close_pairs(fps, radius)})
+    return out
 
 
-def _close_pairs(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Pairs of each point with its three nearest, and with the best connected point near it."""
-    n, degree, out = len(fps), np.zeros(len(fps), np.int64), []
-    for k in range(0, n, 128):
-        d = np.bitwise_count(fps[k : k + 128, None] ^ fps[None, :]).astype(np.int16)
+def _close_pairs(fps: np.ndarray, radius: int, homes: int) -> list[tuple[int, int]]:
+    """Pairs of each home point with its three nearest points, and with the best connected home point near it.
+    A point is at home once in each tree, so its pairs do not follow the number of its neighbours."""
+    n, degree, out = len(fps), np.zeros(homes, np.int64), []
+    for k in range(0, homes, 128):
+        d = np.bitwise_count(fps[k : min(k + 128, homes), None] ^ fps[None, :]).astype(np.int16)
         d[np.arange(len(d)), np.arange(k, k + len(d))] = 100
-        degree[k : k + 128] = (d <= radius).sum(axis=1)
+        degree[k : k + len(d)] = (d[:, :homes] <= radius).sum(axis=1)
         close = np.argpartition(d, min(3, n - 1), axis=1)[:, :3]
         for i, row in enumerate(close):
             out += [(min(k + i, int(j)), max(k + i, int(j))) for j in row if d[i, j] <= radius]
-    todo = np.ones(n, dtype=bool)
+    todo = np.ones(homes, dtype=bool)
     for v in np.argsort(-degree, kind="stable").tolist():
         if todo[v] and degree[v]:
-            near = np.flatnonzero(np.bitwise_count(fps ^ fps[v]) <= radius)
+            near = np.flatnonzero(np.bitwise_count(fps[:homes] ^ fps[v]) <= radius)
             out += [(min(v, int(j)), max(v, int(j))) for j in near if j != v and todo[j]]
             todo[near] = False
-    return out
+    return sorted(set(out))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[np.ndarray]:
@@ -412,7 +415,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows with a null id can't be told apart by id: of a component of such rows, and of rows that share
     the smallest id, the row whose other columns hash lowest stays.
     """
-    kept = similar_groups(docs, id_col, text_col, **options)
+    kept = cut(similar_groups(docs, id_col, text_col, **options))
     kept = cut(kept.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fp").alias("classes"), F.min("fp").alias("fp")))
     mark = free_name(docs, "keep")
     ids = kept.select(F.col(id_col).alias(mark))
