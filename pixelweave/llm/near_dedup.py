@@ -383,7 +383,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id_col, component_id) for each row of `docs`, linked where two texts share `similarity` of their
     `shingle`-word shingles (Jaccard).
 
-    The SimHash forest with a wide `radius` names candidates (of pairs at 0.8 about six in seven lie within 11
+    The SimHash forest with a wide `radius` names candidates (of pairs at 0.80 to 0.85 about five in six lie within 11
     bits, of pairs at 0.9 nearly all); each candidate is then checked on the shingle sets. Texts equal but
     for case and white space are one class. Nulls, empty texts and repeated rows are treated as in near_duplicates; ids
     must be whole numbers.
