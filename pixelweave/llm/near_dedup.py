@@ -28,7 +28,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, free_name, small_batches, table
@@ -379,15 +379,8 @@ def _similar(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 11, part_radii: Sequence[int] = (1,) * 6, capacity: int = CAPACITY, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """(id_col, component_id) for each row of `docs`, linked where two texts share `similarity` of their
-    `shingle`-word shingles (Jaccard).
-
-    The SimHash forest with a wide `radius` names candidates (of pairs at 0.80 to 0.85 about five in six lie within 11
-    bits, of pairs at 0.9 nearly all); each candidate is then checked on the shingle sets. Texts equal but
-    for case and white space are one class. Nulls, empty texts and repeated rows are treated as in near_duplicates; ids
-    must be whole numbers.
-    """
+def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 11, part_radii: Sequence[int] = (1,) * 6, capacity: int = CAPACITY, sample: int = SAMPLE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, fp, th) of `docs`, and (th, least id, root) for each class of equal texts; see similar_groups."""
     rows = cut(with_fingerprint(docs, id_col, text_col, shingle, seed, whole=True))
     classes = cut(rows.groupBy("th").agg(F.min("id").alias("least"), F.min("fp").alias("fp")))
     heads = cut(classes.groupBy("fp").agg(F.min("th").alias("head")))
@@ -397,37 +390,67 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     inside = classes.join(heads, "fp").where("th <> head").select(F.col("th").alias("x"), F.col("head").alias("y"))
     wanted = cut(across.unionByName(inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     members = wanted.select(F.col("a").alias("th")).unionByName(wanted.select(F.col("b").alias("th"))).distinct()
-    chosen = cut(classes.join(members, "th").where("least IS NOT NULL").select("th", "least"))
-    ids = chosen.select(F.col("least").alias("__least")).distinct()
-    texts = docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("__least"), "left_semi")
-    sets = cut(_sets(texts, text_col, shingle).join(members, "th", "left_semi").dropDuplicates(["th"]))
+    chosen = cut(classes.join(members, "th").select("th", "least"))
+    ids = chosen.where("least IS NOT NULL").select(F.col("least").alias("__least")).distinct()
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    unnamed = texts.where("__id IS NULL")  # the texts of classes with null ids only
+    texts = texts.join(ids, F.col("__id") == F.col("__least"), "left_semi")
+    if not chosen.where("least IS NULL").isEmpty():
+        texts = texts.unionByName(unnamed)
+    sets = cut(_sets(texts, "__text", shingle).join(members, "th", "left_semi").dropDuplicates(["th"]))
     left, right = sets.select(F.col("th").alias("a"), F.col("shingles").alias("left")), sets.select(F.col("th").alias("b"), F.col("shingles").alias("right"))
     roots = cut(components(_similar(wanted.join(left, "a").join(right, "b"), similarity)))
-    grouped = classes.join(roots, roots["node"] == classes["th"], "left").select("th", "least", F.coalesce("root", "th").alias("root"))
+    return rows, cut(classes.join(roots, roots["node"] == classes["th"], "left").select("th", "least", F.coalesce("root", "th").alias("root")))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 11, part_radii: Sequence[int] = (1,) * 6, capacity: int = CAPACITY, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """(id_col, component_id) for each row of `docs`, linked where two texts share `similarity` of their
+    `shingle`-word shingles (Jaccard).
+
+    The SimHash forest with a wide `radius` names candidates (of pairs at 0.80 to 0.85 about five in six lie within 11
+    bits, of pairs at 0.9 nearly all); each candidate is then checked on the shingle sets. Texts equal but
+    for case and white space are one class. Nulls, empty texts and repeated rows are treated as in near_duplicates; ids
+    must be whole numbers.
+    """
+    rows, grouped = _similar_classes(docs, id_col, text_col, shingle, similarity, radius, part_radii, capacity, sample, seed)
     least = cut(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
     named = cut(grouped.select("th", "root").join(least, "root").select("th", "component_id"))
     return rows.join(named, "th", "left").select(F.col("id").alias(id_col), F.col("th").alias("fp"), "component_id")
 
 
+def _text_hash(text: Column) -> Column:
+    """The th of with_fingerprint, as a column."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        own = [xxhash.xxh64_intdigest(b" ".join(x.as_buffer().to_pybytes().lower().split()) if x.is_valid else b"") for x in texts]
+        return pa.array(np.array(own, dtype=np.uint64).view(np.int64))
+
+    return F.arrow_udf(run, "long")(text)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` with one row of each group of similar texts, that of the smallest id, all columns kept.
 
-    Rows with a null id can't be told apart by id: of a component of such rows, and of rows that share
-    the smallest id, the row whose other columns hash lowest stays.
+    Groups are those of texts, whatever the ids: a group without ids keeps a row too, and two groups that
+    share their smallest id keep one each. Null ids come last; of rows equal in id and text (but for case and
+    white space) the one whose columns hash lowest stays.
     """
-    kept = cut(similar_groups(docs, id_col, text_col, **options))
-    kept = cut(kept.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fp").alias("classes"), F.min("fp").alias("fp")))
-    mark = free_name(docs, "keep")
-    ids = kept.select(F.col(id_col).alias(mark))
+    rows, grouped = _similar_classes(docs, id_col, text_col, **options)
+    first = F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "th")).alias("first")
+    kept = cut(grouped.groupBy("root").agg(first).select(F.col("first.least").alias("id"), F.col("first.th").alias("th")))
+    mark, th = free_name(docs, "keep"), free_name(docs, "th")
+    ids = kept.select(F.col("id").alias(mark)).distinct()
     out = docs.join(ids, docs[id_col].eqNullSafe(ids[mark]), "left_semi")
-    if kept.where("n > 1").isEmpty():
+    spare = cut(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias(mark)))
+    if spare.isEmpty():
         return out
-    spare = cut(kept.where("n > 1").select(F.col(id_col).alias(mark)))
     once = out.join(spare, out[id_col].eqNullSafe(spare[mark]), "left_anti")
-    many = out.join(spare, out[id_col].eqNullSafe(spare[mark]), "left_semi")
-    order = F.struct(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    first = many.groupBy(id_col).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order["h"]).alias(mark)).select(f"{mark}.*")
-    return once.unionByName(first.select(*docs.columns))
+    many = out.join(spare, out[id_col].eqNullSafe(spare[mark]), "left_semi").withColumn(th, _text_hash(F.col(text_col)))
+    chosen = kept.select(F.col("id").alias(mark), F.col("th").alias(f"{mark}h"))
+    many = many.join(chosen, many[id_col].eqNullSafe(chosen[mark]) & (many[th] == chosen[f"{mark}h"]), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = many.groupBy(id_col, th).agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias(mark)).select(f"{mark}.*")
+    return once.unionByName(one.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,6 +111,18 @@ def test_near_duplicates_edge_cases(spark):
     assert near_dedup.keep_one(docs.where("false")).count() == 0
 
 
+def test_keep_one_goes_by_text_not_by_id(spark):
+    word = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(5)]
+    near = word[2] + " more"
+    rows = [(None, word[0]), (None, word[1]), (None, word[2]), (None, near), (7, word[3]), (7, word[4]), (7, word[3]), (9, word[1].upper())]
+    docs = frame(spark, rows, "doc_id long, text string").withColumn("__th", F.lit(1))
+    kept = near_dedup.keep_one(docs)
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == docs.columns and len(found) == 5
+    assert {(None, word[0]), (7, word[3]), (7, word[4]), (9, word[1].upper())} < set(found)
+    assert ((None, word[2]) in found) != ((None, near) in found)
+
+
 # ------------------------------------------------------------------ 1: decontamination
 
 
