@@ -41,6 +41,7 @@ PART_RADII = (1, 0, 0, 0)
 CAPACITY = 1024
 SAMPLE = 65_536
 _CHUNK = 1 << 15
+SKETCH = 512
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -164,13 +165,9 @@ def route(points: np.ndarray, nodes: list[tuple], mask: int, radius: int) -> tup
     return idx[keep], leaf[keep], home[keep]
 
 
-def links_in_cell(fps: np.ndarray, radius: int, homes: int | None = None, spanning: bool = True) -> list[tuple[int, int]]:
-    """Index pairs of linked `fps` that have a home point, the first `homes` of them, on one side at least.
-
-    `spanning` pairs join the linked sets and are fewer than the fingerprints. Otherwise all pairs come, or,
-    in a cell with more pairs than points, those of each home point with its three nearest and with the centre of a
-    star, four for a home point at most.
-    """
+def links_in_cell(fps: np.ndarray, radius: int, homes: int | None = None) -> list[tuple[int, int]]:
+    """Index pairs that join all linked `fps` which have a home point, the first `homes` of them, on one side at
+    least; they are fewer than the fingerprints."""
     n = len(fps)
     homes = n if homes is None else homes
     firsts, seconds, found = [], [], 0
@@ -181,11 +178,9 @@ def links_in_cell(fps: np.ndarray, radius: int, homes: int | None = None, spanni
         firsts.append(i[keep] + k)
         seconds.append(j[keep] + k)
         found += int(keep.sum())
-        if found > (4 if spanning else 1) * n:
+        if found > 4 * n:
             break
     else:
-        if not spanning:
-            return list(zip(np.concatenate(firsts).tolist(), np.concatenate(seconds).tolist(), strict=True)) if firsts else []
         parent = list(range(n))
         out = []
         for a, b in zip(np.concatenate(firsts).tolist() if firsts else [], np.concatenate(seconds).tolist() if firsts else [], strict=True):
@@ -200,8 +195,6 @@ def links_in_cell(fps: np.ndarray, radius: int, homes: int | None = None, spanni
                 parent[y] = x
                 out.append((a, b))
         return out
-    if not spanning:
-        return _close_pairs(fps, radius, homes)
     out, rest = [], np.arange(n)  # dense: each search removes what it reaches
     while len(rest):
         front, rest = [int(rest[0])], rest[1:]
@@ -215,24 +208,29 @@ def links_in_cell(fps: np.ndarray, radius: int, homes: int | None = None, spanni
     return out
 
 
-def _close_pairs(fps: np.ndarray, radius: int, homes: int) -> list[tuple[int, int]]:
-    """Pairs of each home point with its three nearest points, and with the best connected home point near it.
-    A point is at home once in each tree, so its pairs do not follow the number of its neighbours."""
-    n, degree, out = len(fps), np.zeros(homes, np.int64), []
+def _owned(a: np.ndarray, b: np.ndarray, tree: int, masks: Sequence[int], part_radii: Sequence[int]) -> np.ndarray:
+    """Whether `tree` is the first whose part shows a and b within its radius, so that one tree alone names the pair."""
+    x = a ^ b
+    out = np.bitwise_count(x & np.uint64(masks[tree])) <= part_radii[tree]
+    for mask, r in zip(masks[:tree], part_radii, strict=False):
+        out &= np.bitwise_count(x & np.uint64(mask)) > r
+    return out
+
+
+def pairs_in_cell(fps: np.ndarray, radius: int, homes: int, tree: int, masks: Sequence[int], part_radii: Sequence[int]) -> tuple[np.ndarray, np.ndarray] | None:
+    """All index pairs of a cell that are linked, owned by its tree and have a home point; None if they are more than the points."""
+    firsts, seconds, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
     for k in range(0, homes, 128):
-        d = np.bitwise_count(fps[k : min(k + 128, homes), None] ^ fps[None, :]).astype(np.int16)
-        d[np.arange(len(d)), np.arange(k, k + len(d))] = 100
-        degree[k : k + len(d)] = (d[:, :homes] <= radius).sum(axis=1)
-        close = np.argpartition(d, min(3, n - 1), axis=1)[:, :3]
-        for i, row in enumerate(close):
-            out += [(min(k + i, int(j)), max(k + i, int(j))) for j in row if d[i, j] <= radius]
-    todo = np.ones(homes, dtype=bool)
-    for v in np.argsort(-degree, kind="stable").tolist():
-        if todo[v] and degree[v]:
-            near = np.flatnonzero(np.bitwise_count(fps[:homes] ^ fps[v]) <= radius)
-            out += [(min(v, int(j)), max(v, int(j))) for j in near if j != v and todo[j]]
-            todo[near] = False
-    return sorted(set(out))
+        block = fps[k : min(k + 128, homes)]
+        i, j = np.nonzero(np.bitwise_count(block[:, None] ^ fps[None, k:]) <= radius)
+        i, j = i[j > i] + k, j[j > i] + k
+        own = _owned(fps[i], fps[j], tree, masks, part_radii)
+        firsts.append(i[own])
+        seconds.append(j[own])
+        found += int(own.sum())
+        if found > len(fps):
+            return None
+    return np.concatenate(firsts), np.concatenate(seconds)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[np.ndarray]:
@@ -259,12 +257,16 @@ def _cells(counts: dict[tuple[int, int], tuple[int, int]], capacity: int) -> dic
 
 
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, part_radii: Sequence[int] = PART_RADII, capacity: int = CAPACITY, sample: int = SAMPLE, spanning: bool = True) -> DataFrame:
-    """(a, b) long pairs that span (or, not `spanning`, are candidates of) all links between the distinct fingerprints of `fps` (fp long)."""
+    """(a, b) long pairs that span all links between the distinct fingerprints of `fps` (fp long).
+
+    Not `spanning`, all links: (a, b, null, null, null) for each of a cell with no more links than points, and for a
+    cell with more, its points that have a link there, as (fp, null, shard, cell, home).
+    """
     if sum(r + 1 for r in part_radii) != radius + 1:
         raise ValueError("the sum of part radius + 1 must be radius + 1")
     masks, n = part_masks(part_radii), fps.count()
     if n == 0:
-        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+        return fps.selectExpr("fp AS a", "fp AS b", *([] if spanning else ["0L AS shard", "0L AS cell", "true AS home"]))
     # A hash order takes the same sample on every run; TakeOrdered keeps it bounded on the way.
     rows = fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
     taken = np.array([r.fp for r in rows], dtype=np.int64).view(np.uint64)
@@ -323,10 +325,32 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, part_radii: Sequence
         fps_, home = group.column("fp").to_numpy().view(np.uint64), group.column("home").to_numpy(zero_copy_only=False)
         first = np.unique(fps_[home])
         points = np.concatenate([first, np.setdiff1d(fps_[~home], first)])
-        found = np.array(links_in_cell(points, radius, len(first), spanning), dtype=np.int64).reshape(-1, 2)
+        found = np.array(links_in_cell(points, radius, len(first)), dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": points[found[:, 0]].view(np.int64), "b": points[found[:, 1]].view(np.int64)})
 
+    def list_all(group: pa.Table) -> pa.Table:
+        fps_, home = group.column("fp").to_numpy().view(np.uint64), group.column("home").to_numpy(zero_copy_only=False)
+        first = np.unique(fps_[home])
+        points = np.concatenate([first, np.setdiff1d(fps_[~home], first)])
+        shard, cell = group.column("shard")[0].as_py(), group.column("cell")[0].as_py()
+        pairs = pairs_in_cell(points, radius, len(first), shard % len(masks), masks, part_radii)
+        if pairs is not None:
+            rows, other, named = points[pairs[0]], pa.array(points[pairs[1]].view(np.int64)), None
+        else:
+            linked = np.zeros(len(points), dtype=bool)
+            for k in range(0, len(first), 128):
+                i, j = np.nonzero(np.bitwise_count(first[k : k + 128, None] ^ points[None, :]) <= radius)
+                linked[i[j != i + k] + k] = True
+                linked[j[j != i + k]] = True
+            rows, named = points[linked], np.flatnonzero(linked) < len(first)
+            other = pa.nulls(len(rows), pa.int64())
+        n = len(rows)
+        key = [pa.nulls(n, pa.int64())] * 2 + [pa.nulls(n, pa.bool_())] if named is None else [pa.array(np.full(n, shard)), pa.array(np.full(n, cell)), pa.array(named)]
+        return pa.Table.from_arrays([pa.array(rows.view(np.int64)), other, *key], names=["a", "b", "shard", "cell", "home"])
+
     dealt = fps.select("fp").mapInArrow(deal, "shard long, cell long, fp long, home boolean")
+    if not spanning:
+        return dealt.groupBy("shard", "cell").applyInArrow(list_all, "a long, b long, shard long, cell long, home boolean")
     return dealt.groupBy("shard", "cell").applyInArrow(compare, "a long, b long")
 
 
@@ -349,23 +373,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(th long, shingles binary): a text's own hash and its sorted distinct 64-bit shingle hashes."""
+    """(th long, shingles binary, size long, sketch binary): a text's own hash, its sorted distinct 64-bit shingle
+    hashes, their number, and for each residue of the hashes by SKETCH whether an odd number has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, out = [], []
+            own, out, sizes, sketches = [], [], [], []
             for x in batch.column(0):
                 words = x.as_buffer().to_pybytes().lower().split() if x.is_valid else []
                 spans = (words[i : i + shingle] for i in range(max(1, len(words) - shingle + 1))) if words else ()
-                out.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s)) for s in spans), dtype=np.uint64)).tobytes())
+                hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s)) for s in spans), dtype=np.uint64))
+                out.append(hashes.tobytes())
+                sizes.append(len(hashes))
+                sketches.append(np.packbits(np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes())
                 own.append(xxhash.xxh64_intdigest(b" ".join(words)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(out, pa.binary())], names=["th", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(out, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=["th", "shingles", "size", "sketch"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "th long, shingles binary")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "th long, shingles binary, size long, sketch binary")
 
 
-def _similar(pairs: DataFrame, least: float) -> DataFrame:
-    """(a, b) of the rows (a, b, left binary, right binary) whose sets have a Jaccard similarity of `least`."""
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those (a, b) of `pairs` whose sets have a Jaccard similarity of `least`."""
+    left, right = sets.selectExpr("th AS a", "shingles AS left"), sets.selectExpr("th AS b", "shingles AS right")
+    pairs = pairs.distinct().join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,20 +406,135 @@ def _similar(pairs: DataFrame, least: float) -> DataFrame:
                 keep.append(both >= least * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return cut(pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"))
+
+
+#: In place of a tree: the texts of one fingerprint, and those of two linked fingerprints.
+_SAME, _ACROSS = -2, -1
+#: Two linked fingerprints with so many pairs of texts at most are no cell.
+_FEW = 64
+_CELL = ["shard", "cell", "tree", "low", "high"]
+
+
+def _chunked(points: DataFrame, capacity: int) -> DataFrame:
+    """`points` (th, fp, shard, cell, tree, home) with low, high and chunk: a set of more than 2 * `capacity` is cut into
+    chunks, and each two of them meet in (low, high)."""
+    key = _CELL[:3]
+    sizes = points.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / capacity).cast("int").alias("k"))
+    sizes = cut(sizes.where("k > 2"))
+    dealt = points.join(sizes, key, "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("th"), F.col("k")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return dealt.select("th", "fp", *key, "home", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk")
+
+
+def next_pairs(th: np.ndarray, fps: np.ndarray, home: np.ndarray, chunk: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray, tested: set[tuple[int, int]], most: int, similarity: float, radius: int, tree: int, within: bool, masks: Sequence[int], part_radii: Sequence[int]) -> tuple[list[tuple[int, int]], bool]:
+    """For each point of a cell the `most` likeliest pairs with points of other roots, as (smaller, larger) th; are there more?
+
+    A pair is left out if it was tested, is not this cell's, or cannot have the similarity: of sets of p and q shingles
+    that have it, at most (p + q) * (1 - s) / (1 + s) are in one only, and as many bits of the sketches differ at most.
+    """
+    out: set[tuple[int, int]] = set()
+    more = False
+    failed = np.zeros((len(th), len(th)), dtype=bool) if tested else None
+    if tested:
+        at = {t: i for i, t in enumerate(th.tolist())}
+        for x, y in tested:
+            failed[at[x], at[y]] = failed[at[y], at[x]] = True
+    for k in range(0, len(th), 128):
+        end = min(k + 128, len(th))
+        mine = (home[k:end, None] | home[None, :]) & (root[k:end, None] != root[None, :])
+        if not within:
+            mine &= chunk[k:end, None] != chunk[None, :]
+        if tree != _SAME:
+            mine &= fps[k:end, None] != fps[None, :]
+        if tested:
+            mine &= ~failed[k:end]
+        i, j = np.nonzero(mine)
+        if tree >= 0:
+            near = np.bitwise_count(fps[i + k] ^ fps[j]) <= radius
+            i, j = i[near], j[near]
+            own = _owned(fps[i + k], fps[j], tree, masks, part_radii)
+            i, j = i[own], j[own]
+        p, q = size[i + k], size[j]
+        alike = np.minimum(p, q) >= similarity * np.maximum(p, q) - 1e-6
+        i, j, p, q = i[alike], j[alike], p[alike], q[alike]
+        differ = np.zeros(len(i), dtype=np.int64)
+        for w in range(sketch.shape[1]):
+            differ += np.bitwise_count(sketch[i + k, w] ^ sketch[j, w])
+        bound = (p + q) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        good = differ <= bound
+        i, j, rank = i[good], j[good], (differ / np.maximum(bound, 1e-6))[good]
+        order = np.lexsort((rank, i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        more |= bool((place >= most).any())
+        i, j = i[place < most] + k, j[place < most]
+        out.update(zip(np.minimum(th[i], th[j]).tolist(), np.maximum(th[i], th[j]).tolist(), strict=True))
+    return sorted(out), more
+
+
+def _in_rounds(points: DataFrame, edges: DataFrame, sets: DataFrame, similarity: float, radius: int, part_radii: Sequence[int]) -> DataFrame:
+    """`edges` (a, b) and pairs of `points` that pass the check, until no cell has an untested pair across components.
+
+    A round checks a few pairs of each point, four times as many as the round before. A cell is done when a round names
+    all that it has left; a pair that fails is never named again. Nothing but pairs within one component and
+    pairs that cannot have the similarity go unchecked.
+    """
+    masks = part_masks(part_radii)
+    points = cut(points.join(sets.select("th", "size", "sketch"), "th"))
+    failed = cut(points.select(*_CELL, F.col("th").alias("a"), F.col("th").alias("b")).where("false"))
+    most, active = 8, None
+    while True:
+        roots = components(edges)
+        now = points.join(roots, roots["node"] == points["th"], "left").select(*points.columns, F.coalesce("root", "th").alias("root"))
+        if active is not None:
+            now = now.join(active, _CELL, "left_semi")
+
+        def step(here: pa.Table, old: pa.Table) -> pa.Table:
+            if not here.num_rows:
+                return pa.table({n: pa.array([], t) for n, t in [("shard", pa.int64()), ("cell", pa.int64()), ("tree", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())]})
+            col = lambda n: here.column(n).to_numpy(zero_copy_only=False)
+            order = np.lexsort((~col("home"), col("th")))  # a text at home and as a guest counts as at home
+            order = order[np.unique(col("th")[order], return_index=True)[1]]
+            sketch = np.frombuffer(b"".join(here.column("sketch").to_pylist()), np.uint64).reshape(here.num_rows, -1)
+            shard, cell, tree, low, high = (here.column(n)[0].as_py() for n in _CELL)
+            tested = set(zip(old.column("a").to_pylist(), old.column("b").to_pylist(), strict=True))
+            found, more = next_pairs(col("th")[order], col("fp").view(np.uint64)[order], col("home")[order], col("chunk")[order], col("root")[order], col("size")[order], sketch[order], tested, most, similarity, radius, tree, low == high, masks, part_radii)
+            n, ab = len(found), np.array(found, dtype=np.int64).reshape(-1, 2)
+            return pa.table({"shard": pa.array([shard] * n, pa.int64()), "cell": pa.array([cell] * n, pa.int64()), "tree": pa.array([tree] * n, pa.int32()), "low": pa.array([low] * n, pa.int32()), "high": pa.array([high] * n, pa.int32()), "a": ab[:, 0], "b": ab[:, 1], "more": pa.array([more] * n, pa.bool_())})
+
+        old = failed.select(*[F.col(c).alias(f"old_{c}") for c in _CELL], "a", "b")
+        wanted = cut(now.groupBy(*_CELL).cogroup(old.groupBy(*[f"old_{c}" for c in _CELL])).applyInArrow(step, "shard long, cell long, tree int, low int, high int, a long, b long, more boolean"))
+        passed = _similar(wanted.select("a", "b"), sets, similarity)
+        edges = cut(roots.selectExpr("node AS a", "root AS b").unionByName(passed))
+        active = cut(wanted.where("more").select(*_CELL).distinct())
+        if active.isEmpty():
+            return edges
+        wanted = failed.unionByName(wanted.join(passed, ["a", "b"], "left_anti").select(*failed.columns))
+        failed = cut(wanted.join(active, _CELL, "left_semi").select(*failed.columns))
+        most *= 4
 
 
 def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 11, part_radii: Sequence[int] = (1,) * 6, capacity: int = CAPACITY, sample: int = SAMPLE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Rows (id, fp, th) of `docs`, and (th, least id, root) for each class of equal texts; see similar_groups."""
     rows = cut(with_fingerprint(docs, id_col, text_col, shingle, seed, whole=True))
     classes = cut(rows.groupBy("th").agg(F.min("id").alias("least"), F.min("fp").alias("fp")))
-    heads = cut(classes.groupBy("fp").agg(F.min("th").alias("head")))
-    links = fingerprint_links(heads.select("fp"), radius, part_radii, capacity, sample, spanning=False).distinct()
-    a, b = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
-    across = links.join(a, "a").join(b, "b").select("x", "y")
-    inside = classes.join(heads, "fp").where("th <> head").select(F.col("th").alias("x"), F.col("head").alias("y"))
-    wanted = cut(across.unionByName(inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    members = wanted.select(F.col("a").alias("th")).unionByName(wanted.select(F.col("b").alias("th"))).distinct()
+    heads = cut(classes.groupBy("fp").agg(F.count(F.lit(1)).alias("m"), F.min("th").alias("head")))
+    found = cut(fingerprint_links(heads.select("fp"), radius, part_radii, capacity, sample, spanning=False))
+    # Links of fingerprints with one text each are pairs; other links, fingerprints of many texts and full cells are sets of points.
+    a, b = heads.selectExpr("fp AS a", "m AS ma", "head AS x"), heads.selectExpr("fp AS b", "m AS mb", "head AS y")
+    links = cut(found.where("b IS NOT NULL").select("a", "b").join(a, "a").join(b, "b"))
+    pairs = cut(links.where("ma = 1 AND mb = 1").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    some = links.where(f"(ma > 1 OR mb > 1) AND ma * mb <= {_FEW}").select("a", "b")
+    x, y = classes.selectExpr("fp AS a", "th AS x"), classes.selectExpr("fp AS b", "th AS y")
+    pairs = pairs.unionByName(cut(some.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
+    many = links.where(f"ma * mb > {_FEW}")
+    full = found.where("b IS NULL").select(F.col("a").alias("fp"), "shard", "cell", F.pmod("shard", F.lit(len(part_radii))).cast("int").alias("tree"), "home")
+    full = full.unionByName(heads.where("m > 1").selectExpr("fp", "fp AS shard", "0L AS cell", f"{_SAME} AS tree", "true AS home"))
+    full = full.unionByName(many.selectExpr("a AS fp", "a AS shard", "b AS cell", f"{_ACROSS} AS tree", "true AS home"))
+    full = full.unionByName(many.selectExpr("b AS fp", "a AS shard", "b AS cell", f"{_ACROSS} AS tree", "false AS home"))
+    points = cut(_chunked(full.join(classes.select("fp", "th"), "fp"), capacity))
+    members = cut(pairs.selectExpr("a AS th").unionByName(pairs.selectExpr("b AS th")).unionByName(points.select("th")).distinct())
     chosen = cut(classes.join(members, "th").select("th", "least"))
     ids = chosen.where("least IS NOT NULL").select(F.col("least").alias("__least")).distinct()
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
@@ -398,8 +543,10 @@ def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if not chosen.where("least IS NULL").isEmpty():
         texts = texts.unionByName(unnamed)
     sets = cut(_sets(texts, "__text", shingle).join(members, "th", "left_semi").dropDuplicates(["th"]))
-    left, right = sets.select(F.col("th").alias("a"), F.col("shingles").alias("left")), sets.select(F.col("th").alias("b"), F.col("shingles").alias("right"))
-    roots = cut(components(_similar(wanted.join(left, "a").join(right, "b"), similarity)))
+    edges = _similar(pairs, sets, similarity)
+    if not points.isEmpty():
+        edges = _in_rounds(points, edges, sets, similarity, radius, part_radii)
+    roots = cut(components(edges))
     return rows, cut(classes.join(roots, roots["node"] == classes["th"], "left").select("th", "least", F.coalesce("root", "th").alias("root")))
 
 
@@ -408,7 +555,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     `shingle`-word shingles (Jaccard).
 
     The SimHash forest with a wide `radius` names candidates (of pairs at 0.80 to 0.85 about five in six lie within 11
-    bits, of pairs at 0.9 nearly all); each candidate is then checked on the shingle sets. Texts equal but
+    bits, of pairs at 0.9 nearly all). The groups are those of all candidates that pass the check on the shingle sets:
+    cells with more links than points, and fingerprints of several texts, are checked in rounds. Texts equal but
     for case and white space are one class. Nulls, empty texts and repeated rows are treated as in near_duplicates; ids
     must be whole numbers.
     """

@@ -123,6 +123,49 @@ def test_keep_one_goes_by_text_not_by_id(spark):
     assert ((None, word[2]) in found) != ((None, near) in found)
 
 
+def jaccard_components(texts, least=0.8, radius=None):
+    """Label of each text by all pairs, of those within `radius` bits if it is given."""
+    words = [t.split() for t in texts]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    fps = np.array([near_dedup.fingerprint(t.encode(), 5) for t in texts], dtype=np.uint64)
+    index = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
+    hot = np.zeros((len(texts), len(index)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        hot[i, [index[x] for x in s]] = 1
+    both, n = hot @ hot.T, hot.sum(axis=1)
+    edge = both >= least * (n[:, None] + n[None, :] - both)
+    if radius is not None:
+        edge &= np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+    label = np.arange(len(texts))
+    while True:
+        new = np.where(edge, label[None, :], len(texts)).min(axis=1)
+        if (new == label).all():
+            return label
+        label = new
+
+
+def near_copies(sizes, length=120, seed=3):
+    """Groups of texts; the members differ from their group's base by few words, so pairs lie around 0.8."""
+    rng, out = np.random.default_rng(seed), []
+    for g, n in enumerate(sizes):
+        base = [f"g{g}w{i}" for i in range(length)]
+        for k in range(n):
+            words = list(base)
+            for at in rng.choice(length, rng.integers(1, 4), replace=False):
+                words[at] = f"e{k}x{at}"
+            out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("sizes,capacity", [([2, 2, 100, 1000], near_dedup.CAPACITY), ([2, 2, 100, 200], 64)])
+def test_near_copies_equal_all_pairs(spark, sizes, capacity):
+    texts = near_copies(sizes)
+    docs = frame(spark, list(enumerate(texts)), "doc_id long, text string")
+    want = jaccard_components(texts, radius=11).tolist()
+    found = {r.doc_id: r.component_id for r in near_dedup.similar_groups(docs, capacity=capacity).collect()}
+    assert [found[i] for i in range(len(texts))] == want
+
+
 # ------------------------------------------------------------------ 1: decontamination
 
 
