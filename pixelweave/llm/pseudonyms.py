@@ -174,7 +174,7 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, back:
     columns and repeated rows stay; an empty table stays empty; whole texts are searched.
     """
     text = F.col(text_col)
-    hits = F.when(text.rlike("[0-9]"), F.regexp_extract_all(text, F.lit(_ALL), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
+    hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(_ALL), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
     out = docs.withColumn("__hits", F.coalesce(hits, F.expr("cast(array() as array<string>)")))
     out = out.withColumn("__told", F.transform("__hits", lambda s: let(kind_of(s), lambda k: F.struct(k.alias("kind"), replaced(s, k, key, back).alias("new")))))
     gaps = F.split(text, _ALL, -1)

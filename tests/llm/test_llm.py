@@ -324,6 +324,15 @@ def test_op7_round_trip_formats_and_links(spark):
     assert pseudonyms.pseudonymise(edge_docs(spark)).count() == 8
 
 
+def test_op7_address_without_digits(spark):
+    docs = frame(spark, [(1, "write to jo.doe@mail.example.com"), (2, "7 times jo.doe@mail.example.com")], "doc_id long, text string")
+    out = pseudonyms.pseudonymise(docs)
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[1]["__kinds"] == rows[2]["__kinds"] == ["email"] and "jo.doe" not in rows[1].text
+    assert rows[1].text.split()[-1] == rows[2].text.split()[-1]
+    assert {r.doc_id: r.text for r in pseudonyms.pseudonymise(out.drop("__kinds"), back=True).collect()} == {r.doc_id: r.text for r in docs.collect()}
+
+
 def test_op7_is_a_permutation(spark):
     three = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d")).select(pseudonyms.permute_digits(F.col("d"), "t"))
     assert three.distinct().count() == 1000
