@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import time
 import zlib
 
 import duckdb
@@ -269,6 +270,31 @@ def test_repeated_words(spark, text):
     assert got == want
 
 
+def test_op5_long_words_and_runs_take_linear_time(spark):
+    n = 1_000_000
+    texts = ["a" * n + "!! b.", "!" * n + "b", "." * (n // 2) + "!," * (n // 4) + "b", "a |" + " " * n + "b", "#" * n + "b.", "| " * (n // 4), "home " * (n // 4) + "x", "a " * (n // 4) + "!!"]
+    began = time.time()
+    rows = frame(spark, [(t,) for t in texts], "text string").repartition(8).select("text", quality.line_fails(F.col("text")).alias("bad")).collect()
+    assert len(rows) == 8 and time.time() - began < 60
+    measured = quality.measures(frame(spark, [(texts[0],), (texts[7],)], "text string")).select("__q.n_words", "__q.n_repeat_words").collect()
+    assert sorted(map(tuple, measured)) == [(2, 0), (n // 4 + 1, n // 4)] and time.time() - began < 90
+
+
+def test_op5_stock_phrases_and_clashing_columns(spark):
+    prose = " ".join(f"word{i}" for i in range(80)) + "."
+    docs = frame(spark, [(1, f"{prose} We use a cookie. {prose}", "en", "s", 1), (2, prose + "\nClick here to sign in.", "en", "s", 1)]).withColumn("__words", F.lit(5)).withColumn("__parts", F.lit(6))
+    rows = {r.doc_id: r for r in quality.measures(docs).collect()}
+    assert rows[1]["__q"].n_bad_lines == 0 and rows[2]["__q"].n_bad_lines == 1
+    assert rows[1]["__words"] == 5 and rows[1]["__parts"] == 6
+    with pytest.raises(ValueError):
+        quality.measures(docs.withColumn("__q", F.lit(1)))
+
+
+def test_op5_is_computed_once_in_the_pipeline(spark, data):
+    plan = quality.clean_documents(spark.read.parquet(f"{data}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") == 1
+
+
 # ------------------------------------------------------------------ 6, 8: learned models
 
 
