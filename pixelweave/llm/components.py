@@ -12,17 +12,22 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges for each task; a small table is spread over few tasks, whatever the number of shuffle partitions.
+PER_TASK = 100_000
+LEAST_TASKS = 8
+
+
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Every node links its larger neighbours to the smallest node it knows."""
     both = _both(edges)
-    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(tasks))
     return both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Every node links its smaller neighbours, and itself, to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = cut(down.groupBy("a").agg(F.min("b").alias("m")))
+    least = cut(down.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks))
     moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -44,7 +49,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if mark[0] == 0:
             break
-        edges = cut(_small_star(cut(_large_star(edges))))
+        tasks = max(LEAST_TASKS, mark[0] // PER_TASK)
+        edges = cut(_small_star(cut(_large_star(edges, tasks).coalesce(tasks)), tasks).coalesce(tasks))
         new = _mark(edges)
         if new == mark:
             break

@@ -1,29 +1,33 @@
 """SimHash near-duplicates found with a forest of vantage-point trees.
 
-Method. Every text gets a 64-bit SimHash. Two fingerprints link when they differ in at most `radius`
-bits; linked texts form components. The search is exact:
-
-* The 64 bits are cut into parts, and part i gets a radius r_i such that the sum of (r_i + 1) is
-  `radius` + 1. By pigeonhole a linked pair lies within r_i on some part i, so one vantage-point tree
-  for each part, searched with its own radius, finds every pair. One part with the whole radius is
-  the textbook tree; on 64 nearly random bits its triangle bounds prune almost nothing (distances to
-  a vantage point lie at 32 +- 4, and the bound has a width of 8), hence the parts.
-* A node of a tree holds a vantage point v and a cut c: fingerprints with d(x, v) <= c on the part
+Method. Every text gets a SimHash. Two fingerprints link when they differ in at most `total` bits and,
+on one of several parts of their bits at least, in at most that part's radius. Linked texts form groups.
+
+* For op3 (64 bits, radius 4) the parts cover all bits and the sum of (radius + 1) is `total` + 1: by pigeonhole
+  every pair within `total` is found. One part with the whole radius is the textbook tree; on 64
+  nearly random bits its triangle bounds prune almost nothing (distances to a vantage point lie at
+  32 +- 4, and the bound has a width of 8), hence the parts.
+* There is a tree for each part. A node holds a vantage point v and a cut c: fingerprints with d(x, v) <= c
   belong to the near child. By the triangle inequality partners of x within r lie only in children
   that [d - r, d + r] reaches; a fingerprint is at home in one leaf and a guest in further leaves
   whose boundary it overlaps. Only overlapping leaves are searched.
 * The trees are fitted on a bounded sample (`sample` fingerprints); they only steer the work, and
-  all fingerprints pass through them. A leaf is a shard of the Spark job. A leaf of more than
+  all fingerprints pass through them. A leaf is a shard of the Spark job. A leaf of more than about twice
   `capacity` fingerprints is dealt in chunks to cells (chunk i against chunk j), so that no task holds
   an unbounded group, and nothing is dropped.
-* A cell reports a spanning forest of its links, never all pairs; star contractions join the forests.
+* In a cell the fingerprints are grouped by their part; only groups within the part's radius are compared. A
+  cell reports stars that span its links, never all pairs; star contractions join the stars.
 
-Exact copies count once: the search runs over distinct fingerprints.
+Near duplicates by shingles (`similar_groups`, `keep_one`) take wide fingerprints whose number of parts grows
+with the wanted recall, and check the groups on the shingle sets: see there. Equal texts count once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,70 +42,98 @@ SEED = 42
 SHINGLE = 4
 RADIUS = 4
 PART_RADII = (1, 0, 0, 0)
-CAPACITY = 1024
+CAPACITY = 1 << 16
 SAMPLE = 65_536
+#: Ids at most that are broadcast to a join; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Texts and shingles at most that one task checks against each other; larger groups are dealt to several.
+MOST_TEXTS, MOST_SHINGLES = 1024, 1 << 20
+SKETCH = 1024
 _CHUNK = 1 << 15
-SKETCH = 512
-
-
-def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of one UTF-8 text, as an unsigned 64-bit number; 0 for null or no words."""
-    words = text.lower().split() if text else []  # bytes: only A-Z and ASCII white space
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+_BLOCK = 1 << 21
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Word k of a shingle's bits: its hash, and beyond that the hash mixed anew."""
+    if k == 0:
+        return h
+    h = h + np.uint64((k * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED, words: int = 1) -> np.ndarray:
+    """SimHash of one UTF-8 text, as `words` unsigned 64-bit numbers; 0 for null or no words."""
+    said = text.lower().split() if text else []  # bytes: only A-Z and ASCII white space
+    if not said:
+        return np.zeros(words, dtype=np.uint64)
+    joined = b" ".join(said)
+    lengths = np.fromiter(map(len, said), dtype=np.int64, count=len(said))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    if len(words) < shingle:
+    if len(said) < shingle:
         starts, ends = starts[:1], ends[-1:]
     else:
-        starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
-    counts = np.zeros(64, dtype=np.int64)
+        starts, ends = starts[: len(said) - shingle + 1], ends[shingle - 1 :]
+    counts = np.zeros((words, 64), dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for k in range(0, len(starts), _CHUNK):
         pairs = zip(starts[k : k + _CHUNK].tolist(), ends[k : k + _CHUNK].tolist(), strict=True)
         hashes = np.array([digest(joined[a:b], seed) for a, b in pairs], dtype=np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8)).view(np.uint64).reshape(-1, 8)  # a byte a bit
-        lanes = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0)  # 255 rows fit a byte
-        counts += np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts)).view(np.uint64)[0])
+        for w in range(words):
+            bits = np.unpackbits(_mixed(hashes, w).view(np.uint8)).view(np.uint64).reshape(-1, 8)  # a byte a bit
+            lanes = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0)  # 255 rows fit a byte
+            counts[w] += np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(starts), axis=1).view(np.uint64)[:, 0]
 
 
-def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, whole: bool = False) -> DataFrame:
-    """(id, fp long) for each row; fp holds the unsigned fingerprint's bits. Null text counts as empty.
-    With `whole` a third column th long has a hash of the text, less case of A-Z and white space."""
+def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(id, fp long) for each row; fp holds the unsigned fingerprint's bits. Null text counts as empty."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]
-            out = [[fingerprint(t, shingle, seed) for t in texts]]
-            if whole:
-                out.append([xxhash.xxh64_intdigest(b" ".join(t.lower().split())) for t in texts])
-            columns = [pa.array(np.array(v, dtype=np.uint64).view(np.int64)) for v in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "fp", "th"][: 1 + len(out)])
+            found = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None, shingle, seed)[0] for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, fp long" + (", th long" if whole else ""))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, fp long")
 
 
 # ---------------------------------------------------------------- vantage-point trees
 
 
-def part_masks(radii: Sequence[int]) -> list[int]:
-    """Cut 64 bits into len(radii) parts of nearly equal width."""
-    edges = [round(64 * i / len(radii)) for i in range(len(radii) + 1)]
-    return [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
+class Part(NamedTuple):
+    """Bits start .. start + width - 1 of a fingerprint, and the radius of their tree."""
+
+    start: int
+    width: int
+    radius: int
+
 
+def parts_of(radii: Sequence[int], bits: int = 64) -> list[Part]:
+    """`bits` cut into parts of nearly equal width, one for each radius."""
+    edges = [round(bits * i / len(radii)) for i in range(len(radii) + 1)]
+    return [Part(a, b - a, r) for a, b, r in zip(edges, edges[1:], radii, strict=False)]
 
-def fit_tree(sample: np.ndarray, mask: int, leaf: int) -> list[tuple]:
-    """Nodes ('node', vantage, cut, near, far) and ('leaf', number); node 0 is the root.
+
+def part_values(fps: np.ndarray, part: Part) -> np.ndarray:
+    """The part's bits of each row of `fps` (n, words)."""
+    word, at = divmod(part.start, 64)
+    v = fps[:, word] >> np.uint64(at)
+    if at + part.width > 64:
+        v = v | (fps[:, word + 1] << np.uint64(64 - at))
+    return v & np.uint64((1 << part.width) - 1)
+
+
+def fit_tree(sample: np.ndarray, leaf: int) -> list[tuple]:
+    """Nodes ('node', vantage, cut, near, far) and ('leaf', number) over part values; node 0 is the root.
 
     The vantage point of a node is, of a few candidates, the one whose distances spread most; the cut
     is the distance that divides the sample most evenly. A set that no candidate divides is a leaf.
     """
-    rng, part = np.random.default_rng(0), np.unique(sample & np.uint64(mask), return_counts=True)
+    rng, values = np.random.default_rng(0), np.unique(sample, return_counts=True)
     nodes: list[tuple] = []
     leaves = 0
 
@@ -128,18 +160,17 @@ def fit_tree(sample: np.ndarray, mask: int, leaf: int) -> list[tuple]:
         return at
 
     if len(sample):
-        grow(*part)
+        grow(*values)
     else:
         nodes.append(("leaf", 0))
     return nodes
 
 
-def route(points: np.ndarray, nodes: list[tuple], mask: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def route(values: np.ndarray, nodes: list[tuple], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the point, leaf, at home?) for every leaf that may hold a partner within `radius`;
     a guest goes only to leaves numbered above its own, since its partners there come to meet it else."""
-    part = points & np.uint64(mask)
     found: list[tuple[np.ndarray, int, np.ndarray]] = []
-    todo = [(0, np.arange(len(points)), np.ones(len(points), dtype=bool))]
+    todo = [(0, np.arange(len(values)), np.ones(len(values), dtype=bool))]
     while todo:
         at, idx, home = todo.pop()
         if not len(idx):
@@ -149,7 +180,7 @@ def route(points: np.ndarray, nodes: list[tuple], mask: int, radius: int) -> tup
             found.append((idx, node[1], home))
             continue
         _, v, c, near, far = node
-        d = np.bitwise_count(part[idx] ^ np.uint64(v)).astype(np.int64)
+        d = np.bitwise_count(values[idx] ^ np.uint64(v)).astype(np.int64)
         inside = d - radius <= c
         outside = d + radius > c
         todo.append((near, idx[inside], home[inside] & (d[inside] <= c)))
@@ -159,198 +190,196 @@ def route(points: np.ndarray, nodes: list[tuple], mask: int, radius: int) -> tup
     idx = np.concatenate([f[0] for f in found])
     leaf = np.concatenate([np.full(len(f[0]), f[1]) for f in found])
     home = np.concatenate([f[2] for f in found])
-    own = np.zeros(len(points), dtype=np.int64)
+    own = np.zeros(len(values), dtype=np.int64)
     own[idx[home]] = leaf[home]
     keep = home | (leaf > own[idx])
     return idx[keep], leaf[keep], home[keep]
 
 
-def links_in_cell(fps: np.ndarray, radius: int, homes: int | None = None) -> list[tuple[int, int]]:
-    """Index pairs that join all linked `fps` which have a home point, the first `homes` of them, on one side at
-    least; they are fewer than the fingerprints."""
-    n = len(fps)
-    homes = n if homes is None else homes
-    firsts, seconds, found = [], [], 0
-    for k in range(0, homes, 128):
-        block = fps[k : min(k + 128, homes)]
-        i, j = np.nonzero(np.bitwise_count(block[:, None] ^ fps[None, k:]) <= radius)
-        keep = j > i
-        firsts.append(i[keep] + k)
-        seconds.append(j[keep] + k)
-        found += int(keep.sum())
-        if found > 4 * n:
+# ---------------------------------------------------------------- links inside a cell
+
+
+def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints (..., words), broadcast like numpy's operators."""
+    return sum(np.bitwise_count(left[..., w] ^ right[..., w]).astype(np.int16) for w in range(left.shape[-1]))
+
+
+def connect(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest reachable index for each of n points that the pairs (a, b) link."""
+    label = np.arange(n)
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+    return label
+
+
+def _between(fps: np.ndarray, a: np.ndarray, b: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of two index lists, block by block."""
+    rows, firsts, seconds = max(1, _BLOCK // max(1, len(b))), [], []
+    for k in range(0, len(a), rows):
+        i, j = np.nonzero(distances(fps[a[k : k + rows], None], fps[b][None]) <= total)
+        firsts.append(a[k + i])
+        seconds.append(b[j])
+    return (np.concatenate(firsts), np.concatenate(seconds)) if firsts else (np.empty(0, np.int64),) * 2
+
+
+def dense_links(fps: np.ndarray, points: np.ndarray, total: int, leaders: int = 16, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that span all links among `points`.
+
+    Points within reach of a leader form its ball and are linked by it, so a large group of close points costs a
+    few passes. Balls, and the points outside of them, are then compared across, not within.
+    """
+    rest, balls, a, b = points, [], [], []
+    alone: list[np.ndarray] = []
+    for _ in range(leaders):
+        if not len(rest):
             break
-    else:
-        parent = list(range(n))
-        out = []
-        for a, b in zip(np.concatenate(firsts).tolist() if firsts else [], np.concatenate(seconds).tolist() if firsts else [], strict=True):
-            x, y = a, b
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            while parent[y] != y:
-                parent[y] = parent[parent[y]]
-                y = parent[y]
-            if x != y:
-                parent[y] = x
-                out.append((a, b))
-        return out
-    out, rest = [], np.arange(n)  # dense: each search removes what it reaches
-    while len(rest):
-        front, rest = [int(rest[0])], rest[1:]
-        while front and len(rest):
-            v = front.pop()
-            near = np.bitwise_count(fps[rest] ^ fps[v]) <= radius
-            reached = rest[near].tolist()
-            out += [(v, x) for x in reached]
-            front += reached
+        near = distances(fps[rest], fps[rest[0]]) <= total
+        if near.sum() >= least:
+            balls.append(rest[near])
+            a.append(np.full(near.sum(), rest[0]))
+            b.append(rest[near])
             rest = rest[~near]
-    return out
-
-
-def _owned(a: np.ndarray, b: np.ndarray, tree: int, masks: Sequence[int], part_radii: Sequence[int]) -> np.ndarray:
-    """Whether `tree` is the first whose part shows a and b within its radius, so that one tree alone names the pair."""
-    x = a ^ b
-    out = np.bitwise_count(x & np.uint64(masks[tree])) <= part_radii[tree]
-    for mask, r in zip(masks[:tree], part_radii, strict=False):
-        out &= np.bitwise_count(x & np.uint64(mask)) > r
-    return out
-
-
-def pairs_in_cell(fps: np.ndarray, radius: int, homes: int, tree: int, masks: Sequence[int], part_radii: Sequence[int]) -> tuple[np.ndarray, np.ndarray] | None:
-    """All index pairs of a cell that are linked, owned by its tree and have a home point; None if they are more than the points."""
-    firsts, seconds, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
-    for k in range(0, homes, 128):
-        block = fps[k : min(k + 128, homes)]
-        i, j = np.nonzero(np.bitwise_count(block[:, None] ^ fps[None, k:]) <= radius)
-        i, j = i[j > i] + k, j[j > i] + k
-        own = _owned(fps[i], fps[j], tree, masks, part_radii)
-        firsts.append(i[own])
-        seconds.append(j[own])
-        found += int(own.sum())
-        if found > len(fps):
-            return None
-    return np.concatenate(firsts), np.concatenate(seconds)
-
-
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[np.ndarray]:
-    """Fingerprints of many small batches at once; routing costs by the tree's nodes, not by its rows."""
-    held: list[np.ndarray] = []
+        else:
+            alone.append(rest[:1])
+            rest = rest[1:]
+    rest = np.concatenate([*alone, rest])
+    for k, ball in enumerate(balls):
+        for other in [*balls[:k], rest]:
+            x, y = _between(fps, other, ball, total)
+            _, once = np.unique(x, return_index=True)  # a point needs one link to a ball
+            a.append(x[once])
+            b.append(y[once])
+    for k in range(0, len(rest), 1024):
+        x, y = _between(fps, rest[k : k + 1024], rest[k:], total)
+        a.append(x[x < y])
+        b.append(y[x < y])
+        x, y = x[x > y], y[x > y]
+        a.append(y)
+        b.append(x)
+    return np.concatenate(a) if a else np.empty(0, np.int64), np.concatenate(b) if b else np.empty(0, np.int64)
+
+
+def links_in_cell(fps: np.ndarray, part: Part, total: int, few: int = 1024) -> np.ndarray:
+    """For each fingerprint the smallest index among those that links of the cell reach."""
+    n = len(fps)
+    values = part_values(fps, part)
+    order = np.argsort(values, kind="stable")
+    u, start, count = np.unique(values[order], return_index=True, return_counts=True)
+    flips = [sum(1 << int(x) for x in c) for r in range(part.radius + 1) for c in combinations(range(part.width), r)] if math.comb(part.width, part.radius) <= len(u) else None
+    firsts, seconds = [], []
+    if flips is not None:  # look the neighbours of each value up
+        for f in flips:
+            other = u ^ np.uint64(f)
+            at = np.minimum(np.searchsorted(u, other), len(u) - 1)
+            hit = (u[at] == other) & (other >= u)
+            firsts.append(np.flatnonzero(hit))
+            seconds.append(at[hit])
+    else:
+        for k in range(0, len(u), 1024):
+            i, j = np.nonzero(np.bitwise_count(u[k : k + 1024, None] ^ u[None]) <= part.radius)
+            firsts.append(i[j >= i + k] + k)
+            seconds.append(j[j >= i + k])
+    p, q = np.concatenate(firsts), np.concatenate(seconds)
+    pairs = count[p] * count[q]
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for x, y in zip(p[pairs > few].tolist(), q[pairs > few].tolist(), strict=True):
+        points = order[start[x] : start[x] + count[x]]
+        i, j = dense_links(fps, points if x == y else np.concatenate([points, order[start[y] : start[y] + count[y]]]), total)
+        a.append(i)
+        b.append(j)
+    p, q, pairs = p[pairs <= few], q[pairs <= few], pairs[pairs <= few]
+    ends = np.cumsum(pairs)
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, _BLOCK):  # all pairs of small groups, numbered through
+        number = np.arange(lo, min(lo + _BLOCK, int(ends[-1])))
+        g = np.searchsorted(ends, number, side="right")
+        inside = number - (ends[g] - pairs[g])
+        i, j = start[p[g]] + inside // count[q[g]], start[q[g]] + inside % count[q[g]]
+        i, j = order[i[i < j]], order[j[i < j]]
+        near = distances(fps[i], fps[j]) <= total
+        a.append(i[near])
+        b.append(j[near])
+    return connect(n, np.concatenate(a), np.concatenate(b))
+
+
+def _words(column: pa.Array | pa.ChunkedArray, words: int) -> np.ndarray:
+    """Fingerprints of a long or binary column as (n, words)."""
+    if words == 1:
+        return np.ascontiguousarray(column.to_numpy(zero_copy_only=False)).view(np.uint64).reshape(-1, 1)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, words)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], words: int, rows: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(nodes, fingerprints) of many small batches at once; routing costs by the tree's nodes, not by its rows."""
+    held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
-        held.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-        n += len(held[-1])
+        held.append(batch)
+        n += batch.num_rows
         if n >= rows:
-            yield np.concatenate(held)
+            whole = pa.Table.from_batches(held)
+            yield whole.column(0).to_numpy(), _words(whole.column(1), words)
             held, n = [], 0
     if n:
-        yield np.concatenate(held)
-
+        whole = pa.Table.from_batches(held)
+        yield whole.column(0).to_numpy(), _words(whole.column(1), words)
 
-def _cells(counts: dict[tuple[int, int], tuple[int, int]], capacity: int) -> dict[tuple[int, int], tuple[int, int]]:
-    """Chunks of home rows and of guests, for the leaves that need more than one cell."""
-    out = {}
-    for key, (homes, guests) in counts.items():
-        if homes + guests > 2 * capacity:
-            out[key] = (max(1, -(-homes // capacity)), -(-guests // capacity))
-    return out
 
+def forest_links(points: DataFrame, parts: Sequence[Part], total: int, words: int = 1, capacity: int = CAPACITY, sample: int = SAMPLE) -> DataFrame:
+    """(a, b) long: stars that span all links between the rows (node long, fp long or binary) of `points`.
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, part_radii: Sequence[int] = PART_RADII, capacity: int = CAPACITY, sample: int = SAMPLE, spanning: bool = True) -> DataFrame:
-    """(a, b) long pairs that span all links between the distinct fingerprints of `fps` (fp long).
-
-    Not `spanning`, all links: (a, b, null, null, null) for each of a cell with no more links than points, and for a
-    cell with more, its points that have a link there, as (fp, null, shard, cell, home).
+    Two rows link if some part differs in at most its radius and all bits in at most `total`. Nodes must be distinct.
     """
-    if sum(r + 1 for r in part_radii) != radius + 1:
-        raise ValueError("the sum of part radius + 1 must be radius + 1")
-    masks, n = part_masks(part_radii), fps.count()
+    n, kind = points.count(), points.schema["fp"].dataType.simpleString()
     if n == 0:
-        return fps.selectExpr("fp AS a", "fp AS b", *([] if spanning else ["0L AS shard", "0L AS cell", "true AS home"]))
+        return points.selectExpr("node AS a", "node AS b")
     # A hash order takes the same sample on every run; TakeOrdered keeps it bounded on the way.
-    rows = fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
-    taken = np.array([r.fp for r in rows], dtype=np.int64).view(np.uint64)
-    leaf = max(4, round(capacity * min(1.0, len(taken) / n)))
-    trees = [fit_tree(taken, m, leaf) for m in masks]
-
-    def placed(points: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        for t, (nodes, mask, r) in enumerate(zip(trees, masks, part_radii, strict=True)):
-            yield t, *route(points, nodes, mask, r)
-
-    def count_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int, bool], int] = {}
-        for points in _gathered(batches):
-            for t, _, leaves, home in placed(points):
-                keys, counts = np.unique(leaves * 2 + home, return_counts=True)
-                for k, c in zip(keys.tolist(), counts.tolist(), strict=True):
-                    total[t, k // 2, bool(k % 2)] = total.get((t, k // 2, bool(k % 2)), 0) + c
-        if total:
-            cols = list(zip(*[(*k, v) for k, v in total.items()], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int64())], names=["tree", "leaf", "home", "n"])
-
-    counted: dict[tuple[int, int], tuple[int, int]] = {}
-    leaf_sizes = fps.select("fp").mapInArrow(count_leaves, "tree int, leaf long, home boolean, n long").groupBy("tree", "leaf").agg(F.coalesce(F.sum(F.when(F.col("home"), F.col("n"))), F.lit(0)).alias("h"), F.coalesce(F.sum(F.when(~F.col("home"), F.col("n"))), F.lit(0)).alias("g"))
-    for r in leaf_sizes.where(F.col("h") + F.col("g") > 2 * capacity).collect():  # at most a row for each leaf of the fitted trees
-        counted[r.tree, r.leaf] = (r.h, r.g)
-    split = _cells(counted, capacity)
+    rows = points.orderBy(F.xxhash64("node"), "node").limit(sample).select("fp").toArrow()
+    taken = _words(rows.column(0), words)
+    scale = n / len(taken)
+    trees, split = [], {}
+    for t, part in enumerate(parts):
+        values = part_values(taken, part)
+        trees.append(fit_tree(values, max(4, round(capacity / scale))))
+        _, leaves, home = route(values, trees[t], part.radius)
+        for leaf, homes, guests in zip(*np.unique(leaves, return_counts=True), np.bincount(leaves, weights=~home), strict=True):
+            if homes * scale > 2 * capacity:  # chunks of home rows and of guests, by the sample's shares
+                split[t, int(leaf)] = max(1, math.ceil((homes - guests) * scale / capacity)), math.ceil(guests * scale / capacity)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for points in _gathered(batches):
-            for t, idx, leaves, home in placed(points):
-                keys, fp = leaves * np.int64(len(masks)) + t, points[idx]
-                chunked = np.zeros(len(idx), dtype=bool)
-                cells = np.zeros(len(idx), dtype=np.int64)
-                parts = [(keys, cells, fp, home)]
-                for key in {x for x in np.unique(leaves).tolist() if (t, x) in split}:
-                    kh, kg = split[t, key]
-                    here = np.nonzero(leaves == key)[0]
-                    chunked[here] = True
-                    salt = (fp[here] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                    at_home = home[here]
-                    hi, hc = here[at_home], (salt[at_home] % np.uint64(kh)).astype(np.int64)
-                    gi, gc = here[~at_home], (salt[~at_home] % np.uint64(max(kg, 1))).astype(np.int64)
+        for node, fps in _gathered(batches, words):
+            for t, part in enumerate(parts):
+                idx, leaves, home = route(part_values(fps, part), trees[t], part.radius)
+                cells = [(leaves, np.zeros(len(idx), np.int64), idx)]
+                for leaf in {x for x in np.unique(leaves).tolist() if (t, x) in split}:
+                    kh, kg = split[t, leaf]
+                    here = leaves == leaf
+                    cells[0] = tuple(x[(cells[0][0] != leaf)] for x in cells[0])
+                    salt = (node[idx[here]].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                    hi, gi = idx[here & home], idx[here & ~home]
+                    hc, gc = (salt[home[here]] % np.uint64(kh)).astype(np.int64), (salt[~home[here]] % np.uint64(max(kg, 1))).astype(np.int64)
                     for other in range(kh):
-                        lo, up = np.minimum(hc, other), np.maximum(hc, other)
-                        parts.append((keys[hi], lo * 65_536 + up, fp[hi], np.ones(len(hi), dtype=bool)))
-                        if len(gi):
-                            parts.append((keys[gi], other * 65_536 + 32_768 + gc, fp[gi], np.zeros(len(gi), dtype=bool)))
+                        cells.append((np.full(len(hi), leaf), np.minimum(hc, other) << 32 | np.maximum(hc, other), hi))
+                        cells.append((np.full(len(gi), leaf), other << 32 | 1 << 31 | gc, gi))
                     for other in range(kg):
-                        parts.append((keys[hi], hc * 65_536 + 32_768 + other, fp[hi], np.ones(len(hi), dtype=bool)))
-                parts[0] = (keys[~chunked], cells[~chunked], fp[~chunked], home[~chunked])
-                for k, c, f, at_home in parts:
-                    if len(f):
-                        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.array(f.view(np.int64)), pa.array(at_home)], names=["shard", "cell", "fp", "home"])
+                        cells.append((np.full(len(hi), leaf), hc << 32 | 1 << 31 | other, hi))
+                for leaf, cell, at in cells:
+                    if len(at):
+                        fp = pa.array(fps[at, 0].view(np.int64)) if words == 1 else pa.array([x.tobytes() for x in fps[at]], pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(leaf * len(parts) + t), pa.array(cell), pa.array(node[at]), fp], names=["shard", "cell", "node", "fp"])
 
     def compare(group: pa.Table) -> pa.Table:
-        fps_, home = group.column("fp").to_numpy().view(np.uint64), group.column("home").to_numpy(zero_copy_only=False)
-        first = np.unique(fps_[home])
-        points = np.concatenate([first, np.setdiff1d(fps_[~home], first)])
-        found = np.array(links_in_cell(points, radius, len(first)), dtype=np.int64).reshape(-1, 2)
-        return pa.table({"a": points[found[:, 0]].view(np.int64), "b": points[found[:, 1]].view(np.int64)})
-
-    def list_all(group: pa.Table) -> pa.Table:
-        fps_, home = group.column("fp").to_numpy().view(np.uint64), group.column("home").to_numpy(zero_copy_only=False)
-        first = np.unique(fps_[home])
-        points = np.concatenate([first, np.setdiff1d(fps_[~home], first)])
-        shard, cell = group.column("shard")[0].as_py(), group.column("cell")[0].as_py()
-        pairs = pairs_in_cell(points, radius, len(first), shard % len(masks), masks, part_radii)
-        if pairs is not None:
-            rows, other, named = points[pairs[0]], pa.array(points[pairs[1]].view(np.int64)), None
-        else:
-            linked = np.zeros(len(points), dtype=bool)
-            for k in range(0, len(first), 128):
-                i, j = np.nonzero(np.bitwise_count(first[k : k + 128, None] ^ points[None, :]) <= radius)
-                linked[i[j != i + k] + k] = True
-                linked[j[j != i + k]] = True
-            rows, named = points[linked], np.flatnonzero(linked) < len(first)
-            other = pa.nulls(len(rows), pa.int64())
-        n = len(rows)
-        key = [pa.nulls(n, pa.int64())] * 2 + [pa.nulls(n, pa.bool_())] if named is None else [pa.array(np.full(n, shard)), pa.array(np.full(n, cell)), pa.array(named)]
-        return pa.Table.from_arrays([pa.array(rows.view(np.int64)), other, *key], names=["a", "b", "shard", "cell", "home"])
-
-    dealt = fps.select("fp").mapInArrow(deal, "shard long, cell long, fp long, home boolean")
-    if not spanning:
-        return dealt.groupBy("shard", "cell").applyInArrow(list_all, "a long, b long, shard long, cell long, home boolean")
+        node, first = np.unique(group.column("node").to_numpy(), return_index=True)
+        fps = _words(group.column("fp"), words)[first]
+        label = links_in_cell(fps, parts[group.column("shard")[0].as_py() % len(parts)], total)
+        linked = label != np.arange(len(label))
+        return pa.table({"a": node[linked], "b": node[label[linked]]})
+
+    dealt = points.select("node", "fp").mapInArrow(deal, f"shard long, cell long, node long, fp {kind}")
     return dealt.groupBy("shard", "cell").applyInArrow(compare, "a long, b long")
 
 
@@ -362,9 +391,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows stay. An empty table gives an empty result; other columns are ignored. Each text is
     used whole.
     """
+    if sum(r + 1 for r in part_radii) != radius + 1:
+        raise ValueError("the sum of part radius + 1 must be radius + 1")
     rows = cut(with_fingerprint(docs, id_col, text_col, shingle, seed))
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = cut(components(fingerprint_links(classes, radius, part_radii, capacity, sample)))
+    links = forest_links(classes.select(F.col("fp").alias("node"), "fp"), parts_of(part_radii), radius, 1, capacity, sample)
+    roots = cut(components(links))
     linked = roots.join(classes, roots["node"] == classes["fp"]).select("node", "root", "least")
     least = cut(linked.groupBy("root").agg(F.min("least").alias("component")))
     moved = linked.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "component")
@@ -372,206 +404,246 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+# ---------------------------------------------------------------- groups by shingle similarity
+
+
+def forest_shape(n: int, similarity: float, recall: float) -> tuple[int, int, int, int]:
+    """(parts, bits of a part, words, total) of wide fingerprints for n texts.
+
+    Bits of two texts of that similarity differ with probability p = acos(2s / (1 + s)) / pi. A part of k bits and
+    radius 1 shows the pair with (1 - p)^k + k p (1 - p)^(k - 1); as many parts are taken as `recall` needs. k grows
+    with the number of texts, so that a part's group of equal bits stays of some hundred texts. `total` lies
+    four standard deviations above the mean; unrelated texts lie some seven below half of the bits.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    k = min(32, max(16, n.bit_length() - 6))
+    shown = (1 - p) ** k + k * p * (1 - p) ** (k - 1)
+    parts = max(1, math.ceil(math.log(1 - recall) / math.log(1 - shown)))
+    words = -(-parts * k // 64)
+    return parts, k, words, math.floor(64 * words * p + 4 * math.sqrt(64 * words * p * (1 - p)))
+
+
+def _text_key(text: bytes | None) -> int:
+    """64 bits of a text less case of A-Z and amount of white space."""
+    return xxhash.xxh64_intdigest(b" ".join(text.lower().split()) if text else b"")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, words: int) -> DataFrame:
+    """(id, th long, fp binary) for each row: the text's key and wide fingerprint."""
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]
+            own = np.array([_text_key(t) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), pa.array([fingerprint(t, shingle, seed, words).tobytes() for t in texts], pa.binary())], names=["id", "th", "fp"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, th long, fp binary")
+
+
 def _sets(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(th long, shingles binary, size long, sketch binary): a text's own hash, its sorted distinct 64-bit shingle
-    hashes, their number, and for each residue of the hashes by SKETCH whether an odd number has it."""
+    """(th long, shingles binary, size long): a text's key, its sorted distinct 64-bit shingle hashes, their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, out, sizes, sketches = [], [], [], []
+            own, out, sizes = [], [], []
             for x in batch.column(0):
                 words = x.as_buffer().to_pybytes().lower().split() if x.is_valid else []
                 spans = (words[i : i + shingle] for i in range(max(1, len(words) - shingle + 1))) if words else ()
                 hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s)) for s in spans), dtype=np.uint64))
                 out.append(hashes.tobytes())
                 sizes.append(len(hashes))
-                sketches.append(np.packbits(np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes())
                 own.append(xxhash.xxh64_intdigest(b" ".join(words)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(out, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=["th", "shingles", "size", "sketch"])
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "th long, shingles binary, size long, sketch binary")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those (a, b) of `pairs` whose sets have a Jaccard similarity of `least`."""
-    left, right = sets.selectExpr("th AS a", "shingles AS left"), sets.selectExpr("th AS b", "shingles AS right")
-    pairs = pairs.distinct().join(left, "a").join(right, "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= least * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return cut(pairs.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"))
-
-
-#: In place of a tree: the texts of one fingerprint, and those of two linked fingerprints.
-_SAME, _ACROSS = -2, -1
-#: Two linked fingerprints with so many pairs of texts at most are no cell.
-_FEW = 64
-_CELL = ["shard", "cell", "tree", "low", "high"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(out, pa.binary()), pa.array(sizes, pa.int64())], names=["th", "shingles", "size"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "th long, shingles binary, size long")
+
+
+class ShingleSets:
+    """Sets of sorted hashes with sketches: for each residue of the hashes by SKETCH whether an odd number has it."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        self.sets, self.similarity = sets, similarity
+        self.size = np.array([len(s) for s in sets], dtype=np.int64)
+        odd = [np.packbits((np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)) for s in sets]
+        self.sketch = np.array(odd, dtype=np.uint8).view(np.uint64).reshape(len(sets), -1)
+
+    def partners(self, v: int, others: np.ndarray) -> np.ndarray:
+        """Those of `others` whose set has the similarity (Jaccard) with set v.
+
+        Of sets of p and q shingles that have it at most (p + q) * (1 - s) / (1 + s) are in one only, and as many bits
+        of the sketches differ at most; only what passes that is intersected.
+        """
+        p, s = int(self.size[v]), self.similarity
+        q = self.size[others]
+        others = others[(np.minimum(p, q) >= s * np.maximum(p, q) - 1e-6) & (q > 0)]
+        if not len(others) or not p:
+            return others[:0]
+        differ = distances(self.sketch[others], self.sketch[v])
+        others = others[differ <= (p + self.size[others]) * ((1 - s) / (1 + s)) + 1e-6]
+        found = []
+        for k in range(0, len(others), 4096):
+            some = others[k : k + 4096]
+            q = self.size[some]
+            data = np.concatenate([self.sets[x] for x in some])
+            at = np.minimum(np.searchsorted(self.sets[v], data), p - 1)
+            both = np.add.reduceat((self.sets[v][at] == data).astype(np.int64), np.cumsum(q) - q)
+            found.append(some[both >= s * (p + q - both)])
+        return np.concatenate(found) if found else others[:0]
+
+    def groups(self, members: np.ndarray) -> list[np.ndarray]:
+        """`members` in groups that links of similar pairs hold together; each search removes what it reaches."""
+        out, rest = [], members
+        while len(rest):
+            group, front, rest = [int(rest[0])], [int(rest[0])], rest[1:]
+            while front and len(rest):
+                near = self.partners(front.pop(), rest)
+                if len(near):
+                    rest = rest[~np.isin(rest, near)]
+                    group += near.tolist()
+                    front += near.tolist()
+            out.append(np.array(group))
+        return out
 
 
-def _chunked(points: DataFrame, capacity: int) -> DataFrame:
-    """`points` (th, fp, shard, cell, tree, home) with low, high and chunk: a set of more than 2 * `capacity` is cut into
-    chunks, and each two of them meet in (low, high)."""
-    key = _CELL[:3]
-    sizes = points.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / capacity).cast("int").alias("k"))
-    sizes = cut(sizes.where("k > 2"))
-    dealt = points.join(sizes, key, "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("th"), F.col("k")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return dealt.select("th", "fp", *key, "home", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk")
+def _loaded(group: pa.Table, similarity: float) -> tuple[np.ndarray, ShingleSets]:
+    """Distinct th of a cell's rows, ascending, and their sets."""
+    th, first = np.unique(group.column("th").to_numpy(), return_index=True)
+    held = group.column("shingles").take(pa.array(first)).to_pylist()
+    return th, ShingleSets([np.frombuffer(x, np.uint64) for x in held], similarity)
 
 
-def next_pairs(th: np.ndarray, fps: np.ndarray, home: np.ndarray, chunk: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray, tested: set[tuple[int, int]], most: int, similarity: float, radius: int, tree: int, within: bool, masks: Sequence[int], part_radii: Sequence[int]) -> tuple[list[tuple[int, int]], bool]:
-    """For each point of a cell the `most` likeliest pairs with points of other roots, as (smaller, larger) th; are there more?
+def _checked(points: DataFrame, similarity: float) -> DataFrame:
+    """(th, grp, root, k, chunk, lead) for `points` (th, grp, shingles, size): root is the smallest th that similar
+    pairs within a chunk of the group reach; a group that fits one task is one chunk (k = 1) and done.
 
-    A pair is left out if it was tested, is not this cell's, or cannot have the similarity: of sets of p and q shingles
-    that have it, at most (p + q) * (1 - s) / (1 + s) are in one only, and as many bits of the sketches differ at most.
+    lead marks a few points of each chunk's largest part.
     """
-    out: set[tuple[int, int]] = set()
-    more = False
-    failed = np.zeros((len(th), len(th)), dtype=bool) if tested else None
-    if tested:
-        at = {t: i for i, t in enumerate(th.tolist())}
-        for x, y in tested:
-            failed[at[x], at[y]] = failed[at[y], at[x]] = True
-    for k in range(0, len(th), 128):
-        end = min(k + 128, len(th))
-        mine = (home[k:end, None] | home[None, :]) & (root[k:end, None] != root[None, :])
-        if not within:
-            mine &= chunk[k:end, None] != chunk[None, :]
-        if tree != _SAME:
-            mine &= fps[k:end, None] != fps[None, :]
-        if tested:
-            mine &= ~failed[k:end]
-        i, j = np.nonzero(mine)
-        if tree >= 0:
-            near = np.bitwise_count(fps[i + k] ^ fps[j]) <= radius
-            i, j = i[near], j[near]
-            own = _owned(fps[i + k], fps[j], tree, masks, part_radii)
-            i, j = i[own], j[own]
-        p, q = size[i + k], size[j]
-        alike = np.minimum(p, q) >= similarity * np.maximum(p, q) - 1e-6
-        i, j, p, q = i[alike], j[alike], p[alike], q[alike]
-        differ = np.zeros(len(i), dtype=np.int64)
-        for w in range(sketch.shape[1]):
-            differ += np.bitwise_count(sketch[i + k, w] ^ sketch[j, w])
-        bound = (p + q) * ((1 - similarity) / (1 + similarity)) + 1e-6
-        good = differ <= bound
-        i, j, rank = i[good], j[good], (differ / np.maximum(bound, 1e-6))[good]
-        order = np.lexsort((rank, i))
-        i, j = i[order], j[order]
-        place = np.arange(len(i)) - np.searchsorted(i, i)
-        more |= bool((place >= most).any())
-        i, j = i[place < most] + k, j[place < most]
-        out.update(zip(np.minimum(th[i], th[j]).tolist(), np.maximum(th[i], th[j]).tolist(), strict=True))
-    return sorted(out), more
-
-
-def _in_rounds(points: DataFrame, edges: DataFrame, sets: DataFrame, similarity: float, radius: int, part_radii: Sequence[int]) -> DataFrame:
-    """`edges` (a, b) and pairs of `points` that pass the check, until no cell has an untested pair across components.
-
-    A round checks a few pairs of each point, four times as many as the round before. A cell is done when a round names
-    all that it has left; a pair that fails is never named again. Nothing but pairs within one component and
-    pairs that cannot have the similarity go unchecked.
+    sizes = cut(points.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("h")).select("grp", F.greatest(F.ceil(F.col("m") / MOST_TEXTS), F.ceil(F.col("h") / MOST_SHINGLES)).cast("int").alias("k")))
+    shares = max(1, sizes.count() // 16)
+    dealt = points.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("th"), F.col("k")).cast("int"))
+    cell = F.when(F.col("k") == 1, F.pmod(F.xxhash64("grp"), F.lit(shares))).otherwise(F.col("grp"))
+
+    def check(group: pa.Table) -> pa.Table:
+        th, sets = _loaded(group, similarity)
+        order = np.argsort(group.column("th").to_numpy(), kind="stable")
+        grp = group.column("grp").to_numpy()[order]  # th are distinct: rows in the order of `th`
+        root, lead = th.copy(), np.zeros(len(th), dtype=bool)
+        by = np.argsort(grp, kind="stable")
+        for members in np.split(by, np.flatnonzero(np.diff(grp[by])) + 1):
+            found = sets.groups(members)
+            for g in found:
+                root[g] = th[g].min()
+            lead[max(found, key=len)[:4]] = True
+        return pa.table({"th": th, "grp": grp, "root": root, "k": group.column("k").take(pa.array(order)), "chunk": group.column("chunk").take(pa.array(order)), "lead": lead})
+
+    return dealt.withColumn("big", F.col("k") > 1).withColumn("cell", cell).groupBy("big", "cell", "chunk").applyInArrow(check, "th long, grp long, root long, k int, chunk int, lead boolean")
+
+
+def _met(cells: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) th pairs that join the roots of each cell's rows (grp, side, low, high, th, root, moves, shingles) wherever
+    a similar pair with a row that moves links two roots."""
+
+    def check(group: pa.Table) -> pa.Table:
+        th, sets = _loaded(group, similarity)
+        order = np.unique(group.column("th").to_numpy(), return_index=True)[1]
+        root = group.column("root").to_numpy()[order].copy()
+        moves = group.column("moves").to_numpy(zero_copy_only=False)[order]
+        a, b = [], []
+        for v in np.flatnonzero(moves).tolist():
+            for x in sets.partners(v, np.flatnonzero(root != root[v])).tolist():
+                if root[x] != root[v]:
+                    a.append(th[v])
+                    b.append(th[x])
+                    root[root == root[x]] = root[v]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cells.groupBy("grp", "side", "low", "high").applyInArrow(check, "a long, b long")
+
+
+def _across(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(th, root) for the groups of several chunks in `found` (th, grp, root, k, chunk, lead).
+
+    First a few leading points of all chunks meet, which joins the parts of one large group; chunk 0 comes to every
+    meeting. Then the points outside of a group's largest part meet all of that part's chunks and each other; pairs
+    inside the part need no check. What is left apart has no similar pair across.
     """
-    masks = part_masks(part_radii)
-    points = cut(points.join(sets.select("th", "size", "sketch"), "th"))
-    failed = cut(points.select(*_CELL, F.col("th").alias("a"), F.col("th").alias("b")).where("false"))
-    most, active = 8, None
-    while True:
-        roots = components(edges)
-        now = points.join(roots, roots["node"] == points["th"], "left").select(*points.columns, F.coalesce("root", "th").alias("root"))
-        if active is not None:
-            now = now.join(active, _CELL, "left_semi")
-
-        def step(here: pa.Table, old: pa.Table) -> pa.Table:
-            if not here.num_rows:
-                return pa.table({n: pa.array([], t) for n, t in [("shard", pa.int64()), ("cell", pa.int64()), ("tree", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())]})
-            col = lambda n: here.column(n).to_numpy(zero_copy_only=False)
-            order = np.lexsort((~col("home"), col("th")))  # a text at home and as a guest counts as at home
-            order = order[np.unique(col("th")[order], return_index=True)[1]]
-            sketch = np.frombuffer(b"".join(here.column("sketch").to_pylist()), np.uint64).reshape(here.num_rows, -1)
-            shard, cell, tree, low, high = (here.column(n)[0].as_py() for n in _CELL)
-            tested = set(zip(old.column("a").to_pylist(), old.column("b").to_pylist(), strict=True))
-            found, more = next_pairs(col("th")[order], col("fp").view(np.uint64)[order], col("home")[order], col("chunk")[order], col("root")[order], col("size")[order], sketch[order], tested, most, similarity, radius, tree, low == high, masks, part_radii)
-            n, ab = len(found), np.array(found, dtype=np.int64).reshape(-1, 2)
-            return pa.table({"shard": pa.array([shard] * n, pa.int64()), "cell": pa.array([cell] * n, pa.int64()), "tree": pa.array([tree] * n, pa.int32()), "low": pa.array([low] * n, pa.int32()), "high": pa.array([high] * n, pa.int32()), "a": ab[:, 0], "b": ab[:, 1], "more": pa.array([more] * n, pa.bool_())})
-
-        old = failed.select(*[F.col(c).alias(f"old_{c}") for c in _CELL], "a", "b")
-        wanted = cut(now.groupBy(*_CELL).cogroup(old.groupBy(*[f"old_{c}" for c in _CELL])).applyInArrow(step, "shard long, cell long, tree int, low int, high int, a long, b long, more boolean"))
-        passed = _similar(wanted.select("a", "b"), sets, similarity)
-        edges = cut(roots.selectExpr("node AS a", "root AS b").unionByName(passed))
-        active = cut(wanted.where("more").select(*_CELL).distinct())
-        if active.isEmpty():
-            return edges
-        wanted = failed.unionByName(wanted.join(passed, ["a", "b"], "left_anti").select(*failed.columns))
-        failed = cut(wanted.join(active, _CELL, "left_semi").select(*failed.columns))
-        most *= 4
-
-
-def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 11, part_radii: Sequence[int] = (1,) * 6, capacity: int = CAPACITY, sample: int = SAMPLE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, fp, th) of `docs`, and (th, least id, root) for each class of equal texts; see similar_groups."""
-    rows = cut(with_fingerprint(docs, id_col, text_col, shingle, seed, whole=True))
+    each = F.explode(F.sequence(F.lit(0), F.floor((F.col("k") - 1) / 256).cast("int")))
+    leads = found.where("lead").select("grp", "th", "root", "chunk", each.alias("low")).where("chunk = 0 OR chunk DIV 256 = low")
+    keys = ["grp", F.lit(0).alias("side"), "low", F.lit(0).alias("high")]
+    met = _met(leads.select(*keys, "th", "root", F.lit(True).alias("moves")).join(sets, "th"), similarity)
+    inside = found.select(F.col("th").alias("a"), F.col("root").alias("b"))
+    edges = cut(inside.unionByName(met))
+    roots = cut(components(edges))
+    now = cut(found.select("th", "grp", "k", "chunk").join(roots, F.col("th") == F.col("node"), "left").select("th", "grp", "k", "chunk", F.coalesce("root", "th").alias("root")))
+    most = now.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("m"), F.max("n").alias("n"))
+    most = cut(most.select("grp", "main", F.ceil((F.col("m") - F.col("n")) / MOST_TEXTS).cast("int").alias("ko")).where("ko > 0"))
+    if most.isEmpty():
+        return now.select("th", "root")
+    now = now.join(most, "grp").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "th"), F.col("ko")).cast("int"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    main = now.where("root = main").select("grp", F.lit(1).alias("side"), F.col("chunk").alias("low"), upto("ko").alias("high"), "th", "root", F.lit(False).alias("moves"))
+    rest = now.where("root <> main")
+    cross = rest.select("grp", F.lit(1).alias("side"), upto("k").alias("low"), F.col("own").alias("high"), "th", "root", F.lit(True).alias("moves"))
+    pair = rest.withColumn("other", upto("ko")).select("grp", F.lit(2).alias("side"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "th", "root", F.lit(True).alias("moves"))
+    more = _met(main.unionByName(cross).unionByName(pair).join(sets, "th"), similarity)
+    roots = cut(components(edges.unionByName(more)))
+    return found.select("th").join(roots, F.col("th") == F.col("node"), "left").select("th", F.coalesce("root", "th").alias("root"))
+
+
+def _within(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on `ids` (column __key), by a broadcast if they are few."""
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(side, docs[id_col] == side["__key"], how)
+
+
+def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.975, capacity: int = CAPACITY, sample: int = SAMPLE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, th) of `docs`, and (th, least id, root) for each class of equal texts; see similar_groups."""
+    parts, k, words, total = forest_shape(docs.count(), similarity, recall)
+    rows = cut(_keyed(docs, id_col, text_col, shingle, seed, words))
     classes = cut(rows.groupBy("th").agg(F.min("id").alias("least"), F.min("fp").alias("fp")))
-    heads = cut(classes.groupBy("fp").agg(F.count(F.lit(1)).alias("m"), F.min("th").alias("head")))
-    found = cut(fingerprint_links(heads.select("fp"), radius, part_radii, capacity, sample, spanning=False))
-    # Links of fingerprints with one text each are pairs; other links, fingerprints of many texts and full cells are sets of points.
-    a, b = heads.selectExpr("fp AS a", "m AS ma", "head AS x"), heads.selectExpr("fp AS b", "m AS mb", "head AS y")
-    links = cut(found.where("b IS NOT NULL").select("a", "b").join(a, "a").join(b, "b"))
-    pairs = cut(links.where("ma = 1 AND mb = 1").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    some = links.where(f"(ma > 1 OR mb > 1) AND ma * mb <= {_FEW}").select("a", "b")
-    x, y = classes.selectExpr("fp AS a", "th AS x"), classes.selectExpr("fp AS b", "th AS y")
-    pairs = pairs.unionByName(cut(some.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))
-    many = links.where(f"ma * mb > {_FEW}")
-    full = found.where("b IS NULL").select(F.col("a").alias("fp"), "shard", "cell", F.pmod("shard", F.lit(len(part_radii))).cast("int").alias("tree"), "home")
-    full = full.unionByName(heads.where("m > 1").selectExpr("fp", "fp AS shard", "0L AS cell", f"{_SAME} AS tree", "true AS home"))
-    full = full.unionByName(many.selectExpr("a AS fp", "a AS shard", "b AS cell", f"{_ACROSS} AS tree", "true AS home"))
-    full = full.unionByName(many.selectExpr("b AS fp", "a AS shard", "b AS cell", f"{_ACROSS} AS tree", "false AS home"))
-    points = cut(_chunked(full.join(classes.select("fp", "th"), "fp"), capacity))
-    members = cut(pairs.selectExpr("a AS th").unionByName(pairs.selectExpr("b AS th")).unionByName(points.select("th")).distinct())
-    chosen = cut(classes.join(members, "th").select("th", "least"))
-    ids = chosen.where("least IS NOT NULL").select(F.col("least").alias("__least")).distinct()
+    links = forest_links(classes.select(F.col("th").alias("node"), "fp"), [Part(k * i, k, 1) for i in range(parts)], total, words, capacity, sample)
+    groups = cut(components(links).select(F.col("node").alias("th"), F.col("root").alias("grp")))
+    chosen = cut(classes.join(groups, "th").select("th", "least"))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    unnamed = texts.where("__id IS NULL")  # the texts of classes with null ids only
-    texts = texts.join(ids, F.col("__id") == F.col("__least"), "left_semi")
-    if not chosen.where("least IS NULL").isEmpty():
-        texts = texts.unionByName(unnamed)
-    sets = cut(_sets(texts, "__text", shingle).join(members, "th", "left_semi").dropDuplicates(["th"]))
-    edges = _similar(pairs, sets, similarity)
-    if not points.isEmpty():
-        edges = _in_rounds(points, edges, sets, similarity, radius, part_radii)
-    roots = cut(components(edges))
-    return rows, cut(classes.join(roots, roots["node"] == classes["th"], "left").select("th", "least", F.coalesce("root", "th").alias("root")))
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 11, part_radii: Sequence[int] = (1,) * 6, capacity: int = CAPACITY, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """(id_col, component_id) for each row of `docs`, linked where two texts share `similarity` of their
-    `shingle`-word shingles (Jaccard).
-
-    The SimHash forest with a wide `radius` names candidates (of pairs at 0.80 to 0.85 about five in six lie within 11
-    bits, of pairs at 0.9 nearly all). The groups are those of all candidates that pass the check on the shingle sets:
-    cells with more links than points, and fingerprints of several texts, are checked in rounds. Texts equal but
-    for case and white space are one class. Nulls, empty texts and repeated rows are treated as in near_duplicates; ids
-    must be whole numbers.
+    named = _within(texts, "__id", chosen.where("least IS NOT NULL").select(F.col("least").alias("__key")).distinct(), "left_semi")
+    if not chosen.where("least IS NULL").isEmpty():  # the texts of classes with null ids only
+        named = named.unionByName(texts.where("__id IS NULL"))
+    sets = _sets(named, "__text", shingle).join(groups, "th")
+    if rows.agg(F.count(F.lit(1)) != F.countDistinct("id")).first()[0]:  # null or repeated ids
+        sets = sets.dropDuplicates(["th"])
+    sets = cut(sets)
+    found = cut(_checked(sets, similarity))
+    roots = found.where("k = 1").select("th", "root")
+    several = found.where("k > 1")
+    if not several.isEmpty():
+        roots = roots.unionByName(_across(several, sets.select("th", "shingles"), similarity))
+    return rows.select("id", "th"), cut(classes.join(roots, "th", "left").select("th", "least", F.coalesce("root", "th").alias("root")))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id_col, th, component_id) for each row of `docs`, linked where two texts share `similarity` (0.8) of their
+    `shingle`-word (5) shingles (Jaccard). th is a 64-bit key of the text; texts equal but for case and white space
+    are one class.
+
+    The forest searches wide SimHashes, with as many parts as the `recall` of pairs at the very threshold needs
+    (forest_shape). Its groups are then checked on the shingle sets: all pairs of a group that fits a task, and in larger
+    groups all pairs that could join two parts, whether the forest named them or not. So nothing links without a
+    similar pair, and the only loss are pairs whose texts no chain of links brings into one group. Nulls, empty
+    texts, repeated rows and an empty table are treated as in near_duplicates; ids may be of any ordered type.
     """
-    rows, grouped = _similar_classes(docs, id_col, text_col, shingle, similarity, radius, part_radii, capacity, sample, seed)
+    rows, grouped = _similar_classes(docs, id_col, text_col, **options)
     least = cut(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
     named = cut(grouped.select("th", "root").join(least, "root").select("th", "component_id"))
-    return rows.join(named, "th", "left").select(F.col("id").alias(id_col), F.col("th").alias("fp"), "component_id")
+    return rows.join(named, "th", "left").select(F.col("id").alias(id_col), "th", "component_id")
 
 
 def _text_hash(text: Column) -> Column:
-    """The th of with_fingerprint, as a column."""
+    """_text_key, as a column."""
 
     def run(texts: pa.Array) -> pa.Array:
-        own = [xxhash.xxh64_intdigest(b" ".join(x.as_buffer().to_pybytes().lower().split()) if x.is_valid else b"") for x in texts]
-        return pa.array(np.array(own, dtype=np.uint64).view(np.int64))
+        return pa.array(np.array([_text_key(x.as_buffer().to_pybytes() if x.is_valid else None) for x in texts], dtype=np.uint64).view(np.int64))
 
     return F.arrow_udf(run, "long")(text)
 
@@ -586,19 +658,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     rows, grouped = _similar_classes(docs, id_col, text_col, **options)
     first = F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "th")).alias("first")
     kept = cut(grouped.groupBy("root").agg(first).select(F.col("first.least").alias("id"), F.col("first.th").alias("th")))
+    gone = cut(rows.where("id IS NOT NULL").join(kept.select("id"), "id", "left_anti").select(F.col("id").alias("__key")).distinct())
     mark, th = free_name(docs, "keep"), free_name(docs, "th")
-    ids = kept.select(F.col("id").alias(mark)).distinct()
-    out = docs.join(ids, docs[id_col].eqNullSafe(ids[mark]), "left_semi")
-    spare = cut(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias(mark)))
-    if spare.isEmpty():
-        return out
-    once = out.join(spare, out[id_col].eqNullSafe(spare[mark]), "left_anti")
-    many = out.join(spare, out[id_col].eqNullSafe(spare[mark]), "left_semi").withColumn(th, _text_hash(F.col(text_col)))
-    chosen = kept.select(F.col("id").alias(mark), F.col("th").alias(f"{mark}h"))
-    many = many.join(chosen, many[id_col].eqNullSafe(chosen[mark]) & (many[th] == chosen[f"{mark}h"]), "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = many.groupBy(id_col, th).agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias(mark)).select(f"{mark}.*")
-    return once.unionByName(one.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    packed = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    left = _within(packed.where("__id IS NOT NULL"), "__id", gone, "left_anti")
+    spare = cut(rows.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__key")))
+    nameless = kept.where("id IS NULL")
+    if spare.isEmpty() and nameless.isEmpty():
+        return left.select("__row.*")
+    once = _within(left, "__id", spare, "left_anti")
+    many = packed.join(spare, packed["__id"] == spare["__key"], "left_semi")
+    if not nameless.isEmpty():
+        many = many.unionByName(packed.where("__id IS NULL"))
+    many = many.withColumn("__th", _text_hash(F.col("__text")))
+    chosen = kept.select(F.col("id").alias(mark), F.col("th").alias(th))
+    many = many.join(chosen, many["__id"].eqNullSafe(chosen[mark]) & (many["__th"] == chosen[th]), "left_semi")
+    one = many.groupBy("__id", "__th").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    return once.select("__row.*").unionByName(one.select("__row.*"))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

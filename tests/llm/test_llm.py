@@ -84,16 +84,45 @@ def test_forest_finds_every_link(spark, parts, capacity):
     base = rng.integers(0, 1 << 62, 40)
     fps = {int(b) ^ int(sum(1 << int(k) for k in rng.choice(60, rng.integers(0, 6), replace=False))) for b in base for _ in range(12)}
     fps = sorted(fps)
-    df = frame(spark, [(f,) for f in fps], "fp long")
-    links = near_dedup.fingerprint_links(df, 4, parts, capacity)
+    df = frame(spark, [(f, f) for f in fps], "node long, fp long")
+    links = near_dedup.forest_links(df, near_dedup.parts_of(parts), 4, 1, capacity)
     roots = {r.node: r.root for r in components.components(links).collect()}
     assert {f: roots.get(f, f) for f in fps} == brute_components(fps, fps)
 
 
-def test_dense_cell_spans_its_links():
-    fps = np.array([1 << k for k in range(60)] + [0], dtype=np.uint64)
-    found = near_dedup.links_in_cell(fps, 4)
-    assert len(found) == 60
+@pytest.mark.parametrize("few", [1, 1024])
+@pytest.mark.parametrize("part", [near_dedup.Part(0, 16, 1), near_dedup.Part(0, 16, 0), near_dedup.Part(56, 16, 1), near_dedup.Part(0, 16, 2)])
+def test_cell_links_equal_all_pairs(part, few):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, (12, 2), dtype=np.uint64)
+    fps = base[rng.integers(0, 12, 600)]
+    for bits in range(7):  # up to seven flipped bits
+        hit = rng.random(600) < 0.6
+        at = rng.integers(0, 128, 600)
+        fps[hit, at[hit] // 64] ^= np.uint64(1) << (at[hit] % 64).astype(np.uint64)
+    values = near_dedup.part_values(fps, part)
+    want = (np.bitwise_count(values[:, None] ^ values[None]) <= part.radius) & (near_dedup.distances(fps[:, None], fps[None]) <= 9)
+    label = np.arange(600)
+    while True:
+        new = np.where(want, label[None], 600).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    got = near_dedup.links_in_cell(fps, part, 9, few)
+    # Dense groups may also use links within `total` that the part alone does not show.
+    assert (got == label).all() if few == 1024 else all(got[i] == got[label[i]] for i in range(600))
+    every = near_dedup.distances(fps[:, None], fps[None]) <= 9
+    assert all(every[i, got == got[i]].sum() > 1 for i in range(600) if (got == got[i]).sum() > 1)
+
+
+def test_dense_links_span_a_large_group():
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 1 << 63, (3000, 1), dtype=np.uint64)
+    fps[:2500] = np.uint64(12345)
+    fps[:2500, 0] ^= np.uint64(1) << rng.integers(0, 64, 2500, dtype=np.uint64)
+    a, b = near_dedup.dense_links(fps, np.arange(3000), 4)
+    label = near_dedup.connect(3000, a, b)
+    assert len(a) < 20_000 and (label[:2500] == 0).all() and (label[2500:] == np.arange(2500, 3000)).all()
 
 
 def test_components_of_a_chain(spark):
@@ -128,7 +157,7 @@ def jaccard_components(texts, least=0.8, radius=None):
     """Label of each text by all pairs, of those within `radius` bits if it is given."""
     words = [t.split() for t in texts]
     sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
-    fps = np.array([near_dedup.fingerprint(t.encode(), 5) for t in texts], dtype=np.uint64)
+    fps = np.array([near_dedup.fingerprint(t.encode(), 5)[0] for t in texts], dtype=np.uint64)
     index = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
     hot = np.zeros((len(texts), len(index)), dtype=np.float32)
     for i, s in enumerate(sets):
@@ -158,15 +187,63 @@ def near_copies(sizes, length=120, seed=3):
     return out
 
 
-@pytest.mark.parametrize("sizes,capacity", [([2, 2, 100, 1000], near_dedup.CAPACITY), ([2, 2, 100, 200], 64)])
-def test_near_copies_equal_all_pairs(spark, sizes, capacity):
+@pytest.mark.parametrize("sizes,capacity,most", [([2, 2, 100, 3000], near_dedup.CAPACITY, 1024), ([2, 2, 100, 200], 64, 50)])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, sizes, capacity, most):
     texts = near_copies(sizes)
     docs = frame(spark, list(enumerate(texts)), "doc_id long, text string")
-    want = jaccard_components(texts, radius=11).tolist()
+    monkeypatch.setattr(near_dedup, "MOST_TEXTS", most)
+    want = jaccard_components(texts).tolist()
     found = {r.doc_id: r.component_id for r in near_dedup.similar_groups(docs, capacity=capacity).collect()}
     assert [found[i] for i in range(len(texts))] == want
 
 
+def test_large_group_with_outliers_equals_all_pairs(spark, monkeypatch):
+    """One group of several chunks whose parts and outliers meet through a single pair each."""
+    monkeypatch.setattr(near_dedup, "MOST_TEXTS", 64)
+    rng, base = np.random.default_rng(5), [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(300):  # from close copies to texts around the threshold
+        words = list(base)
+        for at in rng.choice(200, 1 + k // 60, replace=False):
+            words[at] = f"e{k}x{at}"
+        texts.append(" ".join(words))
+    docs = frame(spark, list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_dedup.similar_groups(docs).collect()}
+    want = jaccard_components(texts)
+    assert len(set(want)) > 1 and [found[i] for i in range(300)] == want.tolist()
+
+
+def test_equal_fingerprints_of_different_texts(spark):
+    """One phrase over and over hides the tails from SimHash; the sets tell them apart or link them."""
+    phrase, texts = " ".join(f"p{i}" for i in range(9)), []
+    for g in range(20):
+        tail = [f"t{g}x{i}" for i in range(400)]
+        texts += [f"{phrase} " * 120 + f"solo{g} " + " ".join(f"u{g}x{i}" for i in range(300)), f"{phrase} " * 120 + " ".join(tail), f"{phrase} " * 120 + " ".join([*tail[:-1], "z"])]
+    docs = frame(spark, [(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    found = {int(r.doc_id): r.component_id for r in near_dedup.similar_groups(docs).collect()}
+    label = jaccard_components(texts)
+    assert all((found[i] == found[j]) == (label[i] == label[j]) for i in range(60) for j in range(i))
+    assert near_dedup.keep_one(docs).count() == len(set(label))
+
+
+def test_forest_shape_grows_with_the_texts():
+    assert near_dedup.forest_shape(1000, 0.8, 0.975) == near_dedup.forest_shape(1 << 21, 0.8, 0.975) and near_dedup.forest_shape(1000, 0.8, 0.975)[:3] == (12, 16, 3)
+    parts, bits, words, total = near_dedup.forest_shape(1 << 30, 0.8, 0.975)
+    assert bits == 25 and parts * bits <= 64 * words and total < 16 * words
+
+
+def test_recall_around_the_threshold(spark):
+    rng, texts = np.random.default_rng(6), []
+    for g in range(400):  # pairs: one word of 60 changed keeps 51 of 61 shingles: similarity 0.83
+        words = [f"g{g}w{i}" for i in range(60)]
+        texts.append(" ".join(words))
+        words[int(rng.integers(8, 52))] = "other"
+        texts.append(" ".join(words))
+    docs = frame(spark, list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_dedup.similar_groups(docs).collect()}
+    assert sum(found[2 * g] == found[2 * g + 1] for g in range(400)) >= 380
+
+
 # ------------------------------------------------------------------ 1: decontamination
 
 
