@@ -1,18 +1,20 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark windows.
 
-Normalising keeps runs of ASCII letters and digits and of non-ASCII characters, lower-cases A-Z and
-puts one space around every word. Each window of `width` consecutive item words becomes a pattern
-with its outer spaces, so that a match starts and ends at word borders; an item of fewer words is one
-window. A text is scanned once; matches come back as spans of the original text.
-
-The benchmark reaches the tasks inside the closure, in blocks of at most `block_bytes` normalised
-bytes (a benchmark below that is one block and one automaton). With more blocks every block scans the
-documents and the findings are merged, so a task's memory does not follow the benchmark.
+Normalising keeps runs of ASCII letters and digits and of non-ASCII characters as words and lower-cases A-Z.
+Every benchmark word gets a code of two symbols, any other word the same empty code. Each window of `width`
+consecutive item words becomes a pattern of codes, so that a match starts and ends at word borders; an item of
+fewer words is one window. A text is scanned once; matches come back as spans of the original text.
+
+The benchmark reaches the tasks inside the closure, in blocks of at most `most_windows` windows (a benchmark
+below that is one block and one automaton). A window takes 2 * `width` nodes of some 50 bytes at most, so the
+default bounds an automaton to about 400 MB; a Python worker builds it once and keeps it. With more blocks every
+block scans the documents and the findings are merged, so a task's memory does not follow the benchmark.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, table
 
 WIDTH = 10
-BLOCK_BYTES = 16 << 20
+MOST_WINDOWS = 400_000
 _TO = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
     for c in range(256)
@@ -35,43 +37,62 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_TO).split() if text else []
 
 
-def windows_of(words: list[bytes], width: int = WIDTH) -> set[bytes]:
-    """The distinct windows of an item, each with a space on both sides."""
+def windows_of(words: list[bytes], width: int = WIDTH) -> set[tuple[bytes, ...]]:
+    """The distinct windows of an item."""
     if not words:
         return set()
-    return {b" " + b" ".join(words[i : i + width]) + b" " for i in range(max(1, len(words) - width + 1))}
-
-
-def build(items: list[tuple[str, bytes]], width: int = WIDTH) -> ahocorasick.Automaton | None:
-    """Automaton of (item id, text) pairs; None without any window. Bytes are stored as Latin-1
-    characters, so offsets are byte offsets."""
-    owners: dict[bytes, set[str]] = {}
-    for item, text in items:
-        for w in windows_of(words_of(text), width):
-            owners.setdefault(w, set()).add(item)
-    if not owners:
-        return None
-    automaton = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        automaton.add_word(w.decode("latin-1"), (len(w), w.count(b" ") - 1, tuple(sorted(ids))))
-    automaton.make_automaton()
-    return automaton
-
-
-def scan(text: bytes | None, automaton: ahocorasick.Automaton | None) -> tuple[int, int, list[str], list[tuple[int, int]]]:
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+class Windows:
+    """Codes of the benchmark's words and the automaton of its windows (None without any)."""
+
+    def __init__(self, items: list[tuple[str, bytes]], width: int = WIDTH):
+        owners: dict[tuple[bytes, ...], set[str]] = {}
+        for item, text in items:
+            for w in windows_of(words_of(text), width):
+                owners.setdefault(w, set()).add(item)
+        known = dict.fromkeys(x for w in owners for x in w)
+        base = math.isqrt(len(known)) + 1  # few children for each node; first and second symbols differ
+        self.codes = {x: chr(1 + i // base) + chr(2 + base + i % base) for i, x in enumerate(known)}
+        self.automaton = ahocorasick.Automaton() if owners else None
+        for w, ids in owners.items():
+            self.automaton.add_word("".join([self.codes[x] for x in w]), (len(w), tuple(sorted(ids))))
+        if owners:
+            self.automaton.make_automaton()
+
+    def matches(self, words: list[bytes]) -> Iterator[tuple[int, tuple[int, tuple[str, ...]]]]:
+        """(index of the last symbol, (words, item ids)) of every window in `words`."""
+        if self.automaton is None or not words:
+            return iter(())
+        get = self.codes.get
+        return self.automaton.iter("".join([get(w, "\0\0") for w in words]))
+
+
+_BUILT: dict[str, Windows] = {}
+
+
+def _built(key: str, items: list[tuple[str, bytes]], width: int) -> Windows:
+    """The windows of a block, built once in a Python worker, which serves many tasks."""
+    from pixelweave.llm import decontaminate
+
+    if key not in decontaminate._BUILT:
+        decontaminate._BUILT.clear()
+        decontaminate._BUILT[key] = decontaminate.Windows(items, width)
+    return decontaminate._BUILT[key]
+
+
+def scan(text: bytes | None, windows: Windows) -> tuple[int, int, list[str], list[tuple[int, int]]]:
     """(words, hit words, item ids sorted as strings, byte spans of the original text)."""
     words = words_of(text)
-    if automaton is None or not words:
-        return len(words), 0, [], []
-    found = list(automaton.iter((b" " + b" ".join(words) + b" ").decode("latin-1")))
+    found = list(windows.matches(words))
     if not found:
         return len(words), 0, [], []
-    starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])  # of the space before each word
     steps, ids = np.zeros(len(words) + 1, dtype=np.int64), set()
-    first = np.searchsorted(starts, [end - n + 1 for end, (n, _, _) in found])
-    for at, (_, (_, n_words, owners)) in zip(first.tolist(), found, strict=True):
-        steps[at] += 1
-        steps[at + n_words] -= 1
+    for last, (n_words, owners) in found:
+        end = last // 2 + 1
+        steps[end - n_words] += 1
+        steps[end] -= 1
         ids.update(owners)
     hit = np.cumsum(steps[:-1]) > 0
     border = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
@@ -81,22 +102,36 @@ def scan(text: bytes | None, automaton: ahocorasick.Automaton | None) -> tuple[i
     return len(words), int(hit.sum()), sorted(ids), spans
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Items in blocks of bounded size; one block at a time is in the driver."""
+def _pieces(item: str, text: bytes, width: int, most: int) -> Iterator[tuple[str, bytes, int]]:
+    """(item, text, windows): the item, cut where it has more windows than `most`; no window is lost."""
+    words = words_of(text)
+    for i in range(0, max(1, len(words) - width + 1), most):
+        part = words[i : i + most + width - 1]
+        if part:
+            yield item, b" ".join(part), max(1, len(part) - width + 1)
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, most: int) -> Iterator[tuple[str, list[tuple[str, bytes]]]]:
+    """(key, items) of blocks of at most `most` windows; one block at a time is in the driver."""
     items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).distinct()
     block: list[tuple[str, bytes]] = []
     held = 0
+
+    def keyed() -> tuple[str, list[tuple[str, bytes]]]:
+        return hashlib.sha256(repr((width, block)).encode()).hexdigest(), block
+
     for row in items.toLocalIterator():
-        if block and held + len(row.text) > block_bytes:
-            yield block
-            block, held = [], 0
-        block.append((row.item, bytes(row.text)))
-        held += len(row.text)
+        for item, text, n in _pieces(row.item, bytes(row.text), width, most):
+            if block and held + n > most:
+                yield keyed()
+                block, held = [], 0
+            block.append((item, text))
+            held += n
     if block:
-        yield block
+        yield keyed()
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """(id_col, n_words long, n_hit long, items array<string>, spans array<struct<start, end>>) for each
     row of `docs`; spans are byte offsets into the original UTF-8 text, end exclusive.
 
@@ -104,24 +139,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     skipped; rows of one item id add up. Repeated document rows stay, each with its own result; an
     empty benchmark hits nothing; other columns are ignored. Whole texts are scanned.
     """
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>"
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def over(block: list[tuple[str, bytes]], source: DataFrame, out: str) -> DataFrame:
+    def over(block: tuple[str, list[tuple[str, bytes]]], source: DataFrame, out: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = build(block, width)
+            windows = _built(*block, width)
             for batch in batches:
-                found = [scan(x.as_buffer().to_pybytes() if x.is_valid else None, automaton) for x in batch.column(1)]
+                found = [scan(x.as_buffer().to_pybytes() if x.is_valid else None, windows) for x in batch.column(1)]
                 spans = pa.array([[{"start": a, "end": b} for a, b in f[3]] for f in found], span_type)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.string())), spans], names=["id", "n_words", "n_hit", "items", "spans"])
 
         return source.mapInArrow(run, out)
 
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    first, second = next(blocks, []), next(blocks, None)
+    blocks = _blocks(benchmark, item_col, item_text_col, width, most_windows)
+    first, second = next(blocks, ("", [])), next(blocks, None)
     if second is None:
         return over(first, rows, schema).withColumnRenamed("id", id_col)
     return _merged(rows, [first, second], blocks, over, schema, id_col)
@@ -153,29 +187,27 @@ def _merged(rows: DataFrame, begun: list, blocks: Iterator, over, schema: str, i
     return text.select(F.col("id").alias(id_col), "n_words", hits.alias("n_hit"), "items", "spans")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """`docs` without the rows that hold a benchmark window; all columns are kept.
 
     The rows travel through the scan themselves, so nothing is shuffled; each block filters what the
     block before kept.
     """
-    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
-    def without(block: list[tuple[str, bytes]], source: DataFrame) -> DataFrame:
+    def without(block: tuple[str, list[tuple[str, bytes]]], source: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = build(block, width)
+            windows = _built(*block, width)
             for batch in batches:
                 keep = []
                 for x in batch.column(at):
                     words = words_of(x.as_buffer().to_pybytes()) if x.is_valid else []
-                    hit = automaton is not None and words and next(automaton.iter((b" " + b" ".join(words) + b" ").decode("latin-1")), None)
-                    keep.append(not hit)
+                    keep.append(next(windows.matches(words), None) is None)
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return source.mapInArrow(run, source.schema)
 
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    for block in _blocks(benchmark, item_col, item_text_col, width, most_windows):
         docs = without(block, docs)
     return docs
 
