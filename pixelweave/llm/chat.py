@@ -40,9 +40,8 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    mark = F.lit("")
-    plain = F.replace(F.replace(F.replace(role, F.lit("\\\\"), mark), F.lit("\\n"), F.lit("\n")), mark, F.lit("\\"))
-    return unescape(plain)
+    halves = F.transform(F.split(role, r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
+    return unescape(F.array_join(halves, "\\"))
 
 
 def branches(nodes: DataFrame) -> DataFrame:
@@ -54,7 +53,7 @@ def branches(nodes: DataFrame) -> DataFrame:
     """
     ids = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     known = ids.select(F.col("tree").alias("t"), F.col("node").alias("p"))
-    ids = cut(ids.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left").select("tree", "node", F.col("p").alias("parent"), "score").withColumn("up", F.col("parent")).withColumn("total", F.col("score")).withColumn("depth", F.lit(1)))
+    ids = cut(ids.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left").select("tree", "node", F.col("p").alias("up"), F.col("score").alias("total"), F.lit(1).alias("depth")))
     n, done, step = ids.count(), None, 0
     active = ids
     while True:
@@ -65,9 +64,9 @@ def branches(nodes: DataFrame) -> DataFrame:
             break
         # What a node points at may have ended; its sums are final all the same.
         seen = done.unionByName(active).select(F.col("tree").alias("t"), F.col("node").alias("m"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("depth").alias("d2"))
-        active = cut(active.join(seen, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m"))).select("tree", "node", "parent", "score", F.col("up2").alias("up"), (F.col("total") + F.col("t2")).alias("total"), (F.col("depth") + F.col("d2")).alias("depth")))
+        active = cut(active.join(seen, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m"))).select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("t2")).alias("total"), (F.col("depth") + F.col("d2")).alias("depth")))
         step += 1
-    parents = ids.where("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
+    parents = ids.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
     leaves = done.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     return leaves.select("tree", F.col("node").alias("leaf"), "depth", "total")
 
