@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, table
 
 BITS = 20
 MOST_ROWS = 12_000
@@ -73,14 +73,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """(feature numbers, weights, bias) learned from at most `most_rows` labelled rows, half of each label.
 
     Rows are taken by a hash of the id, so reruns learn the same. Null ids and labels are left out; of
-    several labels of one id the highest counts. Without labels nothing is learned: bias 0.
+    several labels of one id the highest counts. Without labels nothing is learned: bias 0. Other columns are
+    ignored whatever their names.
     """
-    small_batches(docs.sparkSession)
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
-    order = [F.xxhash64(F.lit(SEED), id_col), F.col(id_col)]
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("known")).agg(F.max(label_col).alias("y"))
+    order = [F.xxhash64(F.lit(SEED), "known"), F.col("known")]
     taken = cut(known.where("y = 0").orderBy(*order).limit(most_rows // 2).unionByName(known.where("y = 1").orderBy(*order).limit(most_rows // 2)))
-    side = F.broadcast(taken.select(F.col(id_col).alias("__id"), "y"))  # at most most_rows ids
-    text = docs.join(side, F.col(id_col) == F.col("__id")).select(F.pmod(F.xxhash64(F.lit(SEED + 1), id_col), F.lit(shards)).cast("int").alias("shard"), F.xxhash64(id_col).alias("h"), "y", F.col(text_col).alias("text"))
+    side = F.broadcast(taken.select("known", "y"))  # at most most_rows ids
+    text = docs.join(side, F.col("id") == F.col("known")).select(F.pmod(F.xxhash64(F.lit(SEED + 1), "id"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("id").alias("h"), "y", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,8 +107,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """(id, score double) for every row of `docs`; null and empty texts get the bias alone."""
-    small_batches(docs.sparkSession)
+    """(id, score double) for every row of `docs`; null and empty texts get the bias alone.
+
+    Repeated rows stay and score alike, texts are read whole, other columns are ignored whatever their names, an
+    empty table gives an empty result.
+    """
     at, w, bias = model
     kind = docs.schema[id_col].dataType.simpleString()
 
