@@ -11,7 +11,6 @@ More than 64 languages use several planes of 64 bits.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table, uniform
+from .common import cut, table, uniform
 from .toxicity import fold
 
 SIZES = (3, 4)
@@ -29,7 +28,6 @@ PROBES = 3
 MOST_SLOTS = 1 << 21
 SEED = 8
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _BLANK = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
@@ -39,7 +37,7 @@ def grams(text: str | None) -> np.ndarray:
 
     The text is lower-cased, all ASCII but letters becomes a space, and words stand between spaces.
     """
-    if not text or not _LETTER.search(text):
+    if not text or not any(map(str.isalpha, text)):
         return np.empty(0, np.uint64)
     b = np.frombuffer(b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_BLANK).split()) + b" ", dtype=np.uint8).astype(np.uint64)
     out = []
@@ -97,7 +95,6 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     """A filter of all languages in `docs`, learned from about `per_language` rows of each (a hash of
     `key_col` picks them). Rows of null language or text are left out; without any, the filter is empty."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(key_col).alias("key"), F.col(text_col).alias("text"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     languages = sorted(sizes)
@@ -140,8 +137,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
 
 
 def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for every row; `und` and 0 where the text is null or has no letter."""
-    small_batches(docs.sparkSession)
+    """(id, lang_pred, score) for every row; `und` and 0 where the text is null or has no letter (Unicode L*; digits,
+    fractions and Roman numerals are none).
+
+    Repeated rows stay, texts are read whole, other columns are ignored whatever their names, an empty table gives
+    an empty result. With an empty model every row is `und`.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     languages, planes, probes = model.languages, model.planes, model.probes
 
