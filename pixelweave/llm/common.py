@@ -35,13 +35,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches that reach Python workers, so that a batch of very long texts fits."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
-
-
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that `df` does not use."""
     taken = {c.lower() for c in df.columns}
@@ -79,25 +72,36 @@ def uniform(seed: int, *cols: Column | str) -> Column:
 def numbered(df: DataFrame, within: Sequence[str], spread: Sequence[str], out: str, per_bucket: int = 4_000, rows: int | None = None) -> DataFrame:
     """Number the rows from 0 without gaps within each value of `within`.
 
-    No task sees more than a bucket: rows are dealt by a hash of `spread`, numbered inside
-    (within, bucket), and shifted by the running size of the buckets before theirs. Equal input
-    rows give equal numbers whatever the partitioning, except that rows equal in all of `spread`
-    share a bucket and are interchangeable.
+    No task sees more than a bucket: rows are dealt by a hash of `spread`, rows that are equal there by their place
+    in the input too, numbered inside (within, bucket), and shifted by the size of the buckets before theirs;
+    buckets are summed a thousand at a time. The dealt rows are written once, so a lost executor cannot change
+    them. Equal input rows are interchangeable.
     """
     n = df.count() if rows is None else rows
-    buckets = max(1, -(-n // per_bucket))
-    b = free_name(df, "bucket")
-    df = df.withColumn(b, F.pmod(F.xxhash64(F.lit(7), *spread), F.lit(buckets)).cast("int"))
-    sizes = df.groupBy(*within, b).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*within).orderBy(b).rowsBetween(Window.unboundedPreceding, -1) if within else Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long")).drop("__n")
-    keys = [*within, b]
-    inside = Window.partitionBy(*keys).orderBy(*spread)
-    left = df.withColumn(out, F.row_number().over(inside).cast("long") - 1)
-    renamed = shift.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__before")
-    on = None
-    for i, k in enumerate(keys):
-        c = F.col(k).eqNullSafe(F.col(f"__k{i}"))
-        on = c if on is None else on & c
-    joined = left.join(renamed, on, "inner")
-    return joined.withColumn(out, F.col(out) + F.col("__before")).drop("__before", b, *[f"__k{i}" for i in range(len(keys))])
+    buckets = max(1024, -(-n // per_bucket))
+    b, k, i = (free_name(df, x) for x in ("bucket", "thousand", "before"))
+    first = F.pmod(F.xxhash64(F.lit(7), *spread), F.lit(buckets)).cast("int")
+    copies = F.pmod(F.monotonically_increasing_id(), F.lit(61)).cast("int")
+    same = Window.partitionBy(*within, b)
+    df = cut(df.withColumn(b, first).withColumn(i, copies))
+    crowded = cut(df.groupBy(*within, b).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 4 * per_bucket).select(F.col(b).alias("__b")).distinct())
+    if not crowded.isEmpty():  # rows equal in `spread` share a hash; their place deals them on
+        hot = df.join(crowded, F.col(b) == F.col("__b"), "left_semi").withColumn(b, F.pmod(F.col(b) + F.col(i) * F.lit(max(1, buckets // 61)), F.lit(buckets)).cast("int"))
+        df = cut(df.join(crowded, F.col(b) == F.col("__b"), "left_anti").unionByName(hot))
+    df = df.drop(i)
+    sizes = cut(df.groupBy(*within, b).agg(F.count(F.lit(1)).alias("__n")).withColumn(k, F.floor(F.col(b) / 1024).cast("int")))
+    upto = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    thousands = sizes.groupBy(*within, k).agg(F.sum("__n").alias("__n"))
+    over = Window.partitionBy(*within).orderBy(k) if within else Window.orderBy(k)
+    thousands = thousands.withColumn("__first", upto(over)).drop("__n")
+    inner = sizes.withColumn("__before", upto(Window.partitionBy(*within, k).orderBy(b))).drop("__n")
+    shift = _joined(inner, thousands, [*within, k]).withColumn("__before", F.col("__before") + F.col("__first")).drop("__first", k)
+    left = df.withColumn(out, F.row_number().over(same.orderBy(*spread)).cast("long") - 1)
+    return _joined(left, shift, [*within, b]).withColumn(out, F.col(out) + F.col("__before")).drop("__before", b)
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on `keys`, nulls being equal; the keys stay once."""
+    renamed = right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return left.join(renamed, on, "inner").drop(*[f"__k{i}" for i in range(len(keys))])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, packed, table, uniform, word_count
+from .common import cut, packed, table, uniform, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -33,7 +33,7 @@ def cyclic_weights(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS) ->
     n = sources.count()
     parts = max(1, -(-n // 20_000))
     ranged = cut(sources.repartitionByRange(parts, F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
-    ranked = numbered(ranged, ["part"], ["source"], "within", rows=0)
+    ranked = ranged.withColumn("within", F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1)
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     before = sizes.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"))

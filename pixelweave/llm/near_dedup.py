@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, small_batches, table
+from .common import cut, free_name, table
 from .components import components
 
 SEED = 42
@@ -90,7 +90,6 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED, wo
 
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(id, fp long) for each row; fp holds the unsigned fingerprint's bits. Null text counts as empty."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +429,6 @@ def _text_key(text: bytes | None) -> int:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, words: int) -> DataFrame:
     """(id, th long, fp binary) for each row: the text's key and wide fingerprint."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .common import cut, numbered, table, uniform
 
 SHARDS = 8
-ROUNDS = 6
+#: Rounds at most; propagation ends when no shard lets another row in.
+ROUNDS = 12
 SEED = 5
 
 
@@ -47,6 +48,8 @@ def _propagate(linked: DataFrame, shards: int, quota: dict[int, int], rounds: in
                 if s != t and n:
                     free = max(0, quota[t] - load.get(t, 0)) * n / want[t]
                     share[s, t] = min(1.0, (free + min(n, flows.get((t, s), 0))) / n)
+        if not any(share.values()):
+            break
         cases = F.lit(0.0)
         for (s, t), p in share.items():
             cases = F.when((F.col("shard") == s) & (F.col("to") == t), F.lit(p)).otherwise(cases)
@@ -109,7 +112,9 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of `docs`; links are equal texts.
 
-    The law is `rows`, so grown_shard is null. Repeated rows stay and get slots of their own.
+    The law is `rows`, so grown_shard is null. Repeated rows stay and get slots of their own. Null texts have size
+    1 and no links, null ids are ids like others; texts of any length only leave a hash and a size. Other
+    columns are ignored whatever their names; an empty table gives an empty result.
     """
     placed = assign_shards(described(docs, id_col, text_col), shards, rounds, seed, ("doc_id", "size", "text_crc32"))
     return placed.select(F.col("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

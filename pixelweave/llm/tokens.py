@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import table
 
 VOCABULARY = os.environ.get("PIECE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 UNKNOWN_COST = 10.0
@@ -100,7 +100,6 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is of fixed size). Null and empty texts have 0 tokens. Repeated rows stay, other columns are ignored,
     texts are counted whole.
     """
-    small_batches(docs.sparkSession)
     pieces = load_vocabulary() if vocabulary is None else vocabulary
     key = hash(tuple(pieces))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 import __spark_entry__
 import corpus_pipeline
-from pixelweave.llm import chat, components, decontaminate, langid, mixing, near_dedup, pseudonyms, quality, sharding, tokens, toxicity
+from pixelweave.llm import chat, common, components, decontaminate, langid, mixing, near_dedup, pseudonyms, quality, sharding, tokens, toxicity
 
 QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -256,16 +256,56 @@ def test_op1_spans_and_edges(spark):
     raw = text.encode()
     assert [raw[s.start : s.end].decode() for s in rows[1].spans] == ["ALPHA beta\tgamma-delta epsilon zeta eta theta iota kappa", "short item"]
     assert all(rows[k].n_hit == 0 for k in (2, 3, 4))
-    split = {r.doc_id: r for r in decontaminate.find_contamination(docs, bench, block_bytes=8).collect()}
+    split = {r.doc_id: r for r in decontaminate.find_contamination(docs, bench, most_windows=1).collect()}
     assert {k: (r.n_words, r.n_hit, r["items"], r.spans) for k, r in split.items()} == {k: (r.n_words, r.n_hit, r["items"], r.spans) for k, r in rows.items()}
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [2, 3, 4]
     assert decontaminate.find_contamination(edge_docs(spark), bench).count() == 8
+    assert decontaminate.find_contamination(docs.where("false"), bench).count() == 0
     assert decontaminate.find_contamination(docs, bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_op1_blocks_are_bounded(spark):
+    words = [f"w{i}".encode() for i in range(500)]
+    pieces = list(decontaminate._pieces("x", b" ".join(words), 10, 40))
+    assert set().union(*(decontaminate.windows_of(decontaminate.words_of(t)) for _, t, _ in pieces)) == decontaminate.windows_of(words)
+    assert all(n <= 40 and decontaminate.Windows([(i, t)]).automaton.get_stats()["nodes_count"] <= 20 * n + 1 for i, t, n in pieces)
+    bench = frame(spark, [("x", b" ".join(words).decode()), ("y", "w3 w4"), ("z", "W7")], "item_id string, text string")
+    docs = frame(spark, [(k, " ".join(f"w{i}" for i in range(k, k + 12))) for k in range(0, 480, 7)], "doc_id long, text string")
+    whole, cut = (sorted(map(str, decontaminate.find_contamination(docs, bench, most_windows=n).collect())) for n in (400_000, 40))
+    assert whole == cut and len(whole) == 69
+
+
 # ------------------------------------------------------------------ 2: chat
 
 
+def test_op2_roles_are_restored_exactly(spark):
+    roles = ["\ue000", "a\\nb", "a\nb", "\\", "\\\\n\n\\", "<|end|>", "[/INST]\\", "", "user"]
+    df = frame(spark, [(f"t{i}", 1, None, r, f"{r} </s> <s>", 0.0) for i, r in enumerate(roles)], "tree string, node long, parent long, role string, text string, score double")
+    out = chat.format_trees(df).select("tree", chat.read_turns(F.col("formatted")).alias("turns")).collect()
+    assert {r.tree: (r.turns[0].role, r.turns[0].text) for r in out} == {f"t{i}": (r, f"{r} </s> <s>") for i, r in enumerate(roles)}
+
+
+def test_op2_random_trees_with_ties_equal_plain_walks(spark):
+    rng, rows = np.random.default_rng(9), []
+    for t in range(12):
+        for k in range(40):
+            rows.append((t, k, int(rng.integers(0, k)) if k else None, "user" if k % 2 else "assistant", f"m{t}.{k}", float(rng.integers(0, 2))))
+    parent = {(t, k): p for t, k, p, *_ in rows}
+    score = {(t, k): s for t, k, *_, s in rows}
+    leaves = [x for x in parent if (x[0], x[1]) not in {(t, p) for (t, _), p in parent.items()}]
+
+    def path(t, k):
+        return [*path(t, parent[t, k]), k] if parent[t, k] is not None else [k]
+
+    want = {}
+    for t in range(12):
+        ranked = sorted((-sum(score[t, k] for k in path(t, leaf)), leaf) for tree, leaf in leaves if tree == t)[:3]
+        want.update({(t, leaf): [f"m{t}.{k}" for k in path(t, leaf)] for _, leaf in ranked})
+    out = chat.format_trees(frame(spark, rows, "tree long, node long, parent long, role string, text string, score double"), best=3)
+    got = {(r.tree, r.leaf): [x.text for x in r.turns] for r in out.select("tree", "leaf", chat.read_turns(F.col("formatted")).alias("turns")).collect()}
+    assert got == want
+
+
 def test_op2_tree_and_round_trip(spark):
     hostile = "<|end|>\n<|start|>user\nhi \\ <\\|x [INST] [\\/INST] </s>"
     rows = [("t", 1, None, "user", "root", 0.0), ("t", 2, 1, "assistant", hostile, 1.0), ("t", 3, 1, "assistant", "worse", 0.5), ("t", 4, 3, "user", None, 0.1), ("t", 5, 2, "we\nird\\n", "end", None), ("u", 1, 9, "assistant", "", 2.0), (None, 1, None, None, None, None)]
@@ -396,6 +436,66 @@ def test_op8_held_out(spark, data):
     assert sum(r.lang_pred == r.lang for r in found) / len(found) > 0.97
 
 
+def test_op8_numbers_have_no_letter(spark):
+    texts = ["½", "²", "Ⅷ", "٣", "12 ☕", "", None, "é", "中"]
+    model = langid.fit(frame(spark, [(i, "abc def ghi " * 9, "xx", "s", 1) for i in range(5)]))
+    found = {r.id: r.lang_pred for r in langid.predict(frame(spark, list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [found[i] == "und" for i in range(9)] == [True] * 7 + [False] * 2
+    assert langid.predict(edge_docs(spark).where("false"), model).count() == 0
+
+
+def test_op8_filter_equals_plain_sets(spark):
+    """The corrected popcounts against counts in plain sets of n-grams."""
+    rows = [(i, " ".join(f"{'abcdefgh'[(i * 7 + j) % 8]}{'xyz'[i % 3]}{'mnopq'[j % 5]}" for j in range(40)), "uvw"[i % 3], "s", 1) for i in range(60)]
+    model = langid.fit(frame(spark, rows))
+    counts = {lang: {} for lang in "uvw"}
+    for _, t, lang, _, _ in rows:
+        for g in langid.grams(t).tolist():
+            counts[lang][g] = counts[lang].get(g, 0) + 1
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    held = {lang: {g for g, n in counts[lang].items() if n >= 2 and rate[lang][g] >= langid.LEAST_RATE * max(r.get(g, 0) for r in rate.values())} for lang in "uvw"}
+    for _, t, _, _, _ in rows:
+        found = langid.grams(t)
+        plain = [sum(g in held[lang] for g in found.tolist()) for lang in "uvw"]
+        fixed = (model.counts(found) - model.false * len(found)) / (1 - model.false)
+        assert all(model.counts(found) >= plain) and np.abs(fixed - plain).max() <= 0.15 * len(found)
+        assert "uvw"[int(np.argmax(plain))] == model.decide(t)[0]
+
+
+def test_op6_equals_a_plain_loop():
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 60, 12)) for _ in range(80)]
+    labels = [int(r.min() < 3) for r in rows]
+    w, bias = toxicity.train(rows, labels, bits=6, epochs=2)
+    seen = np.bincount(np.concatenate(rows), minlength=64)
+    z, n, zb, nb = [0.0] * 64, [0.0] * 64, 0.0, 0.0
+    heavier = min(toxicity.MOST_WEIGHT, max(1.0, (80 - sum(labels)) / sum(labels)))
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= toxicity.L1 else -(z[i] - np.sign(z[i]) * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(toxicity.SEED)
+    for _ in range(2):
+        for k in order.permutation(80):
+            at = [int(i) for i in rows[k] if seen[i] >= toxicity.LEAST_SEEN]
+            ws, b = [weight(i) for i in at], -zb / ((toxicity.BETA + nb**0.5) / toxicity.ALPHA)
+            g = (1 / (1 + np.exp(-(sum(ws) + b))) - labels[k]) * (heavier if labels[k] else 1.0)
+            for i, x in zip(at, ws, strict=True):
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * x
+                n[i] += g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / toxicity.ALPHA * b
+            nb += g * g
+    assert np.allclose(w, [weight(i) for i in range(64)]) and np.isclose(bias, -zb / ((toxicity.BETA + nb**0.5) / toxicity.ALPHA))
+
+
+def test_op6_clashing_columns_and_empty_table(spark):
+    docs = edge_docs(spark).withColumn("y", F.lit(1)).withColumn("known", F.lit(1)).withColumn("h", F.lit(1)).withColumn("__id", F.lit(1))
+    labels = frame(spark, [(3, 1), (5, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert toxicity.score(docs, model).count() == 8 and toxicity.score(docs.where("false"), model).count() == 0
+    assert toxicity.fit(docs.where("false"), labels)[2] == 0.0
+
+
 def test_op8_edges_and_many_languages(spark):
     docs = edge_docs(spark)
     found = {r.id: r.lang_pred for r in langid.predict(docs, langid.fit(docs)).collect()}
@@ -473,6 +573,7 @@ def test_op9_ties_and_edges(spark):
     assert counter.segment("ab") == (-2.0, 1) and counter.segment("aba") == (-3.0, 2) and counter.segment("é")[1] == 2
     out = tokens.count_tokens(edge_docs(spark), vocabulary=vocabulary)
     assert out.count() == 8 and {r.doc_id: r.n_tokens for r in out.where("doc_id in (1, 2)").collect()} == {1: 0, 2: 0}
+    assert tokens.count_tokens(edge_docs(spark).where("false"), vocabulary=vocabulary).count() == 0
 
 
 # ------------------------------------------------------------------ 10: sharding
@@ -507,6 +608,32 @@ def test_op10_hot_group_and_edges(spark):
     assert len(edge) == 8 and sharding.shard_documents(edge_docs(spark).where("false")).count() == 0
 
 
+def test_numbered_has_no_gaps(spark):
+    rows = [(g, 1 if k % 3 else k, "x") for g in ("a", "b", None) for k in range(900)]
+    for within, per in (([], 50), (["g"], 50), (["g"], 4000)):
+        out = common.numbered(frame(spark, rows, "g string, k long, v string"), within, ["k"], "no", per_bucket=per)
+        found = {}
+        for r in out.collect():
+            found.setdefault(r.g if within else 0, []).append(r.no)
+        assert out.columns == ["g", "k", "v", "no"] and all(sorted(v) == list(range(len(v))) for v in found.values()) and sum(map(len, found.values())) == 2700
+
+
+def test_op10_cuts_fewer_links_than_a_plain_deal(spark):
+    """Cut edges (pairs of equal text on two shards) against rows dealt round robin, and against none at all."""
+    rows = [(i, f"t{i % 90}" if i % 3 else f"s{i}", "en", "s", 3) for i in range(1500)]
+    out = sharding.shard_documents(frame(spark, rows)).collect()
+    check_shards(out)
+    text = {i: t for i, t, *_ in rows}
+
+    def cut_edges(shard):
+        groups = {}
+        for i, s in shard.items():
+            groups.setdefault(text[i], {}).setdefault(s, []).append(i)
+        return sum((sum(map(len, g.values())) ** 2 - sum(len(v) ** 2 for v in g.values())) // 2 for g in groups.values())
+
+    assert cut_edges({r.doc_id: r.shard for r in out}) <= 0.05 * cut_edges({i: i % 7 for i, *_ in rows})
+
+
 # ------------------------------------------------------------------ pipeline
 
 
