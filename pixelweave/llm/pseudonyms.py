@@ -1,13 +1,18 @@
 """Format-preserving Feistel pseudonyms for personal numbers and dates, in DataFrame operations only.
 
 Candidates are found by one pattern and validated: card numbers by the Luhn digit, IPv4 addresses by
-their octets, dates by the calendar, telephone and social security numbers by their layout. A valid value
-is permuted by a keyed, balanced Feistel network inside its own format, so equal values get equal
-pseudonyms in all documents, different values different ones, and the key's holder can go back.
-
-* Card: the digits before the check digit are permuted, the check digit is computed anew.
-* Telephone (country code kept), social security number: all their digits.
-* IPv4: the 32 bits. Date: the day in 1700-01-01 to 2099-12-31 (146,097 days = 189 * 773).
+their octets, dates by the calendar, social security numbers by the ranges that are given out, telephone numbers by
+their layout. A valid value is permuted by a keyed, balanced Feistel network inside its own format, so equal
+values get equal pseudonyms in all documents, different values different ones, and the key's holder can go back.
+
+* Card (13 to 19 digits; also in groups of 4-4-4-4 or 4-6-5 between single spaces or hyphens): the digits before
+  the check digit are permuted, the check digit is computed anew, the separators stay.
+* Telephone: `+C (AAA) NNN-NNNN`, `(AAA) NNN-NNNN`, `AAA-NNN-NNNN`, `AAA.NNN.NNNN` with or without country code, and
+  `+CC` followed by one to five groups of digits. The country code and the separators stay, the other digits are
+  permuted, so one number in two layouts stays one.
+* Social security number: all its digits, among the numbers that can be valid.
+* IPv4: the 32 bits. Date (YYYY-MM-DD, DD.MM.YYYY, DD/MM/YYYY): the day in 1700-01-01 to 2099-12-31
+  (146,097 days = 189 * 773). Month-first, one-digit and written dates stay.
 * E-mail: digits and ASCII letters of the address before the last domain label, each by kind, as runs of
   at most 12 permuted in place (case is kept apart).
 
@@ -19,21 +24,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import free_name, let, table
 
-KEY = "pixelweave"
+#: The query's key comes from this setting of the session.
+KEY_SETTING = "spark.pixelweave.pseudonyms.key"
 ROUNDS = 8
-CARD = r"(?<![0-9A-Za-z.])[0-9]{13,19}(?![0-9A-Za-z])"
-PHONE = r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])"
+CARD = r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]|-[0-9])"
+PHONE = (
+    r"(?<![0-9A-Za-z.(-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![0-9A-Za-z]|[.-][0-9])"
+    r"|\+[0-9]{1,3}(?:[ .-][0-9]{2,8}){1,5}(?![0-9A-Za-z])"
+)
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])|(?<![0-9A-Za-z./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9A-Za-z/])"
 EMAIL = r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z._%+-]{1,64}@[0-9A-Za-z-]{1,63}(?:\.[0-9A-Za-z-]{1,63}){1,8}"
-_ALL = "|".join([EMAIL, PHONE, IP, DATE.replace(r"([./])[0-9]{2}\1", r"[./][0-9]{2}[./]"), SSN, CARD])
+_ALL = "|".join([EMAIL, CARD, PHONE, IP, DATE.replace(r"([./])[0-9]{2}\1", r"[./][0-9]{2}[./]"), SSN])
 EPOCH, DAYS = "1700-01-01", (189, 773)
 
 
-def permute(a: Column, b: Column, size_a: Column, size_b: Column, tweak: Column, key: str = KEY, back: bool = False) -> Column:
+def permute(a: Column, b: Column, size_a: Column, size_b: Column, tweak: Column, key: str, back: bool = False) -> Column:
     """struct<a, b>: the pair (a in 0..size_a-1, b in 0..size_b-1) after the Feistel rounds, or before them."""
 
     def f(i: Column, x: Column, size: Column) -> Column:
@@ -56,7 +65,7 @@ def _power(base: int, n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(base**k) for k in range(most // 2 + 2)]), n + 1)
 
 
-def permute_digits(digits: Column, tweak: str, key: str = KEY, back: bool = False) -> Column:
+def permute_digits(digits: Column, tweak: str, key: str, back: bool = False) -> Column:
     """A string of 1 to 18 decimal digits, permuted among those of its length."""
 
     def run(d: Column) -> Column:
@@ -69,7 +78,7 @@ def permute_digits(digits: Column, tweak: str, key: str = KEY, back: bool = Fals
     return let(digits, run)
 
 
-def permute_letters(letters: Column, tweak: str, key: str = KEY, back: bool = False) -> Column:
+def permute_letters(letters: Column, tweak: str, key: str, back: bool = False) -> Column:
     """A string of 1 to 12 lower-case ASCII letters, permuted among those of its length."""
     alphabet = "abcdefghijklmnopqrstuvwxyz"
 
@@ -97,13 +106,24 @@ def luhn_digit(payload: Column) -> Column:
     return F.pmod(10 - total % 10, F.lit(10)).cast("string")
 
 
+def _digits(s: Column) -> Column:
+    return F.regexp_replace(s, "[^0-9]", "")
+
+
+def _refilled(s: Column, digits: Column) -> Column:
+    """`s` with its digits replaced by `digits`, in order; all else stays."""
+    step = lambda acc, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(acc["out"], F.substring(digits, acc["n"] + 1, F.lit(1))).alias("out"), (acc["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["n"].alias("n")))
+    return F.aggregate(F.split(s, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), step, lambda acc: acc["out"])
+
+
 def is_card(s: Column) -> Column:
-    return (F.length(s) >= 13) & (luhn_digit(F.substring(s, F.lit(1), F.length(s) - 1)) == F.substring(s, F.length(s), F.lit(1)))
+    same = ~(s.contains(" ") & s.contains("-"))
+    return same & let(_digits(s), lambda d: (F.length(d) >= 13) & (luhn_digit(F.substring(d, F.lit(1), F.length(d) - 1)) == F.substring(d, F.length(d), F.lit(1))))
 
 
 def _card(s: Column, key: str, back: bool) -> Column:
-    payload = permute_digits(F.substring(s, F.lit(1), F.length(s) - 1), "card", key, back)
-    return let(payload, lambda p: F.concat(p, luhn_digit(p)))
+    payload = let(_digits(s), lambda d: permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), "card", key, back))
+    return let(payload, lambda p: _refilled(s, F.concat(p, luhn_digit(p))))
 
 
 def _ip(s: Column, key: str, back: bool) -> Column:
@@ -130,14 +150,31 @@ def _date(s: Column, key: str, back: bool) -> Column:
 
 
 def _phone(s: Column, key: str, back: bool) -> Column:
-    at = F.instr(s, "(")
-    d = permute_digits(F.regexp_replace(F.substring(s, at, F.length(s)), "[^0-9]", ""), "phone", key, back)
-    return let(d, lambda x: F.concat(F.substring(s, F.lit(1), at), F.substring(x, 1, 3), F.lit(") "), F.substring(x, 4, 3), F.lit("-"), F.substring(x, 7, 4)))
+    head = F.regexp_extract(s, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+
+    def run(code: Column) -> Column:
+        tail = F.substring(s, F.length(code) + 1, F.length(s))
+        return F.concat(code, _refilled(tail, permute_digits(_digits(tail), "phone", key, back)))
+
+    return let(head, run)
+
+
+def _is_ssn(s: Column) -> Column:
+    area = F.substring(s, 1, 3)
+    return (area != "000") & (area != "666") & (area < "900") & (F.substring(s, 5, 2) != "00") & (F.substring(s, 8, 4) != "0000")
 
 
 def _ssn(s: Column, key: str, back: bool) -> Column:
-    d = permute_digits(F.replace(s, F.lit("-"), F.lit("")), "ssn", key, back)
-    return let(d, lambda x: F.concat_ws("-", F.substring(x, 1, 3), F.substring(x, 4, 2), F.substring(x, 6, 4)))
+    """Numbers of 898 areas, 99 groups and 9,999 serials, as a pair below 898 * 99 and below 9,999."""
+    area = F.substring(s, 1, 3).cast("long")
+    first = (area - F.when(area > 666, 2).otherwise(1)) * 99 + F.substring(s, 5, 2).cast("long") - 1
+    out = permute(first, F.substring(s, 8, 4).cast("long") - 1, F.lit(898 * 99), F.lit(9_999), F.lit("ssn"), key, back)
+
+    def told(o: Column) -> Column:
+        place = F.floor(o["a"] / 99)
+        return F.concat_ws("-", F.lpad((place + F.when(place >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((o["a"] % 99 + 1).cast("string"), 2, "0"), F.lpad((o["b"] + 1).cast("string"), 4, "0"))
+
+    return let(out, told)
 
 
 def _email(s: Column, key: str, back: bool) -> Column:
@@ -151,40 +188,46 @@ def kind_of(s: Column) -> Column:
     """Kind of a validated candidate, null for one that fails."""
     octets = F.forall(F.split(s, r"\."), lambda o: o.try_cast("int") <= 255)
     return (
-        F.when(s.contains("@"), F.lit("email")).when(s.startswith("+"), F.lit("phone"))
+        F.when(s.contains("@"), F.lit("email"))
         .when(s.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.when(octets & ~s.rlike(r"(^|\.)0[0-9]"), F.lit("ip")))
-        .when(s.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.lit("ssn"))
-        .when(s.rlike(r"^[0-9]+$"), F.when(is_card(s), F.lit("card")))
-        .otherwise(F.when(_is_day(s), F.lit("date")))
+        .when(s.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(_is_ssn(s), F.lit("ssn")))
+        .when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}[./][0-9]{2}[./][0-9]{4}$"), F.when(_is_day(s), F.lit("date")))
+        .when(s.rlike(r"^[0-9]{13,19}$|^[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -]|^[0-9]{4}[ -][0-9]{6}"), F.when(is_card(s), F.lit("card")))
+        .otherwise(F.when(F.length(_digits(s)).between(8, 18), F.lit("phone")))
     )
 
 
-def replaced(s: Column, kind: Column, key: str = KEY, back: bool = False) -> Column:
+def replaced(s: Column, kind: Column, key: str, back: bool = False) -> Column:
     return (
         F.when(kind == "email", _email(s, key, back)).when(kind == "phone", _phone(s, key, back)).when(kind == "ip", _ip(s, key, back))
         .when(kind == "ssn", _ssn(s, key, back)).when(kind == "card", _card(s, key, back)).when(kind == "date", _date(s, key, back)).otherwise(s)
     )
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, back: bool = False) -> DataFrame:
-    """`docs` with personal values of `text_col` permuted (with `back`: restored) and __kinds array<string>,
+def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str, back: bool = False, kinds_col: str = "__kinds") -> DataFrame:
+    """`docs` with personal values of `text_col` permuted (with `back`: restored) and `kinds_col` array<string>,
     the kinds of what was replaced, in order.
 
-    Null text stays null with no kinds; texts without a digit or @ are not searched further. All
-    columns and repeated rows stay; an empty table stays empty; whole texts are searched.
+    The key is secret: who has it can go back. Null text stays null with no kinds; texts without a digit or @ are not
+    searched further. All columns and repeated rows stay (a column named `kinds_col` is refused); an empty table
+    stays empty; whole texts are searched.
     """
-    text = F.col(text_col)
-    hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(_ALL), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)"))
-    out = docs.withColumn("__hits", F.coalesce(hits, F.expr("cast(array() as array<string>)")))
-    out = out.withColumn("__told", F.transform("__hits", lambda s: let(kind_of(s), lambda k: F.struct(k.alias("kind"), replaced(s, k, key, back).alias("new")))))
+    if kinds_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {kinds_col}")
+    text, hit, told = F.col(text_col), free_name(docs, "hits"), free_name(docs, "told")
+    empty = F.expr("cast(array() as array<string>)")
+    hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(_ALL), F.lit(0))).otherwise(empty)
+    out = docs.withColumn(hit, F.coalesce(hits, empty))
+    out = out.withColumn(told, F.transform(hit, lambda s: let(kind_of(s), lambda k: F.struct(k.alias("kind"), replaced(s, k, key, back).alias("new")))))
     gaps = F.split(text, _ALL, -1)
-    joined = F.array_join(F.zip_with(gaps, F.transform("__told", lambda t: t["new"]), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-    kinds = F.transform(F.filter("__told", lambda t: t["kind"].isNotNull()), lambda t: t["kind"])
-    return out.withColumn(text_col, F.when(F.size("__hits") > 0, joined).otherwise(text)).withColumn("__kinds", kinds).drop("__hits", "__told")
+    joined = F.array_join(F.zip_with(gaps, F.transform(told, lambda t: t["new"]), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+    kinds = F.transform(F.filter(told, lambda t: t["kind"].isNotNull()), lambda t: t["kind"])
+    return out.withColumn(text_col, F.when(F.size(hit) > 0, joined).otherwise(text)).withColumn(kinds_col, kinds).drop(hit, told)
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get(KEY_SETTING, "only for trials: set a key of your own")
+    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=key)
     count = lambda *names: F.size(F.filter("__kinds", lambda k: k.isin(*names))).cast("long")
     return out.select("doc_id", "text", count("card", "phone", "ssn", "ip").alias("n_numbers"), count("date").alias("n_dates"), count("email").alias("n_emails"))
 

@@ -512,7 +512,7 @@ def test_op8_edges_and_many_languages(spark):
 def test_op7_round_trip_formats_and_links(spark):
     text = "card 4539578763621486, not 4539578763621487; +1 (017) 555-7713 10.0.0.1 999.1.1.1 2024-02-29 2023-02-29 31.12.1999 123-45-6789 Jo.Doe7@Mail4.example.com"
     docs = frame(spark, [(1, text), (2, "again 4539578763621486 on 2024-02-29"), (3, None), (4, ""), (5, "no digits @ all")], "doc_id long, text string").withColumn("__x", F.lit(1))
-    out = pseudonyms.pseudonymise(docs)
+    out = pseudonyms.pseudonymise(docs, key="k")
     rows = {r.doc_id: r for r in out.collect()}
     new = rows[1].text
     assert rows[1]["__kinds"] == ["card", "phone", "ip", "date", "date", "ssn", "email"]
@@ -522,28 +522,71 @@ def test_op7_round_trip_formats_and_links(spark):
     card = re.search(r"card (\d{16})", new)[1]
     assert sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(card))) % 10 == 0
     assert card in rows[2].text and re.search(r"[A-Z][a-z]\.[A-Z][a-z]{2}\d@[A-Z][a-z]{3}\d\.[a-z]{7}\.com", new)
-    back = {r.doc_id: r.text for r in pseudonyms.pseudonymise(out.drop("__kinds"), back=True).collect()}
+    back = {r.doc_id: r.text for r in pseudonyms.pseudonymise(out.drop("__kinds"), key="k", back=True).collect()}
     assert back == {1: text, 2: "again 4539578763621486 on 2024-02-29", 3: None, 4: "", 5: "no digits @ all"}
-    assert pseudonyms.pseudonymise(edge_docs(spark)).count() == 8
+    assert pseudonyms.pseudonymise(edge_docs(spark), key="k").count() == 8
 
 
 def test_op7_address_without_digits(spark):
     docs = frame(spark, [(1, "write to jo.doe@mail.example.com"), (2, "7 times jo.doe@mail.example.com")], "doc_id long, text string")
-    out = pseudonyms.pseudonymise(docs)
+    out = pseudonyms.pseudonymise(docs, key="k")
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[1]["__kinds"] == rows[2]["__kinds"] == ["email"] and "jo.doe" not in rows[1].text
     assert rows[1].text.split()[-1] == rows[2].text.split()[-1]
-    assert {r.doc_id: r.text for r in pseudonyms.pseudonymise(out.drop("__kinds"), back=True).collect()} == {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id: r.text for r in pseudonyms.pseudonymise(out.drop("__kinds"), key="k", back=True).collect()} == {r.doc_id: r.text for r in docs.collect()}
+
+
+def test_op7_layouts_and_clashing_columns(spark):
+    same = ["+1 (017) 555-7713", "(017) 555-7713", "017-555-7713", "017.555.7713", "+1-017-555-7713"]
+    cards = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005"]
+    stay = ["4111 1111-1111 1111", "4111 1111 1111 1112", "000-00-0000", "666-12-3456", "900-12-3456", "1234 5678", "2024-13-01", "10 20 30 40 50 60"]
+    rows = list(enumerate([*same, *cards, *stay, "+49 30 1234567", "123-45-6789"]))
+    docs = frame(spark, [(i, f"so {t} it is") for i, t in rows], "doc_id long, text string").withColumn("__hits", F.lit(1)).withColumn("__told", F.lit(2)).withColumn("__kinds", F.lit(3))
+    out = pseudonyms.pseudonymise(docs, key="k", kinds_col="found")
+    assert out.columns == [*docs.columns, "found"] and out.select("__hits", "__told", "__kinds").distinct().collect() == [(1, 2, 3)]
+    new = {r.doc_id: r for r in out.collect()}
+    text = [new[i].text[3:-6] for i, _ in rows]
+    assert all(list(new[i].found) == ["phone"] for i in range(5)) and all(list(new[i].found) == ["card"] for i in range(5, 9))
+    assert len({re.sub(r"\D", "", t)[-10:] for t in text[:5]}) == 1 and text[0].startswith("+1 (") and text[:5] != same
+    assert [re.sub("[0-9]", "9", t) for t in text[:9]] == [re.sub("[0-9]", "9", t) for t in ["+9 (", *same][1:] + cards]
+    assert text[5] == text[6].replace(" ", "") == text[7].replace("-", "") != cards[0]
+    assert text[9:17] == stay and all(not new[i].found for i in range(9, 17))
+    assert text[17].startswith("+49 ") and text[17] != "+49 30 1234567" and text[18] != "123-45-6789"
+    assert pseudonyms.pseudonymise(out.drop("found"), key="k", back=True, kinds_col="found").drop("found").exceptAll(docs).isEmpty()
+    assert not pseudonyms.pseudonymise(docs.drop("__kinds"), key="other").select("text").exceptAll(out.select("text")).isEmpty()
+    assert pseudonyms.pseudonymise(docs.where("false"), key="k", kinds_col="found").count() == 0
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymise(docs, key="k")
+
+
+def test_op7_equals_a_plain_feistel(spark):
+    def plain(d, key, tweak):
+        n, u = len(d), len(d) // 2
+        a, b = int(d[:u] or 0), int(d[u:])
+        for i in range(8):
+            digest = lambda x: int(hashlib.sha256(f"{key}|{tweak}{n}|{i}|{x}".encode()).hexdigest()[:14], 16)  # noqa: B023, E731
+            a, b = ((a + digest(b)) % 10**u, b) if i % 2 == 0 else (a, (b + digest(a)) % 10 ** (n - u))
+        return (f"{a:0{u}d}" if u else "") + f"{b:0{n - u}d}"
+
+    values = ["7", "42", "000", "98765", "0123456789", "123456789012345678"]
+    got = [r[0] for r in frame(spark, [(v,) for v in values], "d string").select(pseudonyms.permute_digits(F.col("d"), "t", "k")).collect()]
+    assert got == [plain(v, "k", "t") for v in values]
+
+
+def test_op7_ssn_stays_valid(spark):
+    one = frame(spark, [(f"{a:03d}-{g:02d}-{s:04d}",) for a in (1, 665, 667, 899) for g in (1, 50, 99) for s in (1, 5000, 9999)], "s string")
+    out = one.select("s", pseudonyms._ssn(F.col("s"), "k", False).alias("t")).withColumn("ok", pseudonyms._is_ssn(F.col("t"))).withColumn("u", pseudonyms._ssn(F.col("t"), "k", True)).collect()
+    assert all(r.ok and r.u == r.s and len(r.t) == 11 for r in out) and len({r.t for r in out}) == 36
 
 
 def test_op7_is_a_permutation(spark):
-    three = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d")).select(pseudonyms.permute_digits(F.col("d"), "t"))
+    three = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d")).select(pseudonyms.permute_digits(F.col("d"), "t", "k"))
     assert three.distinct().count() == 1000
 
 
 def test_op7_restores_the_corpus(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
-    back = pseudonyms.pseudonymise(pseudonyms.pseudonymise(docs).drop("__kinds"), back=True).select("doc_id", "text")
+    back = pseudonyms.pseudonymise(pseudonyms.pseudonymise(docs, key="k").drop("__kinds"), key="k", back=True).select("doc_id", "text")
     assert back.exceptAll(docs).isEmpty()
 
 
@@ -637,6 +680,49 @@ def test_op10_cuts_fewer_links_than_a_plain_deal(spark):
 # ------------------------------------------------------------------ pipeline
 
 
+def test_pipeline_equals_a_plain_version(spark, data):
+    """Kept ids of each stage against plain Python: SQL for the quality rules, all pairs for near duplicates, plain
+    windows for the benchmark, the copies that op4's plan takes, and the law of the shards."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    first = corpus_pipeline.quality_rules(spark, docs, data).cache()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    good = {r[0]: "\n".join(r[1]) for r in con.sql(f"WITH {quality.QUALITY_CTES} SELECT doc_id, good_lines FROM quality WHERE NOT base_failed AND lost_chars <= {quality.MOST_LOST} * word_chars").fetchall()}
+    texts = {r.doc_id: r.text for r in first.collect()}
+    assert texts == good
+
+    second = corpus_pipeline.near_duplicates(spark, first, data).cache()
+    ids = sorted(texts)
+    label = jaccard_components([texts[i].lower() for i in ids])
+    assert sorted(r.doc_id for r in second.collect()) == [ids[k] for k in sorted(set(label.tolist()))]
+
+    third = corpus_pipeline.benchmark_passages(spark, second, data).cache()
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(w[i : i + 10]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect() for w in [words(r.text)] if w for i in range(max(1, len(w) - 9))}
+    clean = []
+    for r in second.collect():
+        w = words(r.text)
+        if not any(tuple(w[i : i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w) - n + 1)):
+            clean.append(r.doc_id)
+    assert sorted(r.doc_id for r in third.collect()) == sorted(clean)
+
+    fourth = corpus_pipeline.mixed_sources(spark, third, data).cache()
+    sizes = {}
+    for r in third.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + len((r.text or "").split())
+    plan = {r.source: r.target for r in mixing.targets(mixing.cyclic_weights(mixing.source_sizes(third, "source", common.word_count(F.col("text"))))).collect()}
+    copies = {}
+    for r in fourth.collect():
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+    for r in third.collect():
+        rate = plan[r.source] / sizes[r.source] if sizes[r.source] else 0.0
+        assert copies.get(r.doc_id, 0) in (int(rate + 1e-9), int(rate + 1e-9) + (rate - int(rate + 1e-9) > 1e-8))
+
+    last = corpus_pipeline.sharded(spark, fourth, data).collect()
+    check_shards(last)
+    assert sorted(r.doc_id for r in last) == sorted(r.doc_id for r in fourth.collect())
+
+
 def test_pipeline_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     kept = docs
