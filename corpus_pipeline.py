@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelweave.llm import decontaminate, mixing, near_dedup, quality, sharding
-from pixelweave.llm.common import shared_folder, table
+from pixelweave.llm.common import remove, shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,16 +50,20 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`; what the stages hand on lies in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of `sf_dir`; what the stages hand on lies in the shared folder, each
+    table until the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{name}")
             docs = spark.read.parquet(f"{folder}/{name}")
+            if before:
+                remove(spark, before)
+            before = f"{folder}/{name}"
     return docs
 
 
-#: SimHash and the seeded hashes have no DuckDB twin; tests/llm compare the stages with brute force.
+#: SimHash and the seeded hashes have no DuckDB twin; tests/llm compare the stages with a plain version.
 ORACLE_SQL = None
