@@ -21,7 +21,7 @@ def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Every node links its larger neighbours to the smallest node it knows."""
     both = _both(edges)
     least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(tasks))
-    return both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks).distinct()
 
 
 def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
@@ -29,7 +29,7 @@ def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = cut(down.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks))
     moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.coalesce(tasks).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:

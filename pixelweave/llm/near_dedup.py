@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, table
+from .common import cut, free_name, table, uniform
 from .components import components
 
 SEED = 42
@@ -336,10 +336,10 @@ def forest_links(points: DataFrame, parts: Sequence[Part], total: int, words: in
     n, kind = points.count(), points.schema["fp"].dataType.simpleString()
     if n == 0:
         return points.selectExpr("node AS a", "node AS b")
-    # A hash order takes the same sample on every run; TakeOrdered keeps it bounded on the way.
-    rows = points.orderBy(F.xxhash64("node"), "node").limit(sample).select("fp").toArrow()
+    # A hash of the node takes the same rows on every run, `sample` of them in the mean.
+    rows = (points if n <= sample else points.where(uniform(SEED, "node") < sample / n)).select("fp").toArrow()
     taken = _words(rows.column(0), words)
-    scale = n / len(taken)
+    scale = n / max(1, len(taken))
     trees, split = [], {}
     for t, part in enumerate(parts):
         values = part_values(taken, part)
@@ -540,26 +540,31 @@ def _checked(points: DataFrame, similarity: float) -> DataFrame:
 
 
 def _met(cells: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) th pairs that join the roots of each cell's rows (grp, side, low, high, th, root, moves, shingles) wherever
-    a similar pair with a row that moves links two roots."""
+    """(a, b) pairs of roots of each cell's rows (grp, side, low, high, th, root, moves, shingles) that a similar pair
+    joins, of which one row at least moves; pairs that follow from others are left out."""
 
     def check(group: pa.Table) -> pa.Table:
         th, sets = _loaded(group, similarity)
         order = np.unique(group.column("th").to_numpy(), return_index=True)[1]
-        root = group.column("root").to_numpy()[order].copy()
-        moves = group.column("moves").to_numpy(zero_copy_only=False)[order]
-        a, b = [], []
+        own = group.column("root").to_numpy()[order]
+        root, moves, a, b = own.copy(), group.column("moves").to_numpy(zero_copy_only=False)[order], [], []
         for v in np.flatnonzero(moves).tolist():
             for x in sets.partners(v, np.flatnonzero(root != root[v])).tolist():
                 if root[x] != root[v]:
-                    a.append(th[v])
-                    b.append(th[x])
+                    a.append(own[v])
+                    b.append(own[x])
                     root[root == root[x]] = root[v]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return cells.groupBy("grp", "side", "low", "high").applyInArrow(check, "a long, b long")
 
 
+def _renamed(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """`rows` with the column root replaced by the smallest root that `links` (a, b) reach."""
+    roots = components(links).select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+    return rows.join(roots, F.col("root") == F.col("__node"), "left").withColumn("root", F.coalesce("__root", "root")).drop("__node", "__root")
+
+
 def _across(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(th, root) for the groups of several chunks in `found` (th, grp, root, k, chunk, lead).
 
@@ -571,23 +576,19 @@ def _across(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     leads = found.where("lead").select("grp", "th", "root", "chunk", each.alias("low")).where("chunk = 0 OR chunk DIV 256 = low")
     keys = ["grp", F.lit(0).alias("side"), "low", F.lit(0).alias("high")]
     met = _met(leads.select(*keys, "th", "root", F.lit(True).alias("moves")).join(sets, "th"), similarity)
-    inside = found.select(F.col("th").alias("a"), F.col("root").alias("b"))
-    edges = cut(inside.unionByName(met))
-    roots = cut(components(edges))
-    now = cut(found.select("th", "grp", "k", "chunk").join(roots, F.col("th") == F.col("node"), "left").select("th", "grp", "k", "chunk", F.coalesce("root", "th").alias("root")))
+    now = cut(_renamed(found.select("th", "grp", "k", "chunk", "root"), met))
     most = now.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("m"), F.max("n").alias("n"))
     most = cut(most.select("grp", "main", F.ceil((F.col("m") - F.col("n")) / MOST_TEXTS).cast("int").alias("ko")).where("ko > 0"))
     if most.isEmpty():
         return now.select("th", "root")
-    now = now.join(most, "grp").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "th"), F.col("ko")).cast("int"))
+    mixed = now.join(most, "grp").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "th"), F.col("ko")).cast("int"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    main = now.where("root = main").select("grp", F.lit(1).alias("side"), F.col("chunk").alias("low"), upto("ko").alias("high"), "th", "root", F.lit(False).alias("moves"))
-    rest = now.where("root <> main")
+    main = mixed.where("root = main").select("grp", F.lit(1).alias("side"), F.col("chunk").alias("low"), upto("ko").alias("high"), "th", "root", F.lit(False).alias("moves"))
+    rest = mixed.where("root <> main")
     cross = rest.select("grp", F.lit(1).alias("side"), upto("k").alias("low"), F.col("own").alias("high"), "th", "root", F.lit(True).alias("moves"))
     pair = rest.withColumn("other", upto("ko")).select("grp", F.lit(2).alias("side"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "th", "root", F.lit(True).alias("moves"))
     more = _met(main.unionByName(cross).unionByName(pair).join(sets, "th"), similarity)
-    roots = cut(components(edges.unionByName(more)))
-    return found.select("th").join(roots, F.col("th") == F.col("node"), "left").select("th", F.coalesce("root", "th").alias("root"))
+    return _renamed(now.select("th", "root"), more)
 
 
 def _within(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
@@ -596,8 +597,9 @@ def _within(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame
     return docs.join(side, docs[id_col] == side["__key"], how)
 
 
-def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.975, capacity: int = CAPACITY, sample: int = SAMPLE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, th) of `docs`, and (th, least id, root) for each class of equal texts; see similar_groups."""
+def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.975, capacity: int = CAPACITY, sample: int = SAMPLE, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, th) of `docs`, (th, least id, root) for each class of equal texts, and ids (__key) of several rows;
+    see similar_groups."""
     parts, k, words, total = forest_shape(docs.count(), similarity, recall)
     rows = cut(_keyed(docs, id_col, text_col, shingle, seed, words))
     classes = cut(rows.groupBy("th").agg(F.min("id").alias("least"), F.min("fp").alias("fp")))
@@ -609,7 +611,8 @@ def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if not chosen.where("least IS NULL").isEmpty():  # the texts of classes with null ids only
         named = named.unionByName(texts.where("__id IS NULL"))
     sets = _sets(named, "__text", shingle).join(groups, "th")
-    if rows.agg(F.count(F.lit(1)) != F.countDistinct("id")).first()[0]:  # null or repeated ids
+    spare = cut(rows.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__key")))
+    if not spare.isEmpty() or not rows.where("id IS NULL").isEmpty():
         sets = sets.dropDuplicates(["th"])
     sets = cut(sets)
     found = cut(_checked(sets, similarity))
@@ -617,7 +620,7 @@ def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     several = found.where("k > 1")
     if not several.isEmpty():
         roots = roots.unionByName(_across(several, sets.select("th", "shingles"), similarity))
-    return rows.select("id", "th"), cut(classes.join(roots, "th", "left").select("th", "least", F.coalesce("root", "th").alias("root")))
+    return rows.select("id", "th"), cut(classes.join(roots, "th", "left").select("th", "least", F.coalesce("root", "th").alias("root"))), spare
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -631,7 +634,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     similar pair, and the only loss are pairs whose texts no chain of links brings into one group. Nulls, empty
     texts, repeated rows and an empty table are treated as in near_duplicates; ids may be of any ordered type.
     """
-    rows, grouped = _similar_classes(docs, id_col, text_col, **options)
+    rows, grouped, _ = _similar_classes(docs, id_col, text_col, **options)
     least = cut(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
     named = cut(grouped.select("th", "root").join(least, "root").select("th", "component_id"))
     return rows.join(named, "th", "left").select(F.col("id").alias(id_col), "th", "component_id")
@@ -653,14 +656,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     share their smallest id keep one each. Null ids come last; of rows equal in id and text (but for case and
     white space) the one whose columns hash lowest stays.
     """
-    rows, grouped = _similar_classes(docs, id_col, text_col, **options)
+    rows, grouped, spare = _similar_classes(docs, id_col, text_col, **options)
     first = F.min(F.struct(F.col("least").isNull().alias("unnamed"), "least", "th")).alias("first")
     kept = cut(grouped.groupBy("root").agg(first).select(F.col("first.least").alias("id"), F.col("first.th").alias("th")))
     gone = cut(rows.where("id IS NOT NULL").join(kept.select("id"), "id", "left_anti").select(F.col("id").alias("__key")).distinct())
     mark, th = free_name(docs, "keep"), free_name(docs, "th")
     packed = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     left = _within(packed.where("__id IS NOT NULL"), "__id", gone, "left_anti")
-    spare = cut(rows.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__key")))
     nameless = kept.where("id IS NULL")
     if spare.isEmpty() and nameless.isEmpty():
         return left.select("__row.*")
