@@ -52,6 +52,16 @@ def mix(a: Color, b: Color, amount: float = 0.5) -> Color:
     return {k: F.shiftright(a[k] * (65_536 - m) + b[k] * m + 32_768, 16) for k in CHANNELS}
 
 
+def with_channel(c: Color, **values: int) -> Color:
+    """A copy with some channels set: r=255 is full red, a=255 opaque, g=0 without green."""
+    return c | {k: F.lit(v) for k, v in values.items()}
+
+
+def packed(c: Color) -> Column:
+    """r + 256 g + 65536 b + 16777216 a, as a long."""
+    return c["r"].cast("long") + c["g"] * 256 + c["b"] * 65_536 + c["a"].cast("long") * 16_777_216
+
+
 def premultiply(c: Color) -> Color:
     return {k: F.when(c["a"] >= 255, c[k]).otherwise(div255(c[k] * c["a"])) for k in RGB} | {"a": c["a"]}
 

@@ -65,10 +65,13 @@ cceaff dddeff ecdaff f8d7fe fcd6f5 fddbcf f9e7b5 f1f0aa dafaa9 c9ffbc c3fbd7 c4f
 """
 
 
-def _nes64() -> list[tuple[int, int, int]]:
-    """The 54 colours in four rows of 16: black fills the rows up and the second white is stated."""
-    c, black = _hex(NES54), (0, 0, 0)
-    return [*c[:14], *[black] * 2, *c[14:27], *[black] * 3, *c[27:41], *[black] * 2, c[27], *c[41:], *[black] * 2]
+#: The same machine's full table of 64, as it is addressed.
+NES64 = """
+6a6d6a 001380 1e008a 39007a 550056 5a0018 4f1000 3d1c00 253200 003d00 004000 003924 002e55 000000 000000 000000
+b9bcb9 1850c7 4b30e3 7322d6 951fa9 9d285c 983700 7f4c00 5e6400 227700 027e02 007645 006e8a 000000 000000 000000
+ffffff 68a6ff 8c9cff b586ff d975fd e377b9 e58d68 d49d29 b3af0c 7bc211 55ca47 46cb81 47c1c5 4a4d4a 000000 000000
+ffffff cceaff dddeff ecdaff f8d7fe fcd6f5 fddbcf f9e7b5 f1f0aa dafaa9 c9ffbc c3fbd7 c4f6f6 bec1be 000000 000000
+"""
 
 
 def _ega64() -> list[tuple[int, int, int]]:
@@ -87,7 +90,7 @@ def palettes() -> dict[str, list[tuple[int, int, int]]]:
     cga = _hex(CGA16)
     found |= {
         "cga16": cga, "cga16_alt": [(170, 170, 0) if c == (170, 85, 0) else c for c in cga], "ega64": _ega64(),
-        "commodore64_16": _hex(COMMODORE16), "nes64": _nes64(), "nes54": _hex(NES54),
+        "commodore64_16": _hex(COMMODORE16), "nes64": _hex(NES64), "nes54": _hex(NES54),
         "web_basic16": _hex(WEB16), "windows16": _hex(WEB16), "web216": [(r, g, b) for b in web for g in web for r in web],
     }
     return found

@@ -75,6 +75,18 @@ def add(r: Rect, s: Rect, sign: int = 1) -> Rect:
     return {k: r[k] + sign * s[k] for k in r}
 
 
+def equal(r: Rect, s: Rect) -> Column:
+    return (r["x"] == s["x"]) & (r["y"] == s["y"]) & (r["w"] == s["w"]) & (r["h"] == s["h"])
+
+
+def hash32(r: Rect) -> Column:
+    """((x * 65599 + y) * 65599 + w) * 65599 + h in wrapping 32-bit arithmetic, as an int."""
+    h = F.lit(0).cast("long")
+    for k in ("x", "y", "w", "h"):
+        h = F.pmod(h * 65_599 + r[k], F.lit(1 << 32))
+    return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h).cast("int")
+
+
 def resized(r: Rect, k: int) -> Rect:
     """Only the size is multiplied."""
     return r | {"w": r["w"] * k, "h": r["h"] * k}

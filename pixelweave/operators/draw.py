@@ -135,7 +135,7 @@ def fill_polygon(df: DataFrame, points: Sequence[Point], c: Sequence[int], mode:
 
 def fill_polygons(df: DataFrame, vertices: DataFrame, c: Sequence[int]) -> DataFrame:
     """Fill polygons given as a relation (image_id, poly_id, seq, x, y): edges meet scan lines, crossings are
-    ranked in pairs, and pixels join their line's spans."""
+    ranked in pairs, and pixels join their line's spans, which are few: an equi-join on the line, then an interval test."""
     w = Window.partitionBy("image_id", "poly_id").orderBy("seq")
     first = Window.partitionBy("image_id", "poly_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edges = vertices.withColumns({"x2": F.coalesce(F.lead("x").over(w), F.first("x").over(first)), "y2": F.coalesce(F.lead("y").over(w), F.first("y").over(first))}).where("y <> y2")
@@ -144,9 +144,9 @@ def fill_polygons(df: DataFrame, vertices: DataFrame, c: Sequence[int]) -> DataF
     cross = lines.withColumn("cx", F.floor(F.col("x") + (F.col("line") + 0.5 - F.col("y")) * (F.col("x2") - F.col("x")) / (F.col("y2") - F.col("y")) + 0.5).cast("int"))
     order = Window.partitionBy("image_id", "poly_id", "line").orderBy("cx")
     ranked = cross.withColumn("k", F.row_number().over(order)).withColumn("end", F.lead("cx").over(order)).where("k % 2 = 1 AND end IS NOT NULL")
-    hit = ranked.withColumn("px", F.explode(F.sequence("cx", "end"))).select("image_id", F.col("px").alias("x"), F.col("line").alias("y")).distinct().withColumn("__hit", F.lit(True))
-    joined = df.join(hit, ["image_id", "x", "y"], "left")
-    return paint_where(joined, F.coalesce("__hit", F.lit(False)), c).select(*df.columns)
+    spans = ranked.groupBy("image_id", F.col("line").alias("y")).agg(F.collect_list(F.struct(F.col("cx").alias("from"), F.col("end").alias("to"))).alias("__spans"))  # a row for each painted line
+    joined = df.join(spans, ["image_id", "y"], "left")
+    return paint_where(joined, F.coalesce(F.exists("__spans", lambda s: F.col("x").between(s["from"], s["to"])), F.lit(False)), c).select(*df.columns)
 
 
 def draw_thick_line(df: DataFrame, p1: Point, p2: Point, thickness: float, c: Sequence[int], mode: str = "copy") -> DataFrame:

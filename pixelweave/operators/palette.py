@@ -1,6 +1,6 @@
 """Palettes: expansion, nearest colours, median-cut quantization and dithering.
 
-Nearest-colour work runs once for each distinct colour and is joined back; a palette has at most 256
+Nearest-colour work is an expression of the pixel, so pixels are not shuffled; a palette has at most 256
 entries and is a literal of the plan. Median cut works on an image's histogram, and error
 diffusion on one image at a time, since each pixel needs the errors of those before it.
 """
@@ -12,6 +12,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +48,15 @@ def nearest(palette: Palette, r: Column, g: Column, b: Column, exclude: Sequence
     return F.array_min(F.transform(entries, lambda p: F.struct(distance(p).alias("d"), p["i"].alias("i"))))["i"]
 
 
-def to_palette(df: DataFrame, palette: Palette) -> DataFrame:
-    """Index image `v` by nearest colour, searched once for each distinct colour."""
-    colors = df.select(*RGB).distinct()
-    found = colors.withColumn("v", nearest(palette, *[F.col(c) for c in RGB]))
-    return df.join(found, list(RGB)).select(*KEYS, "v")
+def to_palette(df: DataFrame, palette: Palette, exclude: Sequence[int] = ()) -> DataFrame:
+    """Index image `v` by nearest colour; the indices in `exclude` are never given."""
+    return df.select(*KEYS, nearest(palette, *[F.col(c) for c in RGB], exclude=exclude).alias("v"))
+
+
+def to_other_palette(df: DataFrame, palette: Palette, other: Palette) -> DataFrame:
+    """Index image `v` in `other`'s nearest colours: a table of at most 256 entries, found once."""
+    table = [min(range(len(other)), key=lambda i: (sum((int(x) - int(y)) ** 2 for x, y in zip(other[i][:3], c[:3], strict=True)), i)) for c in palette]
+    return df.select(*KEYS, F.element_at(F.array(*[F.lit(i) for i in table]), F.col("v") + 1).alias("v"))
 
 
 def _bayer(n: int) -> list[int]:
@@ -64,13 +70,13 @@ def _bayer(n: int) -> list[int]:
 def ordered_dither(df: DataFrame, palette: Palette, n: int, weights: Sequence[float] = (0.299, 0.587, 0.114)) -> DataFrame:
     """Index image `v`: between the nearest colour and its mirror image's nearest, by an n x n threshold map.
 
-    For each distinct colour c: closest entry p; if not equal, the alternate is the entry nearest to 2c - p
+    For a colour c: closest entry p; if not equal, the alternate is the entry nearest to 2c - p
     without p, by weighted squares; ratio d(c, p) / (d(c, p) + d(c, alternate)); the alternate shows where ratio * n^2, rounded,
     exceeds the threshold.
     """
     table = _literal(palette)
     c = {k: F.col(k) for k in RGB}
-    color = df.select(*RGB).distinct().withColumn("p", nearest(palette, *c.values(), weights=weights))
+    color = df.select(*KEYS, *RGB).withColumn("p", nearest(palette, *c.values(), weights=weights))
     p = F.element_at(table, F.col("p") + 1)
     for k in RGB:
         color = color.withColumn(f"m_{k}", 2 * c[k] - p[k])
@@ -88,11 +94,10 @@ def ordered_dither(df: DataFrame, palette: Palette, n: int, weights: Sequence[fl
     q = F.element_at(table, F.col("q") + 1)
     dp, dq = F.sqrt(distance(p, c)), F.sqrt(distance(q, c))
     amount = F.when(dp == 0, 0).otherwise((dp / (dp + dq) * (n * n) + 0.5).cast("int"))
-    color = color.select(*RGB, "p", "q", amount.alias("amount"))
+    color = color.select(*KEYS, "p", "q", amount.alias("amount"))
     at = (F.pmod(F.col("y"), F.lit(n)) * n + F.pmod(F.col("x"), F.lit(n)) + 1).cast("int")
     threshold = F.element_at(F.array(*[F.lit(v) for v in _bayer(n)]), at)
-    joined = df.join(color, list(RGB))
-    return joined.select(*KEYS, F.when(F.col("amount") > threshold, F.col("q")).otherwise(F.col("p")).alias("v"))
+    return color.select(*KEYS, F.when(F.col("amount") > threshold, F.col("q")).otherwise(F.col("p")).alias("v"))
 
 
 #: Error diffusion: divisor and (dx, dy, weight) taps, dy >= 0.
@@ -105,48 +110,61 @@ DIFFUSION: dict[str, tuple[int, list[tuple[int, int, int]]]] = {
 }
 
 
-def diffuse(image: np.ndarray, palette: np.ndarray, name: str) -> np.ndarray:
-    """Indices of an (h, w, 3) image. Pixels whose inputs are all known form slanted fronts, x + slant * y
-    constant, and each front is done at once. A pixel takes its errors in raster order of their sources, each
-    followed by a clamp; shifts floor and other divisors truncate."""
+def diffuse(images: np.ndarray, palette: np.ndarray, name: str) -> np.ndarray:
+    """Indices of (n, h, w, 3) images of one size. Pixels whose inputs are all known form slanted fronts, x + slant * y
+    constant, and each front is done at once in all images. A pixel takes its errors in raster order of their
+    sources, each followed by a clamp; shifts floor and other divisors truncate."""
     divisor, taps = DIFFUSION[name]
-    h, w = image.shape[:2]
+    n, h, w = images.shape[:3]
     slant = max(-dx for dx, dy, _ in taps if dy) + 1
-    errors, out = np.zeros((h, w, 3), np.int64), np.zeros((h, w), dtype=np.int32)
+    errors, out = np.zeros((n, h, w, 3), np.int64), np.zeros((n, h, w), dtype=np.int32)
     sources = sorted(taps, key=lambda t: (-t[1], -t[0]))
     for front in range(w + slant * (h - 1)):
         y = np.arange(max(0, -(-(front - w + 1) // slant)), min(h - 1, front // slant) + 1)
         x = front - slant * y
-        value = image[y, x].astype(np.int64)
+        value = images[:, y, x].astype(np.int64)
         for dx, dy, weight in sources:
             sx, sy = x - dx, y - dy
             ok = (sx >= 0) & (sx < w) & (sy >= 0)
-            e = errors[sy[ok], sx[ok]] * weight
+            e = errors[:, sy[ok], sx[ok]] * weight
             share = e // divisor if divisor & (divisor - 1) == 0 else np.trunc(e / divisor).astype(np.int64)
-            value[ok] = np.clip(value[ok] + share, 0, 255)
-        v = ((value[:, None, :] - palette[None]) ** 2).sum(axis=2).argmin(axis=1)
-        out[y, x] = v
-        errors[y, x] = value - palette[v]
+            value[:, ok] = np.clip(value[:, ok] + share, 0, 255)
+        v = ((value[:, :, None, :] - palette) ** 2).sum(axis=3).argmin(axis=2)
+        out[:, y, x] = v
+        errors[:, y, x] = value - palette[v]
     return out
 
 
-def diffusion_dither(df: DataFrame, palette: Palette, name: str) -> DataFrame:
+def diffusion_dither(df: DataFrame, palette: Palette, name: str, batch_pixels: int = 1 << 18) -> DataFrame:
     """Index image `v` by error diffusion in raster order; errors are kept as clamped bytes.
 
-    An image is one group, as every pixel depends on those before it; images run in parallel.
+    An image is one row of lines, as every pixel depends on those before it; images run in parallel, and those of
+    one size in a batch, of `batch_pixels` at most if they are more than one, in the same numpy steps.
     """
     if name not in DIFFUSION:
         raise ValueError(f"unknown diffusion {name}")
     table = np.array([tuple(c)[:3] for c in palette], dtype=np.int64)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, h = int(pdf["width"].iloc[0]), int(pdf["height"].iloc[0])
-        image = np.zeros((h, w, 3), dtype=np.int64)
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        image[y, x] = pdf[list(RGB)].to_numpy()
-        return pdf[list(KEYS)].assign(v=diffuse(image, table, name)[y, x])
-
-    return df.select(*KEYS, *RGB).groupBy("image_id").applyInPandas(run, "image_id long, width int, height int, x int, y int, v int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.stack([batch.column(i).to_numpy() for i in (1, 2)], axis=1)
+            for w, h in np.unique(sizes, axis=0).tolist():
+                rows = np.flatnonzero((sizes == (w, h)).all(axis=1))
+                for k in range(0, len(rows), max(1, batch_pixels // (w * h))):
+                    some = rows[k : k + max(1, batch_pixels // (w * h))]
+                    held = batch.column(3).take(pa.array(some))
+                    cells = pa.StructArray.from_arrays([held.flatten().field(i) for i in range(5)], names=list("xyrgb"))
+                    image, x, y, r, g, b = np.repeat(np.arange(len(some)), pa.compute.list_value_length(held).to_numpy()), *[cells.field(i).to_numpy() for i in range(5)]
+                    whole = np.zeros((len(some), h, w, 3), dtype=np.int64)
+                    whole[image, y, x] = np.stack([r, g, b], axis=1)
+                    v = diffuse(whole, table, name)[image, y, x]
+                    ids = batch.column(0).take(pa.array(some[image]))
+                    n = len(v)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(n, w, np.int32)), pa.array(np.full(n, h, np.int32)), pa.array(x), pa.array(y), pa.array(v)], names=[*KEYS, "v"])
+
+    pixels = F.collect_list(F.struct("x", "y", *RGB)).alias("pixels")
+    kind = df.schema["image_id"].dataType.simpleString()
+    return df.groupBy("image_id", "width", "height").agg(pixels).mapInArrow(run, f"image_id {kind}, width int, height int, x int, y int, v int")
 
 
 def median_cut(colors: np.ndarray, counts: np.ndarray, n: int, use_original: bool = False) -> list[tuple[int, ...]]:

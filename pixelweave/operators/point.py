@@ -20,6 +20,16 @@ def multiply(df: DataFrame, r: float, g: float, b: float, a: float = 1.0) -> Dat
     return put(df, {k: to_byte(F.col(k) * float(f)) for k, f in zip(CHANNELS, (r, g, b, a), strict=True)})
 
 
+def to_rgb(df: DataFrame) -> DataFrame:
+    """Without the alpha channel."""
+    return df.drop("a")
+
+
+def to_rgba(df: DataFrame, alpha: int = 255) -> DataFrame:
+    """With an alpha channel of one value."""
+    return df.withColumn("a", F.lit(alpha))
+
+
 def premultiply_alpha(df: DataFrame) -> DataFrame:
     return put(df, {k: div255(F.col(k) * F.col("a")) for k in RGB})
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import CHANNELS, clamp8
+from .geometry import fit
 
 
 def _sinc(x: float) -> float:
@@ -83,10 +84,10 @@ def contributions(size: int, new: int, mode: str = "bspline", low: str = "back",
     return [(d, s, w) for (d, s), w in summed.items() if w]
 
 
-def _pass(df: DataFrame, axis: str, size_column: str, size: int, new: int, mode: str) -> DataFrame:
+def _pass(df: DataFrame, axis: str, size_column: str, size: int, new: int, mode: str, low: str, high: str) -> DataFrame:
     """Every pixel goes, weighted, to the destinations it adds to; sums are integers, so order is no matter."""
     by_source: dict[int, list[tuple[int, int]]] = {}
-    for d, s, w in contributions(size, new, mode):
+    for d, s, w in contributions(size, new, mode, low, high):
         by_source.setdefault(s, []).append((d, w))
     if size <= 4_096:  # a literal table; beyond, a join
         entries = F.array(*[F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in by_source.get(s, [])]) if by_source.get(s) else F.expr("cast(array() as array<struct<d: int, w: int>>)") for s in range(size)])
@@ -100,9 +101,18 @@ def _pass(df: DataFrame, axis: str, size_column: str, size: int, new: int, mode:
     return sums.select("image_id", F.lit(new).alias(size_column), other_size, F.col("d").alias(axis), other, *[clamp8(F.shiftright(F.col(c) + 32_768, 16)).alias(c) for c in CHANNELS])
 
 
-def resample(df: DataFrame, size: tuple[int, int], new: tuple[int, int], mode: str = "bspline") -> DataFrame:
-    """Images of one `size` at a `new` size: along x, rounded to bytes, then along y."""
+def resample(df: DataFrame, size: tuple[int, int], new: tuple[int, int], mode: str = "bspline", edges: tuple[str, str, str, str] = ("back",) * 4) -> DataFrame:
+    """Images of one `size` at a `new` size: along x, rounded to bytes, then along y. `edges` (left, top, right,
+    bottom): beyond an edge `back` reflects and `wrap` goes around."""
+    if not set(edges) <= {"back", "wrap"}:
+        raise ValueError("an edge is back or wrap")
     if size == new:
         return df
-    out = _pass(_pass(df, "x", "width", size[0], new[0], mode), "y", "height", size[1], new[1], mode)
+    left, top, right, bottom = edges
+    out = _pass(_pass(df, "x", "width", size[0], new[0], mode, left, right), "y", "height", size[1], new[1], mode, top, bottom)
     return out.select("image_id", "width", "height", "x", "y", *CHANNELS)
+
+
+def resample_to_fit(df: DataFrame, size: tuple[int, int], container: tuple[int, int], how: str = "fit", mode: str = "bspline", edges: tuple[str, str, str, str] = ("back",) * 4) -> DataFrame:
+    """Images of one `size` at the size that `fit` gives them in a container."""
+    return resample(df, size, fit(size, container, how), mode, edges)

@@ -37,6 +37,9 @@ def _int(c: dict[str, str]) -> dict[str, str]:
 _D, _S = {c: f"d.{c}" for c in "rgba"}, {c: f"s.{c}" for c in "rgba"}
 scalar("p3_unit_channels", lambda d, s: {"rf": d["r"] / 255.0, "gf": d["g"] / 255.0, "bf": d["b"] / 255.0, "af": d["a"] / 255.0}, {f"{c}f": f"d.{c} / 255e0" for c in "rgba"})
 scalar("p10_channel_by_ordinal", lambda d, s: {f"c{i}": F.element_at(F.array(*[d[c] for c in "rgba"]), F.lit(i + 1)) for i in range(4)}, {f"c{i}": f"d.{c}" for i, c in enumerate("rgba")})
+_SETTERS = {"max_r": {"r": 255}, "max_g": {"g": 255}, "max_b": {"b": 255}, "max_a": {"a": 255}, "opaque": {"a": 255}, "zero_r": {"r": 0}, "zero_g": {"g": 0}, "zero_b": {"b": 0}, "zero_a": {"a": 0}}
+scalar("p17_channel_setters", lambda d, s: {n: K.packed(K.with_channel(d, **v)) for n, v in _SETTERS.items()},
+       {n: " + ".join(f"CAST({v.get(c, f'd.{c}')} AS BIGINT) * {256**i}" for i, c in enumerate("rgba")) for n, v in _SETTERS.items()})
 scalar("p26_merge", K.merge, _int({c: f"(d.{c} + s.{c}) >> 1" for c in "rgba"}))
 scalar("p27_mix", lambda d, s: K.mix(d, s, 0.3), _int({c: f"(d.{c} * 45876 + s.{c} * 19660 + 32768) >> 16" for c in "rgba"}))
 scalar("p28_premultiply", lambda d, s: {k: v.cast("int") for k, v in K.premultiply(d).items()}, _int({c: f"CASE WHEN d.a >= 255 THEN d.{c} ELSE {d255(f'd.{c} * d.a')} END" for c in "rgb"} | {"a": "d.a"}))
@@ -163,24 +166,32 @@ def _named(prefix: str, r: dict) -> dict:
 rects("q1_edges", lambda r: {"l": r["x"], "rr": T.right(r), "t": r["y"], "bb": T.bottom(r), "cx": T.center(r)[0], "cy": T.center(r)[1], "text": T.text(r)}, "x AS l, x + w AS rr, y AS t, y + h AS bb, x + w // 2 AS cx, y + h // 2 AS cy, '(' || x || ', ' || y || ') [' || w || 'x' || h || ']' AS text")
 rects("q14_grow_offset_scale", lambda r: _named("g", T.grow(r, 2, 3)) | _named("o", T.offset(r, 5, -4)) | _named("k", T.resized(r, 3)) | _named("d", T.shrunk(r, 2)) | _named("e", T.from_edges(T.right(r), r["y"], r["x"] + 100, T.bottom(r))),
       "x - 2 AS g_x, y - 3 AS g_y, w + 4 AS g_w, h + 6 AS g_h, x + 5 AS o_x, y - 4 AS o_y, w AS o_w, h AS o_h, x AS k_x, y AS k_y, w * 3 AS k_w, h * 3 AS k_h, x AS d_x, y AS d_y, w // 2 AS d_w, h // 2 AS d_h, x + w AS e_x, y AS e_y, 100 - w AS e_w, h AS e_h")
+rects("q15_add_sub", lambda r: _named("p", T.add(r, T.transposed(r))) | _named("m", T.add(r, T.of(3, -2, 1, 5), -1)),
+      "x + y AS p_x, y + x AS p_y, w + h AS p_w, h + w AS p_h, x - 3 AS m_x, y + 2 AS m_y, w - 1 AS m_w, h - 5 AS m_h")
+rects("q19_equal_hash", lambda r: {"same": T.equal(r, T.transposed(r)), "differs": ~T.equal(r, T.transposed(r)), "hash": T.hash32(r)},
+      "CAST(x = y AND w = h AS INT) AS same, CAST(NOT (x = y AND w = h) AS INT) AS differs, CAST((((((x * CAST(65599 AS HUGEINT) + y) * 65599 + w) * 65599 + h) % 4294967296 + 4294967296 + 2147483648) % 4294967296) - 2147483648 AS INT) AS hash")
 rects("q24_clip_flip", lambda r: _named("c", T.clip(r, 40, 30)) | _named("t", T.transposed(r)) | {"fx": T.flipped_horz(r, 20)["x"], "fy": T.flipped_vert(r, 20)["y"]} | _named("s", T.scaled(T.offset(r, 3, 3), 1.5)),
       "greatest(x, 0) AS c_x, greatest(y, 0) AS c_y, least(x + w, 40) - greatest(x, 0) AS c_w, least(y + h, 30) - greatest(y, 0) AS c_h, y AS t_x, x AS t_y, h AS t_w, w AS t_h, 40 - x - w AS fx, 40 - y - h AS fy, CAST(trunc((x + 3) * 1.5e0 + 0.5e0) AS INT) AS s_x, CAST(trunc((y + 3) * 1.5e0 + 0.5e0) AS INT) AS s_y, CAST(trunc(w * 1.5e0 + 0.5e0) AS INT) AS s_w, CAST(trunc(h * 1.5e0 + 0.5e0) AS INT) AS s_h")
 
 
 def _pairs(spark, d):
-    """Rectangles of parts against those of orders: a range join, bucketed on a 16-pixel grid so that it is an
-    equi-join on cells; each pair is kept only in the cell of its overlap's corner."""
+    """Rectangles of parts against those of orders: a range join, bucketed on a grid so that it is an equi-join
+    on cells; each pair is kept only in the cell of its overlap's corner. Cells are as large as the larger side's
+    mean rectangle, and orders are salted, parts copied to each salt, so that a dense cell is many keys."""
     a = X.rectangles(spark, d)
     p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("part"), (F.col("p_partkey") * 13 % 90).cast("int").alias("x"), (F.col("p_partkey") * 29 % 90).cast("int").alias("y"), (F.col("p_size") % 9 + 1).cast("int").alias("w"), (F.col("p_size") % 5 + 1).cast("int").alias("h"))
-    cell = lambda v: F.floor(v / 16).cast("int")
+    mean = p.agg(F.avg(F.greatest("w", "h"))).first()[0] or 1.0
+    size, salts = max(2, int(mean + 0.5)), 8
+    cell = lambda v: F.floor(v / size).cast("int")
 
     def celled(df):
         return df.withColumn("cx", F.explode(F.sequence(cell(F.col("x")), cell(F.col("x") + F.col("w") - 1)))).withColumn("cy", F.explode(F.sequence(cell(F.col("y")), cell(F.col("y") + F.col("h") - 1))))
 
-    right = celled(p).select("part", "cx", "cy", *[F.col(c).alias(f"s_{c}") for c in "xywh"])
+    right = celled(p).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("part", "cx", "cy", "salt", *[F.col(c).alias(f"s_{c}") for c in "xywh"])
     r, s = T.rect(), T.rect("s_")
     i, u = T.intersect(r, s), T.union(r, s)
-    joined = celled(a).join(right, ["cx", "cy"]).where(T.intersects(r, s) & (F.col("cx") == cell(i["x"])) & (F.col("cy") == cell(i["y"])))
+    left = celled(a).withColumn("salt", F.pmod(F.xxhash64("rect_id"), F.lit(salts)).cast("int"))
+    joined = left.join(right, ["cx", "cy", "salt"]).where(T.intersects(r, s) & (F.col("cx") == cell(i["x"])) & (F.col("cy") == cell(i["y"])))
     return joined.select("rect_id", "part", *[v.cast("int").alias(f"i_{k}") for k, v in i.items()], *[v.cast("int").alias(f"u_{k}") for k, v in u.items()], T.contains(r, s).alias("inside"))
 
 

@@ -38,6 +38,19 @@ def _gif(spark, d):
 QUERIES["b18_gif_round_trip"] = _gif
 _EGA = ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(palettes()["ega64"][:16]))
 ORACLE_SQL["b18_gif_round_trip"] = f"WITH {X.GRAY_SQL}, pal(i, r, g, b) AS (VALUES {_EGA}) SELECT image_id, x, y, r, g, b FROM gy JOIN pal ON i = v // 16"
+
+
+def _animation(spark, d):
+    """Two images at a time as the frames of an animation, through GIF files and back."""
+    one = Q.expand(X.gray(spark, d).withColumn("v", F.floor(F.col("v") / 16).cast("int")), palettes()["ega64"])
+    frames = one.withColumn("frame_no", (F.col("image_id") % 2).cast("int")).withColumn("delay", (5 + F.col("image_id") % 7).cast("int")).withColumn("image_id", F.floor(F.col("image_id") / 2).cast("long"))
+    files = L.save_frames(frames).select(F.col("image_id").cast("string").alias("path"), "content")
+    return L.load_frames(files).select(F.col("path").cast("long").alias("image_id"), "frame_no", "delay", "left", "top", "width", "height", "x", "y", "r", "g", "b")
+
+
+QUERIES["b22_gif_frames"] = _animation
+ORACLE_SQL["b22_gif_frames"] = f"""WITH {X.GRAY_SQL}, pal(i, r, g, b) AS (VALUES {_EGA}), n AS (SELECT image_id // 2 AS id, min(image_id) AS low FROM (SELECT DISTINCT image_id FROM gy) GROUP BY 1)
+SELECT id AS image_id, CAST(gy.image_id - low AS INT) AS frame_no, CAST(5 + gy.image_id % 7 AS INT) AS delay, 0 AS "left", 0 AS top, 8 AS width, 8 AS height, x, y, r, g, b FROM gy JOIN n ON id = gy.image_id // 2 JOIN pal ON i = v // 16"""
 QUERIES["a11_pack"] = lambda spark, d: L.pack(X.rgba(spark, d)).select("image_id", F.lower(F.hex("data")).alias("bytes"))
 ORACLE_SQL["a11_pack"] = f"WITH {X.RGBA_SQL} SELECT image_id, string_agg(printf('%02x%02x%02x%02x', r, g, b, a), '' ORDER BY y, x) AS bytes FROM px GROUP BY image_id"
 

@@ -42,7 +42,7 @@ def on_canvas(name: str, op: Callable[[DataFrame], DataFrame], sql: str | None =
 # ------------------------------------------------------------------ construction and access
 on_rgba("a10_pixel_at", lambda d: G.pixel_at(d, 5, 1), "SELECT image_id, r, g, b, a FROM px WHERE x = 5 AND y = 1", ("image_id", "r", "g", "b", "a"))
 on_rgba("a10_set_pixel", lambda d: G.set_pixel(d, 5, 1, (1, 2, 3, 4)), f"SELECT image_id, width, height, x, y, {', '.join(f'CASE WHEN x = 5 AND y = 1 THEN {v} ELSE {c} END AS {c}' for c, v in zip('rgba', (1, 2, 3, 4), strict=True))} FROM px")
-on_rgba("a16_to_rgb_and_back", lambda d: d.drop("a").withColumn("a", F.lit(255)), "SELECT image_id, width, height, x, y, r, g, b, 255 AS a FROM px")
+on_rgba("a16_to_rgb_and_back", lambda d: P.to_rgba(P.to_rgb(d)), "SELECT image_id, width, height, x, y, r, g, b, 255 AS a FROM px")
 add("a2_expand_palette", lambda spark, d: Q.expand(X.gray(spark, d).withColumn("v", F.floor(F.col("v") / 16).cast("int")), palettes()["grayscale16a"]).select(*SIZED),
     "SELECT image_id, width, height, x, y, CAST((v // 16) * 17 AS INT) AS r, CAST((v // 16) * 17 AS INT) AS g, CAST((v // 16) * 17 AS INT) AS b, 255 AS a FROM gy", X.GRAY_SQL)
 
@@ -50,6 +50,7 @@ add("a2_expand_palette", lambda spark, d: Q.expand(X.gray(spark, d).withColumn("
 on_rgba("c1_resize_up", lambda d: G.resize(d, 13, 5), f"SELECT image_id, 13 AS width, 5 AS height, CAST(i AS INT) AS x, CAST(j AS INT) AS y, {RGBA} FROM px, (SELECT unnest(range(0, 13)) AS i), (SELECT unnest(range(0, 5)) AS j) WHERE x = (i * (8 * 65536 // 13)) >> 16 AND y = (j * (2 * 65536 // 5)) >> 16")
 on_rgba("c1_resize_down", lambda d: G.resize(d, 3, 1), f"SELECT image_id, 3 AS width, 1 AS height, CAST(i AS INT) AS x, 0 AS y, {RGBA} FROM px, (SELECT unnest(range(0, 3)) AS i) WHERE x = (i * (8 * 65536 // 3)) >> 16 AND y = 0")
 on_rgba("c2_resize_to_fit", lambda d: G.resize(d, *G.fit((8, 2), (20, 20), "fit")), f"SELECT image_id, 20 AS width, 5 AS height, CAST(i AS INT) AS x, CAST(j AS INT) AS y, {RGBA} FROM px, (SELECT unnest(range(0, 20)) AS i), (SELECT unnest(range(0, 5)) AS j) WHERE x = (i * (8 * 65536 // 20)) >> 16 AND y = (j * (2 * 65536 // 5)) >> 16")
+on_rgba("c5_calculate_resize", lambda d: G.resize(d, *G.calculate_resize((8, 2), width=14)), f"SELECT image_id, 14 AS width, 4 AS height, CAST(i AS INT) AS x, CAST(j AS INT) AS y, {RGBA} FROM px, (SELECT unnest(range(0, 14)) AS i), (SELECT unnest(range(0, CAST(trunc(2 * 14 / 8e0 + 0.5e0) AS INT))) AS j) WHERE x = (i * (8 * 65536 // 14)) >> 16 AND y = (j * (2 * 65536 // 4)) >> 16")
 on_rgba("e3_extract", lambda d: G.extract(d, -2, 1, 6, 3), f"SELECT p.image_id, 6 AS width, 3 AS height, CAST(i AS INT) AS x, CAST(j AS INT) AS y, {', '.join(f'coalesce(px.{c}, 0) AS {c}' for c in 'rgba')} FROM (SELECT DISTINCT image_id FROM px) p CROSS JOIN (SELECT unnest(range(0, 6)) AS i) CROSS JOIN (SELECT unnest(range(0, 3)) AS j) LEFT JOIN px ON px.image_id = p.image_id AND px.x = i - 2 AND px.y = j + 1")
 on_rgba("e4_crop", lambda d: G.crop(d, 3, 1, 10, 10), f"SELECT image_id, 5 AS width, 1 AS height, x - 3 AS x, y - 1 AS y, {RGBA} FROM px WHERE x >= 3 AND y >= 1")
 on_rgba("e5_pad", lambda d: G.pad(d, 1, 2, 3, 1, (9, 8, 7, 6)), f"SELECT p.image_id, 12 AS width, 5 AS height, CAST(i AS INT) AS x, CAST(j AS INT) AS y, {', '.join(f'coalesce(px.{c}, {v}) AS {c}' for c, v in zip('rgba', (9, 8, 7, 6), strict=True))} FROM (SELECT DISTINCT image_id FROM px) p CROSS JOIN (SELECT unnest(range(0, 12)) AS i) CROSS JOIN (SELECT unnest(range(0, 5)) AS j) LEFT JOIN px ON px.image_id = p.image_id AND px.x = i - 1 AND px.y = j - 2")
@@ -185,14 +186,16 @@ def _area_sql(source: str, axis: str, other: str, size: int, new: int) -> str:
 on_rgba("r2_resample_down", lambda d: R.resample(d, (8, 2), (3, 1), "bspline"), f", hz AS ({_area_sql('px', 'x', 'y', 8, 3)}) {_area_sql('hz', 'y', 'x', 2, 1)}", OUT)
 
 
-def _triangle_sql(source: str, axis: str, other: str, size: int, new: int) -> str:
+def _triangle_sql(source: str, axis: str, other: str, size: int, new: int, wrap_low: bool = False, wrap_high: bool = False) -> str:
     c0 = f"(i * ({size} / {new}e0))"
-    taps = f"(SELECT i, j0, CASE WHEN j0 < 0 THEN -j0 WHEN j0 >= {size} THEN 2 * {size} - j0 - 1 ELSE j0 END AS j, CAST(trunc(greatest(0, 1 - abs(j0 - {c0})) * 65536) AS BIGINT) AS w FROM (SELECT unnest(range(0, {new})) AS i), (SELECT unnest(range(-1, {size} + 2)) AS j0) WHERE j0 BETWEEN CAST(trunc({c0} - 1) AS INT) AND CAST(ceil({c0} + 1) AS INT))"
+    taps = f"(SELECT i, j0, CASE WHEN j0 < 0 THEN {f'j0 + {size}' if wrap_low else '-j0'} WHEN j0 >= {size} THEN {f'j0 - {size}' if wrap_high else f'2 * {size} - j0 - 1'} ELSE j0 END AS j, CAST(trunc(greatest(0, 1 - abs(j0 - {c0})) * 65536) AS BIGINT) AS w FROM (SELECT unnest(range(0, {new})) AS i), (SELECT unnest(range(-1, {size} + 2)) AS j0) WHERE j0 BETWEEN CAST(trunc({c0} - 1) AS INT) AND CAST(ceil({c0} + 1) AS INT))"
     cols = ", ".join(f"{clamp(f'(CAST(sum({c} * w) AS BIGINT) + 32768) >> 16')} AS {c}" for c in "rgba")
     return f"SELECT image_id, CAST(i AS INT) AS {axis}, {other}, {cols} FROM {source} JOIN {taps} t ON t.j = {source}.{axis} WHERE w <> 0 GROUP BY image_id, i, {other}"
 
 
 on_rgba("r7_resample_triangle", lambda d: R.resample(d, (8, 2), (13, 3), "triangle"), f", hz AS ({_triangle_sql('px', 'x', 'y', 8, 13)}) {_triangle_sql('hz', 'y', 'x', 2, 3)}", OUT)
+on_rgba("r15_resample_wrapped", lambda d: R.resample(d, (8, 2), (13, 3), "triangle", ("wrap", "back", "wrap", "wrap")), f", hz AS ({_triangle_sql('px', 'x', 'y', 8, 13, True, True)}) {_triangle_sql('hz', 'y', 'x', 2, 3, False, True)}", OUT)
+on_rgba("c4_resample_to_fit", lambda d: R.resample_to_fit(d, (8, 2), (16, 16), "fit", "triangle"), f", hz AS ({_triangle_sql('px', 'x', 'y', 8, 16)}) {_triangle_sql('hz', 'y', 'x', 2, 4)}", OUT)
 on_rgba("r4_resample_box", lambda d: R.resample(d, (8, 2), (3, 1), "box"), f"SELECT image_id, CAST(i AS INT) AS x, y, {RGBA} FROM px, (SELECT unnest(range(0, 3)) AS i) WHERE y = 0 AND x = least(CAST(trunc(i * (8 / 3e0) + 0.5e0) AS INT), 7)", OUT)
 
 
@@ -227,6 +230,11 @@ _PAL = palettes()["cga16"]
 _VALUES = ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(_PAL))
 _INDEXED = ("image_id", "x", "y", "v")
 on_rgba("v1_nearest", lambda d: Q.to_palette(d, _PAL), f", pal(i, pr, pg, pb) AS (VALUES {_VALUES}) SELECT image_id, x, y, CAST(arg_min(i, ((r-pr)*(r-pr)+(g-pg)*(g-pg)+(b-pb)*(b-pb)) * 256 + i) AS INT) AS v FROM px, pal GROUP BY image_id, x, y", _INDEXED)
+_NEAR = "CAST(arg_min(i, ((r-pr)*(r-pr)+(g-pg)*(g-pg)+(b-pb)*(b-pb)) * 256 + i) AS INT)"
+on_rgba("u12_nearest_without", lambda d: Q.to_palette(d, _PAL, exclude=(0, 7, 8)), f", pal(i, pr, pg, pb) AS (VALUES {_VALUES}) SELECT image_id, x, y, {_NEAR} AS v FROM px, pal WHERE i NOT IN (0, 7, 8) GROUP BY image_id, x, y", _INDEXED)
+_WEB = palettes()["web_basic16"]
+add("j6_to_other_palette", lambda spark, d: Q.to_other_palette(X.gray(spark, d).withColumn("v", F.floor(F.col("v") / 16).cast("int")), _PAL, _WEB).select(*_INDEXED),
+    f", c(v0, r, g, b) AS (VALUES {_VALUES}), pal(i, pr, pg, pb) AS (VALUES {', '.join(f'({i}, {r}, {g}, {b})' for i, (r, g, b) in enumerate(_WEB))}), near AS (SELECT v0, {_NEAR} AS v FROM c, pal GROUP BY v0) SELECT image_id, x, y, near.v FROM gy JOIN near ON v0 = gy.v // 16", X.GRAY_SQL)
 _BAYER = {2: [0, 3, 2, 1]}
 _BAYER[4] = [0, 12, 3, 15, 8, 4, 11, 7, 2, 14, 1, 13, 10, 6, 9, 5]
 _BAYER[8] = [0, 48, 12, 60, 3, 51, 15, 63, 32, 16, 44, 28, 35, 19, 47, 31, 8, 56, 4, 52, 11, 59, 7, 55, 40, 24, 36, 20, 43, 27, 39, 23, 2, 50, 14, 62, 1, 49, 13, 61, 34, 18, 46, 30, 33, 17, 45, 29, 10, 58, 6, 54, 9, 57, 5, 53, 42, 26, 38, 22, 41, 25, 37, 21]

@@ -62,6 +62,22 @@ on_palette("h11_invert_palette", P.invert, r="255 - r", g="255 - g", b="255 - b"
 on_palette("g8_remap_palette", lambda p: P.remap_color(p, (128, 128, 128, 255), (1, 2, 3, 4)), **{c: f"CASE WHEN r = 128 AND g = 128 AND b = 128 AND a = 255 THEN {v} ELSE {c} END" for c, v in zip("rgba", (1, 2, 3, 4), strict=True)})
 
 
+_MATRIX = ((0.5, 0.25, 0.25), (0.0, 1.0, 0.0), (1.0, -0.5, 0.25))
+on_palette("g10_remap_palette_matrix", lambda p: P.remap_matrix(p, _MATRIX), **{c: byte(f"({' + '.join(f'{w!r}e0 * (CAST({k} AS DOUBLE) / 255e0)' for w, k in zip(_MATRIX[i], 'rgb', strict=True))}) * 255e0") for i, c in enumerate("rgb")})
+
+
+def _dictionary(spark, d) -> DataFrame:
+    """Colours of image 3's palette become those of image 4's, by index."""
+    p = _palette(spark, d)
+    source, target = p.where("image_id = 3").drop("image_id"), p.where("image_id = 4").select("idx", *[F.col(c).alias(f"to_{c}") for c in "rgba"])
+    return source.join(target, "idx").groupBy(*"rgba").agg(F.min_by(F.struct(*[f"to_{c}" for c in "rgba"]), "idx").alias("t")).select(*"rgba", "t.*")
+
+
+QUERIES["g9_remap_palette_dictionary"] = lambda spark, d: P.remap_colors(_palette(spark, d), _dictionary(spark, d)).select("image_id", "idx", *"rgba")
+ORACLE_SQL["g9_remap_palette_dictionary"] = f"""WITH {_PALETTE}, m AS (SELECT s.r, s.g, s.b, s.a, arg_min(struct_pack(r := t.r, g := t.g, b := t.b, a := t.a), s.idx) AS t FROM pal s JOIN pal t ON s.image_id = 3 AND t.image_id = 4 AND s.idx = t.idx GROUP BY ALL)
+SELECT image_id, idx, {', '.join(f'coalesce(m.t.{c}, pal.{c}) AS {c}' for c in 'rgba')} FROM pal LEFT JOIN m USING (r, g, b, a)"""
+
+
 def _gray256(spark, d) -> DataFrame:
     index = X.gray(spark, d).withColumn("v", F.floor(F.col("v") / 16).cast("int"))
     palette = _palette(spark, d).where("image_id = 3").select("idx", "r", "g", "b")

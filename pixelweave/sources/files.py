@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,18 +47,24 @@ def _matching(b: Column, values: bytes, at: int = 0) -> Column:
 
 
 def certainty(b: Column, size: Column) -> dict[str, Column]:
-    """0 (no), 1 (maybe), 2 (probably), 3 (yes) for each format, from the first 64 bytes `b` and the file size."""
-    at = lambda i: F.get(b, F.lit(i))
-    one = lambda c: F.when(c, 1).otherwise(0)
-    level = lambda score, yes, probably, maybe: _let(score, lambda v: F.when(v >= yes, 3).when(v >= probably, 2).when(v >= maybe, 1).otherwise(0))
-    png = _matching(b, codecs.MAGIC + b"\0\0\0\rIHDR")
-    gif = _matching(b, b"GIF8") + one(at(4).isin(0x37, 0x39)) + one(at(5) == 0x61) + one(at(7) < 128) + one(at(9) < 128)
-    jpeg = 4 * _matching(b, b"\xff\xd8\xff") + 2 * one(at(3).isin(0xE0, 0xE1)) + F.greatest(_matching(b, b"JFIF\0", 6), _matching(b, b"Exif\0", 6))
-    bmp = F.when(_matching(b, b"BM") == 2, one(at(14).isin(12, 40, 52, 56, 108, 124)) + one((at(26) == 1) & (at(27) == 0)) + 4 * one(at(28).isin(1, 4, 8, 16, 24, 32) & (at(29) == 0)) + 3 * one(at(17) == 0)).otherwise(0)
-    targa = one(at(1).isin(0, 1)) + one(at(2).isin(1, 2, 3, 9, 10, 11)) + one(at(16).isin(8, 15, 16, 24, 32)) + one((at(12) + at(13) > 0) & (at(14) + at(15) > 0))
+    """0 (no), 1 (maybe), 2 (probably), 3 (yes) for each format, from the first 64 bytes `b` and the file size.
+
+    By the formats' specifications: a signature that the format prescribes is probable, with header fields in
+    their ranges certain. Targa prescribes none, so fields in range make it a maybe, and with true sizes probable.
+    """
+    at = lambda i: F.coalesce(F.get(b, F.lit(i)), F.lit(-1))
+    starts = lambda sign, i=0: _matching(b, sign, i) == len(sign)
+    level = lambda signed, valid: F.when(signed & valid, 3).when(signed, 2).otherwise(0)
+    word = lambda i: at(i) + 256 * at(i + 1)
+    depth = at(16).isin(8, 15, 16, 24, 32)
+    fields = at(1).isin(0, 1) & at(2).isin(1, 2, 3, 9, 10, 11) & depth & (word(12) > 0) & (word(14) > 0)
+    mapped = (at(1) == 1) & (at(7).isin(15, 16, 24, 32)) | (at(1) == 0) & (word(3) == 0) & (word(5) == 0) & (at(7) == 0)
     out = {
-        "png": F.when(size >= 41, level(png, 16, 13, 10)), "gif": F.when(size >= 16, level(gif, 8, 6, 4)), "jpeg": F.when(size >= 12, level(jpeg, 15, 11, 7)),
-        "bmp": F.when(size >= 30, level(bmp, 9, 6, 1)), "targa": F.when(size >= 18, level(targa, 99, 4, 2)),
+        "png": level(starts(codecs.MAGIC), starts(b"\0\0\0\rIHDR", 8) & (size >= 45)),
+        "gif": level(starts(b"GIF87a") | starts(b"GIF89a"), (word(6) > 0) & (word(8) > 0) & (size >= 14)),
+        "jpeg": level(starts(b"\xff\xd8\xff"), starts(b"JFIF\0", 6) | starts(b"Exif\0", 6)),
+        "bmp": F.when(starts(b"BM") & (size >= 26), F.when(at(14).isin(12, 40, 52, 56, 108, 124) & (at(15) == 0), 3).otherwise(1)).otherwise(0),
+        "targa": F.when(fields & (size >= 18), F.when(mapped, 2).otherwise(1)).otherwise(0),
     }
     return {k: F.coalesce(v, F.lit(0)) for k, v in out.items()}
 
@@ -133,6 +140,40 @@ def pack(df: DataFrame, key: str = "image_id") -> DataFrame:
     return whole.select(key, "width", "height", F.unhex("hex").alias("data"))
 
 
+def load_frames(files: DataFrame) -> DataFrame:
+    """Pixels of every frame of GIF files (path, content): (path, frame_no, left, top, delay, width, height, x, y, r, g,
+    b, a); delay in hundredths of a second. Unreadable files give none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    frames = codecs.decode_gif_frames(bytes(content))
+                except (ValueError, IndexError, __import__("struct").error):
+                    frames = []
+                rows += [(path, k, x, y, delay, image.shape[1], image.shape[0], np.ascontiguousarray(image).tobytes()) for k, (image, x, y, delay) in enumerate(frames)]
+            yield pd.DataFrame(rows, columns=["path", "frame_no", "left", "top", "delay", "width", "height", "data"])
+
+    return unpack(files.select("path", "content").mapInPandas(run, "path string, frame_no int, left int, top int, delay int, width int, height int, data binary"))
+
+
+def save_frames(df: DataFrame, key: str = "image_id", repeat: int = 0) -> DataFrame:
+    """(key, content binary): the frames (key, frame_no, delay, width, height, x, y, r, g, b, a) of each key as one
+    GIF animation; frames have equal sizes and at most 256 colours."""
+    kind = df.schema[key].dataType.simpleString()
+    named = df.withColumn("__frame", F.struct(F.col(key).alias("key"), "frame_no", "delay"))
+    frames = pack(named.select("__frame", "width", "height", "x", "y", "r", "g", "b", "a"), "__frame")
+    whole = frames.groupBy(F.col("__frame.key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("__frame.frame_no", "__frame.delay", "width", "height", "data"))).alias("frames"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [codecs.encode_gif([(np.frombuffer(f["data"], np.uint8).reshape(f["height"], f["width"], 4), f["delay"]) for f in frames], repeat) for frames in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[key, "content"])
+
+    return whole.mapInArrow(run, f"{key} {kind}, content binary")
+
+
 def save(df: DataFrame, fmt: str, key: str = "image_id") -> DataFrame:
     """(key, content binary): every image as a file of format `fmt`; unknown formats raise."""
     if fmt not in codecs.SAVERS:

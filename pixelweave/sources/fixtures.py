@@ -52,10 +52,10 @@ def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: DuckDB twins; a query's SQL starts with `WITH` and these.
 BYTE = "CAST(least(greatest(floor((CAST({0} AS DOUBLE) + 1.0) * 127.5 + 0.5), 0), 255) AS INT)"
-RGBA_SQL = f"""px0 AS (SELECT vec_id AS image_id, CAST(k % 8 AS INT) AS x, CAST(k // 8 AS INT) AS y, {BYTE.format('embedding[4*k+1]')} AS r, {BYTE.format('embedding[4*k+2]')} AS g, {BYTE.format('embedding[4*k+3]')} AS b, {BYTE.format('embedding[4*k+4]')} AS v
+RGBA_SQL = f"""px0 AS MATERIALIZED (SELECT vec_id AS image_id, CAST(k % 8 AS INT) AS x, CAST(k // 8 AS INT) AS y, {BYTE.format('embedding[4*k+1]')} AS r, {BYTE.format('embedding[4*k+2]')} AS g, {BYTE.format('embedding[4*k+3]')} AS b, {BYTE.format('embedding[4*k+4]')} AS v
   FROM embeddings, (SELECT unnest(range(0, 16)) AS k)),
-px AS (SELECT image_id, 8 AS width, 2 AS height, x, y, r, g, b, CAST(CASE (image_id + x + y) % 5 WHEN 0 THEN 0 WHEN 1 THEN 255 ELSE (v * 7) % 256 END AS INT) AS a FROM px0)"""
-GRAY_SQL = f"""gy AS (SELECT vec_id AS image_id, 8 AS width, 8 AS height, CAST(k % 8 AS INT) AS x, CAST(k // 8 AS INT) AS y, {BYTE.format('embedding[k+1]')} AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS k))"""
+px AS MATERIALIZED (SELECT image_id, 8 AS width, 2 AS height, x, y, r, g, b, CAST(CASE (image_id + x + y) % 5 WHEN 0 THEN 0 WHEN 1 THEN 255 ELSE (v * 7) % 256 END AS INT) AS a FROM px0)"""
+GRAY_SQL = f"""gy AS MATERIALIZED (SELECT vec_id AS image_id, 8 AS width, 8 AS height, CAST(k % 8 AS INT) AS x, CAST(k // 8 AS INT) AS y, {BYTE.format('embedding[k+1]')} AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS k))"""
 CANVAS_SQL = """cv AS (SELECT CAST(0 AS BIGINT) AS image_id, 100 AS width, CAST((SELECT max(event_id) // 100 + 1 FROM events) AS INT) AS height, CAST(event_id % 100 AS INT) AS x, CAST(event_id // 100 AS INT) AS y,
   CAST(CAST(floor(value) AS BIGINT) % 256 AS INT) AS r, CAST(user_id % 256 AS INT) AS g, CAST(event_id * 37 % 256 AS INT) AS b, 255 AS a FROM events)"""
 RECTS_SQL = """rc AS (SELECT o_orderkey AS rect_id, CAST(o_orderkey % 90 - 3 AS INT) AS x, CAST((o_orderkey // 7) % 90 - 2 AS INT) AS y, CAST(o_orderkey % 17 + 1 AS INT) AS w, CAST(o_orderkey % 11 + 1 AS INT) AS h FROM orders)"""

@@ -88,7 +88,7 @@ def test_diffusion_in_fronts_equals_raster_order(name):
                 if 0 <= x + dx < 9 and y + dy < 11:
                     share = e * k // divisor if divisor in (8, 16, 32) else np.trunc(e * k / divisor).astype(int)
                     work[y + dy, x + dx] = np.clip(work[y + dy, x + dx] + share, 0, 255)
-    assert (palette.diffuse(image, table, name) == out).all()
+    assert (palette.diffuse(np.stack([image, image[::-1]]), table, name)[0] == out).all()
 
 
 def test_median_cut(px):
