@@ -176,12 +176,12 @@ rects("q24_clip_flip", lambda r: _named("c", T.clip(r, 40, 30)) | _named("t", T.
 
 def _pairs(spark, d):
     """Rectangles of parts against those of orders: a range join, bucketed on a grid so that it is an equi-join
-    on cells; each pair is kept only in the cell of its overlap's corner. Cells are as large as the larger side's
-    mean rectangle, and orders are salted, parts copied to each salt, so that a dense cell is many keys."""
+    on cells; each pair is kept only in the cell of its overlap's corner. Cells are as large as orders'
+    rectangles in the mean, and orders are salted, parts copied to each salt, so that a dense cell is many keys."""
     a = X.rectangles(spark, d)
     p = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("part"), (F.col("p_partkey") * 13 % 90).cast("int").alias("x"), (F.col("p_partkey") * 29 % 90).cast("int").alias("y"), (F.col("p_size") % 9 + 1).cast("int").alias("w"), (F.col("p_size") % 5 + 1).cast("int").alias("h"))
-    mean = p.agg(F.avg(F.greatest("w", "h"))).first()[0] or 1.0
-    size, salts = max(2, int(mean + 0.5)), 8
+    mean = a.agg(F.avg(F.greatest("w", "h"))).first()[0] or 1.0
+    size, salts = max(2, int(mean + 0.5)), 4
     cell = lambda v: F.floor(v / size).cast("int")
 
     def celled(df):
@@ -191,7 +191,7 @@ def _pairs(spark, d):
     r, s = T.rect(), T.rect("s_")
     i, u = T.intersect(r, s), T.union(r, s)
     left = celled(a).withColumn("salt", F.pmod(F.xxhash64("rect_id"), F.lit(salts)).cast("int"))
-    joined = left.join(right, ["cx", "cy", "salt"]).where(T.intersects(r, s) & (F.col("cx") == cell(i["x"])) & (F.col("cy") == cell(i["y"])))
+    joined = left.join(right.hint("shuffle_hash"), ["cx", "cy", "salt"])  # many rows of a cell meet each of its parts: hashing spares their sort and replay.where(T.intersects(r, s) & (F.col("cx") == cell(i["x"])) & (F.col("cy") == cell(i["y"])))
     return joined.select("rect_id", "part", *[v.cast("int").alias(f"i_{k}") for k, v in i.items()], *[v.cast("int").alias(f"u_{k}") for k, v in u.items()], T.contains(r, s).alias("inside"))
 
 
