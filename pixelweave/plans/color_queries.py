@@ -191,7 +191,8 @@ def _pairs(spark, d):
     r, s = T.rect(), T.rect("s_")
     i, u = T.intersect(r, s), T.union(r, s)
     left = celled(a).withColumn("salt", F.pmod(F.xxhash64("rect_id"), F.lit(salts)).cast("int"))
-    joined = left.join(right.hint("shuffle_hash"), ["cx", "cy", "salt"])  # many rows of a cell meet each of its parts: hashing spares their sort and replay.where(T.intersects(r, s) & (F.col("cx") == cell(i["x"])) & (F.col("cy") == cell(i["y"])))
+    # Many rows of a cell meet each of its parts: hashing spares their sort and replay.
+    joined = left.join(right.hint("shuffle_hash"), ["cx", "cy", "salt"]).where(T.intersects(r, s) & (F.col("cx") == cell(i["x"])) & (F.col("cy") == cell(i["y"])))
     return joined.select("rect_id", "part", *[v.cast("int").alias(f"i_{k}") for k, v in i.items()], *[v.cast("int").alias(f"u_{k}") for k, v in u.items()], T.contains(r, s).alias("inside"))
 
 
