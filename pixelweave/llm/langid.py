@@ -26,6 +26,8 @@ PER_LANGUAGE = 3_000
 LEAST_RATE = 0.2
 PROBES = 3
 MOST_SLOTS = 1 << 21
+#: n-grams of a language that a task holds before it counts them.
+MOST_HELD = 1 << 20
 SEED = 8
 UNKNOWN = "und"
 _BLANK = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -105,13 +107,22 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     sample = rows.where(uniform(SEED, "key") < share[F.col("lang")]).select(number[F.col("lang")].alias("lang"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(lang: int, found: list[np.ndarray]) -> pa.RecordBatch:
+            g, n = np.unique(np.concatenate(found), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), lang, np.int32)), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+
+        held: dict[int, list[np.ndarray]] = {}
+        size: dict[int, int] = {}
         for batch in batches:
-            by: dict[int, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(grams(text))
-            for lang, found in by.items():
-                g, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), lang, np.int32)), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                key, found = lang.as_py(), grams(text.as_py())
+                held.setdefault(key, []).append(found)
+                size[key] = size.get(key, 0) + len(found)
+                if size[key] > MOST_HELD:  # memory follows neither the batch nor the task
+                    yield told(key, held.pop(key))
+                    size[key] = 0
+        for key, found in held.items():
+            yield told(key, found)
 
     seen = cut(sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row for each language
