@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import functions as F
@@ -76,4 +77,12 @@ cw AS (SELECT cv.*, hit.x IS NOT NULL AS hit FROM cv LEFT JOIN hit USING (x, y))
 on_canvas("k9_thick_line", lambda d: D.draw_thick_line(d, (10, 10), (70, 40), 5.0, INK), None)
 _NX, _NY = -(30.0) / (30.0**2 + 60.0**2) ** 0.5 * 2.5, 60.0 / (30.0**2 + 60.0**2) ** 0.5 * 2.5
 ORACLE_SQL["k9_thick_line"] = f"WITH {X.CANVAS_SQL}" + _polygon_sql(((10.5 + _NX, 10.5 + _NY), (70.5 + _NX, 40.5 + _NY), (70.5 - _NX, 40.5 - _NY), (10.5 - _NX, 10.5 - _NY)))
-on_canvas("k12_draw_bezier", lambda d: D.draw_bezier(d, (5, 5), (30, 90), (60, -40), (95, 50), INK), None)
+_CURVE = ((5, 5), (30, 90), (60, -40), (95, 50))
+on_canvas("k12_draw_bezier", lambda d: D.draw_bezier(d, *_CURVE, INK), None)
+_STEPS = max(int(sum(math.dist(a, b) for a, b in zip(_CURVE, _CURVE[1:], strict=False)) * 0.25), 20)
+_AT = [f"CAST(trunc((1 - t) ** 3 * {a[k]} + 3 * t * (1 - t) ** 2 * {b[k]} + 3 * t * t * (1 - t) * {c[k]} + t ** 3 * {e[k]} + 0.5e0) AS INT)" for k in (0, 1) for a, b, c, e in [_CURVE]]
+ORACLE_SQL["k12_draw_bezier"] = f"""WITH {X.CANVAS_SQL}, co AS (SELECT i, {_AT[0]} AS x1, {_AT[1]} AS y1 FROM (SELECT i, i / {_STEPS}e0 AS t FROM (SELECT unnest(range(0, {_STEPS + 1})) AS i))),
+seg AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy, greatest(abs(x2 - x1), abs(y2 - y1)) AS major FROM (SELECT *, lead(x1) OVER (ORDER BY i) AS x2, lead(y1) OVER (ORDER BY i) AS y2 FROM co) WHERE x2 IS NOT NULL),
+st AS (SELECT *, unnest(range(1, major + 1)) AS s FROM seg WHERE major > 0),
+hit AS (SELECT DISTINCT x, y FROM (SELECT x1 + sign(dx) * ((2 * s * abs(dx) + major) // (2 * major)) AS x, y1 + sign(dy) * ((2 * s * abs(dy) + major) // (2 * major)) AS y FROM st UNION ALL SELECT x1, y1 FROM co WHERE i = 0)),
+cw AS (SELECT cv.*, hit.x IS NOT NULL AS hit FROM cv LEFT JOIN hit USING (x, y)) {painted('hit', source='cw')}"""

@@ -256,7 +256,46 @@ SELECT image_id, x, y, CAST(CASE WHEN dp <> 0 AND CAST(trunc(dp / (dp + dq) * {n
 
 for _n in (2, 4, 8):
     on_rgba(f"v{ {2: 2, 4: 3, 8: 4}[_n] }_ordered_{_n}x{_n}", lambda d, n=_n: Q.ordered_dither(d, _PAL, n), _dither_sql(_n), _INDEXED)
+
+
+def _diffusion_sql(name: str) -> str:
+    """One pixel of all images a step, errors kept as lists in raster order; a pixel takes one tap after the other."""
+    divisor, taps = Q.DIFFUSION[name]
+    whole = "floor" if divisor & (divisor - 1) == 0 else "trunc"
+    step = "SELECT d.*, rs[k + 1] AS r, gs[k + 1] AS g, bs[k + 1] AS b FROM d JOIN im USING (image_id) WHERE k < 16"
+    for dx, dy, weight in sorted(taps, key=lambda t: (-t[1], -t[0])):
+        if dy < 2:  # the images have two lines
+            share = {c: f"CAST({whole}(e{c}[k + 1 - {dx + 8 * dy}] * {weight} / {divisor}e0) AS INT)" for c in "rgb"}
+            taken = ", ".join(f"CASE WHEN k % 8 - {dx} BETWEEN 0 AND 7 AND k // 8 >= {dy} THEN greatest(least({c} + {share[c]}, 255), 0) ELSE {c} END AS {c}" for c in "rgb")
+            step = f"SELECT * REPLACE ({taken}) FROM ({step})"
+    entries = ", ".join(f"{{'i': {i}, 'r': {r}, 'g': {g}, 'b': {b}}}" for i, (r, g, b) in enumerate(_PAL))
+    distance = " + ".join(f"({c} - e.{c}) * ({c} - e.{c})" for c in "rgb")
+    return f"""WITH RECURSIVE {X.RGBA_SQL}, im AS MATERIALIZED (SELECT image_id, {', '.join(f'list({c} ORDER BY y, x) AS {c}s' for c in 'rgb')} FROM px GROUP BY image_id),
+d AS (SELECT image_id, 0 AS k, CAST([] AS INT[]) AS er, CAST([] AS INT[]) AS eg, CAST([] AS INT[]) AS eb, CAST([] AS INT[]) AS vs FROM im
+UNION ALL SELECT image_id, k + 1, {', '.join(f'list_append(e{c}, {c} - pal[v + 1].{c})' for c in 'rgb')}, list_append(vs, v)
+  FROM (SELECT *, CAST(list_min(list_transform(pal, lambda e: ({distance}) * 16 + e.i)) % 16 AS INT) AS v FROM (SELECT *, [{entries}] AS pal FROM ({step}))))
+SELECT image_id, CAST(k % 8 AS INT) AS x, CAST(k // 8 AS INT) AS y, vs[k + 1] AS v FROM (SELECT image_id, vs, unnest(range(0, 16)) AS k FROM d WHERE k = 16)"""
+
+
+def _quantize_sql(n: int) -> str:
+    """Rows of (image, bucket, colour); each step splits one bucket of every image that has more than `n` colours."""
+    group = "OVER (PARTITION BY image_id, bucket)"
+    span = {c: f"max({c}) {group} - min({c}) {group}" for c in "rgb"}
+    upto = "PARTITION BY image_id, bucket ORDER BY CASE channel WHEN 0 THEN r WHEN 1 THEN g ELSE b END, r, g, b"
+    return f"""WITH RECURSIVE {X.RGBA_SQL}, co AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY image_id) AS kinds FROM (SELECT image_id, r, g, b, count(*) AS n FROM px GROUP BY ALL)),
+cut AS (SELECT image_id, r, g, b, n, 0 AS bucket, 0 AS step FROM co WHERE kinds > {n}
+UNION ALL SELECT image_id, r, g, b, n, CASE WHEN bucket <> chosen THEN bucket WHEN place = 1 OR (place < many AND 2 * before < total) THEN 2 * step + 1 ELSE 2 * step + 2 END, step + 1
+  FROM (SELECT *, row_number() OVER ({upto}) AS place, count(*) {group} AS many, sum(n) {group} AS total, sum(n) OVER ({upto} ROWS UNBOUNDED PRECEDING) - n AS before
+    FROM (SELECT *, first_value(bucket) OVER (PARTITION BY image_id ORDER BY greatest(sr, sg, sb) DESC, bucket) AS chosen, CASE WHEN sr >= sg AND sr >= sb THEN 0 WHEN sg >= sb THEN 1 ELSE 2 END AS channel
+      FROM (SELECT *, {', '.join(f'{v} AS s{c}' for c, v in span.items())} FROM cut WHERE step < {n - 1})))),
+mean AS (SELECT image_id, {', '.join(f'CAST(least(trunc(pow(avg(pow({c} / 255e0, 2.2e0)), 1 / 2.2e0) * 255 + 0.5e0), 255) AS INT) AS {c}' for c in 'rgb')} FROM cut WHERE step = {n - 1} GROUP BY image_id, bucket),
+own AS (SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY r, g, b) - 1 AS INT) AS idx, r, g, b FROM (SELECT DISTINCT * FROM mean UNION ALL SELECT image_id, r, g, b FROM co WHERE kinds <= {n}))"""
+
+
 for _k, _name in enumerate(Q.DIFFUSION):
     on_rgba(f"v{6 + _k}_{_name}", lambda d, name=_name: Q.diffusion_dither(d, _PAL, name), None, _INDEXED)
+    ORACLE_SQL[f"v{6 + _k}_{_name}"] = _diffusion_sql(_name)
 on_rgba("j2_quantize", lambda d: Q.quantize(d, 8), None, ("image_id", "idx", "r", "g", "b", "a"))
+ORACLE_SQL["j2_quantize"] = f"{_quantize_sql(8)} SELECT image_id, idx, r, g, b, 255 AS a FROM own"
 on_rgba("j5_to_own_palette", lambda d: Q.to_own_palette(d, 8), None, _INDEXED)
+ORACLE_SQL["j5_to_own_palette"] = f"{_quantize_sql(8)} SELECT image_id, px.x, px.y, arg_min(idx, ((px.r - own.r) ** 2 + (px.g - own.g) ** 2 + (px.b - own.b) ** 2) * 256 + idx) AS v FROM px JOIN own USING (image_id) GROUP BY ALL"
