@@ -44,8 +44,9 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.array_join(halves, "\\"))
 
 
-def branches(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, depth, total) for each root-to-leaf path of `nodes` (tree, node, parent, score).
+def branches(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, leaf, depth, total) for each root-to-leaf path of `nodes` (tree, node, parent, score), and the
+    jumps (tree, node, up) over 1, 2, 4, ... steps that the doubling found.
 
     Pointer doubling: after k joins a node has summed its 2^k nearest ancestors. Nodes that have reached a
     root leave the joins. A parent that does not exist makes a node a root; nodes on a cycle reach no
@@ -54,40 +55,37 @@ def branches(nodes: DataFrame) -> DataFrame:
     ids = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     known = ids.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     ids = cut(ids.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left").select("tree", "node", F.col("p").alias("up"), F.col("score").alias("total"), F.lit(1).alias("depth")))
-    n, done, step = ids.count(), None, 0
+    n, done, step, jumps = ids.count(), None, 0, []
     active = ids
     while True:
         ended = active.where("up IS NULL")
         done = ended if done is None else done.unionByName(ended)
         active = active.where("up IS NOT NULL")
-        if active.isEmpty() or 1 << step > n:
+        if 1 << step > n or active.isEmpty():
             break
+        jumps.append(active.select("tree", "node", "up"))
         # What a node points at may have ended; its sums are final all the same.
         seen = done.unionByName(active).select(F.col("tree").alias("t"), F.col("node").alias("m"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("depth").alias("d2"))
         active = cut(active.join(seen, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m"))).select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("t2")).alias("total"), (F.col("depth") + F.col("d2")).alias("depth")))
         step += 1
     parents = ids.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
     leaves = done.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
-    return leaves.select("tree", F.col("node").alias("leaf"), "depth", "total")
+    return leaves.select("tree", F.col("node").alias("leaf"), "depth", "total"), jumps
 
 
-def paths(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(tree, leaf, node, above) for every node on the path of each leaf; above: steps up from the leaf.
+def paths(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, total, node, above) for every node on the path of each leaf of `leaves` (tree, leaf, total);
+    above: steps up from the leaf.
 
-    Ancestor pointers of 1, 2, 4, ... steps are joined to all nodes found so far, which doubles the known
+    The jumps of 1, 2, 4, ... steps are joined to all nodes found so far, which doubles the known
     part of every path at once.
     """
-    jump = cut(nodes.select("tree", "node", F.col("parent").alias("up")))
-    found = cut(leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).alias("above")))
-    step = 1
-    while True:
-        side = jump.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("m"), F.col("up").alias("up2"))
-        more = cut(found.join(side, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("m"))).select("tree", "leaf", F.col("up2").alias("node"), (F.col("above") + step).alias("above")))
-        if more.isEmpty():
-            return found
+    found = leaves.select("tree", "leaf", "total", F.col("leaf").alias("node"), F.lit(0).alias("above"))
+    for k, jump in enumerate(jumps):
+        side = jump.select(F.col("tree").alias("t"), F.col("node").alias("m"), "up")
+        more = found.join(side, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("m"))).select("tree", "leaf", "total", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
         found = cut(found.unionByName(more))
-        step *= 2
-        jump = cut(jump.join(side, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m"))).select("tree", "node", F.col("up2").alias("up")))
+    return found
 
 
 def format_trees(messages: DataFrame, best: int = 1, learn_role: str = "assistant") -> DataFrame:
@@ -100,16 +98,16 @@ def format_trees(messages: DataFrame, best: int = 1, learn_role: str = "assistan
     branches may be any number and are ranked without gathering them. Empty input, empty result.
     """
     messages = messages.select("tree", "node", "parent", "role", "text", "score")
-    ranked = branches(messages)
+    ranked, jumps = branches(messages)
     order = Window.partitionBy("tree").orderBy(F.col("total").desc(), F.col("leaf"))
-    chosen = cut(ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).drop("rank"))
-    spread = paths(messages, chosen)
+    chosen = cut(ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("tree", "leaf", "total"))
+    spread = paths(chosen, jumps)
     side = messages.select(F.col("tree").alias("t"), F.col("node").alias("m"), "role", "text")
     told = spread.join(side, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("m"))).select(
-        "tree", "leaf", "above", F.concat(F.lit(START), escape_role(F.coalesce("role", F.lit(""))), F.lit("\n")).alias("head"),
+        "tree", "leaf", "total", "above", F.concat(F.lit(START), escape_role(F.coalesce("role", F.lit(""))), F.lit("\n")).alias("head"),
         escape(F.coalesce("text", F.lit(""))).alias("body"), F.coalesce(F.col("role") == learn_role, F.lit(False)).alias("learn"),
     )
-    turns = told.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct((-F.col("above")).alias("o"), "head", "body", "learn"))).alias("turns"))
+    turns = told.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct((-F.col("above")).alias("o"), "head", "body", "learn"))).alias("turns"), F.first("total").alias("total"))
     foot = len(END) + 1
     lengths = F.transform("turns", lambda t: F.struct(F.length(t["head"]).alias("h"), F.length(t["body"]).alias("b"), t["learn"].alias("learn")))
     empty = F.expr("cast(array() as array<struct<start: int, end: int>>)")
@@ -122,9 +120,7 @@ def format_trees(messages: DataFrame, best: int = 1, learn_role: str = "assistan
         lambda acc: acc["spans"],
     )
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n"))), "")
-    out = turns.select("tree", "leaf", text.alias("formatted"), walked.alias("loss_spans"))
-    totals = chosen.select(F.col("tree").alias("t"), F.col("leaf").alias("l"), "total")
-    return out.join(totals, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l"))).select("tree", "leaf", "total", "formatted", "loss_spans")
+    return turns.select("tree", "leaf", "total", text.alias("formatted"), walked.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
