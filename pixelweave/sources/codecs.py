@@ -139,15 +139,17 @@ def encode_bmp(image: Image, alpha: bool = True) -> bytes:
 
 
 def decode_bmp(data: bytes) -> Image | None:
-    """1, 4, 8, 24 and 32 bits and bit fields, without run-length coding."""
+    """1, 4, 8, 24 and 32 bits and bit fields, without run-length coding; a negative height means lines from the top."""
     if data[:2] != b"BM":
         return None
     at = struct.unpack_from("<I", data, 10)[0]
     size, w, h, _, depth, coding = struct.unpack_from("<IiiHHI", data, 14)
-    if h <= 0 or w <= 0 or coding not in (0, 3):
+    if not h or w <= 0 or coding not in (0, 3):
         return None
+    down, h = h < 0, abs(h)
     row = -(-w * depth // 32) * 4
-    lines = np.frombuffer(data, np.uint8, row * h, at).reshape(h, row)[::-1]
+    lines = np.frombuffer(data, np.uint8, row * h, at).reshape(h, row)
+    lines = lines if down else lines[::-1]
     if depth <= 8:
         used = struct.unpack_from("<I", data, 46)[0] or 1 << depth
         palette = np.frombuffer(data, np.uint8, used * 4, 14 + size).reshape(-1, 4)[:, [2, 1, 0]]

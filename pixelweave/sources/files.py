@@ -90,14 +90,17 @@ def guess_format(content: Column, path: Column | None = None) -> Column:
 
 
 def metadata(files: DataFrame) -> DataFrame:
-    """(path, format, width, height) from the head of each file, in SQL."""
+    """(path, format, width, height) from the head of each file, in SQL; sizes beyond an int are null."""
     f = files.select("path", _bytes(F.col("content"), 32).alias("b"), guess_format(F.col("content"), F.col("path")).alias("format"))
-    at = lambda i: F.get("b", F.lit(i))
+    at = lambda i: F.get("b", F.lit(i)).cast("long")
     big = lambda i: ((at(i) * 256 + at(i + 1)) * 256 + at(i + 2)) * 256 + at(i + 3)
     little = lambda i: at(i) + at(i + 1) * 256
-    places = {"png": (big(16), big(20)), "gif": (little(6), little(8)), "bmp": (little(18), little(22)), "targa": (little(12), little(14))}
+    signed = lambda i: little(i) + (little(i + 2) - F.when(at(i + 3) >= 128, 65_536).otherwise(0)) * 65_536
+    old = at(14) == 12  # the oldest header has sizes of two bytes; later ones a negative height for lines from the top
+    bmp = (F.when(old, little(18)).otherwise(signed(18)), F.when(old, little(20)).otherwise(F.abs(signed(22))))
+    places = {"png": (big(16), big(20)), "gif": (little(6), little(8)), "bmp": bmp, "targa": (little(12), little(14))}
     pick = lambda k: F.coalesce(*[F.when(F.col("format") == name, v[k]) for name, v in places.items()])
-    return f.select("path", "format", pick(0).cast("int").alias("width"), pick(1).cast("int").alias("height"))
+    return f.select("path", "format", pick(0).try_cast("int").alias("width"), pick(1).try_cast("int").alias("height"))
 
 
 def load(files: DataFrame, fmt: str | None = None) -> DataFrame:
@@ -132,11 +135,12 @@ def unpack(packed: DataFrame) -> DataFrame:
     return p.drop("line").withColumns({c: part(i) for i, c in enumerate("rgba")}).drop("h")
 
 
-def pack(df: DataFrame, key: str = "image_id") -> DataFrame:
-    """(key, width, height, data binary): row-major rgba bytes of each image."""
+def pack(df: DataFrame, key: str = "image_id", order: str = "rgba", upward: bool = False) -> DataFrame:
+    """(key, width, height, data binary): row-major bytes of each image, channels as in `order`, lines from the top
+    or, `upward`, from the bottom."""
     two = lambda c: F.lpad(F.hex(F.col(c).cast("long")), 2, "0")
-    rows = df.groupBy(key, "width", "height", "y").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", F.concat(*[two(c) for c in "rgba"]).alias("p")))), lambda s: s["p"]), "").alias("line"))
-    whole = rows.groupBy(key, "width", "height").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "line"))), lambda s: s["line"]), "").alias("hex"))
+    rows = df.groupBy(key, "width", "height", "y").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", F.concat(*[two(c) for c in order]).alias("p")))), lambda s: s["p"]), "").alias("line"))
+    whole = rows.groupBy(key, "width", "height").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "line")), asc=not upward), lambda s: s["line"]), "").alias("hex"))
     return whole.select(key, "width", "height", F.unhex("hex").alias("data"))
 
 
@@ -174,11 +178,38 @@ def save_frames(df: DataFrame, key: str = "image_id", repeat: int = 0) -> DataFr
     return whole.mapInArrow(run, f"{key} {kind}, content binary")
 
 
+def _little(v: Column | int, n: int) -> Column:
+    """Hex of the `n` low bytes of a number, lowest first."""
+    h = F.lpad(F.hex((F.lit(v) if isinstance(v, int) else v).cast("long")), 16, "0")
+    return F.concat(*[F.substring(h, 15 - 2 * i, 2) for i in range(n)])
+
+
+def _bmp_head(width: Column, height: Column, size: Column) -> Column:
+    """Hex of a file header and a V4 header: 32 bits, bit fields, sRGB."""
+    fields = [(size + 122, 4), (0, 4), (122, 4), (108, 4), (width, 4), (height, 4), (1, 2), (32, 2), (3, 4), (size, 4), (2835, 4), (2835, 4), (0, 8), (0xFF0000, 4), (0xFF00, 4), (0xFF, 4), (0xFF000000, 4)]
+    return F.concat(F.lit("424D"), *[_little(v, n) for v, n in fields], F.lit(b"BGRs".hex() + "00" * 48))
+
+
+def _targa_head(width: Column, height: Column, size: Column) -> Column:
+    """Hex of a header for 32 bits without a palette, lines from the bottom."""
+    return F.concat(F.lit("000002" + "00" * 9), _little(width, 2), _little(height, 2), F.lit("2008"))
+
+
+#: Header of the formats that need no coding, by the saver that stands for it in the table of formats.
+_PLAIN = {codecs.encode_bmp: _bmp_head, codecs.encode_targa: _targa_head}
+
+
 def save(df: DataFrame, fmt: str, key: str = "image_id") -> DataFrame:
-    """(key, content binary): every image as a file of format `fmt`; unknown formats raise."""
+    """(key, content binary): every image as a file of format `fmt`; unknown formats raise.
+
+    BMP and Targa are written in column expressions; only compressing formats and registered ones run in Python.
+    """
     if fmt not in codecs.SAVERS:
         raise ValueError(f"no saver for {fmt}")
     encode, kind = codecs.SAVERS[fmt], df.schema[key].dataType.simpleString()
+    if encode in _PLAIN:
+        head = F.unhex(_PLAIN[encode](F.col("width"), F.col("height"), F.octet_length("data")))
+        return pack(df, key, "bgra", upward=True).select(key, F.concat(head, "data").alias("content"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -62,6 +62,27 @@ def test_png_without_alpha_and_gif_frames():
     assert (codecs.decode_gif(codecs.gif_of(big)) == big).all()
 
 
+@pytest.mark.parametrize("fmt", ["bmp", "targa"])
+def test_plain_files_are_written_by_expressions(spark, px, fmt):
+    out = files.save(px, fmt)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    images = {r.image_id: np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 4) for r in files.pack(px).collect()}
+    assert {r.image_id: bytes(r.content) for r in out.collect()} == {k: codecs.SAVERS[fmt](v) for k, v in images.items()}
+
+
+def test_bmp_lines_from_the_top(spark):
+    image = np.random.default_rng(4).integers(0, 256, (3, 5, 4)).astype(np.uint8)
+    data = bytearray(codecs.encode_bmp(image[::-1]))
+    data[22:26] = (-3).to_bytes(4, "little", signed=True)
+    assert (codecs.decode_bmp(bytes(data)) == image).all()
+    row = files.metadata(spark.createDataFrame([("a", data)], "path string, content binary")).first()
+    assert (row.format, row.width, row.height) == ("bmp", 5, 3)
+    huge = bytearray(codecs.encode_png(image))
+    huge[16:20] = b"\xff" * 4
+    row = files.metadata(spark.createDataFrame([("a", huge)], "path string, content binary")).first()
+    assert (row.format, row.width, row.height) == ("png", None, 3)
+
+
 def test_broken_files_give_no_pixels(spark):
     rows = spark.createDataFrame([("a.png", bytearray(codecs.MAGIC)), ("b", bytearray(b"")), ("c", None)], "path string, content binary")
     assert files.load(rows).count() == 0
