@@ -10,6 +10,7 @@ from ..operators import palette as Q
 from ..functions.named import palettes
 from ..sources import files as L
 from ..sources import fixtures as X
+from ..sources import jpeg
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -69,3 +70,15 @@ def _sniff(spark, d):
 QUERIES["b4_sniff"] = _sniff
 ORACLE_SQL["b4_sniff"] = """SELECT f || '/' || vec_id AS path, f AS format, 8 AS width, 2 AS height FROM embeddings, (SELECT unnest(['png', 'bmp', 'targa']) AS f)
 UNION ALL SELECT 'text/' || doc_id, NULL, NULL, NULL FROM documents"""
+
+
+QUERIES["b27_jpeg_coefficients"] = lambda spark, d: L.jpeg_coefficients(X.rgba(spark, d), quality=90).select("image_id", "channel", "k", "v")
+_DIVISORS = ", ".join(f"({int(c > 0)}, {c}, {k}, {q})" for c in range(3) for k, q in enumerate(jpeg.quantizers(90)[int(c > 0)].tolist()))
+#: Every image is one block, whose lower six lines repeat its second one.
+ORACLE_SQL["b27_jpeg_coefficients"] = f"""WITH {X.RGBA_SQL}, q(t, channel, k, divisor) AS (VALUES {_DIVISORS}),
+c AS MATERIALIZED (SELECT u, i, CASE u WHEN 0 THEN sqrt(0.5) ELSE 1 END / 2 * cos((2 * i + 1) * u * pi() / 16) AS f FROM range(8) AS a(u), range(8) AS b(i)),
+s AS (SELECT image_id, x, y, unnest([0, 1, 2]) AS channel, unnest([0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b - 128, (b - 0.299::DOUBLE * r - 0.587::DOUBLE * g - 0.114::DOUBLE * b) / 1.772::DOUBLE, (r - 0.299::DOUBLE * r - 0.587::DOUBLE * g - 0.114::DOUBLE * b) / 1.402::DOUBLE]) AS v FROM px),
+across AS MATERIALIZED (SELECT image_id, channel, y, u, sum(v * f) AS v FROM s JOIN c ON i = x GROUP BY ALL),
+waves AS (SELECT image_id, channel, 8 * c.u + across.u AS k, sum(v * f) AS v FROM across JOIN c ON least(i, 1) = y GROUP BY ALL),
+found AS (SELECT image_id, channel, k, CAST(floor(v / divisor + 0.5 + 1e-6) AS INT) AS v FROM waves JOIN q USING (channel, k))
+SELECT image_id, CAST(channel AS INT) AS channel, CAST(k AS INT) AS k, v FROM found WHERE v <> 0"""

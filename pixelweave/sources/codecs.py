@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from . import jpeg
+
 Image = np.ndarray
 MAGIC = b"\x89PNG\r\n\x1a\n"
 
@@ -360,7 +362,7 @@ def gif_of(image: Image) -> bytes:
 
 #: (decoder, encoder) by format; register() adds, replaces or removes.
 LOADERS: dict[str, Callable[[bytes], Image | None]] = {"png": decode_png, "bmp": decode_bmp, "targa": decode_targa, "gif": decode_gif}
-SAVERS: dict[str, Callable[[Image], bytes]] = {"png": encode_png, "bmp": encode_bmp, "targa": encode_targa, "gif": gif_of}
+SAVERS: dict[str, Callable[[Image], bytes]] = {"png": encode_png, "bmp": encode_bmp, "targa": encode_targa, "gif": gif_of, "jpeg": jpeg.encode}
 
 
 def register(name: str, loader: Callable | None, saver: Callable | None) -> None:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codecs
+from . import codecs, jpeg
 
 # File extensions by format.
 EXTENSIONS = {"png": (".png",), "gif": (".gif",), "jpeg": (".jpg", ".jpe", ".jpeg", ".jfif"), "bmp": (".bmp",), "targa": (".tga",)}
@@ -203,10 +203,13 @@ def save(df: DataFrame, fmt: str, key: str = "image_id") -> DataFrame:
     """(key, content binary): every image as a file of format `fmt`; unknown formats raise.
 
     BMP and Targa are written in column expressions; only compressing formats and registered ones run in Python.
+    JPEG goes through `save_jpeg`.
     """
     if fmt not in codecs.SAVERS:
         raise ValueError(f"no saver for {fmt}")
     encode, kind = codecs.SAVERS[fmt], df.schema[key].dataType.simpleString()
+    if encode is jpeg.encode:
+        return save_jpeg(df, key)
     if encode in _PLAIN:
         head = F.unhex(_PLAIN[encode](F.col("width"), F.col("height"), F.octet_length("data")))
         return pack(df, key, "bgra", upward=True).select(key, F.concat(head, "data").alias("content"))
@@ -219,6 +222,57 @@ def save(df: DataFrame, fmt: str, key: str = "image_id") -> DataFrame:
     return pack(df, key).mapInPandas(run, f"{key} {kind}, content binary")
 
 
+def _bands(df: DataFrame, key: str) -> DataFrame:
+    """(key, band, width, height, data): red, green and blue of eight lines a row, from the top."""
+    named = df.withColumn("__band", F.struct(F.col(key).alias("key"), F.floor(F.col("y") / 8).cast("int").alias("band")))
+    return pack(named, "__band", "rgb").select("__band.key", "__band.band", "width", "height", "data")
+
+
+def jpeg_coefficients(df: DataFrame, key: str = "image_id", quality: int = 85) -> DataFrame:
+    """(key, band, block, channel, k, v): what `save_jpeg` codes, the quantized waves that are not zero.
+
+    A band is eight lines, a block eight columns of it, channel 0 brightness and 1, 2 the colours, k = 8 * v + u.
+    """
+    kind, tables = df.schema[key].dataType.simpleString(), jpeg.quantizers(quality)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                w, data = batch.column(2)[i].as_py(), batch.column(4)[i].as_py()
+                found = jpeg.coefficients(np.frombuffer(data, np.uint8).reshape(-1, w, 3), tables)
+                at = np.nonzero(found)
+                rows = [pa.array(a.astype(np.int32)) for a in (*at, found[at])]
+                same = [batch.column(c).take(pa.array(np.full(len(at[0]), i))) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*same, *rows], names=["key", "band", "block", "channel", "k", "v"])
+
+    return _bands(df, key).mapInArrow(run, f"key {kind}, band int, block int, channel int, k int, v int").withColumnRenamed("key", key)
+
+
+def save_jpeg(df: DataFrame, key: str = "image_id", quality: int = 85) -> DataFrame:
+    """(key, content binary): every image as a baseline JPEG file of a quality from 1 to 100; alpha is left out.
+
+    Tasks code bands of eight lines, so an image needs no single task until its coded bands are joined. Images with a
+    side over 65,535, which the format cannot say, get null content.
+    """
+    kind, tables = df.schema[key].dataType.simpleString(), jpeg.quantizers(quality)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            coded = [None if data is None else jpeg.band(jpeg.coefficients(np.frombuffer(data, np.uint8).reshape(-1, w, 3), tables)) for w, data in pairs]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(coded, pa.binary())], names=["key", "band", "width", "height", "coded"])
+
+    fits = (F.col("width") <= jpeg.LONGEST) & (F.col("height") <= jpeg.LONGEST)
+    bands = _bands(df, key).withColumn("data", F.when(fits, F.col("data")))
+    coded = bands.mapInArrow(run, f"key {kind}, band int, width int, height int, coded binary")
+    mark = F.when((F.col("band") + 1) * 8 < F.col("height"), F.concat(F.lit("FF"), F.hex((F.col("band") % 8 + 0xD0).cast("long")))).otherwise("")
+    whole = coded.withColumn("part", F.concat(F.hex("coded"), mark)).groupBy("key", "width", "height").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("band", "part"))), lambda b: b["part"]), "").alias("body"))
+    first, second, third = (F.lit(h.hex()) for h in jpeg.heads(quality))
+    big = lambda v: F.lpad(F.hex(v.cast("long")), 4, "0")
+    head = F.concat(first, big(F.col("height")), big(F.col("width")), second, big(F.floor((F.col("width") + 7) / 8)), third)
+    return whole.select(F.col("key").alias(key), F.when(fits, F.unhex(F.concat(head, "body", F.lit("FFD9")))).alias("content"))
+
+
 def read_with_jvm(spark: SparkSession, path: str) -> DataFrame:
     """Pixels of the files under `path` by Spark's own image source; this is the way to read JPEG.
 

@@ -185,3 +185,29 @@ def test_jvm_reader(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(codecs.encode_png(image, alpha=False))
     for r in files.read_with_jvm(spark, str(tmp_path)).collect():
         assert (r.r, r.g, r.b, r.a) == tuple(image[r.y, r.x].tolist())
+
+
+def test_jpeg(spark, tmp_path):
+    """Written in bands, read by Spark's image source: near the original, equal to the whole image coded in one go."""
+    from pixelweave.sources import jpeg
+
+    at = np.mgrid[0:21, 0:37]
+    smooth = np.dstack([at[1] * 6, at[0] * 12, (at[0] + at[1]) * 4, at[0] * 0 + 255]).astype(np.uint8)
+    noise = np.random.default_rng(3).integers(0, 256, (9, 16, 4)).astype(np.uint8)
+    plain = np.full((80, 3, 4), 255, np.uint8)
+    rows = [(k, i.shape[1], i.shape[0], bytearray(i.tobytes())) for k, i in enumerate((smooth, noise, plain))]
+    pixels = files.unpack(spark.createDataFrame(rows, "image_id long, width int, height int, data binary"))
+    for k, (quality, most, mean) in enumerate(((85, 40, 3), (100, 6, 1.5), (85, 2, 1))):
+        image = (smooth, noise, plain)[k]
+        content = bytes(files.save_jpeg(pixels.where(f"image_id = {k}"), quality=quality).first().content)
+        assert content == jpeg.encode(image, quality)
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "a.jpg").write_bytes(content)
+        found = files.read_with_jvm(spark, str(tmp_path / str(k))).toPandas()
+        assert len(found) == image.shape[0] * image.shape[1]
+        off = np.abs(found[["r", "g", "b"]].to_numpy().astype(int) - image[found.y, found.x, :3].astype(int))
+        assert off.max() <= most and off.mean() <= mean
+    sniffed = files.metadata(files.save(pixels, "jpeg").select(F.col("image_id").cast("string").alias("path"), "content"))
+    assert {r.format for r in sniffed.collect()} == {"jpeg"}
+    wide = spark.createDataFrame([(1, 70_000, 1, 0, 0, 1, 2, 3, 4)], "image_id long, width int, height int, x int, y int, r int, g int, b int, a int")
+    assert files.save_jpeg(wide).first().content is None
