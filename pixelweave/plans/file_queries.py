@@ -82,3 +82,19 @@ across AS MATERIALIZED (SELECT image_id, channel, y, u, sum(v * f) AS v FROM s J
 waves AS (SELECT image_id, channel, 8 * c.u + across.u AS k, sum(v * f) AS v FROM across JOIN c ON least(i, 1) = y GROUP BY ALL),
 found AS (SELECT image_id, channel, k, CAST(floor(v / divisor + 0.5 + 1e-6) AS INT) AS v FROM waves JOIN q USING (channel, k))
 SELECT image_id, CAST(channel AS INT) AS channel, CAST(k AS INT) AS k, v FROM found WHERE v <> 0"""
+
+
+def _notes(spark, d):
+    """Notes of every image, through PNG files and back."""
+    i = F.col("image_id")
+    notes = {
+        "Title": F.concat(F.lit("image "), i.cast("string")), "Comment": F.concat(F.lit("größer als "), (i - 1).cast("string")), ".Origin": F.lit("embeddings"), "Gamma": ((i % 7 + 1) / 8).cast("string"),
+        "PixelsPerMeterX": (i + 100).cast("string"), "PixelsPerMeterY": (i + 200).cast("string"), "Timestamp": F.concat(F.lit("2024-02-29T03:04:"), F.lpad((i % 60).cast("string"), 2, "0")),
+    }
+    files = L.save(X.rgba(spark, d), "png").withColumn("metadata", F.create_map(*[c for k, v in notes.items() for c in (F.lit(k), v)]))
+    return L.png_metadata(L.with_png_metadata(files).withColumn("path", i.cast("string"))).select(F.col("path").cast("long").alias("image_id"), "key", "value")
+
+
+QUERIES["b13_png_metadata"] = _notes
+ORACLE_SQL["b13_png_metadata"] = """SELECT vec_id AS image_id, unnest(['Title', 'Comment', '.Origin', 'Gamma', 'PixelsPerMeterX', 'PixelsPerMeterY', 'Timestamp']) AS key,
+unnest(['image ' || vec_id, 'größer als ' || (vec_id - 1), 'embeddings', CAST((vec_id % 7 + 1) / 8.0::DOUBLE AS VARCHAR), CAST(vec_id + 100 AS VARCHAR), CAST(vec_id + 200 AS VARCHAR), '2024-02-29T03:04:' || lpad(CAST(vec_id % 60 AS VARCHAR), 2, '0')]) AS value FROM embeddings"""

@@ -40,6 +40,26 @@ def png_chunks(data: bytes) -> list[tuple[bytes, bytes]]:
     return out
 
 
+def png_notes(data: bytes) -> list[tuple[str, str | None, bytes]]:
+    """(kind, name, bytes) of the chunks that carry no pixels, compressed ones inflated; texts as UTF-8, kind "text"."""
+    out = []
+    for kind, body in png_chunks(data) if data.startswith(MAGIC) else []:
+        try:
+            if kind in (b"tEXt", b"zTXt", b"iCCP"):
+                name, _, rest = body.partition(b"\0")
+                plain = rest if kind == b"tEXt" else zlib.decompress(rest[1:])
+                out.append(("iCCP", name.decode("latin-1"), plain) if kind == b"iCCP" else ("text", name.decode("latin-1"), plain.decode("latin-1").encode()))
+            elif kind == b"iTXt":
+                name, _, rest = body.partition(b"\0")
+                plain = rest[2:].split(b"\0", 2)[2]
+                out.append(("text", name.decode("latin-1"), (zlib.decompress(plain) if rest[0] else plain).decode("utf-8", "replace").encode()))
+            elif kind != b"IDAT":
+                out.append((kind.decode("latin-1"), None, body))
+        except (zlib.error, IndexError):  # a broken note does not cost the others
+            continue
+    return out
+
+
 def encode_png(image: Image, alpha: bool = True, level: int = 6) -> bytes:
     """True colour, with alpha if asked; every row takes the filter of least absolute sum."""
     h, w = image.shape[:2]

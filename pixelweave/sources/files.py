@@ -103,6 +103,88 @@ def metadata(files: DataFrame) -> DataFrame:
     return f.select("path", "format", pick(0).try_cast("int").alias("width"), pick(1).try_cast("int").alias("height"))
 
 
+#: Text keys with a name of their own; any other text is kept under a dot and its keyword. Fixed values.
+PNG_TEXTS = ("Title", "Author", "Copyright", "Description", "Comment", "Disclaimer", "Warning", "Software")
+CHROMATICITIES = ("WhitePointX", "WhitePointY", "RedX", "RedY", "GreenX", "GreenY", "BlueX", "BlueY")
+INTENTS = ("Perceptual", "RelativeColorimetric", "Saturation", "AbsoluteColorimetric")
+
+
+def png_metadata(files: DataFrame) -> DataFrame:
+    """(path, key, value) of the notes in PNG files (path, content); of equal keys the last one counts.
+
+    Keys are Gamma, Chromaticity..., SrgbRenderingIntent, IccpProfile (base 64), IccpProfileName, PixelsPerMeterX and Y,
+    Timestamp, those of PNG_TEXTS, and "." with the keyword of other texts. Files that are no PNG give no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, n, *note) for i, content in enumerate(batch.column(1)) if content.is_valid for n, note in enumerate(codecs.png_notes(content.as_py()))]
+            places, numbers, kinds, names, bodies = zip(*rows, strict=True) if rows else ([], [], [], [], [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(places, pa.int32())), pa.array(numbers, pa.int32()), pa.array(kinds, pa.string()), pa.array(names, pa.string()), pa.array(bodies, pa.binary())],
+                names=["path", "n", "kind", "name", "data"],
+            )
+
+    chunks = files.select("path", "content").mapInArrow(run, "path string, n int, kind string, name string, data binary")
+    number = lambda i, size=4: F.conv(F.hex(F.substring("data", i + 1, size)), 16, 10).cast("long")
+    of = lambda key, value: F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
+    text = F.decode("data", "UTF-8")
+    key = F.concat(F.lit("."), F.col("name"))
+    for known in PNG_TEXTS:
+        key = F.when(F.lower("name") == known.lower(), known).otherwise(key)
+    intent = F.get(F.array(*map(F.lit, INTENTS)), number(0, 1).cast("int"))
+    moment = F.format_string("%04d-%02d-%02dT%02d:%02d:%02d", number(0, 2), *[number(i, 1) for i in range(2, 7)])
+    entries = {
+        "gAMA": [of("Gamma", number(0) / 100_000)], "sRGB": [of("SrgbRenderingIntent", intent)], "tIME": [of("Timestamp", moment)],
+        "cHRM": [of(f"Chromaticity{name}", number(4 * i) / 100_000) for i, name in enumerate(CHROMATICITIES)],
+        "pHYs": [of("PixelsPerMeterX", number(0)), of("PixelsPerMeterY", number(4))],
+        "iCCP": [of("IccpProfile", F.base64("data")), of("IccpProfileName", F.col("name"))],
+        "text": [F.struct(key.alias("key"), text.alias("value"))],
+    }
+    cases = F.lit(None)
+    for kind, found in entries.items():
+        cases = F.when(F.col("kind") == kind, F.array(*found)).otherwise(cases)
+    told = chunks.select("path", "n", F.inline(cases)).where("value IS NOT NULL")
+    return told.groupBy("path", "key").agg(F.max_by("value", "n").alias("value"))
+
+
+def with_png_metadata(files: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """PNG files (…, content, `metadata` map of strings) with the notes of the map behind their header, in column
+    expressions; a null map changes nothing.
+
+    Gamma, PixelsPerMeterX and Y (both), Timestamp and texts are written, under the keys of `png_metadata`; other
+    keys, and keywords that are not 1 to 79 printable ASCII characters, are left out.
+    """
+    m = F.col(metadata)
+    four = lambda v: F.lpad(F.hex(v.cast("long")), 8, "0")
+
+    def chunk(kind: str, body: Column) -> Column:  # body in hex
+        whole = F.unhex(F.concat(F.lit(kind.encode().hex()), body))
+        return F.concat(four(F.length(body) / 2), F.hex(whole), four(F.crc32(whole)))
+
+    known = F.array(*map(F.lit, PNG_TEXTS))
+    entries = F.filter(F.map_entries(m), lambda e: F.array_contains(known, e["key"]) | e["key"].rlike(r"^\.[ -~]{1,79}$"))
+
+    def text(e: Column) -> Column:
+        name = F.hex(F.encode(F.regexp_replace(e["key"], r"^\.", ""), "UTF-8"))
+        value = F.hex(F.encode(F.coalesce(e["value"], F.lit("")), "UTF-8"))
+        ascii = e["value"].rlike(r"^[\x01-\x7f]*$")
+        return F.when(ascii, chunk("tEXt", F.concat(name, F.lit("00"), value))).otherwise(chunk("iTXt", F.concat(name, F.lit("0000000000"), value)))
+
+    small = lambda v, n: F.lpad(F.hex(v.cast("long")), n, "0")
+    at = F.to_timestamp_ntz(m["Timestamp"])
+    moment = F.concat(small(F.year(at), 4), *[small(f(at), 2) for f in (F.month, F.day, F.hour, F.minute, F.second)])
+    notes = [
+        chunk("gAMA", four(F.round(m["Gamma"].try_cast("double") * 100_000))),
+        chunk("pHYs", F.concat(four(m["PixelsPerMeterX"].try_cast("long")), four(m["PixelsPerMeterY"].try_cast("long")), F.lit("01"))),
+        chunk("tIME", moment),
+        F.array_join(F.transform(entries, text), ""),
+    ]
+    head = F.concat(*[F.coalesce(n, F.lit("")) for n in notes])
+    behind = F.concat(F.substring("content", 1, 33), F.unhex(head), F.expr("substring(content, 34)"))
+    return files.withColumn("content", F.when(m.isNull(), F.col("content")).otherwise(behind))
+
+
 def load(files: DataFrame, fmt: str | None = None) -> DataFrame:
     """Pixels (path, width, height, x, y, r, g, b, a) of (path, content) rows; unreadable files give none.
 

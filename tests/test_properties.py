@@ -211,3 +211,29 @@ def test_jpeg(spark, tmp_path):
     assert {r.format for r in sniffed.collect()} == {"jpeg"}
     wide = spark.createDataFrame([(1, 70_000, 1, 0, 0, 1, 2, 3, 4)], "image_id long, width int, height int, x int, y int, r int, g int, b int, a int")
     assert files.save_jpeg(wide).first().content is None
+
+
+def test_png_notes(spark):
+    """Compressed notes, colour chunks, broken ones, repeated keys; pixels stay as they are."""
+    import struct
+    import zlib
+
+    image = np.random.default_rng(4).integers(0, 256, (3, 5, 4)).astype(np.uint8)
+    file = codecs.encode_png(image)
+    extra = [
+        (b"cHRM", struct.pack(">8I", *range(10_000, 90_000, 10_000))), (b"sRGB", b"\1"), (b"iCCP", b"mine\0\0" + zlib.compress(b"profile")),
+        (b"zTXt", b"author\0\0" + zlib.compress("é".encode("latin-1"))), (b"iTXt", b"Note\0\1\0de\0\0" + zlib.compress("→".encode())),
+        (b"tEXt", b"Title\0one"), (b"tEXt", b"title\0two"), (b"zTXt", b"broken\0\0xx"), (b"iTXt", b"short"),
+    ]
+    noted = file[:33] + b"".join(codecs._chunk(*c) for c in extra) + file[33:]
+    rows = spark.createDataFrame([("a", bytearray(noted)), ("b", bytearray(b"none")), ("c", None), ("d", bytearray(file))], "path string, content binary")
+    found = {r.key: r.value for r in files.png_metadata(rows).collect()}
+    names = ("WhitePointX", "WhitePointY", "RedX", "RedY", "GreenX", "GreenY", "BlueX", "BlueY")
+    colours = {f"Chromaticity{n}": str((i + 1) / 10) for i, n in enumerate(names)}
+    assert found == colours | {"SrgbRenderingIntent": "RelativeColorimetric", "IccpProfile": "cHJvZmlsZQ==", "IccpProfileName": "mine", "Author": "é", ".Note": "→", "Title": "two"}
+    given = rows.where("path = 'd'").withColumn("metadata", F.expr("map('Title', 'x', '.k', null, 'Gamma', 'none', 'unknown', 'y', 'PixelsPerMeterX', '3')"))
+    written = files.with_png_metadata(given)
+    assert {r.key: r.value for r in files.png_metadata(written).collect()} == {"Title": "x", ".k": ""}
+    assert (codecs.decode_png(bytes(written.first().content)) == image).all()
+    same = files.with_png_metadata(rows.withColumn("metadata", F.expr("cast(null as map<string, string>)")))
+    assert {r.path: r.content for r in same.collect()} == {r.path: r.content for r in rows.collect()}
