@@ -1,5 +1,6 @@
-"""Convolutions. Rows and columns of an image are window partitions, so a large image spreads by line;
-taps outside the image are null and drop out. Terms are added in a fixed order in doubles."""
+"""Convolutions. Window partitions are pieces of an image's rows and columns with a margin that covers the kernel, so
+a large image spreads over tasks whatever its shape; taps outside the image are null and drop out. Terms are added in a
+fixed order in doubles."""
 
 from __future__ import annotations
 
@@ -20,9 +21,17 @@ BOX = (1,) * 9
 ROUND = (1, 2, 1, 2, 4, 2, 1, 2, 1)
 
 
-def _line(axis: str):
+#: Pixels of a line that one window holds, margins aside.
+PIECE = 512
+
+
+def _pieces(df: DataFrame, axis: str, reach: int) -> tuple[DataFrame, Window, Column]:
+    """`df` dealt to pieces of its lines along `axis`, pixels within `reach` of a border to both sides of it; the
+    window of a piece, and whether a row is at home in it (the others only serve as neighbours)."""
     across = "y" if axis == "x" else "x"
-    return Window.partitionBy("image_id", across).orderBy(axis)
+    at = lambda shift: F.floor((F.col(axis) + shift) / PIECE)
+    dealt = df.withColumn("__piece", F.explode(F.sequence(F.greatest(at(-reach), F.lit(0)), at(reach))))
+    return dealt, Window.partitionBy("image_id", across, "__piece").orderBy(axis), F.col("__piece") == at(0)
 
 
 def _add(terms: Sequence[Column]) -> Column:
@@ -55,11 +64,11 @@ def convolve(df: DataFrame, kernel: Sequence[float], kw: int, kh: int, strength:
         raise ValueError("the kernel must have odd sides and kw * kh entries")
     k = _blended(kernel, strength, kw * kh // 2)
     rx, ry = kw // 2, kh // 2
-    row = _line("x")
+    dealt, row, home = _pieces(df, "x", rx)
     gathered = {c: F.array(*[F.lag(c, -dx).over(row) for dx in range(-rx, rx + 1)]) for c in channels}
-    wide = df.withColumns({f"__{c}": v for c, v in gathered.items()})
-    column = _line("y")
-    rows = wide.withColumns({f"__{c}_{j}": F.lag(f"__{c}", -(j - ry)).over(column) for c in channels for j in range(kh)})
+    wide = dealt.withColumns({f"__{c}": v for c, v in gathered.items()}).where(home)
+    dealt, column, home = _pieces(wide.drop("__piece"), "y", ry)
+    rows = dealt.withColumns({f"__{c}_{j}": F.lag(f"__{c}", -(j - ry)).over(column) for c in channels for j in range(kh)}).where(home)
     taps = lambda c: [(F.get(f"__{c}_{j}", F.lit(i)), k[j * kw + i]) for j in range(kh) for i in range(kw)]
     out = put(rows, {c: to_byte(_weighted(taps(c), divide)) for c in channels})
     return out.select(*df.columns)
@@ -95,8 +104,10 @@ def convolve_line(df: DataFrame, kernel: Sequence[float], axis: str, strength: f
         raise ValueError("the kernel must be of odd length")
     half = len(kernel) // 2
     k = _blended(kernel, strength, half)
-    w = _line(axis)
-    return put(df, {c: to_byte(_weighted([(F.lag(c, -(i - half)).over(w), k[i]) for i in range(len(k))], divide)) for c in RGB})
+    dealt, w, home = _pieces(df, axis, half)
+    taps = {c: [(F.lag(c, -(i - half)).over(w), k[i]) for i in range(len(k))] for c in RGB}
+    rows = dealt.withColumns({f"__{c}": _weighted(t, divide) for c, t in taps.items()}).where(home)
+    return put(rows, {c: to_byte(F.col(f"__{c}")) for c in RGB}).select(*df.columns)
 
 
 def gaussian_kernel(size: int, sigma: float) -> list[float]:

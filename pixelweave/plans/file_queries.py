@@ -10,7 +10,7 @@ from ..operators import palette as Q
 from ..functions.named import palettes
 from ..sources import files as L
 from ..sources import fixtures as X
-from ..sources import jpeg
+from ..sources import jpeg, sprites
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -98,3 +98,30 @@ def _notes(spark, d):
 QUERIES["b13_png_metadata"] = _notes
 ORACLE_SQL["b13_png_metadata"] = """SELECT vec_id AS image_id, unnest(['Title', 'Comment', '.Origin', 'Gamma', 'PixelsPerMeterX', 'PixelsPerMeterY', 'Timestamp']) AS key,
 unnest(['image ' || vec_id, 'größer als ' || (vec_id - 1), 'embeddings', CAST((vec_id % 7 + 1) / 8.0::DOUBLE AS VARCHAR), CAST(vec_id + 100 AS VARCHAR), CAST(vec_id + 200 AS VARCHAR), '2024-02-29T03:04:' || lpad(CAST(vec_id % 60 AS VARCHAR), 2, '0')]) AS value FROM embeddings"""
+
+
+def _sprites(spark, d):
+    """A sprite file of each image: an uncompressed cel on a named layer, a second frame linked to it, and a tag."""
+    hexes = lambda *fields: F.concat(*[L._little(v, n) for v, n in fields])
+    half = lambda c: F.octet_length(F.unhex(c))
+    chunk = lambda kind, body: F.concat(hexes((half(body) + 6, 4), (kind, 2)), body)
+    word = lambda t: F.concat(hexes((len(t), 2)), F.lit(t.encode().hex()))
+    i = F.col("image_id")
+    layer = chunk(sprites.LAYER, F.concat(hexes((1, 2), (0, 8), (0, 2), (255, 1), (0, 3)), word("ink")))
+    cel = chunk(sprites.CEL, F.concat(hexes((0, 2), (F.pmod(i, F.lit(9)) - 4, 2), (3, 2), (F.pmod(i, F.lit(256)), 1), (0, 2), (0, 7), (F.col("width"), 2), (F.col("height"), 2)), F.hex("data")))
+    link = chunk(sprites.CEL, hexes((0, 2), (0, 2), (0, 2), (255, 1), (1, 2), (0, 7), (0, 2)))
+    tag = chunk(sprites.TAGS, F.concat(hexes((1, 2), (0, 8), (0, 2), (1, 2), (2, 1), (0, 8), (0, 4)), word("run")))
+    frame = lambda n, ms, body: F.concat(hexes((half(body) + 16, 4), (sprites.FRAME_MAGIC, 2), (n, 2), (ms, 2), (0, 2), (n, 4)), body)
+    frames = F.concat(frame(3, 100, F.concat(layer, tag, cel)), frame(1, F.pmod(i, F.lit(50)) + 1, link))
+    head = hexes((half(frames) + 128, 4), (sprites.MAGIC, 2), (2, 2), (F.col("width"), 2), (F.col("height"), 2), (32, 2))
+    return L.pack(X.rgba(spark, d)).select(i.cast("string").alias("path"), F.unhex(F.concat(head, F.lit("00" * (128 - 14)), frames)).alias("content"))
+
+
+QUERIES["b29_sprite_cels"] = lambda spark, d: L.unpack(sprites.cels(_sprites(spark, d))).select(
+    F.col("path").cast("long").alias("image_id"), "frame_no", "duration_ms", "layer_name", "layer_visible", "cel_x", "cel_y", "opacity", "width", "height", "x", "y", "r", "g", "b", "a"
+)
+ORACLE_SQL["b29_sprite_cels"] = f"""WITH {X.RGBA_SQL}, f AS (SELECT CAST(unnest([0, 1]) AS INT) AS frame_no)
+SELECT image_id, frame_no, CAST(CASE frame_no WHEN 0 THEN 100 ELSE image_id % 50 + 1 END AS INT) AS duration_ms, 'ink' AS layer_name, true AS layer_visible, CAST(CASE frame_no WHEN 0 THEN image_id % 9 - 4 ELSE 0 END AS INT) AS cel_x,
+  CASE frame_no WHEN 0 THEN 3 ELSE 0 END AS cel_y, CAST(CASE frame_no WHEN 0 THEN image_id % 256 ELSE 255 END AS INT) AS opacity, width, height, x, y, r, g, b, a FROM px, f"""
+QUERIES["b29_sprite_tags"] = lambda spark, d: sprites.tags(_sprites(spark, d)).select(F.col("path").cast("long").alias("image_id"), "name", "first_frame", "last_frame", "direction")
+ORACLE_SQL["b29_sprite_tags"] = "SELECT vec_id AS image_id, 'run' AS name, 0 AS first_frame, 1 AS last_frame, 2 AS direction FROM embeddings"

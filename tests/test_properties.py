@@ -237,3 +237,13 @@ def test_png_notes(spark):
     assert (codecs.decode_png(bytes(written.first().content)) == image).all()
     same = files.with_png_metadata(rows.withColumn("metadata", F.expr("cast(null as map<string, string>)")))
     assert {r.path: r.content for r in same.collect()} == {r.path: r.content for r in rows.collect()}
+
+
+def test_convolutions_do_not_see_pieces(px, monkeypatch):
+    kernel = [1, 2, 3, 4, 5, 6, 7]
+    runs = [lambda: stencil.convolve(px, range(1, 16), 5, 3, 0.7, True), lambda: stencil.convolve_line(px, kernel, "x", 1.0, True), lambda: stencil.convolve_line(px, kernel, "y", 1.0, True), lambda: stencil.gaussian_blur(px, 2.0)]
+    whole = [run() for run in runs]
+    for size in (1, 2, 3):
+        monkeypatch.setattr(stencil, "PIECE", size)
+        for run, expected in zip(runs, whole, strict=True):
+            assert equal(run(), expected)
