@@ -60,7 +60,7 @@ def _sniff(spark, d):
     """Formats and sizes of the encoded images, with texts of documents as negatives."""
     px = X.rgba(spark, d)
     files = None
-    for fmt in ("png", "bmp", "targa"):
+    for fmt in ("png", "bmp", "targa", "jpeg"):
         one = L.save(px, fmt).select(F.concat(F.lit(f"{fmt}/"), F.col("image_id").cast("string")).alias("path"), "content")
         files = one if files is None else files.unionByName(one)
     texts = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("text/"), F.col("doc_id").cast("string")).alias("path"), F.encode(F.concat(F.lit("~" * 20), F.col("text")), "UTF-8").alias("content"))
@@ -68,7 +68,7 @@ def _sniff(spark, d):
 
 
 QUERIES["b4_sniff"] = _sniff
-ORACLE_SQL["b4_sniff"] = """SELECT f || '/' || vec_id AS path, f AS format, 8 AS width, 2 AS height FROM embeddings, (SELECT unnest(['png', 'bmp', 'targa']) AS f)
+ORACLE_SQL["b4_sniff"] = """SELECT f || '/' || vec_id AS path, f AS format, 8 AS width, 2 AS height FROM embeddings, (SELECT unnest(['png', 'bmp', 'targa', 'jpeg']) AS f)
 UNION ALL SELECT 'text/' || doc_id, NULL, NULL, NULL FROM documents"""
 
 

@@ -89,16 +89,35 @@ def guess_format(content: Column, path: Column | None = None) -> Column:
     return _let(_bytes(content), best)
 
 
+def _number(data: str | Column, at: Column | int) -> Column:
+    """Two bytes of `data` from place `at` (0 the first), high one first."""
+    start = at + 1 if isinstance(at, Column) else F.lit(at + 1)
+    return F.conv(F.hex(F.substring(F.col(data) if isinstance(data, str) else data, start, F.lit(2))), 16, 10).cast("long")
+
+
+def _jpeg_frame(content: Column) -> Column:
+    """What follows the length of the frame segment (precision, height, width), by a walk from mark to mark; null
+    without one. Marks C4, C8 and CC are no frames."""
+    frames = [0xFFC0 + i for i in range(16) if i not in (4, 8, 12)]
+    step = lambda p, _: F.when(_number(content, p).isin(frames), p).otherwise(p + 2 + F.coalesce(_number(content, p + 2), F.lit(0)))
+    place = F.aggregate(F.sequence(F.lit(1), F.lit(1024)), F.lit(2).cast("long"), step)
+    return _let(place, lambda p: F.when(_number(content, p).isin(frames), F.substring(content, p + 5, F.lit(5))))
+
+
 def metadata(files: DataFrame) -> DataFrame:
-    """(path, format, width, height) from the head of each file, in SQL; sizes beyond an int are null."""
-    f = files.select("path", _bytes(F.col("content"), 32).alias("b"), guess_format(F.col("content"), F.col("path")).alias("format"))
+    """(path, format, width, height) from the head of each file, in SQL; sizes beyond an int are null.
+
+    A JPEG file says its size behind other segments, which are walked over; beyond 1,024 of them the size is null.
+    """
+    kind = guess_format(F.col("content"), F.col("path"))
+    f = files.select("path", _bytes(F.col("content"), 32).alias("b"), kind.alias("format"), F.when(kind == "jpeg", _jpeg_frame(F.col("content"))).alias("frame"))
     at = lambda i: F.get("b", F.lit(i)).cast("long")
     big = lambda i: ((at(i) * 256 + at(i + 1)) * 256 + at(i + 2)) * 256 + at(i + 3)
     little = lambda i: at(i) + at(i + 1) * 256
     signed = lambda i: little(i) + (little(i + 2) - F.when(at(i + 3) >= 128, 65_536).otherwise(0)) * 65_536
     old = at(14) == 12  # the oldest header has sizes of two bytes; later ones a negative height for lines from the top
     bmp = (F.when(old, little(18)).otherwise(signed(18)), F.when(old, little(20)).otherwise(F.abs(signed(22))))
-    places = {"png": (big(16), big(20)), "gif": (little(6), little(8)), "bmp": bmp, "targa": (little(12), little(14))}
+    places = {"png": (big(16), big(20)), "gif": (little(6), little(8)), "bmp": bmp, "targa": (little(12), little(14)), "jpeg": (_number("frame", 3), _number("frame", 1))}
     pick = lambda k: F.coalesce(*[F.when(F.col("format") == name, v[k]) for name, v in places.items()])
     return f.select("path", "format", pick(0).try_cast("int").alias("width"), pick(1).try_cast("int").alias("height"))
 

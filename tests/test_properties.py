@@ -208,7 +208,9 @@ def test_jpeg(spark, tmp_path):
         off = np.abs(found[["r", "g", "b"]].to_numpy().astype(int) - image[found.y, found.x, :3].astype(int))
         assert off.max() <= most and off.mean() <= mean
     sniffed = files.metadata(files.save(pixels, "jpeg").select(F.col("image_id").cast("string").alias("path"), "content"))
-    assert {r.format for r in sniffed.collect()} == {"jpeg"}
+    assert {(r.format, r.width, r.height) for r in sniffed.collect()} == {("jpeg", 37, 21), ("jpeg", 16, 9), ("jpeg", 3, 80)}
+    cut = spark.createDataFrame([("a.jpg", bytearray(jpeg.encode(noise)[:80]))], "path string, content binary")
+    assert [tuple(r) for r in files.metadata(cut).collect()] == [("a.jpg", "jpeg", None, None)]
     wide = spark.createDataFrame([(1, 70_000, 1, 0, 0, 1, 2, 3, 4)], "image_id long, width int, height int, x int, y int, r int, g int, b int, a int")
     assert files.save_jpeg(wide).first().content is None
 
