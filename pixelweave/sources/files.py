@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -204,28 +206,50 @@ def with_png_metadata(files: DataFrame, metadata: str = "metadata") -> DataFrame
     return files.withColumn("content", F.when(m.isNull(), F.col("content")).otherwise(behind))
 
 
-def load(files: DataFrame, fmt: str | None = None) -> DataFrame:
-    """Pixels (path, width, height, x, y, r, g, b, a) of (path, content) rows; unreadable files give none.
+#: Unpacked bytes of images that a task holds at once, the last image aside.
+HELD_BYTES = 1 << 26
 
-    The decoder yields one packed row for an image; pixels are unpacked by Spark.
-    """
+
+def decode(files: DataFrame, fmt: str | None = None) -> DataFrame:
+    """(path, format, width, height, data, error) for each (path, content) row: an image packed in rgba bytes, or what
+    was wrong with the file. `fmt` stands for guessing by content and path."""
     chosen = F.lit(fmt) if fmt else guess_format(F.col("content"), F.col("path"))
-    table = dict(codecs.LOADERS)
+    table, kinds = dict(codecs.LOADERS), (pa.int32(), pa.int32(), pa.binary(), pa.string())
+
+    def one(kind: str | None, content: bytes | None) -> tuple:
+        if content is None:
+            return None, None, None, "no content"
+        if kind not in table:
+            return None, None, None, "unknown format" if kind is None else f"no loader for {kind}"
+        try:
+            image = table[kind](content)
+        except (ValueError, IndexError, KeyError, OSError, zlib.error, struct.error) as e:
+            return None, None, None, f"broken file: {e}"
+        if image is None:
+            return None, None, None, "unsupported variant"
+        return image.shape[1], image.shape[0], np.ascontiguousarray(image).tobytes(), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows, size = 0, [], 0
+            for i in range(batch.num_rows):
+                rows.append(one(batch.column(1)[i].as_py(), batch.column(2)[i].as_py()))
+                size += len(rows[-1][2] or b"")
+                if size > HELD_BYTES or i + 1 == batch.num_rows:  # memory follows neither the batch nor the task
+                    new = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(rows)) for c in (0, 1)), *new], names=["path", "format", "width", "height", "data", "error"])
+                    at, rows, size = i + 1, [], 0
+
+    return files.select("path", chosen.alias("format"), "content").mapInArrow(run, "path string, format string, width int, height int, data binary, error string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, kind, content in zip(pdf["path"], pdf["format"], pdf["content"], strict=True):
-                try:
-                    image = table[kind](bytes(content)) if kind in table else None
-                except (ValueError, IndexError, KeyError, OSError, __import__("zlib").error, __import__("struct").error):
-                    image = None
-                if image is not None:
-                    rows.append((path, image.shape[1], image.shape[0], np.ascontiguousarray(image).tobytes()))
-            yield pd.DataFrame(rows, columns=["path", "width", "height", "data"])
 
-    packed = files.select("path", chosen.alias("format"), "content").mapInPandas(run, "path string, width int, height int, data binary")
-    return unpack(packed)
+def load(files: DataFrame, fmt: str | None = None) -> DataFrame:
+    """Pixels (path, width, height, x, y, r, g, b, a) of (path, content) rows; unreadable files give none, `decode`
+    tells why.
+
+    The decoder yields one packed row for an image; pixels are unpacked by Spark.
+    """
+    return unpack(decode(files, fmt).where("error IS NULL").drop("format", "error"))
 
 
 def unpack(packed: DataFrame) -> DataFrame:
@@ -255,7 +279,7 @@ def load_frames(files: DataFrame) -> DataFrame:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
                     frames = codecs.decode_gif_frames(bytes(content))
-                except (ValueError, IndexError, __import__("struct").error):
+                except (ValueError, IndexError, struct.error):
                     frames = []
                 rows += [(path, k, x, y, delay, image.shape[1], image.shape[0], np.ascontiguousarray(image).tobytes()) for k, (image, x, y, delay) in enumerate(frames)]
             yield pd.DataFrame(rows, columns=["path", "frame_no", "left", "top", "delay", "width", "height", "data"])

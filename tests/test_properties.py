@@ -249,3 +249,11 @@ def test_convolutions_do_not_see_pieces(px, monkeypatch):
         monkeypatch.setattr(stencil, "PIECE", size)
         for run, expected in zip(runs, whole, strict=True):
             assert equal(run(), expected)
+
+
+def test_unreadable_files_are_told(spark):
+    good = codecs.encode_png(np.zeros((1, 2, 4), np.uint8))
+    rows = [("good", bytearray(good)), ("cut", bytearray(good[:50])), ("text", bytearray(b"no image")), ("null", None), ("sprite.jpg", bytearray(b"\xff\xd8\xff\xe0"))]
+    found = {r.path: r for r in files.decode(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert {p: r.error for p, r in found.items() if p != "cut"} == {"good": None, "text": "unknown format", "null": "no content", "sprite.jpg": "no loader for jpeg"}
+    assert found["cut"].error and found["cut"].data is None and (found["good"].width, found["good"].height, bytes(found["good"].data)) == (2, 1, bytes(8))
