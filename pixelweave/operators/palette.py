@@ -101,6 +101,7 @@ def ordered_dither(df: DataFrame, palette: Palette, n: int, weights: Sequence[fl
 
 
 #: Error diffusion: divisor and (dx, dy, weight) taps, dy >= 0.
+# Published weights.
 DIFFUSION: dict[str, tuple[int, list[tuple[int, int, int]]]] = {
     "floyd_steinberg": (16, [(1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)]),
     "atkinson": (8, [(1, 0, 1), (2, 0, 1), (-1, 1, 1), (0, 1, 1), (1, 1, 1), (0, 2, 1)]),

@@ -116,12 +116,22 @@ def brightness_contrast(df: DataFrame, brightness: float, contrast: float) -> Da
     return adjust_range(df, **{k: (least, most - least) for k in RGB})
 
 
+# A published fit to the colour of a black body, t in hundreds of kelvin: a * (t - shift) ** power for red
+# and for green above 66, a * ln(t - shift) + b for green up to 66 and for blue.
+RED_POWER = (329.698727446, 60, -0.1332047592)
+GREEN_POWER = (288.1221695283, 60, -0.0755148492)
+GREEN_LOG = (99.4708025861, 0, -161.1195681661)
+BLUE_LOG = (138.5177312231, 10, -305.0447927307)
+
+
 def color_temperature(df: DataFrame, kelvin: float) -> DataFrame:
     """White of a black body; 6600 K is nearly neutral. Alpha stays."""
     t = min(max(kelvin, 1000.0), 40_000.0) / 100
-    red = 255.0 if t <= 66 else 329.698727446 * math.pow(t - 60, -0.1332047592)
-    green = 99.4708025861 * math.log(t) - 161.1195681661 if t <= 66 else 288.1221695283 * math.pow(t - 60, -0.0755148492)
-    blue = 255.0 if t >= 66 else 0.0 if t <= 19 else 138.5177312231 * math.log(t - 10) - 305.0447927307
+    power = lambda a, shift, e: a * math.pow(t - shift, e)
+    log = lambda a, shift, b: a * math.log(t - shift) + b
+    red = 255.0 if t <= 66 else power(*RED_POWER)
+    green = log(*GREEN_LOG) if t <= 66 else power(*GREEN_POWER)
+    blue = 255.0 if t >= 66 else 0.0 if t <= 19 else log(*BLUE_LOG)
     unit = lambda v: (0.0, min(max(v, 0.0), 255.0) * 256 / 255)
     return adjust_range(df, r=unit(red), g=unit(green), b=unit(blue))
 

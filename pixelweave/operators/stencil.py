@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.color import RGB, to_byte
 from .point import put
 
+# Kernels of the named filters.
 EMBOSS = (-2, -1, 0, -1, 1, 1, 0, 1, 2)
 SHARPEN = (0, -1, 0, -1, 5, -1, 0, -1, 0)
 EDGES4 = (0, -1, 0, -1, 4, -1, 0, -1, 0)
