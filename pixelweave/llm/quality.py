@@ -85,17 +85,17 @@ def repeated_words(words: Column) -> Column:
     return F.when(n >= 4, count).otherwise(0).cast("long")
 
 
-def measures(docs: DataFrame, text_col: str = "text", most_lost: float = MOST_LOST, min_words: int = MIN_WORDS, most_repeated: float = MOST_REPEATED) -> DataFrame:
-    """`docs` with a struct column __q (docs must have none of that name): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
+def measures(docs: DataFrame, text_col: str = "text", most_lost: float = MOST_LOST, min_words: int = MIN_WORDS, most_repeated: float = MOST_REPEATED, result_col: str = "__q") -> DataFrame:
+    """`docs` with a struct column `result_col`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
     n_bad_lines (long), lost_chars (long), clean_text, base_failed and kept.
 
     Null text counts as empty: no words, base_failed, not kept, clean_text null. Lines are split at \\n; a line
     without words is neither a failure nor a duplicate. Repeated rows get equal results. Words and texts may
-    have any length. An empty table stays empty.
+    have any length. An empty table stays empty. As with `withColumn`, a column named `result_col` is replaced; all
+    others stay, whatever their names. Where `result_col` is the text's own name, the struct takes the text's place.
     """
-    if "__q" in (c.lower() for c in docs.columns):
-        raise ValueError("docs has a column __q")
-    w, p_ = free_name(docs, "words"), free_name(docs, "parts")
+    named = docs.withColumn(result_col, F.lit(0))
+    w, p_ = free_name(named, "words"), free_name(named, "parts")
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(text, BLANK), lambda w: w != "")
     lines = F.split(text, "\n")
@@ -106,14 +106,14 @@ def measures(docs: DataFrame, text_col: str = "text", most_lost: float = MOST_LO
     n_words, chars = F.size(w).cast("long"), F.length(F.regexp_replace(text, BLANK, "")).cast("long")
     lost = F.aggregate(F.filter(p_, lambda p: p["bad"]), F.lit(0), lambda a, p: a + F.length(F.regexp_replace(p["line"], BLANK, ""))).cast("long")
     clean = F.when(F.col(text_col).isNotNull(), F.array_join(F.transform(F.filter(p_, lambda p: ~p["bad"]), lambda p: p["line"]), "\n"))
-    out = out.withColumn("__q", F.struct(
+    out = out.withColumn(result_col, F.struct(
         n_words.alias("n_words"), chars.alias("word_chars"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         dup.cast("long").alias("n_dup_lines"), repeated_words(F.col(w)).alias("n_repeat_words"),
         F.size(F.filter(p_, lambda p: p["bad"])).cast("long").alias("n_bad_lines"), lost.alias("lost_chars"), clean.alias("clean_text"),
     ))
-    q = F.col("__q")
+    q = F.col(result_col)
     failed = (q["n_words"] < min_words) | (q["n_repeat_words"] > most_repeated * q["n_words"])
-    return out.withColumn("__q", q.withField("base_failed", failed).withField("kept", ~failed & (q["lost_chars"] <= most_lost * q["word_chars"]))).drop(w, p_)
+    return out.withColumn(result_col, q.withField("base_failed", failed).withField("kept", ~failed & (q["lost_chars"] <= most_lost * q["word_chars"]))).drop(w, p_)
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
