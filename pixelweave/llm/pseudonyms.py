@@ -209,12 +209,11 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", *, key: str, back: boo
     the kinds of what was replaced, in order.
 
     The key is secret: who has it can go back. Null text stays null with no kinds; texts without a digit or @ are not
-    searched further. All columns and repeated rows stay (a column named `kinds_col` is refused); an empty table
-    stays empty; whole texts are searched.
+    searched further. Repeated rows and all columns stay, but for one named `kinds_col`, which is replaced as by
+    `withColumn`; an empty table stays empty; whole texts are searched.
     """
-    if kinds_col.lower() in (c.lower() for c in docs.columns):
-        raise ValueError(f"docs has a column {kinds_col}")
-    text, hit, told = F.col(text_col), free_name(docs, "hits"), free_name(docs, "told")
+    named = docs.withColumn(kinds_col, F.lit(0))
+    text, hit, told = F.col(text_col), free_name(named, "hits"), free_name(named, "told")
     empty = F.expr("cast(array() as array<string>)")
     hits = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(_ALL), F.lit(0))).otherwise(empty)
     out = docs.withColumn(hit, F.coalesce(hits, empty))

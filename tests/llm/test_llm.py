@@ -403,8 +403,9 @@ def test_op5_stock_phrases_and_clashing_columns(spark):
     rows = {r.doc_id: r for r in quality.measures(docs).collect()}
     assert rows[1]["__q"].n_bad_lines == 0 and rows[2]["__q"].n_bad_lines == 1
     assert rows[1]["__words"] == 5 and rows[1]["__parts"] == 6
-    with pytest.raises(ValueError):
-        quality.measures(docs.withColumn("__q", F.lit(1)))
+    assert {r.doc_id: r["__q"] for r in quality.measures(docs.withColumn("__Q", F.lit(1))).collect()} == {i: r["__q"] for i, r in rows.items()}
+    named = quality.measures(docs.withColumn("__q", F.lit(1)), result_col="found").collect()
+    assert {r.doc_id: (r["__q"], r.found) for r in named} == {i: (1, r["__q"]) for i, r in rows.items()}
 
 
 def test_op5_is_computed_once_in_the_pipeline(spark, data):
@@ -555,8 +556,8 @@ def test_op7_layouts_and_clashing_columns(spark):
     assert pseudonyms.pseudonymise(out.drop("found"), key="k", back=True, kinds_col="found").drop("found").exceptAll(docs).isEmpty()
     assert not pseudonyms.pseudonymise(docs.drop("__kinds"), key="other").select("text").exceptAll(out.select("text")).isEmpty()
     assert pseudonyms.pseudonymise(docs.where("false"), key="k", kinds_col="found").count() == 0
-    with pytest.raises(ValueError):
-        pseudonyms.pseudonymise(docs, key="k")
+    over = pseudonyms.pseudonymise(docs, key="k")
+    assert over.columns == docs.columns and {r.doc_id: r["__kinds"] for r in over.collect()} == {r.doc_id: r.found for r in out.collect()}
 
 
 def test_op7_equals_a_plain_feistel(spark):
@@ -741,3 +742,42 @@ def test_pipeline_stages(spark, data):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, data)
     assert empty.count() == 0 and isinstance(empty.schema, T.StructType)
+
+
+# ------------------------------------------------------------------ all: empty tables, clashing columns, text ids
+
+CLASHING = ("id", "th", "node", "root", "a", "b", "n", "g", "v", "key", "lang_pred", "score", "shard", "slot", "place", "group", "kinds", "hit", "item", "span", "line", "__kinds", "__hits", "__told", "__parts", "__bucket", "__size", "__source")
+
+
+@pytest.mark.parametrize("rows", ["none", "edges"])
+def test_operators_take_any_table(spark, rows):
+    """Empty tables give empty results; edge rows all come back, whatever other columns are called."""
+    docs = edge_docs(spark).drop("id").withColumns({c: F.lit(1) for c in CLASHING})
+    n = docs.count()
+    if rows == "none":
+        docs, n = docs.where("false"), 0
+    items = frame(spark, [("q1", "the quick brown fox"), ("q2", None), ("q2", "")], "item_id string, text string")
+    model = toxicity.fit(docs, frame(spark, [(3, 1), (5, 0)], "doc_id long, toxic int"))
+    found = {
+        "1": decontaminate.find_contamination(docs, items), "1, no items": decontaminate.find_contamination(docs, items.where("false")),
+        "3": near_dedup.near_duplicates(docs), "4": mixing.mix(docs).select("doc_id", "text").distinct(), "5": quality.measures(docs),
+        "6": toxicity.score(docs, model), "7": pseudonyms.pseudonymise(docs, key="k"), "8": langid.predict(docs, langid.fit(docs)), "9": tokens.count_tokens(docs), "10": sharding.shard_documents(docs),
+    }
+    counts = {k: df.count() for k, df in found.items()}
+    mixed = counts.pop("4")
+    assert counts == dict.fromkeys(counts, n) and (mixed > 0) == (n > 0)
+    if n:
+        assert set(docs.columns) <= set(found["7"].columns)
+
+
+def test_pipeline_stages_take_any_table(spark, data):
+    docs = edge_docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    for start in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, start, data)
+            assert out.count() <= 3 * start.count()
+            if name != "sharded":
+                assert set(out.columns) == set(start.columns)
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    assert near_dedup.keep_one(named).where("doc_id = 'd3'").count() == 1
+    assert sharding.shard_documents(named).select("shard", "slot").distinct().count() == 8
