@@ -1,5 +1,5 @@
 """The modules whose queries are registered."""
 
-from . import chat, decontaminate, langid, mixing, near_dedup, pseudonyms, quality, sharding, tokens, toxicity
+from . import chat, decontaminate, langid, mixing, near_dedup, pseudonyms, quality, sharding, spelling, tokens, toxicity
 
-MODULES = [decontaminate, chat, near_dedup, mixing, quality, toxicity, pseudonyms, langid, tokens, sharding]
+MODULES = [decontaminate, chat, near_dedup, mixing, quality, toxicity, pseudonyms, langid, tokens, sharding, spelling]
