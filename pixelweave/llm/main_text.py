@@ -102,8 +102,7 @@ def blocks_of(page: str | None) -> list[dict]:
     held: list[str] = []
     blocks: list[tuple[str, int, int, _Region]] = []
     words = linked = at = 0
-    first: _Region | None = None
-    named: _Region | None = None
+    first = named = spare = None  # an article or main; an element so named; an article in an element named otherwise
     while at < len(page):
         tag = _TAG.search(page, at)
         end = tag.start() if tag else len(page)
@@ -143,17 +142,21 @@ def blocks_of(page: str | None) -> list[dict]:
             at = stop.end() if stop else len(page)
             continue
         top = _Region(name, _implied(name, top), tag[3])
-        if (first is None and top.main or named is None and top.good) and not any(r.chrome or r.bad for r in top.around()):
-            if top.main:
-                first = first or top
+        if first is None and (top.main or top.good) and not top.bad and not any(r.chrome for r in top.around()):
+            doubtful = any(r.bad for r in top.around())
+            if not top.main:
+                named = named or (None if doubtful else top)
+            elif not doubtful:
+                first = top
             else:
-                named = named or top
+                spare = spare or top
     text = " ".join("".join(held).split())
     if text:
         blocks.append((text, words, linked, top))
-    for region in (first or named or root).around():
-        region.holds_main = region is not first and region is not named
-    return _described(blocks, first is not None or named is not None, use_named=first is None)
+    article = first or named or spare or root
+    for region in article.around():
+        region.holds_main = region is not article
+    return _described(blocks, article is not root, use_named=article is named)
 
 
 #: Elements whose content is text up to their end tag.
