@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import palette as Q
 from ..functions.named import palettes
 from ..sources import files as L
 from ..sources import fixtures as X
-from ..sources import jpeg, sprites
+from ..sources import codecs, imagefiles, jpeg, sprites
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -125,3 +126,83 @@ SELECT image_id, frame_no, CAST(CASE frame_no WHEN 0 THEN 100 ELSE image_id % 50
   CASE frame_no WHEN 0 THEN 3 ELSE 0 END AS cel_y, CAST(CASE frame_no WHEN 0 THEN image_id % 256 ELSE 255 END AS INT) AS opacity, width, height, x, y, r, g, b, a FROM px, f"""
 QUERIES["b29_sprite_tags"] = lambda spark, d: sprites.tags(_sprites(spark, d)).select(F.col("path").cast("long").alias("image_id"), "name", "first_frame", "last_frame", "direction")
 ORACLE_SQL["b29_sprite_tags"] = "SELECT vec_id AS image_id, 'run' AS name, 0 AS first_frame, 1 AS last_frame, 2 AS direction FROM embeddings"
+
+
+def _written(spark, d, formats: tuple[str, ...], quality: int = 85) -> str:
+    """A new folder with every image as a file of each format, in the sink's names."""
+    px, folder = X.rgba(spark, d), imagefiles.scratch(spark, "images")
+    for fmt in formats:
+        saved = L.save_jpeg(px, quality=quality) if fmt == "jpeg" else L.save(px, fmt)
+        imagefiles.write(saved.select(F.concat(F.lit(f"{fmt}/"), F.col("image_id").cast("string"), F.lit(L.EXTENSIONS[fmt][0])).alias("path"), "content"), folder)
+    return folder
+
+
+def _image_id():
+    return F.regexp_extract("path", r"(\d+)\.[a-z]+$", 1).cast("long").alias("image_id")
+
+
+def _heads(spark, d):
+    """Image files through the sink, and what their heads say through the source; sizes of files and ranges stand for the whole reading."""
+    folder = _written(spark, d, ("png", "bmp", "targa", "jpeg"))
+    told = L.head_metadata(spark, folder).select(_image_id(), "format", "width", "height", "color", "bits", "path")
+    ranges = imagefiles.read(spark, folder, ("path", "length", "frame", "bytes_read")).select(F.col("path").alias("p"), (F.col("bytes_read") <= F.least("length", F.lit(imagefiles.HEAD))).alias("by_ranges"))
+    return told.join(ranges, F.col("path") == F.col("p")).drop("path", "p")
+
+
+QUERIES["b3_head_metadata"] = _heads
+ORACLE_SQL["b3_head_metadata"] = """SELECT vec_id AS image_id, f AS format, 8 AS width, 2 AS height, CASE f WHEN 'jpeg' THEN 'rgb' ELSE 'rgba' END AS color, CASE f WHEN 'jpeg' THEN 24 ELSE 32 END AS bits, true AS by_ranges
+FROM embeddings, (SELECT unnest(['png', 'bmp', 'targa', 'jpeg']) AS f)"""
+
+
+def _loaded(spark, d):
+    """Files of one kind out of a folder with several, found by a filter on names that the source answers."""
+    files = imagefiles.read(spark, _written(spark, d, ("png", "targa")), ("path", "content")).where(F.col("path").endswith(".tga"))
+    return L.load(files).select(_image_id(), "width", "height", "x", "y", "r", "g", "b", "a")
+
+
+QUERIES["b1_load_files"] = _loaded
+ORACLE_SQL["b1_load_files"] = f"WITH {X.RGBA_SQL} SELECT image_id, width, height, x, y, r, g, b, a FROM px"
+
+
+def _jpeg_read(spark, d):
+    """Pictures of one colour each, through JPEG files and Spark's own reader: the largest error of a channel is small."""
+    flat = X.rgba(spark, d).withColumns({c: F.pmod(F.col("image_id") * k, F.lit(256)).cast("int") for c, k in zip("rgb", (37, 11, 5), strict=True)})
+    folder = imagefiles.scratch(spark, "jpeg")
+    imagefiles.write(L.save_jpeg(flat, quality=100).select(F.concat(F.col("image_id").cast("string"), F.lit(".jpg")).alias("path"), "content"), folder)
+    back = L.read_with_jvm(spark, folder).select(_image_id(), "width", "height", "x", "y", "r", "g", "b")
+    i = F.col("image_id")
+    off = F.greatest(*[F.abs(F.col(c) - F.pmod(i * k, F.lit(256))) for c, k in zip("rgb", (37, 11, 5), strict=True)])
+    return back.groupBy("image_id", "width", "height").agg(F.count(F.lit(1)).alias("n"), (F.max(off) <= 3).alias("close"))
+
+
+QUERIES["b26_jpeg_read"] = _jpeg_read
+ORACLE_SQL["b26_jpeg_read"] = "SELECT vec_id AS image_id, 8 AS width, 2 AS height, 16 AS n, true AS close FROM embeddings"
+
+
+def pam_of(image) -> bytes:
+    """A portable arbitrary map: a header of text lines, then the channels."""
+    return f"P7\nWIDTH {image.shape[1]}\nHEIGHT {image.shape[0]}\nDEPTH 4\nMAXVAL 255\nTUPLTYPE RGB_ALPHA\nENDHDR\n".encode() + image.tobytes()
+
+
+def pam_image(data: bytes):
+    head, body = data.split(b"ENDHDR\n", 1)
+    said = dict(line.split(b" ", 1) for line in head.splitlines()[1:])
+    return np.frombuffer(body, np.uint8).reshape(int(said[b"HEIGHT"]), int(said[b"WIDTH"]), 4)
+
+
+def _registered(spark, d):
+    """A format of the user's own is registered, written, read and taken out again; the lists of formats follow."""
+    before = imagefiles.formats()
+    codecs.register("pam", pam_image, pam_of)
+    try:
+        during = imagefiles.formats()
+        files = L.save(X.rgba(spark, d), "pam").select(F.col("image_id").cast("string").alias("path"), "content")
+        out = L.load(files, "pam").select(F.col("path").cast("long").alias("image_id"), "x", "y", "r", "g", "b", "a")
+    finally:
+        codecs.register("pam", None, None)
+    told = [during.get("pam") == (True, True), "pam" not in imagefiles.formats() and imagefiles.formats() == before]
+    return out.withColumns({"listed": F.lit(told[0]), "removed": F.lit(told[1])})
+
+
+QUERIES["b6_registered_format"] = _registered
+ORACLE_SQL["b6_registered_format"] = f"WITH {X.RGBA_SQL} SELECT image_id, x, y, r, g, b, a, true AS listed, true AS removed FROM px"

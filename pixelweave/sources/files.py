@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codecs, jpeg
+from . import codecs, imagefiles, jpeg
 
 # File extensions by format.
 EXTENSIONS = {"png": (".png",), "gif": (".gif",), "jpeg": (".jpg", ".jpe", ".jpeg", ".jfif"), "bmp": (".bmp",), "targa": (".tga",)}
@@ -71,16 +71,16 @@ def certainty(b: Column, size: Column) -> dict[str, Column]:
     return {k: F.coalesce(v, F.lit(0)) for k, v in out.items()}
 
 
-def guess_format(content: Column, path: Column | None = None) -> Column:
+def guess_format(content: Column, path: Column | None = None, size: Column | None = None) -> Column:
     """The most certain format by content; a fitting extension breaks ties, and without any hint of the
-    content the result is null."""
+    content the result is null. `size`: of the whole file, where `content` is its head."""
 
     def entry(c: Column, i: int, name: str, named: Column) -> Column:
         return _let(c, lambda v: F.struct((v * 2 + named).alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("name"), v.alias("c")))
 
     def best(b: Column) -> Column:
         scores = []
-        for i, (name, c) in enumerate(certainty(b, F.octet_length(content)).items()):
+        for i, (name, c) in enumerate(certainty(b, F.octet_length(content) if size is None else size).items()):
             named = F.lit(0)
             if path is not None:
                 for e in EXTENSIONS[name]:
@@ -97,31 +97,71 @@ def _number(data: str | Column, at: Column | int) -> Column:
     return F.conv(F.hex(F.substring(F.col(data) if isinstance(data, str) else data, start, F.lit(2))), 16, 10).cast("long")
 
 
-def _jpeg_frame(content: Column) -> Column:
-    """What follows the length of the frame segment (precision, height, width), by a walk from mark to mark; null
-    without one. Marks C4, C8 and CC are no frames."""
+#: Segments of a JPEG file that are walked over in column expressions; files with more are walked in Python.
+SEGMENTS = 64
+
+
+def _jpeg_frame(content: Column, wanted: Column) -> Column:
+    """The frame segment of a JPEG file behind its mark (length, precision, height, width, components; 8 bytes), where `wanted`; null without one.
+
+    Most files say it behind a few segments. Those that do not, or that fill up with FF bytes, are walked to the end by
+    `imagefiles.jpeg_frame`; of all others nothing reaches Python.
+    """
     frames = [0xFFC0 + i for i in range(16) if i not in (4, 8, 12)]
     step = lambda p, _: F.when(_number(content, p).isin(frames), p).otherwise(p + 2 + F.coalesce(_number(content, p + 2), F.lit(0)))
-    place = F.aggregate(F.sequence(F.lit(1), F.lit(1024)), F.lit(2).cast("long"), step)
-    return _let(place, lambda p: F.when(_number(content, p).isin(frames), F.substring(content, p + 5, F.lit(5))))
+    place = F.aggregate(F.sequence(F.lit(1), F.lit(SEGMENTS)), F.lit(2).cast("long"), step)
+    near = _let(place, lambda p: F.when(_number(content, p).isin(frames), F.substring(content, p + 3, F.lit(8))))
+    near = F.when(wanted, near)
+
+    @F.pandas_udf("binary")
+    def far(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: None if c is None else imagefiles.jpeg_frame(lambda at, n: c[at : at + n], len(c)))
+
+    return F.coalesce(near, far(F.when(wanted & near.isNull(), content)))
 
 
 def metadata(files: DataFrame) -> DataFrame:
-    """(path, format, width, height) from the head of each file, in SQL; sizes beyond an int are null.
+    """(path, format, width, height) of (path, content) files from their heads, in column expressions; sizes beyond an int are null.
 
-    A JPEG file says its size behind other segments, which are walked over; beyond 1,024 of them the size is null.
+    A JPEG file says its size behind other segments, which are walked over, however many.
     """
     kind = guess_format(F.col("content"), F.col("path"))
-    f = files.select("path", _bytes(F.col("content"), 32).alias("b"), kind.alias("format"), F.when(kind == "jpeg", _jpeg_frame(F.col("content"))).alias("frame"))
+    f = files.select("path", _bytes(F.col("content"), 32).alias("b"), kind.alias("format"), _jpeg_frame(F.col("content"), kind == "jpeg").alias("frame"))
+    return _described(f).select("path", "format", "width", "height")
+
+
+def head_metadata(spark: SparkSession, path: str, head: int = imagefiles.HEAD) -> DataFrame:
+    """(path, length, format, width, height, color, bits) of the files under `path`, of which only ranges are read: the
+    first `head` bytes, and for a JPEG file with more before its frame 4 KiB at each mark.
+
+    color: palette, gray, gray alpha, rgb, rgba or cmyk; bits: of a pixel.
+    """
+    heads = imagefiles.read(spark, path, ("path", "length", "head", "frame"), head)
+    f = heads.select("path", "length", _bytes(F.col("head"), 32).alias("b"), guess_format(F.col("head"), F.col("path"), F.col("length")).alias("format"), "frame")
+    return _described(f).select("path", "length", "format", "width", "height", "color", "bits")
+
+
+def _described(f: DataFrame) -> DataFrame:
+    """`f` (b: the first bytes, format, frame) with width, height, color and bits."""
     at = lambda i: F.get("b", F.lit(i)).cast("long")
     big = lambda i: ((at(i) * 256 + at(i + 1)) * 256 + at(i + 2)) * 256 + at(i + 3)
     little = lambda i: at(i) + at(i + 1) * 256
     signed = lambda i: little(i) + (little(i + 2) - F.when(at(i + 3) >= 128, 65_536).otherwise(0)) * 65_536
     old = at(14) == 12  # the oldest header has sizes of two bytes; later ones a negative height for lines from the top
-    bmp = (F.when(old, little(18)).otherwise(signed(18)), F.when(old, little(20)).otherwise(F.abs(signed(22))))
-    places = {"png": (big(16), big(20)), "gif": (little(6), little(8)), "bmp": bmp, "targa": (little(12), little(14)), "jpeg": (_number("frame", 3), _number("frame", 1))}
+    parts = F.conv(F.hex(F.substring("frame", 8, 1)), 16, 10).cast("long")
+    named = lambda v, names: F.coalesce(*[F.when(v == k, name) for k, name in names.items()])
+    deep = lambda v: F.when(v <= 8, "palette").when(v == 32, "rgba").otherwise("rgb")
+    samples = F.coalesce(*[F.when(at(25) == k, n) for k, n in ((0, 1), (2, 3), (3, 1), (4, 2), (6, 4))])
+    bmp_bits = F.when(old, little(24)).otherwise(little(28))
+    places = {
+        "png": (big(16), big(20), named(at(25), {0: "gray", 2: "rgb", 3: "palette", 4: "gray alpha", 6: "rgba"}), at(24) * samples),
+        "gif": (little(6), little(8), F.lit("palette"), at(10) % 8 + 1),
+        "bmp": (F.when(old, little(18)).otherwise(signed(18)), F.when(old, little(20)).otherwise(F.abs(signed(22))), deep(bmp_bits), bmp_bits),
+        "targa": (little(12), little(14), F.when(at(2) % 8 == 1, "palette").when(at(2) % 8 == 3, "gray").when(at(16) == 32, "rgba").otherwise("rgb"), at(16)),
+        "jpeg": (_number("frame", 5), _number("frame", 3), named(parts, {1: "gray", 3: "rgb", 4: "cmyk"}), parts * F.conv(F.hex(F.substring("frame", 3, 1)), 16, 10).cast("long")),
+    }
     pick = lambda k: F.coalesce(*[F.when(F.col("format") == name, v[k]) for name, v in places.items()])
-    return f.select("path", "format", pick(0).try_cast("int").alias("width"), pick(1).try_cast("int").alias("height"))
+    return f.withColumns({"width": pick(0).try_cast("int"), "height": pick(1).try_cast("int"), "color": pick(2), "bits": pick(3).cast("int")})
 
 
 #: Text keys with a name of their own; any other text is kept under a dot and its keyword. Fixed values.
