@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import CHANNELS
@@ -27,13 +27,59 @@ def resize(df: DataFrame, width: int, height: int) -> DataFrame:
     """
     if width <= 0 or height <= 0:
         return df.where("false")
+    return _resized(df, F.lit(width), F.lit(height))
 
-    def places(at: str, size: str, new: int):
+
+def _resized(df: DataFrame, width: Column, height: Column) -> DataFrame:
+    """Each pixel at the run of places that take it, which follows from two divisions."""
+
+    def places(at: str, size: str, new: Column) -> Column:
         step = F.floor(F.col(size) * 65_536 / new).cast("long")
-        return F.filter(F.sequence(F.lit(0), F.lit(new - 1)), lambda i: F.shiftright(i * step, 16) == F.col(at))
+        first = lambda v: F.when(step > 0, F.floor((v * 65_536 + step - 1) / step)).otherwise(F.when(v > 0, new).otherwise(0))
+        low, high = first(F.col(at)), F.least(first(F.col(at) + 1), new) - 1
+        return F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
 
     out = df.withColumn("__x", F.explode(places("x", "width", width))).withColumn("__y", F.explode(places("y", "height", height)))
-    return out.withColumns({"x": F.col("__x"), "y": F.col("__y"), "width": F.lit(width), "height": F.lit(height)}).drop("__x", "__y")
+    return out.withColumns({"x": F.col("__x"), "y": F.col("__y"), "width": width.cast("int"), "height": height.cast("int")}).drop("__x", "__y")
+
+
+def with_sizes(df: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pixels with new_width and new_height of their image, from `sizes` (image_id, new_width, new_height; an image
+    once). Images without a row there, or with a size below 1 or null, are left out."""
+    wanted = sizes.where("new_width > 0 AND new_height > 0").select("image_id", F.col("new_width").cast("int").alias("new_width"), F.col("new_height").cast("int").alias("new_height"))
+    return df.join(wanted, "image_id")
+
+
+def resize_each(df: DataFrame, sizes: DataFrame) -> DataFrame:
+    """`resize` of images of any sizes, each to its own size in `sizes` (image_id, new_width, new_height)."""
+    sized = with_sizes(df, sizes)
+    return _resized(sized, F.col("new_width"), F.col("new_height")).drop("new_width", "new_height")
+
+
+def sizes_of(df: DataFrame) -> DataFrame:
+    """(image_id, width, height): a row for each image."""
+    return df.groupBy("image_id").agg(F.max("width").alias("width"), F.max("height").alias("height"))
+
+
+def calculated_sizes(images: DataFrame, width: int | None = None, height: int | None = None) -> DataFrame:
+    """(image_id, new_width, new_height) of `images` (image_id, width, height), as `calculate_resize` says for each."""
+    whole = lambda a, by, over: F.when(over != 0, (a * by / over + 0.5).cast("int")).otherwise(0)
+    w, h = F.col("width"), F.col("height")
+    new_w = F.lit(width) if width is not None else w if height is None else whole(w, F.lit(height), h)
+    new_h = F.lit(height) if height is not None else h if width is None else whole(h, F.lit(width), w)
+    return images.select("image_id", new_w.cast("int").alias("new_width"), new_h.cast("int").alias("new_height"))
+
+
+def fitted_sizes(images: DataFrame, container: Sequence[int], mode: str = "fit") -> DataFrame:
+    """(image_id, new_width, new_height) of `images` (image_id, width, height) in a container, as `fit` says for each."""
+    if mode not in FIT_MODES:
+        raise ValueError(f"unknown fit mode {mode}")
+    w, h = (F.greatest(F.col(c), F.lit(0)) for c in ("width", "height"))
+    cw, ch = (F.lit(max(v, 0)) for v in container)
+    ratio = (F.least if mode == "fit" else F.greatest)(cw / w, ch / h)
+    scaled = lambda v: F.when((w > 0) & (h > 0), (v * ratio + 0.5).cast("int")).otherwise(0)
+    new = {"none": (w, h), "stretch": (cw, ch)}.get(mode, (scaled(w), scaled(h)))
+    return images.select("image_id", new[0].cast("int").alias("new_width"), new[1].cast("int").alias("new_height"))
 
 
 def calculate_resize(size: Sequence[int], width: int | None = None, height: int | None = None) -> tuple[int, int]:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import CHANNELS, clamp8
-from .geometry import fit
+from .geometry import fit, fitted_sizes, sizes_of, with_sizes
 
 
 def _sinc(x: float) -> float:
@@ -116,3 +117,53 @@ def resample(df: DataFrame, size: tuple[int, int], new: tuple[int, int], mode: s
 def resample_to_fit(df: DataFrame, size: tuple[int, int], container: tuple[int, int], how: str = "fit", mode: str = "bspline", edges: tuple[str, str, str, str] = ("back",) * 4) -> DataFrame:
     """Images of one `size` at the size that `fit` gives them in a container."""
     return resample(df, size, fit(size, container, how), mode, edges)
+
+
+def weights(pairs: DataFrame, mode: str = "bspline", low: str = "back", high: str = "back") -> DataFrame:
+    """(size, new, source, targets array<struct<d, w>>) for each distinct (size, new) of `pairs`: where a source place
+    adds to, and with which weight. One pair is worked out in one task; its rows are as many as its places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, new in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by_source: dict[int, list[dict[str, int]]] = {}
+                for d, s, w in contributions(size, new, mode, low, high):
+                    by_source.setdefault(s, []).append({"d": d, "w": w})
+                rows = list(by_source.items())
+                for i in range(0, len(rows), 4_096):
+                    part = rows[i : i + 4_096]
+                    yield pa.RecordBatch.from_pydict({"size": [size] * len(part), "new": [new] * len(part), "source": [s for s, _ in part], "targets": [t for _, t in part]}, schema=_TARGETS)
+
+    return pairs.where("size > 0 AND new > 0").select("size", "new").distinct().mapInArrow(run, "size int, new int, source int, targets array<struct<d: int, w: int>>")
+
+
+_TARGETS = pa.schema([("size", pa.int32()), ("new", pa.int32()), ("source", pa.int32()), ("targets", pa.list_(pa.struct([("d", pa.int32()), ("w", pa.int32())])))])
+
+
+def _pass_each(df: DataFrame, axis: str, mode: str, low: str, high: str) -> DataFrame:
+    """One axis of images of any sizes: weights are a relation of the distinct (old, new) sizes, met by an equi-join."""
+    size, other, other_size = ("width", "y", "height") if axis == "x" else ("height", "x", "width")
+    table = weights(df.select(F.col(size).alias("size"), F.col(f"new_{size}").alias("new")), mode, low, high)
+    joined = df.join(table, (F.col(size) == F.col("size")) & (F.col(f"new_{size}") == F.col("new")) & (F.col(axis) == F.col("source")))
+    spread = joined.withColumn("__t", F.explode("targets"))
+    sums = spread.groupBy("image_id", f"new_{size}", other_size, f"new_{other_size}", F.col("__t.d").alias("d"), other).agg(*[F.sum(F.col(c).cast("long") * F.col("__t.w")).alias(c) for c in CHANNELS])
+    return sums.select("image_id", F.col(f"new_{size}").alias(size), f"new_{size}", other_size, f"new_{other_size}", F.col("d").alias(axis), other, *[clamp8(F.shiftright(F.col(c) + 32_768, 16)).alias(c) for c in CHANNELS])
+
+
+def resample_each(df: DataFrame, sizes: DataFrame, mode: str = "bspline", edges: tuple[str, str, str, str] = ("back",) * 4) -> DataFrame:
+    """`resample` of images of any sizes, each to its own size in `sizes` (image_id, new_width, new_height).
+
+    Images that keep a size come through that axis unchanged; those without a row in `sizes`, or with a size
+    below 1, are left out. Any number of sizes is one job.
+    """
+    if not set(edges) <= {"back", "wrap"}:
+        raise ValueError("an edge is back or wrap")
+    left, top, right, bottom = edges
+    sized = with_sizes(df, sizes)
+    out = _pass_each(_pass_each(sized, "x", mode, left, right), "y", mode, top, bottom)
+    return out.select("image_id", "width", "height", "x", "y", *CHANNELS)
+
+
+def resample_each_to_fit(df: DataFrame, container: tuple[int, int], how: str = "fit", mode: str = "bspline", edges: tuple[str, str, str, str] = ("back",) * 4) -> DataFrame:
+    """Images of any sizes, each at the size that `fit` gives it in a container."""
+    return resample_each(df, fitted_sizes(sizes_of(df), container, how), mode, edges)

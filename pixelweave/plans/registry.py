@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import color_queries, drawing_queries, file_queries, image_queries, indexed_queries, point_queries
+from . import color_queries, drawing_queries, file_queries, image_queries, indexed_queries, point_queries, size_queries
 
-MODULES = [point_queries, image_queries, indexed_queries, color_queries, drawing_queries, file_queries]
+MODULES = [point_queries, image_queries, indexed_queries, color_queries, drawing_queries, file_queries, size_queries]
 
 
 def queries() -> dict[str, Callable]:

@@ -26,6 +26,17 @@ def rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("image_id", "width", "height", "x", "y", "r", "g", "b", F.when(turn == 0, 0).when(turn == 1, 255).otherwise((F.col("v") * 7) % 256).cast("int").alias("a"))
 
 
+#: Widths of `mixed`, by image_id modulo their number; each times its height is 16.
+MIXED_WIDTHS = (8, 4, 2, 16, 1)
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixels of `rgba` as images of five sizes: 8 x 2, 4 x 4, 2 x 8, 16 x 1 and 1 x 16."""
+    w = F.get(F.array(*map(F.lit, MIXED_WIDTHS)), F.pmod("image_id", F.lit(len(MIXED_WIDTHS))).cast("int"))
+    k = F.col("y") * 8 + F.col("x")
+    return rgba(spark, sf_dir).select("image_id", w.alias("width"), F.floor(F.lit(16) / w).cast("int").alias("height"), (k % w).cast("int").alias("x"), F.floor(k / w).cast("int").alias("y"), "r", "g", "b", "a")
+
+
 def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, width, height, x, y, v): an 8 x 8 single-channel image of each embedding."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "e"))
@@ -55,6 +66,8 @@ BYTE = "CAST(least(greatest(floor((CAST({0} AS DOUBLE) + 1.0) * 127.5 + 0.5), 0)
 RGBA_SQL = f"""px0 AS MATERIALIZED (SELECT vec_id AS image_id, CAST(k % 8 AS INT) AS x, CAST(k // 8 AS INT) AS y, {BYTE.format('embedding[4*k+1]')} AS r, {BYTE.format('embedding[4*k+2]')} AS g, {BYTE.format('embedding[4*k+3]')} AS b, {BYTE.format('embedding[4*k+4]')} AS v
   FROM embeddings, (SELECT unnest(range(0, 16)) AS k)),
 px AS MATERIALIZED (SELECT image_id, 8 AS width, 2 AS height, x, y, r, g, b, CAST(CASE (image_id + x + y) % 5 WHEN 0 THEN 0 WHEN 1 THEN 255 ELSE (v * 7) % 256 END AS INT) AS a FROM px0)"""
+MIXED_SQL = RGBA_SQL + """, mx AS MATERIALIZED (SELECT image_id, w AS width, 16 // w AS height, CAST((y * 8 + x) % w AS INT) AS x, CAST((y * 8 + x) // w AS INT) AS y, r, g, b, a
+  FROM (SELECT *, CASE image_id % 5 WHEN 0 THEN 8 WHEN 1 THEN 4 WHEN 2 THEN 2 WHEN 3 THEN 16 ELSE 1 END AS w FROM px))"""
 GRAY_SQL = f"""gy AS MATERIALIZED (SELECT vec_id AS image_id, 8 AS width, 8 AS height, CAST(k % 8 AS INT) AS x, CAST(k // 8 AS INT) AS y, {BYTE.format('embedding[k+1]')} AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS k))"""
 CANVAS_SQL = """cv AS (SELECT CAST(0 AS BIGINT) AS image_id, 100 AS width, CAST((SELECT max(event_id) // 100 + 1 FROM events) AS INT) AS height, CAST(event_id % 100 AS INT) AS x, CAST(event_id // 100 AS INT) AS y,
   CAST(CAST(floor(value) AS BIGINT) % 256 AS INT) AS r, CAST(user_id % 256 AS INT) AS g, CAST(event_id * 37 % 256 AS INT) AS b, 255 AS a FROM events)"""
