@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import palette as Q
+from ..functions.lineage import scratch
 from ..functions.named import palettes
 from ..sources import files as L
 from ..sources import fixtures as X
@@ -130,7 +131,7 @@ ORACLE_SQL["b29_sprite_tags"] = "SELECT vec_id AS image_id, 'run' AS name, 0 AS
 
 def _written(spark, d, formats: tuple[str, ...], quality: int = 85) -> str:
     """A new folder with every image as a file of each format, in the sink's names."""
-    px, folder = X.rgba(spark, d), imagefiles.scratch(spark, "images")
+    px, folder = X.rgba(spark, d), scratch(spark, "images")
     for fmt in formats:
         saved = L.save_jpeg(px, quality=quality) if fmt == "jpeg" else L.save(px, fmt)
         imagefiles.write(saved.select(F.concat(F.lit(f"{fmt}/"), F.col("image_id").cast("string"), F.lit(L.EXTENSIONS[fmt][0])).alias("path"), "content"), folder)
@@ -167,7 +168,7 @@ ORACLE_SQL["b1_load_files"] = f"WITH {X.RGBA_SQL} SELECT image_id, width, height
 def _jpeg_read(spark, d):
     """Pictures of one colour each, through JPEG files and Spark's own reader: the largest error of a channel is small."""
     flat = X.rgba(spark, d).withColumns({c: F.pmod(F.col("image_id") * k, F.lit(256)).cast("int") for c, k in zip("rgb", (37, 11, 5), strict=True)})
-    folder = imagefiles.scratch(spark, "jpeg")
+    folder = scratch(spark, "jpeg")
     imagefiles.write(L.save_jpeg(flat, quality=100).select(F.concat(F.col("image_id").cast("string"), F.lit(".jpg")).alias("path"), "content"), folder)
     back = L.read_with_jvm(spark, folder).select(_image_id(), "width", "height", "x", "y", "r", "g", "b")
     i = F.col("image_id")
@@ -206,3 +207,73 @@ def _registered(spark, d):
 
 QUERIES["b6_registered_format"] = _registered
 ORACLE_SQL["b6_registered_format"] = f"WITH {X.RGBA_SQL} SELECT image_id, x, y, r, g, b, a, true AS listed, true AS removed FROM px"
+
+
+def _layered(spark, d):
+    """A sprite file of each image: a group in a group, a layer in the inner one, one beside it and one of the same name at the top; the
+    cels lie partly outside of the canvas. The inner group is hidden in every third file."""
+    hexes = lambda *fields: F.concat(*[L._little(v, n) for v, n in fields])
+    half = lambda c: F.octet_length(F.unhex(c))
+    chunk = lambda kind, body: F.concat(hexes((half(body) + 6, 4), (kind, 2)), body)
+    i = F.col("image_id")
+    layer = lambda name, flags, sort, level: chunk(sprites.LAYER, F.concat(hexes((flags, 2), (sort, 2), (level, 2), (0, 4), (0, 2), (255, 1), (0, 3)), hexes((len(name), 2)), F.lit(name.encode().hex())))
+    tree = [layer("Body", 1, 1, 0), layer("Arm", F.when(i % 3 == 0, 0).otherwise(1), 1, 1), layer("ink", 1, 0, 2), layer("shade", 1, 0, 1), layer("ink", 1, 0, 0)]
+    cel = lambda at, x, y: chunk(sprites.CEL, F.concat(hexes((at, 2), (x, 2), (y, 2), (255, 1), (0, 2), (0, 7), (F.col("width"), 2), (F.col("height"), 2)), F.hex("data")))
+    body = F.concat(*tree, cel(2, F.pmod(i, F.lit(9)) - 4, F.pmod(i, F.lit(3)) - 1), cel(4, F.lit(0), F.lit(0)))
+    frame = F.concat(hexes((half(body) + 16, 4), (sprites.FRAME_MAGIC, 2), (7, 2), (100, 2), (0, 2), (7, 4)), body)
+    head = hexes((half(frame) + 128, 4), (sprites.MAGIC, 2), (1, 2), (F.col("width"), 2), (F.col("height"), 2), (32, 2))
+    return L.pack(X.rgba(spark, d)).select(i.cast("string").alias("path"), F.unhex(F.concat(head, F.lit("00" * (128 - 14)), frame)).alias("content"))
+
+
+#: Names that are looked up; the last three find no image layer.
+_WANTED = ("body/arm/ink", "ARM\\INK", "ink", "body/shade", "body/ink", "Body", "nowhere")
+
+
+def _layer_images(spark, d):
+    files = _layered(spark, d)
+    wanted = files.select("path", F.explode(F.array(*map(F.lit, _WANTED))).alias("wanted"))
+    return sprites.layer_images(files, wanted).withColumn("image_id", F.col("path").cast("long")).drop("path")
+
+
+QUERIES["b30_layer_images"] = _layer_images
+ORACLE_SQL["b30_layer_images"] = f"""WITH {X.RGBA_SQL}, w AS (SELECT unnest(['body/arm/ink', 'ARM\\INK', 'ink']) AS wanted)
+SELECT c.image_id, w.wanted, c.width, c.height, c.x, c.y, coalesce(p.r, 0) AS r, coalesce(p.g, 0) AS g, coalesce(p.b, 0) AS b, coalesce(p.a, 0) AS a
+FROM px AS c, w LEFT JOIN px AS p ON p.image_id = c.image_id AND p.x = c.x - (c.image_id % 9 - 4) AND p.y = c.y - (c.image_id % 3 - 1)"""
+QUERIES["b32_layer_paths"] = lambda spark, d: sprites.layer_paths(sprites.layers(_layered(spark, d))).select(F.col("path").cast("long").alias("image_id"), "layer_index", "name", "is_group", "full_path", "depth", "shown")
+ORACLE_SQL["b32_layer_paths"] = """WITH l(layer_index, name, is_group, full_path, depth) AS (VALUES (0, 'Body', true, 'Body', 0), (1, 'Arm', true, 'Body/Arm', 1), (2, 'ink', false, 'Body/Arm/ink', 2), (3, 'shade', false, 'Body/shade', 1), (4, 'ink', false, 'ink', 0))
+SELECT vec_id AS image_id, l.*, NOT (layer_index IN (1, 2) AND vec_id % 3 = 0) AS shown FROM embeddings, l"""
+
+
+def _moving(spark, d):
+    """Four images at a time as the frames of an animation: parts transparent, offsets and disposals of all kinds, a comment."""
+    i = F.col("image_id")
+    one = Q.expand(X.gray(spark, d).withColumn("v", F.floor(F.col("v") / 16).cast("int")), palettes()["ega64"])
+    clear = F.pmod(F.col("x") * 3 + F.col("y") + i, F.lit(5)) < 2
+    one = one.withColumns({c: F.when(clear, 0).otherwise(F.col(c)) for c in "rgba"})
+    frames = one.withColumns({
+        "frame_no": F.pmod(i, F.lit(4)).cast("int"), "delay": (5 + i % 7).cast("int"), "left": (i % 3).cast("int"), "top": (i * 2 % 5).cast("int"),
+        "disposal": (F.floor(i / 3) % 4).cast("int"), "comment": F.concat(F.lit("für "), F.floor(i / 4).cast("string")),
+    })
+    return L.save_frames(frames.withColumn("image_id", F.floor(i / 4).cast("long")), repeat=3).select(F.col("image_id").cast("string").alias("path"), "content")
+
+
+QUERIES["b22_animation_fields"] = lambda spark, d: L.decode_frames(_moving(spark, d)).drop("data").withColumn("image_id", F.col("path").cast("long")).drop("path")
+_FRAMES_SQL = f"""fr AS (SELECT vec_id AS id, vec_id // 4 AS image_id, CAST(vec_id % 4 AS INT) AS frame_no, CAST(5 + vec_id % 7 AS INT) AS delay, CAST(vec_id % 3 AS INT) AS "left", CAST(vec_id * 2 % 5 AS INT) AS top, CAST(vec_id // 3 % 4 AS INT) AS disposal FROM embeddings),
+an AS (SELECT image_id, CAST(max("left") + 8 AS INT) AS canvas_width, CAST(max(top) + 8 AS INT) AS canvas_height, count(*) AS n FROM fr GROUP BY image_id)"""
+ORACLE_SQL["b22_animation_fields"] = f"""WITH {_FRAMES_SQL}
+SELECT image_id, canvas_width, canvas_height, CASE WHEN n > 1 THEN 3 END AS repeat, 'für ' || image_id AS comment, frame_no, "left", top, delay, disposal, false AS wait_key, true AS own_palette, 8 AS width, 8 AS height, NULL AS error
+FROM fr JOIN an USING (image_id)"""
+QUERIES["b22_animation_playback"] = lambda spark, d: L.play(L.decode_frames(_moving(spark, d))).withColumn("image_id", F.col("path").cast("long")).drop("path")
+#: What stays is found by going back from each frame to the last one that painted or cleared the place for good.
+ORACLE_SQL["b22_animation_playback"] = f"""WITH {X.GRAY_SQL}, pal(i, r, g, b) AS (VALUES {_EGA}), {_FRAMES_SQL},
+paint AS (SELECT f.image_id, frame_no, disposal, gy.x + "left" AS x, gy.y + top AS y, r, g, b FROM gy JOIN fr AS f ON f.id = gy.image_id JOIN pal ON i = v // 16 WHERE (gy.x * 3 + gy.y + gy.image_id) % 5 >= 2),
+lasting AS (
+  SELECT image_id, frame_no, x, y, r, g, b, 255 AS a FROM paint WHERE disposal < 2
+  UNION ALL SELECT f.image_id, frame_no, gy.x + "left", gy.y + top, 0, 0, 0, 0 FROM gy JOIN fr AS f ON f.id = gy.image_id WHERE disposal = 2),
+cells AS (SELECT *, unnest(range(0, canvas_height)) AS y FROM (SELECT fr.image_id, frame_no, delay, canvas_width, canvas_height, unnest(range(0, canvas_width)) AS x FROM fr JOIN an USING (image_id))),
+old AS (SELECT c.image_id, c.frame_no, c.x, c.y, arg_max(l.r, l.frame_no) AS r, arg_max(l.g, l.frame_no) AS g, arg_max(l.b, l.frame_no) AS b, arg_max(l.a, l.frame_no) AS a
+  FROM cells AS c JOIN lasting AS l ON l.image_id = c.image_id AND l.x = c.x AND l.y = c.y AND l.frame_no < c.frame_no GROUP BY ALL)
+SELECT c.image_id, c.frame_no, c.delay, c.canvas_width AS width, c.canvas_height AS height, CAST(c.x AS INT) AS x, CAST(c.y AS INT) AS y,
+  coalesce(p.r, o.r, 0) AS r, coalesce(p.g, o.g, 0) AS g, coalesce(p.b, o.b, 0) AS b, CASE WHEN p.r IS NULL THEN coalesce(o.a, 0) ELSE 255 END AS a
+FROM cells AS c LEFT JOIN paint AS p ON p.image_id = c.image_id AND p.frame_no = c.frame_no AND p.x = c.x AND p.y = c.y
+  LEFT JOIN old AS o ON o.image_id = c.image_id AND o.frame_no = c.frame_no AND o.x = c.x AND o.y = c.y"""

@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 
@@ -30,10 +31,14 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 
 def png_chunks(data: bytes) -> list[tuple[bytes, bytes]]:
+    """(kind, bytes) of the chunks; one whose checksum is wrong, or that is cut off, is a ValueError."""
     out, at = [], len(MAGIC)
     while at + 8 <= len(data):
         n, kind = struct.unpack_from(">I4s", data, at)
-        out.append((kind, data[at + 8 : at + 8 + n]))
+        body, check = data[at + 8 : at + 8 + n], data[at + 8 + n : at + 12 + n]
+        if check != struct.pack(">I", zlib.crc32(body, zlib.crc32(kind))):
+            raise ValueError(f"the {kind.decode('latin-1')} chunk is damaged")
+        out.append((kind, body))
         at += 12 + n
         if kind == b"IEND":
             break
@@ -42,8 +47,12 @@ def png_chunks(data: bytes) -> list[tuple[bytes, bytes]]:
 
 def png_notes(data: bytes) -> list[tuple[str, str | None, bytes]]:
     """(kind, name, bytes) of the chunks that carry no pixels, compressed ones inflated; texts as UTF-8, kind "text"."""
-    out = []
-    for kind, body in png_chunks(data) if data.startswith(MAGIC) else []:
+    out: list[tuple[str, str | None, bytes]] = []
+    try:
+        chunks = png_chunks(data) if data.startswith(MAGIC) else []
+    except ValueError:
+        return out
+    for kind, body in chunks:
         try:
             if kind in (b"tEXt", b"zTXt", b"iCCP"):
                 name, _, rest = body.partition(b"\0")
@@ -297,13 +306,18 @@ def _lzw_decode(data: bytes, bits: int, n: int) -> bytes:
     return bytes(out[:n])
 
 
-def encode_gif(frames: list[tuple[Image, int]], repeat: int = 0) -> bytes:
-    """An animation of (rgba image, delay in 1/100 s) with at most 255 colours a frame; alpha 0 is transparent."""
-    h, w = frames[0][0].shape[:2]
+def encode_gif(frames: list[tuple], repeat: int | None = 0, comment: str | None = None) -> bytes:
+    """An animation of (rgba image, delay in 1/100 s[, left, top, disposal]) with at most 256 colours a frame; alpha 0 is
+    transparent. The canvas holds all frames; `repeat` (0: for ever) is said for more than one frame, None never."""
+    frames = [(*f, *(0, 0, 0)[len(f) - 2 :]) for f in frames]
+    w, h = (max(f[2 + k] + f[0].shape[1 - k] for f in frames) for k in (0, 1))
     out = b"GIF89a" + struct.pack("<HHBBB", w, h, 0, 0, 0)
-    if len(frames) > 1:
+    if len(frames) > 1 and repeat is not None:
         out += b"!\xff\x0bNETSCAPE2.0\x03\x01" + struct.pack("<H", repeat) + b"\0"
-    for image, delay in frames:
+    if comment:
+        said = comment.encode("latin-1", "replace")
+        out += b"!\xfe" + b"".join(bytes([len(said[i : i + 255])]) + said[i : i + 255] for i in range(0, len(said), 255)) + b"\0"
+    for image, delay, left, top, disposal in frames:
         shown = image.copy()
         shown[shown[:, :, 3] == 0] = 0
         colors, index = np.unique(shown.reshape(-1, 4), axis=0, return_inverse=True)
@@ -314,23 +328,42 @@ def encode_gif(frames: list[tuple[Image, int]], repeat: int = 0) -> bytes:
         palette = np.zeros((1 << bits, 3), np.uint8)
         palette[: len(colors)] = colors[:, :3]
         fh, fw = image.shape[:2]
-        out += b"!\xf9\x04" + struct.pack("<BHBB", 1 if len(clear) else 0, delay, int(clear[0]) if len(clear) else 0, 0)
-        out += b"," + struct.pack("<HHHHB", 0, 0, fw, fh, 0x80 | (bits - 1)) + palette.tobytes() + bytes([bits])
+        out += b"!\xf9\x04" + struct.pack("<BHBB", disposal << 2 | (1 if len(clear) else 0), delay, int(clear[0]) if len(clear) else 0, 0)
+        out += b"," + struct.pack("<HHHHB", left, top, fw, fh, 0x80 | (bits - 1)) + palette.tobytes() + bytes([bits])
         body = _lzw_encode(index.astype(np.uint8).tobytes(), bits)
         out += b"".join(bytes([len(body[i : i + 255])]) + body[i : i + 255] for i in range(0, len(body), 255)) + b"\0"
     return out + b";"
 
 
+class Animation(NamedTuple):
+    """A GIF file: canvas, repeat count and comment where it says them, and its frames as (rgba image, x, y, delay in 1/100 s,
+    disposal, whether it waits for a key, whether it has a palette of its own)."""
+
+    width: int
+    height: int
+    repeat: int | None
+    comment: str | None
+    frames: list[tuple[Image, int, int, int, int, bool, bool]]
+
+
 def decode_gif_frames(data: bytes) -> list[tuple[Image, int, int, int]]:
     """(rgba image, x, y, delay in 1/100 s) of every frame."""
+    return [f[:4] for f in gif_animation(data).frames] if data[:6] in (b"GIF87a", b"GIF89a") else []
+
+
+def gif_animation(data: bytes) -> Animation:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
-        return []
+        raise ValueError("no GIF file")
+    width, height = struct.unpack_from("<HH", data, 6)
     flags = data[10]
     at, shared = 13, None
     if flags & 0x80:
         n = 2 << (flags & 7)
         shared, at = np.frombuffer(data, np.uint8, 3 * n, at).reshape(-1, 3), at + 3 * n
-    frames, clear, delay = [], -1, 0
+    frames: list[tuple[Image, int, int, int, int, bool, bool]] = []
+    clear, delay, disposal, waits = -1, 0, 0, False
+    repeat: int | None = None
+    comment: str | None = None
 
     def blocks(at: int) -> tuple[bytes, int]:
         parts = []
@@ -345,6 +378,11 @@ def decode_gif_frames(data: bytes) -> list[tuple[Image, int, int, int]]:
             body, at = blocks(at + 2)
             if kind == 0xF9:
                 clear, delay = (body[3] if body[0] & 1 else -1), struct.unpack_from("<H", body, 1)[0]
+                disposal, waits = body[0] >> 2 & 7, bool(body[0] & 2)
+            elif kind == 0xFE:
+                comment = body.decode("latin-1")
+            elif kind == 0xFF and body[:11] == b"NETSCAPE2.0" and body[11:12] == b"\x01" and len(body) >= 14:
+                repeat = struct.unpack_from("<H", body, 12)[0]
         elif data[at] == 0x2C:
             x, y, w, h, f = struct.unpack_from("<HHHHB", data, at + 1)
             at += 10
@@ -364,11 +402,11 @@ def decode_gif_frames(data: bytes) -> list[tuple[Image, int, int, int]]:
                 index = placed
             image = _opaque(palette[index])
             image[index == clear] = 0
-            frames.append((image, x, y, delay))
-            clear, delay = -1, 0
+            frames.append((image, x, y, delay, disposal, waits, bool(f & 0x80)))
+            clear, delay, disposal, waits = -1, 0, 0, False
         else:
             break
-    return frames
+    return Animation(width, height, repeat, comment, frames)
 
 
 def decode_gif(data: bytes) -> Image | None:

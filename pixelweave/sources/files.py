@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import codecs, imagefiles, jpeg
@@ -309,35 +309,75 @@ def pack(df: DataFrame, key: str = "image_id", order: str = "rgba", upward: bool
     return whole.select(key, "width", "height", F.unhex("hex").alias("data"))
 
 
-def load_frames(files: DataFrame) -> DataFrame:
-    """Pixels of every frame of GIF files (path, content): (path, frame_no, left, top, delay, width, height, x, y, r, g,
-    b, a); delay in hundredths of a second. Unreadable files give none."""
+FRAME_SCHEMA = "path string, canvas_width int, canvas_height int, repeat int, comment string, frame_no int, left int, top int, delay int, disposal int, wait_key boolean, own_palette boolean, width int, height int, data binary, error string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+
+def decode_frames(files: DataFrame) -> DataFrame:
+    """A row for each frame of GIF files (path, content), its pixels packed: path, canvas_width, canvas_height, repeat (0: for
+    ever; null: not said), comment, frame_no, left, top, delay (1/100 s), disposal (0 and 1: the frame stays, 2: its place is cleared,
+    3: it goes), wait_key, own_palette, width, height, data; for a file that cannot be read its path and the error."""
+    fields = [f.strip().split(" ") for f in FRAME_SCHEMA.split(",")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # a batch a file
                 try:
-                    frames = codecs.decode_gif_frames(bytes(content))
-                except (ValueError, IndexError, struct.error):
-                    frames = []
-                rows += [(path, k, x, y, delay, image.shape[1], image.shape[0], np.ascontiguousarray(image).tobytes()) for k, (image, x, y, delay) in enumerate(frames)]
-            yield pd.DataFrame(rows, columns=["path", "frame_no", "left", "top", "delay", "width", "height", "data"])
+                    a = codecs.gif_animation(content.as_py() or b"")
+                    rows = [(path, *a[:4], k, *f[1:], f[0].shape[1], f[0].shape[0], np.ascontiguousarray(f[0]).tobytes(), None) for k, f in enumerate(a.frames)]
+                except (ValueError, IndexError, struct.error) as e:
+                    rows = [(path, *[None] * (len(fields) - 2), f"broken file: {e}")]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+    return files.select("path", "content").mapInArrow(run, FRAME_SCHEMA)
 
-    return unpack(files.select("path", "content").mapInPandas(run, "path string, frame_no int, left int, top int, delay int, width int, height int, data binary"))
 
+def load_frames(files: DataFrame) -> DataFrame:
+    """Pixels of every frame of GIF files (path, content): (path, frame_no, left, top, delay, width, height, x, y, r, g,
+    b, a); delay in hundredths of a second. Unreadable files give none; `decode_frames` tells why."""
+    return unpack(decode_frames(files).where("error IS NULL").select("path", "frame_no", "left", "top", "delay", "width", "height", "data"))
 
-def save_frames(df: DataFrame, key: str = "image_id", repeat: int = 0) -> DataFrame:
+
+def play(frames: DataFrame) -> DataFrame:
+    """What each frame of `frames` (rows of `decode_frames`) shows: pixels (path, frame_no, delay, width, height, x, y, r, g, b, a) of the
+    whole canvas.
+
+    A frame's visible pixels lie over what the frames before left: the last pixel that one of them painted there to stay, or
+    cleared. Every place of a canvas has a window of its own over the frames, so no task sees more of an animation than
+    one place. Frames are clipped to their canvas; reserved disposals count as staying.
+    """
+    told = frames.where("error IS NULL AND canvas_width > 0 AND canvas_height > 0")
+    rows = told.select("path", "frame_no", "delay", "disposal", "left", "top", F.col("width").alias("fw"), F.col("height").alias("fh"), F.col("canvas_width").alias("width"), F.col("canvas_height").alias("height"))
+    grid = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    px = unpack(told.select("path", "frame_no", "left", "top", "width", "height", "data")).where("a > 0")
+    px = px.select(F.col("path").alias("p"), F.col("frame_no").alias("f"), (F.col("x") + F.col("left")).alias("px"), (F.col("y") + F.col("top")).alias("py"), F.struct("r", "g", "b", "a").alias("paint"))
+    met = grid.join(px, (F.col("path") == F.col("p")) & (F.col("frame_no") == F.col("f")) & (F.col("x") == F.col("px")) & (F.col("y") == F.col("py")), "left")
+    clear = F.struct(*[F.lit(0).alias(c) for c in "rgba"])
+    inside = F.col("x").between(F.col("left"), F.col("left") + F.col("fw") - 1) & F.col("y").between(F.col("top"), F.col("top") + F.col("fh") - 1)
+    stays = F.when(F.col("disposal") == 2, F.when(inside, clear)).when(F.col("disposal") == 3, F.lit(None)).otherwise(F.col("paint"))
+    before = Window.partitionBy("path", "x", "y").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, -1)
+    shown = met.withColumn("stays", stays).withColumn("shown", F.coalesce("paint", F.last("stays", ignorenulls=True).over(before), clear))
+    return shown.select("path", "frame_no", "delay", "width", "height", "x", "y", "shown.*")
+
+
+def save_frames(df: DataFrame, key: str = "image_id", repeat: int | None = 0) -> DataFrame:
     """(key, content binary): the frames (key, frame_no, delay, width, height, x, y, r, g, b, a) of each key as one
-    GIF animation; frames have equal sizes and at most 256 colours."""
+    GIF animation of at most 256 colours a frame. Columns left, top and disposal of a frame, and comment of a key, are written where they
+    are there. Frames of one key are joined in one row."""
     kind = df.schema[key].dataType.simpleString()
-    named = df.withColumn("__frame", F.struct(F.col(key).alias("key"), "frame_no", "delay"))
+    said = [F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) if c in df.columns else F.lit(0).alias(c) for c in ("left", "top", "disposal")]
+    comment = F.col("comment").cast("string") if "comment" in df.columns else F.lit(None).cast("string")
+    named = df.withColumn("__frame", F.struct(F.col(key).alias("key"), "frame_no", "delay", *said, comment.alias("comment")))
     frames = pack(named.select("__frame", "width", "height", "x", "y", "r", "g", "b", "a"), "__frame")
-    whole = frames.groupBy(F.col("__frame.key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("__frame.frame_no", "__frame.delay", "width", "height", "data"))).alias("frames"))
+    whole = frames.groupBy(F.col("__frame.key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("__frame.frame_no", "__frame.delay", "__frame.left", "__frame.top", "__frame.disposal", "width", "height", "data"))).alias("frames"), F.max("__frame.comment").alias("comment"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [codecs.encode_gif([(np.frombuffer(f["data"], np.uint8).reshape(f["height"], f["width"], 4), f["delay"]) for f in frames], repeat) for frames in batch.column(1).to_pylist()]
+            out = [
+                codecs.encode_gif([(np.frombuffer(f["data"], np.uint8).reshape(f["height"], f["width"], 4), f["delay"], f["left"], f["top"], f["disposal"]) for f in frames], repeat, said)
+                for frames, said in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[key, "content"])
 
     return whole.mapInArrow(run, f"{key} {kind}, content binary")

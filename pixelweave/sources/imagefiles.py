@@ -8,7 +8,6 @@ length are answered from the listing, before any file is opened. Files are reach
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -236,17 +235,6 @@ def write(files: DataFrame, path: str, mode: str = "append") -> None:
     files.select("path", "content").write.format(FORMAT).mode(mode).save(path)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for files that a job writes and reads again, below spark.checkpoint.dir, which all executors share; in a local
-    session without that setting a temporary one. It stays until somebody deletes it."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def formats() -> dict[str, tuple[bool, bool]]:
     """(can be loaded, can be saved) for each registered format."""
     return {f: (f in codecs.LOADERS, f in codecs.SAVERS) for f in sorted({*codecs.LOADERS, *codecs.SAVERS})}
