@@ -190,8 +190,8 @@ def _merged(rows: DataFrame, begun: list, blocks: Iterator, over, schema: str, i
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """`docs` without the rows that hold a benchmark window; all columns are kept.
 
-    The rows travel through the scan themselves, so nothing is shuffled; each block filters what the
-    block before kept.
+    The rows travel through the scan themselves, so nothing is shuffled. A benchmark of one block is one scan; with more, what
+    a block keeps is written before the next block scans it, so no task holds two automata.
     """
     at = docs.columns.index(text_col)
 
@@ -207,8 +207,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         return source.mapInArrow(run, source.schema)
 
-    for block in _blocks(benchmark, item_col, item_text_col, width, most_windows):
-        docs = without(block, docs)
+    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, width, most_windows)):
+        docs = without(block, cut(docs) if k else docs)
     return docs
 
 
