@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .common import cut, numbered, table, uniform
 
 SHARDS = 8
-#: Rounds at most; propagation ends when no shard lets another row in.
-ROUNDS = 12
+#: Propagation ends when nobody wishes to move or no shard lets another row in; rounds at most, as a safeguard, and rounds in a row that may
+#: bring no link closer to its shard.
+ROUNDS, IDLE = 200, 6
 SEED = 5
 
 
@@ -27,15 +28,19 @@ def _propagate(linked: DataFrame, shards: int, quota: dict[int, int], rounds: in
     With `avoid_full` a full shard neither attracts nor gives up rows, so a group larger than a shard fills
     one after the other. Without, full shards still swap rows.
     """
+    least, idle = None, 0
     for step in range(rounds):
         load = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         closed = [s for s in range(shards) if load.get(s, 0) >= quota[s]] if avoid_full else []
         held = linked.where(~F.col("shard").isin(closed)).groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
         # Most members win; a hash of key and shard breaks ties, so that ties spread over the shards.
         rank = F.struct("n", F.xxhash64(F.lit(seed), "group", "shard").alias("tie"))
-        wish = cut(held.groupBy("group").agg(F.max_by("shard", rank).alias("to"), F.sum("n").alias("members"), F.max("n").alias("there")).where("members > there").select(F.col("group").alias("g"), "to"))
-        if wish.isEmpty():
+        wish = cut(held.groupBy("group").agg(F.max_by("shard", rank).alias("to"), F.sum("n").alias("members"), F.max("n").alias("there")).where("members > there").select(F.col("group").alias("g"), "to", (F.col("members") - F.col("there")).alias("away")))
+        away = wish.agg(F.sum("away")).first()[0]
+        idle = 0 if least is None or away is not None and away < least else idle + 1
+        if not away or idle > IDLE:
             break
+        least, wish = min(away, least or away), wish.drop("away")
         asked = cut(linked.join(wish, F.col("group") == F.col("g"), "left").drop("g"))
         asked = asked.withColumn("to", F.when(~F.col("shard").isin(closed), F.col("to")))
         flows = {(r["shard"], r["to"]): r["n"] for r in asked.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most shards * (shards + 1) rows
