@@ -26,7 +26,9 @@ from .common import table
 VOCABULARY = os.environ.get("PIECE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 UNKNOWN_COST = 10.0
 REMEMBERED = 200_000
-_SEGMENT = re.compile("▁*[^▁]+|▁+")
+_SEGMENT, _BORDER = re.compile("▁*[^▁]+|▁+"), re.compile("[^▁]▁")
+#: Characters of a text that are split into segments at a time, and places of a long segment that are held.
+STRETCH, KEPT = 1 << 20, 1 << 16
 
 
 def load_vocabulary(path: str = VOCABULARY) -> list[tuple[str, float]]:
@@ -49,44 +51,61 @@ class Counter32:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.single = {piece for piece, _ in vocabulary if len(piece) == 1}
+        self.longest = max((len(piece) for piece, _ in vocabulary), default=0)
         self.unknown = min((score for _, score in vocabulary), default=0.0) - UNKNOWN_COST
         self.remembered, self.known = remembered, {}
 
     def segment(self, s: str) -> tuple[float, int]:
-        """(best score, pieces) of one segment."""
-        n = len(s)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, (length, score) in self.automaton.iter(s):  # long pieces first at one end
-            ending[end].append((length, score))
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
+        """(best score, pieces) of one segment. The program follows the automaton; of places further back than the longest
+        piece nothing is kept."""
+        n, base, single = len(s), 0, self.single
+        best, count = [0.0], [0]
+        matches = self.automaton.iter(s)  # long pieces first at one end
+        at, piece = next(matches, (n, None))
         for end in range(n):
-            top, pieces = None, 0
-            for length, score in ending[end]:
-                total = best[end + 1 - length] + score
+            top, pieces, here = None, 0, end + 1 - base
+            while at == end:
+                length, score = piece
+                total = best[here - length] + score
                 if top is None or total > top:
-                    top, pieces = total, count[end + 1 - length] + 1
-            if s[end] not in self.single:
-                total = best[end] + self.unknown
+                    top, pieces = total, count[here - length] + 1
+                at, piece = next(matches, (n, None))
+            if s[end] not in single:
+                total = best[-1] + self.unknown
                 if top is None or total > top:
-                    top, pieces = total, count[end] + len(s[end].encode("utf-8", "replace"))
-            best[end + 1], count[end + 1] = top, pieces
-        return best[n], count[n]
+                    top, pieces = total, count[-1] + len(s[end].encode("utf-8", "replace"))
+            best.append(top)
+            count.append(pieces)
+            if len(best) > KEPT + self.longest:
+                base += len(best) - self.longest - 1
+                del best[: -self.longest - 1], count[: -self.longest - 1]
+        return best[-1], count[-1]
+
+    def segments(self, text: str) -> Iterator[Counter]:
+        """Counts of the segments of a text, a stretch at a time; stretches end between segments."""
+        at = 0
+        while at < len(text):
+            gap = _BORDER.search(text, min(at + STRETCH, len(text)))
+            end = gap.end() - 1 if gap else len(text)
+            yield Counter(_SEGMENT.findall(text, at, end))
+            at = end
 
     def text(self, text: str | None) -> tuple[int, float]:
         """(tokens, score) of a text; (0, 0) for null or empty."""
         if not text:
             return 0, 0.0
         tokens, score, known = 0, 0.0, self.known
-        for s, n in Counter(_SEGMENT.findall("▁" + text.replace(" ", "▁"))).items():
-            found = known.get(s)
-            if found is None:
-                found = self.segment(s)
-                if len(s) < 64:
-                    if len(known) >= self.remembered:
-                        known.clear()
-                    known[s] = found
-            tokens += n * found[1]
-            score += n * found[0]
+        for part in self.segments("▁" + text.replace(" ", "▁")):
+            for s, n in part.items():
+                found = known.get(s)
+                if found is None:
+                    found = self.segment(s)
+                    if len(s) < 64:
+                        if len(known) >= self.remembered:
+                            known.clear()
+                        known[s] = found
+                tokens += n * found[1]
+                score += n * found[0]
         return tokens, score
 
 
@@ -98,7 +117,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     `vocabulary` defaults to the file at VOCABULARY, read by the driver and sent with the job (a vocabulary
     is of fixed size). Null and empty texts have 0 tokens. Repeated rows stay, other columns are ignored,
-    texts are counted whole.
+    texts are counted whole, however long they or their segments are, in bounded memory beside the text; an empty
+    table gives an empty result.
     """
     pieces = load_vocabulary() if vocabulary is None else vocabulary
     key = hash(tuple(pieces))
