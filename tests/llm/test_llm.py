@@ -39,10 +39,11 @@ def test_equals_sql(spark, data, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{os.path.join(data, t)}.parquet'")
     df = QUERIES[name](spark, data)
     cols = sorted(df.columns)
-    mine = sorted(tuple(r[c] for c in cols) for r in df.collect())
+    nulls_first = lambda r: tuple((v is not None, v) for v in r)
+    mine = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=nulls_first)
     found = con.sql(SQL[name])
     at = [list(found.columns).index(c) for c in cols]
-    assert mine == sorted(tuple(r[i] for i in at) for r in found.fetchall())
+    assert mine == sorted((tuple(r[i] for i in at) for r in found.fetchall()), key=nulls_first)
 
 
 # ------------------------------------------------------------------ 3: near duplicates
