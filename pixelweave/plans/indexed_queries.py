@@ -33,12 +33,16 @@ def _next(d: DataFrame) -> DataFrame:
     return d.withColumn("image_id", F.col("image_id") - 1)
 
 
-_SQL = {"add": "(d.v + s.v) & 255", "sub": "(d.v - s.v) & 255", "mul": "(d.v * s.v) & 255", "rsub": "greatest(s.v - d.v, 0)", "or": "d.v | s.v", "and": "d.v & s.v", "xor": "xor(d.v, s.v)", "mask": "d.v & (255 - s.v)", "transparent": "CASE WHEN s.v <> 0 THEN s.v ELSE d.v END"}
+#: An image's values beside those of the next one, without a join; sx, sy: the place in the next one.
+_PAIRS = f"""WITH two AS (SELECT vec_id AS image_id, embedding AS e, CASE WHEN lead(vec_id) OVER (ORDER BY vec_id) = vec_id + 1 THEN lead(embedding) OVER (ORDER BY vec_id) END AS f FROM embeddings),
+cells AS (SELECT image_id, CAST(k % 8 AS INT) AS x, CAST(k // 8 AS INT) AS y, {X.BYTE.format('e[k+1]')} AS dv, f, CAST(k % 8 - {{dx}} AS INT) AS sx, CAST(k // 8 - {{dy}} AS INT) AS sy FROM two, (SELECT unnest(range(0, 64)) AS k)),
+met AS (SELECT image_id, x, y, dv, CASE WHEN f IS NOT NULL AND sx BETWEEN 0 AND 7 AND sy BETWEEN 0 AND 7 THEN {X.BYTE.format('f[sy*8+sx+1]')} END AS sv FROM cells)"""
+_SQL = {"add": "(dv + sv) & 255", "sub": "(dv - sv) & 255", "mul": "(dv * sv) & 255", "rsub": "greatest(sv - dv, 0)", "or": "dv | sv", "and": "dv & sv", "xor": "xor(dv, sv)", "mask": "dv & (255 - sv)", "transparent": "CASE WHEN sv <> 0 THEN sv ELSE dv END"}
 for _op, _value in _SQL.items():
     QUERIES[f"i1_indexed_{_op}"] = lambda spark, d, op=_op: I.combine(X.gray(spark, d), _next(X.gray(spark, d)), op).select(*OUT)
-    ORACLE_SQL[f"i1_indexed_{_op}"] = f"WITH {X.GRAY_SQL} SELECT d.image_id, d.x, d.y, CAST({_value} AS INT) AS v FROM gy d JOIN gy s ON s.image_id = d.image_id + 1 AND s.x = d.x AND s.y = d.y"
+    ORACLE_SQL[f"i1_indexed_{_op}"] = f"{_PAIRS.format(dx=0, dy=0)} SELECT image_id, x, y, CAST({_value} AS INT) AS v FROM met WHERE sv IS NOT NULL"
 QUERIES["e11_indexed_blit"] = lambda spark, d: I.blit(X.gray(spark, d), _next(X.gray(spark, d)), "add", (3, -2)).select(*OUT)
-ORACLE_SQL["e11_indexed_blit"] = f"WITH {X.GRAY_SQL} SELECT d.image_id, d.x, d.y, CAST(CASE WHEN s.v IS NULL THEN d.v ELSE (d.v + s.v) & 255 END AS INT) AS v FROM gy d LEFT JOIN gy s ON s.image_id = d.image_id + 1 AND s.x = d.x - 3 AND s.y = d.y + 2"
+ORACLE_SQL["e11_indexed_blit"] = f"{_PAIRS.format(dx=3, dy=-2)} SELECT image_id, x, y, CAST(CASE WHEN sv IS NULL THEN dv ELSE (dv + sv) & 255 END AS INT) AS v FROM met"
 QUERIES["n1_indexed_content"] = lambda spark, d: I.content_size(X.gray(spark, d), 1, 1, 5, 6, 135)
 ORACLE_SQL["n1_indexed_content"] = f"WITH {X.GRAY_SQL} SELECT image_id, coalesce(max(CASE WHEN x BETWEEN 1 AND 5 AND y BETWEEN 1 AND 6 AND v > 135 THEN x END), 0) AS content_width, coalesce(max(CASE WHEN x BETWEEN 1 AND 5 AND y BETWEEN 1 AND 6 AND v > 135 THEN y END), 0) AS content_height FROM gy GROUP BY image_id"
 
