@@ -1,7 +1,7 @@
 """Palettes: expansion, nearest colours, median-cut quantization and dithering.
 
 Nearest-colour work is an expression of the pixel, so pixels are not shuffled; a palette has at most 256
-entries and is a literal of the plan. Median cut works on an image's histogram, and error
+entries and is a literal of the plan. Median cut works on an image's histogram, by joins and group-bys where it is large, and error
 diffusion on one image at a time, since each pixel needs the errors of those before it.
 """
 
@@ -14,10 +14,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import CHANNELS, RGB, columns
+from ..functions.lineage import cut
 
 Palette = Sequence[Sequence[int]]
 KEYS = ("image_id", "width", "height", "x", "y")
@@ -193,7 +194,9 @@ def median_cut(colors: np.ndarray, counts: np.ndarray, n: int, use_original: boo
             made += 1
     out = set()
     for _, _, c, k in heap:
-        if use_original:
+        if use_original:  # in the order of the bucket's own widest channel
+            order = np.lexsort((*c.T[::-1], c[:, int((c.max(axis=0) - c.min(axis=0)).argmax())]))
+            c, k = c[order], k[order]
             out.add(tuple(c[min(int(np.searchsorted(np.cumsum(k), k.sum() / 2)), len(c) - 1)].tolist()))
         else:
             mean = ((c / 255.0) ** 2.2).mean(axis=0) ** (1 / 2.2) * 255 + 0.5
@@ -201,14 +204,21 @@ def median_cut(colors: np.ndarray, counts: np.ndarray, n: int, use_original: boo
     return sorted(out)
 
 
-def quantize(df: DataFrame, n: int, use_original: bool = False, include_alpha: bool = False) -> DataFrame:
+#: Distinct colours of an image up to which one task cuts it.
+IN_TASK = 1 << 16
+
+
+def quantize(df: DataFrame, n: int, use_original: bool = False, include_alpha: bool = False, in_task: int = IN_TASK) -> DataFrame:
     """(image_id, idx, r, g, b, a): a median-cut palette of each image, sorted by colour.
 
-    Counting is a distributed group-by; only an image's distinct colours meet in one group (2^24 at most
-    without alpha).
+    Counting is a distributed group-by. Images of at most `in_task` distinct colours are cut in one task each; those
+    of more by `split_buckets`, which never gathers a bucket's colours.
     """
-    names = list(CHANNELS if include_alpha else RGB)
-    counted = df.groupBy("image_id", *names).agg(F.count(F.lit(1)).alias("n"))
+    if not 2 <= n <= 256:
+        raise ValueError("2 to 256 colours")
+    names, kind = list(CHANNELS if include_alpha else RGB), df.schema["image_id"].dataType.simpleString()
+    counted = cut(df.groupBy("image_id", *names).agg(F.count(F.lit(1)).alias("n")))
+    many = cut(counted.groupBy("image_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > in_task).select(F.col("image_id").alias("large")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(names)
@@ -218,7 +228,122 @@ def quantize(df: DataFrame, n: int, use_original: bool = False, include_alpha: b
             out["a"] = 255
         return out.assign(image_id=pdf["image_id"].iloc[0], idx=range(len(out)))[["image_id", "idx", *CHANNELS]]
 
-    return counted.groupBy("image_id").applyInPandas(run, "image_id long, idx int, r int, g int, b int, a int")
+    small = counted if many.isEmpty() else counted.join(many, F.col("image_id").eqNullSafe(F.col("large")), "left_anti")
+    done = small.groupBy("image_id").applyInPandas(run, f"image_id {kind}, idx int, r int, g int, b int, a int")
+    if many.isEmpty():
+        return done
+    large = counted.join(many, F.col("image_id").eqNullSafe(F.col("large")), "left_semi")
+    return done.unionByName(_bucket_colors(split_buckets(large, names, n), names, use_original))
+
+
+def _key(names: Sequence[str], channel: Column) -> Column:
+    """A colour's place in the order of one channel, ties by all: the channel's byte before those of `names`."""
+    key = F.get(F.array(*[F.col(c).cast("long") for c in names]), channel)
+    for c in names:
+        key = key * 256 + F.col(c)
+    return key
+
+
+def _medians(colors: DataFrame, wanted: DataFrame, names: Sequence[str]) -> DataFrame:
+    """`wanted` (image, at, channel, total) with `median`, the first key at which half of the bucket's pixels are reached, and
+    `last`, its largest key.
+
+    The key is found a byte at a time: pixels are summed by the next byte of the keys that begin like the median, at most
+    256 sums a bucket, so no bucket is sorted or gathered.
+    """
+    steps = len(names) + 1
+    state = wanted.withColumns({"prefix": F.lit(0).cast("long"), "before": F.lit(0).cast("long"), "last": F.lit(None).cast("long")})
+    for k in range(steps):
+        shift = 8 * (steps - 1 - k)
+        met = colors.join(state, colors["image_id"].eqNullSafe(state["image"]) & (colors["bucket"] == state["at"])).withColumn("key", _key(names, F.col("channel")))
+        here = met.where(F.shiftright("key", shift + 8) == F.col("prefix"))
+        sums = here.groupBy("image", "at", "channel", "total", "prefix", "before", "last", F.shiftright("key", shift).alias("next")).agg(F.sum("n").alias("n"), F.max("key").alias("top"))
+        along = Window.partitionBy("image", "at").orderBy("next")
+        summed = sums.withColumn("until", F.col("before") + F.sum("n").over(along)).withColumn("last", F.coalesce("last", F.max("top").over(Window.partitionBy("image", "at"))))
+        reached = summed.where(F.col("until") >= F.col("total") / 2)
+        first = reached.withColumn("rank", F.row_number().over(along)).where("rank = 1")
+        state = cut(first.select("image", "at", "channel", "total", F.col("next").alias("prefix"), (F.col("until") - F.col("n")).alias("before"), "last"))
+    return state.withColumnRenamed("prefix", "median").drop("before")
+
+
+_SPANS = "image {0}, at string, span int, channel int, total long, size long"
+
+
+def split_buckets(colors: DataFrame, names: Sequence[str], n: int) -> DataFrame:
+    """`colors` (image_id, `names`, n) with `bucket` string: the median cut's at most `n` buckets of each image.
+
+    All images are cut at once. In a round each image's queue of buckets, at most a few hundred numbers, is played as far as the splits
+    known so far reach; the buckets that it asks for are split at their medians by joins and group-bys. Rounds are as many as
+    the queue is deep. The path of a bucket from the whole image is its name; it is null in images of at most `n` colours, which are not cut.
+    """
+    kind = colors.schema["image_id"].dataType.simpleString()
+    colors = cut(colors.withColumn("bucket", F.lit("")))
+    nodes, fresh = None, colors
+    while True:
+        spans = [(F.max(c) - F.min(c)) for c in names]
+        grouped = fresh.groupBy(F.col("image_id").alias("image"), F.col("bucket").alias("at"))
+        new = grouped.agg(F.array(*spans).alias("spans"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("size"))
+        new = new.select("image", "at", F.array_max("spans").cast("int").alias("span"), (F.array_position("spans", F.array_max("spans")) - 1).cast("int").alias("channel"), "total", "size")
+        nodes = cut(new if nodes is None else nodes.unionByName(new))
+        asked = cut(nodes.groupBy("image").applyInPandas(_played(n), f"image {kind}, at string, leaf string, split boolean"))
+        wanted = nodes.join(asked.where("split").select(F.col("image").alias("i"), F.col("at").alias("cut_at")), nodes["image"].eqNullSafe(F.col("i")) & (F.col("at") == F.col("cut_at"))).select("image", "at", "channel", "total")
+        if wanted.isEmpty():
+            named = asked.select(F.col("image").alias("i"), F.col("at").alias("cut_at"), "leaf")
+            return colors.join(named, colors["image_id"].eqNullSafe(F.col("i")) & (F.col("bucket") == F.col("cut_at"))).select("image_id", *names, "n", F.col("leaf").alias("bucket"))
+        cuts = _medians(colors, cut(wanted), names).select(F.col("image").alias("i"), F.col("at").alias("cut_at"), "channel", "median", "last")
+        met = colors.join(cuts, colors["image_id"].eqNullSafe(F.col("i")) & (F.col("bucket") == F.col("cut_at")), "left")
+        key = _key(names, F.col("channel"))
+        low = (key < F.col("median")) | (key == F.col("median")) & (F.col("median") < F.col("last"))
+        colors = cut(met.select("image_id", *names, "n", F.when(F.col("cut_at").isNull(), F.col("bucket")).otherwise(F.concat("bucket", F.when(low, "0").otherwise("1"))).alias("bucket"), F.col("cut_at").isNotNull().alias("moved")))
+        fresh, colors = colors.where("moved").drop("moved"), colors.drop("moved")
+
+
+def _played(n: int):
+    """The queue of one image's buckets: (image, at, leaf, split) of each known bucket that is not split yet, with the bucket of the result that
+    it lies in, or which has to be split to go on."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = {r.at: r for r in pdf.itertuples()}
+        ends = [at for at in known if at + "0" not in known]
+        asked = set()
+        heap: list[tuple[int, int, str]] = [(-known[""].span, 0, "")]
+        size, made = 1, 1
+        while known[""].size > n and size < n and heap and heap[0][0] < 0:
+            at = heapq.heappop(heap)[2]
+            size += 1
+            if at in ends:
+                asked.add(at)
+                continue
+            for part in (at + "0", at + "1"):
+                heapq.heappush(heap, (-known[part].span, made, part))
+                made += 1
+        leaves = {at for _, _, at in heap} if known[""].size > n else {""}
+        inside = [next((at[:k] for k in range(len(at) + 1) if at[:k] in leaves), at) for at in ends]
+        if known[""].size <= n:  # every colour is a bucket
+            inside = [None] * len(ends)
+        return pd.DataFrame({"image": pdf["image"].iloc[0], "at": ends, "leaf": inside, "split": [at in asked for at in ends]})
+
+    return run
+
+
+def _bucket_colors(colors: DataFrame, names: Sequence[str], use_original: bool) -> DataFrame:
+    """(image_id, idx, r, g, b, a) of the colours of `split_buckets`' buckets."""
+    alone = F.concat(F.lit("c"), _key(names, F.lit(0)).cast("string"))
+    colors = colors.withColumn("bucket", F.coalesce("bucket", alone))
+    image, at = F.col("image_id").alias("image"), F.col("bucket").alias("at")
+    if use_original:
+        spans = F.array(*[F.max(c) - F.min(c) for c in names])
+        told = colors.groupBy(image, at).agg(spans.alias("spans"), F.sum("n").alias("total"))
+        found = _medians(colors, cut(told.select("image", "at", (F.array_position("spans", F.array_max("spans")) - 1).cast("int").alias("channel"), "total")), names)
+        byte = lambda k: F.shiftright("median", 8 * (len(names) - 1 - k)).bitwiseAND(255).cast("int")
+        made = found.select("image", *[byte(k).alias(c) for k, c in enumerate(names)])
+    else:
+        mean = lambda c: F.least(F.greatest(F.floor(F.pow(F.avg(F.pow(F.col(c) / 255.0, F.lit(2.2))), F.lit(1 / 2.2)) * 255 + 0.5), F.lit(0)), F.lit(255)).cast("int")
+        made = colors.groupBy(image, at).agg(*[mean(c).alias(c) for c in names]).drop("at")
+    if "a" not in names:
+        made = made.withColumn("a", F.lit(255))
+    order = Window.partitionBy("image").orderBy(*CHANNELS)  # at most 256 rows an image
+    return made.distinct().select(F.col("image").alias("image_id"), (F.row_number().over(order) - 1).cast("int").alias("idx"), *CHANNELS)
 
 
 def to_own_palette(df: DataFrame, n: int) -> DataFrame:
