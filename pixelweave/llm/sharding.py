@@ -26,16 +26,19 @@ def _propagate(linked: DataFrame, shards: int, quota: dict[int, int], rounds: in
     """`linked` (group, ..., shard) after some rounds of moves; loads stay near or below the quotas.
 
     With `avoid_full` a full shard neither attracts nor gives up rows, so a group larger than a shard fills
-    one after the other. Without, full shards still swap rows.
+    one after the other. Without, full shards still swap rows; where all wishes lead to full shards, a round sends the
+    scattered groups to the shards with room instead.
     """
-    least, idle = None, 0
+    least, idle, stuck = None, 0, False
     for step in range(rounds):
         load = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-        closed = [s for s in range(shards) if load.get(s, 0) >= quota[s]] if avoid_full else []
+        full = [s for s in range(shards) if load.get(s, 0) >= quota[s]]
+        closed, shut = full if avoid_full else [], full if avoid_full or stuck else []
         held = linked.where(~F.col("shard").isin(closed)).groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
         # Most members win; a hash of key and shard breaks ties, so that ties spread over the shards.
         rank = F.struct("n", F.xxhash64(F.lit(seed), "group", "shard").alias("tie"))
-        wish = cut(held.groupBy("group").agg(F.max_by("shard", rank).alias("to"), F.sum("n").alias("members"), F.max("n").alias("there")).where("members > there").select(F.col("group").alias("g"), "to", (F.col("members") - F.col("there")).alias("away")))
+        told = held.groupBy("group").agg(F.max_by("shard", F.when(~F.col("shard").isin(shut), rank)).alias("to"), F.sum("n").alias("members"), F.max("n").alias("there"))
+        wish = cut(told.where("members > there AND to IS NOT NULL").select(F.col("group").alias("g"), "to", (F.col("members") - F.col("there")).alias("away")))
         away = wish.agg(F.sum("away")).first()[0]
         idle = 0 if least is None or away is not None and away < least else idle + 1
         if not away or idle > IDLE:
@@ -54,7 +57,11 @@ def _propagate(linked: DataFrame, shards: int, quota: dict[int, int], rounds: in
                     free = max(0, quota[t] - load.get(t, 0)) * n / want[t]
                     share[s, t] = min(1.0, (free + min(n, flows.get((t, s), 0))) / n)
         if not any(share.values()):
-            break
+            if avoid_full or stuck:
+                break
+            stuck = True
+            continue
+        stuck = False
         cases = F.lit(0.0)
         for (s, t), p in share.items():
             cases = F.when((F.col("shard") == s) & (F.col("to") == t), F.lit(p)).otherwise(cases)
