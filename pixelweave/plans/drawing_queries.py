@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from ..operators import draw as D
+from ..operators import shapes as S
 from ..sources import fixtures as X
 from .sqltext import over, over_pm
 
@@ -86,3 +87,40 @@ seg AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy, greatest(abs(x2 - x1), abs(y2 -
 st AS (SELECT *, unnest(range(1, major + 1)) AS s FROM seg WHERE major > 0),
 hit AS (SELECT DISTINCT x, y FROM (SELECT x1 + sign(dx) * ((2 * s * abs(dx) + major) // (2 * major)) AS x, y1 + sign(dy) * ((2 * s * abs(dy) + major) // (2 * major)) AS y FROM st UNION ALL SELECT x1, y1 FROM co WHERE i = 0)),
 cw AS (SELECT cv.*, hit.x IS NOT NULL AS hit FROM cv LEFT JOIN hit USING (x, y)) {painted('hit', source='cw')}"""
+
+
+def _shapes(spark, d):
+    """A rectangle, a line, a frame or a curve of each customer, in every mode, painted in the order of the keys."""
+    k = F.col("c_custkey")
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y, w, h = k * 7 % 110 - 5, k * 13 % 105 - 3, k % 23 + 1, k % 17 + 1
+    kind = F.element_at(F.array(*map(F.lit, ("rect", "line", "frame", "curve"))), (k % 4 + 1).cast("int"))
+    points = F.when(k % 4 == 1, F.array(at(x, y), at(x + w * 2 - 20, y + h * 3 - 25))).when(k % 4 == 3, F.array(at(x, y), at(x + w, y - h), at(x - h, y + w), at(x + h, y + h))).otherwise(F.array(at(x, y), at(w, h)))
+    color = F.struct(*[(k * m % 256).cast("int").alias(c) for c, m in zip("rgb", (3, 5, 11), strict=True)], (F.floor(k / 3) * 50 % 300).cast("int").alias("a"))
+    color = F.struct(*[color[c].alias(c) for c in "rgb"], F.least(color["a"], F.lit(255)).alias("a"))
+    mode = F.element_at(F.array(*map(F.lit, S.MODES)), (F.floor(k / 4) % 4 + 1).cast("int"))
+    rows = spark.read.parquet(f"{d}/customer.parquet").select(
+        F.lit(0).cast("long").alias("image_id"), k.alias("ord"), kind.alias("kind"), points.alias("points"), F.lit(20).alias("n"), F.lit(2).alias("thickness"), (k % 8 == 1).alias("skip_start"), mode.alias("mode"), F.array(color).alias("colors")
+    )
+    return S.paint(X.canvas(spark, d), rows).select(*OUT)
+
+
+QUERIES["k2_painted_in_order"] = _shapes
+_BLEND = {m: f({c: f"s.{c}" for c in "rgba"}, {c: f"u.{c}" for c in "rgba"}) for m, f in (("alpha", lambda o, u: over(o, u, True)), ("alpha_pm", lambda o, u: over_pm(o, u) | {"a": "255"}))}
+_FOLD = ", ".join(f"{c} := CAST(CASE WHEN s.mode = 'copy' OR s.a = 255 THEN s.{c} WHEN s.mode = 'transparent' THEN CASE WHEN s.a <> 0 THEN s.{c} ELSE u.{c} END WHEN s.mode = 'alpha' THEN {_BLEND['alpha'][c]} ELSE {_BLEND['alpha_pm'][c]} END AS INT)" for c in "rgba")
+_BEZ = [f"CAST(trunc((1 - t) * (1 - t) * (1 - t) * {a} + 3 * t * (1 - t) * (1 - t) * {b} + 3 * t * t * (1 - t) * {c} + t * t * t * {e} + 0.5e0) AS BIGINT)" for a, b, c, e in (("x", "(x + w)", "(x - h)", "(x + h)"), ("y", "(y - h)", "(y + w)", "(y + h)"))]
+ORACLE_SQL["k2_painted_in_order"] = f"""WITH {X.CANVAS_SQL},
+sh AS MATERIALIZED (SELECT *, least(k // 3 * 50 % 300, 255) AS a, ['copy', 'transparent', 'alpha', 'alpha_pm'][k // 4 % 4 + 1] AS mode FROM (
+  SELECT c_custkey AS k, c_custkey * 7 % 110 - 5 AS x, c_custkey * 13 % 105 - 3 AS y, c_custkey % 23 + 1 AS w, c_custkey % 17 + 1 AS h, c_custkey * 3 % 256 AS r, c_custkey * 5 % 256 AS g, c_custkey * 11 % 256 AS b FROM customer)),
+boxes AS (SELECT k, px, unnest(range(y, y + h)) AS py, x, y, w, h FROM (SELECT *, unnest(range(x, x + w)) AS px FROM sh WHERE k % 2 = 0)),
+legs AS (
+  SELECT k, x AS x1, y AS y1, x + w * 2 - 20 AS x2, y + h * 3 - 25 AS y2, CASE WHEN k % 8 = 1 THEN 1 ELSE 0 END AS s0 FROM sh WHERE k % 4 = 1
+  UNION ALL SELECT k, coalesce(lag(cx) OVER w, cx), coalesce(lag(cy) OVER w, cy), cx, cy, CASE WHEN i = 0 THEN 0 ELSE 1 END
+  FROM (SELECT k, i, {_BEZ[0]} AS cx, {_BEZ[1]} AS cy FROM (SELECT *, i / 20e0 AS t FROM (SELECT *, unnest(range(0, 21)) AS i FROM sh WHERE k % 4 = 3))) WINDOW w AS (PARTITION BY k ORDER BY i)),
+walk AS (SELECT *, greatest(abs(x2 - x1), abs(y2 - y1)) AS major, unnest(range(s0, greatest(abs(x2 - x1), abs(y2 - y1)) + 1)) AS s FROM legs),
+dots AS (SELECT DISTINCT k, px, py FROM (
+  SELECT k, px, py FROM boxes WHERE k % 4 = 0 OR 4 >= least(w, h) OR NOT (px BETWEEN x + 2 AND x + w - 3 AND py BETWEEN y + 2 AND y + h - 3)
+  UNION ALL SELECT k, CASE WHEN major = 0 THEN x1 ELSE x1 + sign(x2 - x1) * ((2 * s * abs(x2 - x1) + major) // (2 * major)) END, CASE WHEN major = 0 THEN y1 ELSE y1 + sign(y2 - y1) * ((2 * s * abs(y2 - y1) + major) // (2 * major)) END FROM walk)),
+stack AS (SELECT px, py, list(struct_pack(mode := mode, r := CAST(r AS INT), g := CAST(g AS INT), b := CAST(b AS INT), a := CAST(a AS INT)) ORDER BY k) AS marks FROM dots JOIN sh USING (k) GROUP BY px, py),
+done AS (SELECT cv.*, list_reduce(list_prepend(struct_pack(mode := 'copy', r := cv.r, g := cv.g, b := cv.b, a := cv.a), coalesce(marks, [])), lambda u, s: struct_pack(mode := 'copy', {_FOLD})) AS p FROM cv LEFT JOIN stack ON px = x AND py = y)
+SELECT image_id, x, y, p.r AS r, p.g AS g, p.b AS b, p.a AS a FROM done"""
