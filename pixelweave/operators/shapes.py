@@ -26,11 +26,11 @@ def _point(k: int, c: str) -> Column:
 
 
 def _whole(k: int, c: str) -> Column:
-    return _point(k, c).cast("int")
+    return _point(k, c).cast("long")
 
 
 def _range(low: Column, high: Column) -> Column:
-    return F.when(low <= high, F.sequence(low, high)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.when(low <= high, F.sequence(low.cast("long"), high.cast("long"))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
 def _cells(rects: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def _cells(rects: DataFrame) -> DataFrame:
 def _rectangles(shapes: DataFrame) -> DataFrame:
     """Rectangles as they are, frames as four strips, or whole where the strips meet."""
     x, y, w, h, t = _whole(0, "x"), _whole(0, "y"), _whole(1, "x"), _whole(1, "y"), F.coalesce("thickness", F.lit(1))
-    strip = lambda *v: F.struct(*[e.cast("int").alias(n) for e, n in zip(v, ("rx", "ry", "rw", "rh"), strict=True)])
+    strip = lambda *v: F.struct(*[e.cast("long").alias(n) for e, n in zip(v, ("rx", "ry", "rw", "rh"), strict=True)])
     strips = F.array(strip(x, y, w, t), strip(x, y + h - t, w, t), strip(x, y + t, t, h - 2 * t), strip(x + w - t, y + t, t, h - 2 * t))
     hollow = (F.col("kind") == "frame") & (2 * t < F.least(w, h))
     parts = F.when(hollow, strips).otherwise(F.array(strip(x, y, w, h)))
@@ -64,9 +64,9 @@ def _segments(lines: DataFrame) -> DataFrame:
     start, to, size = F.when(steep, F.col("y1")).otherwise(F.col("x1")), F.when(steep, sign(dy)).otherwise(sign(dx)), F.when(steep, F.col("height")).otherwise(F.col("width"))
     low = F.greatest(F.when(F.col("skip_start"), 1).otherwise(0), F.when(to > 0, -start).otherwise(start - size + 1))
     high = F.least(major, F.when(to > 0, size - 1 - start).otherwise(start))
-    rows = lines.withColumns({"steep": steep, "to": to, "major": major, "minor": minor, "side": F.when(steep, sign(dx)).otherwise(sign(dy))}).withColumn("i", F.explode(_range(low.cast("int"), high.cast("int"))))
+    rows = lines.withColumns({"steep": steep, "to": to, "major": major, "minor": minor, "side": F.when(steep, sign(dx)).otherwise(sign(dy))}).withColumn("i", F.explode(_range(low, high)))
     i = F.col("i")
-    moved = F.when(F.col("major") > 0, F.floor((2 * i.cast("long") * F.col("minor") + F.col("major")) / (2 * F.col("major")))).otherwise(0).cast("int") * F.col("side")
+    moved = F.when(F.col("major") > 0, F.floor((2 * i * F.col("minor") + F.col("major")) / (2 * F.col("major")))).otherwise(0) * F.col("side")
     x = F.when(F.col("steep"), F.col("x1") + moved).otherwise(F.col("x1") + i * F.col("to"))
     y = F.when(F.col("steep"), F.col("y1") + i * F.col("to")).otherwise(F.col("y1") + moved)
     cells = rows.withColumns({"x": x, "y": y}).where((F.col("x") >= 0) & (F.col("x") < F.col("width")) & (F.col("y") >= 0) & (F.col("y") < F.col("height")))
@@ -84,7 +84,7 @@ def _curves(shapes: DataFrame) -> DataFrame:
     steps = F.when(F.coalesce("n", F.lit(0)) > 0, F.col("n")).otherwise(F.greatest(((far(0, 1) + far(1, 2) + far(2, 3)) * 0.25).cast("int"), F.lit(20)))
     t = F.col("i") / F.col("n")
     u = 1 - t
-    at = lambda c: (u * u * u * _point(0, c) + 3 * t * u * u * _point(1, c) + 3 * t * t * u * _point(2, c) + t * t * t * _point(3, c) + 0.5).cast("int")
+    at = lambda c: (u * u * u * _point(0, c) + 3 * t * u * u * _point(1, c) + 3 * t * t * u * _point(2, c) + t * t * t * _point(3, c) + 0.5).cast("long")
     along = Window.partitionBy("image_id", "ord").orderBy("i")  # the points of one curve
     dots = shapes.where("kind = 'curve'").withColumn("n", steps).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n")))).withColumns({"x2": at("x"), "y2": at("y")})
     legs = dots.withColumns({"x1": F.coalesce(F.lag("x2").over(along), F.col("x2")), "y1": F.coalesce(F.lag("y2").over(along), F.col("y2"))}).withColumn("skip_start", F.col("i") > 0)
@@ -96,9 +96,9 @@ def _polygons(shapes: DataFrame) -> DataFrame:
     corners = shapes.where("kind = 'polygon'")
     edge = F.transform("points", lambda p, k: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), F.get("points", F.pmod(k + 1, F.size("points")))["x"].alias("x2"), F.get("points", F.pmod(k + 1, F.size("points")))["y"].alias("y2")))
     edges = corners.withColumn("edge", F.explode(edge)).select("*", "edge.*").drop("edge").where("y1 <> y2")
-    low, high = F.ceil(F.least("y1", "y2") - 0.5).cast("int"), (F.ceil(F.greatest("y1", "y2") - 0.5) - 1).cast("int")
+    low, high = F.ceil(F.least("y1", "y2") - 0.5), F.ceil(F.greatest("y1", "y2") - 0.5) - 1
     lines = edges.withColumn("y", F.explode(_range(F.greatest(low, F.lit(0)), F.least(high, F.col("height") - 1))))
-    cross = lines.withColumn("cx", F.floor(F.col("x1") + (F.col("y") + 0.5 - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")) + 0.5).cast("int"))
+    cross = lines.withColumn("cx", F.floor(F.col("x1") + (F.col("y") + 0.5 - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")) + 0.5))
     order = Window.partitionBy("image_id", "ord", "y").orderBy("cx")  # the crossings of one shape on one line
     spans = cross.withColumns({"k": F.row_number().over(order), "end": F.lead("cx").over(order)}).where("k % 2 = 1 AND end IS NOT NULL")
     cells = spans.withColumn("x", F.explode(_range(F.greatest("cx", F.lit(0)), F.least(F.col("end"), F.col("width") - 1))))
@@ -108,7 +108,7 @@ def _polygons(shapes: DataFrame) -> DataFrame:
 def marks(shapes: DataFrame, images: DataFrame) -> DataFrame:
     """(image_id, ord, x, y, mode, paint): the pixels that each of `shapes` (SCHEMA) covers on `images` (image_id, width, height)."""
     known = shapes.join(images.select("image_id", "width", "height"), "image_id")
-    out = ("image_id", "ord", "x", "y", "mode", "paint")
+    out = ("image_id", "ord", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "mode", "paint")
     parts = [f(known).select(*out) for f in (_rectangles, _lines, _curves, _polygons)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
