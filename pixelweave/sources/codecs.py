@@ -188,7 +188,7 @@ def decode_bmp(data: bytes) -> Image | None:
         return _opaque(palette[bits @ (1 << np.arange(depth - 1, -1, -1))])
     if depth == 24:
         return _opaque(lines[:, : w * 3].reshape(h, w, 3)[:, :, ::-1])
-    words = lines.reshape(h, w, depth // 8).copy().view("<u4" if depth == 32 else "<u2")[:, :, 0].astype(np.uint64)
+    words = lines[:, : w * depth // 8].reshape(h, w, depth // 8).copy().view("<u4" if depth == 32 else "<u2")[:, :, 0].astype(np.uint64)
     masks = struct.unpack_from("<4I", data, 54) if coding == 3 and size >= 56 else (*struct.unpack_from("<3I", data, 54), 0) if coding == 3 else (0xFF0000, 0xFF00, 0xFF, 0) if depth == 32 else (0x7C00, 0x3E0, 0x1F, 0)
     out = np.full((h, w, 4), 255, np.uint8)
     for i, m in enumerate(masks):

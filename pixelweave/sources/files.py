@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import codecs, imagefiles, jpeg
+from . import codecs, imagefiles, jpeg, plain
 
 # File extensions by format.
 EXTENSIONS = {"png": (".png",), "gif": (".gif",), "jpeg": (".jpg", ".jpe", ".jpeg", ".jfif"), "bmp": (".bmp",), "targa": (".tga",)}
@@ -287,8 +287,12 @@ def load(files: DataFrame, fmt: str | None = None) -> DataFrame:
     """Pixels (path, width, height, x, y, r, g, b, a) of (path, content) rows; unreadable files give none, `decode`
     tells why.
 
-    The decoder yields one packed row for an image; pixels are unpacked by Spark.
+    BMP and Targa, where named as `fmt`, are read in column expressions (`plain`); for other formats the decoder yields one
+    packed row for an image, and pixels are unpacked by Spark.
     """
+    known = {codecs.decode_bmp: plain.load_bmp, codecs.decode_targa: plain.load_targa}.get(codecs.LOADERS.get(fmt))
+    if known:
+        return known(files)
     return unpack(decode(files, fmt).where("error IS NULL").drop("format", "error"))
 
 
