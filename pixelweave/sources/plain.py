@@ -40,8 +40,8 @@ def bmp_headers(files: DataFrame) -> DataFrame:
     f = files.select("path", "content", size.alias("size"), w.alias("width"), h.alias("h"), depth.alias("depth"), coding.alias("coding"), _little(c, 10, 4).alias("at"), _little(c, 46, 4).alias("said"))
     f = f.withColumns({"height": F.abs("h"), "down": F.col("h") < 0, "row": F.ceil(F.col("width") * F.col("depth") / 32) * 4, "used": F.when(F.col("said") > 0, F.col("said")).when(F.col("depth").isin(1, 4, 8), F.pow(F.lit(2), F.col("depth")).cast("long"))})
     fields = F.when(F.col("coding") == 3, F.array(*[_little("content", 54 + 4 * i, 4) if i < 3 else F.when(F.col("size") >= 56, _little("content", 66, 4)).otherwise(0) for i in range(4)]))
-    known = F.when(F.col("depth") == 32, F.array(*[F.lit(v).cast("long") for v in (0xFF0000, 0xFF00, 0xFF, 0)])).otherwise(F.array(*[F.lit(v).cast("long") for v in (0x7C00, 0x3E0, 0x1F, 0)]))
-    f = f.withColumns({"masks": F.coalesce(fields, known), "palette": F.when(F.col("depth") <= 8, F.substring("content", (F.col("size") + 15).cast("int"), (F.col("used") * 4).cast("int")))})
+    known = F.when(F.col("depth") == 16, F.array(*[F.lit(v).cast("long") for v in (0x7C00, 0x3E0, 0x1F, 0)])).otherwise(F.array(*[F.lit(v).cast("long") for v in (0xFF0000, 0xFF00, 0xFF, 0)]))
+    f = f.withColumns({"masks": F.when(F.col("depth").isin(16, 32), F.coalesce(fields, known)).otherwise(known), "palette": F.when(F.col("depth") <= 8, F.substring("content", (F.col("size") + 15).cast("int"), (F.col("used") * 4).cast("int")))})
     other = (F.col("width") <= 0) | (F.col("height") == 0) | ~F.col("coding").isin(0, 3) | ~F.col("depth").isin(1, 4, 8, 16, 24, 32)
     short = (F.octet_length("content") < F.col("at") + F.col("row") * F.col("height")) | (F.octet_length("palette") < F.col("used") * 4)
     error = F.when(c.isNull(), "no content").when(F.coalesce(F.hex(F.substring(c, 1, 2)) != "424D", F.lit(True)) | F.col("said").isNull(), "broken file: no BMP header").when(other, "unsupported variant").when(short, "broken file: it ends too early")
@@ -49,33 +49,31 @@ def bmp_headers(files: DataFrame) -> DataFrame:
 
 
 def _lines(headers: DataFrame, row: Column, at: Column) -> DataFrame:
-    """A row for each line as it lies in the file, number `line`, its bytes in `bytes`."""
-    lines = headers.where("error IS NULL").withColumn("line", F.explode(_upto(F.col("height"))))
+    """A row for each line as it lies in the file, number `line`, its bytes in `bytes`. Broken files go behind the explosion: a
+    filter before it would be pushed into the header, and repeat its expressions."""
+    lines = headers.withColumn("line", F.explode_outer(F.when(F.col("error").isNull(), _upto(F.col("height"))))).where("line IS NOT NULL")
     return lines.withColumn("bytes", F.substring("content", (at + row * F.col("line") + 1).cast("int"), row.cast("int"))).drop("content")
 
 
-def _masked(v: Column, mask: Column) -> Column:
-    """The bits of a mask, stretched to 0..255; 255 without a mask."""
-    low = mask.bitwiseAND(-mask)
-    return F.when(mask == 0, 255).otherwise(F.floor(F.floor(v.bitwiseAND(mask) / low) * 255 / F.floor(mask / low)))
-
-
 def load_bmp(files: DataFrame) -> DataFrame:
     """Pixels (path, width, height, x, y, r, g, b, a) of BMP files (path, content) of 1, 4, 8, 16, 24 or 32 bits, with bit fields, lines from
-    the bottom or the top. Files that `bmp_headers` finds an error in give none; an index beyond the palette is black."""
-    lines = _lines(bmp_headers(files), F.col("row"), F.col("at"))
-    p = lines.withColumn("y", F.when(F.col("down"), F.col("line")).otherwise(F.col("height") - 1 - F.col("line"))).withColumn("x", F.explode(_upto(F.col("width"))))
-    place = F.col("x") * F.col("depth")
+    the bottom or the top. Files that `bmp_headers` finds an error in give none; an index beyond the palette is black.
+
+    Whatever the depth, a pixel becomes the number of its bytes, or of its palette entry's, and masks take the channels out of it.
+    """
+    low = F.transform("masks", lambda m: F.greatest(m.bitwiseAND(-m), F.lit(1)))
+    heads = bmp_headers(files).withColumn("low", low).withColumn("full", F.transform("masks", lambda m, i: F.greatest(F.floor(m / F.get("low", i)), F.lit(1))))
+    lines = _lines(heads, F.col("row"), F.col("at")).drop("row", "at", "used", "error")
+    p = lines.withColumn("y", F.when(F.col("down"), F.col("line")).otherwise(F.col("height") - 1 - F.col("line"))).withColumn("x", F.explode_outer(_upto(F.col("width"))))
+    place, step = F.col("x") * F.col("depth"), (F.col("depth") / 8).cast("int")
     shift = F.pow(F.lit(2), 8 - F.col("depth") - place % 8)
     index = F.floor(_byte("bytes", F.floor(place / 8)) / shift) % F.pow(F.lit(2), F.col("depth"))
-    word = F.when(F.col("depth") == 32, _little("bytes", F.col("x") * 4, 4)).otherwise(_little("bytes", F.col("x") * 2, 2))
-    p = p.withColumns({"index": F.when(F.col("depth") <= 8, index.cast("long")), "word": F.when(F.col("depth").isin(16, 32), word)})
-
-    def channel(k: int) -> Column:
-        entry = F.lit(255) if k == 3 else F.coalesce(_byte("palette", F.col("index") * 4 + 2 - k), F.lit(0))
-        true = F.lit(255) if k == 3 else _byte("bytes", F.col("x") * 3 + 2 - k)
-        return F.when(F.col("depth") <= 8, entry).when(F.col("depth") == 24, true).otherwise(_masked(F.col("word"), F.get("masks", F.lit(k)))).cast("int")
-
+    p = p.withColumn("index", F.when(F.col("depth") <= 8, index.cast("int")))
+    part = F.when(F.col("depth") <= 8, F.substring("palette", F.col("index") * 4 + 1, F.lit(4))).otherwise(F.substring("bytes", F.col("x") * step + 1, step))
+    p = p.withColumn("h", F.rpad(F.hex(part), 8, "0"))
+    p = p.withColumn("v", F.conv(F.concat(*[F.substring("h", i, 2) for i in (7, 5, 3, 1)]), 16, 10).cast("long"))
+    get = lambda c, k: F.get(c, F.lit(k))
+    channel = lambda k: F.when(get("masks", k) == 0, 255).otherwise(F.floor(F.floor(F.col("v").bitwiseAND(get("masks", k)) / get("low", k)) * 255 / get("full", k))).cast("int")
     whole = {c: F.col(c).cast("int") for c in ("width", "height", "x", "y")}
     return p.withColumns({c: channel(k) for k, c in enumerate("rgba")}).withColumns(whole).select(*PIXEL)
 
@@ -99,7 +97,7 @@ def load_targa(files: DataFrame) -> DataFrame:
     """Pixels (path, width, height, x, y, r, g, b, a) of uncompressed Targa files (path, content): palettes, true colour of 15, 16, 24 or 32
     bits and gray, of any origin. Files that `targa_headers` finds an error in give none; an index beyond the palette is black."""
     lines = _lines(targa_headers(files), F.col("width") * F.col("wide"), F.col("at"))
-    p = lines.withColumn("y", F.when(F.col("down"), F.col("line")).otherwise(F.col("height") - 1 - F.col("line"))).withColumn("k", F.explode(_upto(F.col("width"))))
+    p = lines.withColumn("y", F.when(F.col("down"), F.col("line")).otherwise(F.col("height") - 1 - F.col("line"))).withColumn("k", F.explode_outer(_upto(F.col("width"))))
     index = F.when(F.col("wide") == 1, _byte("bytes", F.col("k"))).otherwise(_little("bytes", F.col("k") * 2, 2)) - F.col("first")
     mapped = F.col("kind") == 1
     size = F.when(mapped, F.col("bits")).otherwise(F.col("depth"))
