@@ -277,3 +277,7 @@ SELECT c.image_id, c.frame_no, c.delay, c.canvas_width AS width, c.canvas_height
   coalesce(p.r, o.r, 0) AS r, coalesce(p.g, o.g, 0) AS g, coalesce(p.b, o.b, 0) AS b, CASE WHEN p.r IS NULL THEN coalesce(o.a, 0) ELSE 255 END AS a
 FROM cells AS c LEFT JOIN paint AS p ON p.image_id = c.image_id AND p.frame_no = c.frame_no AND p.x = c.x AND p.y = c.y
   LEFT JOIN old AS o ON o.image_id = c.image_id AND o.frame_no = c.frame_no AND o.x = c.x AND o.y = c.y"""
+
+
+QUERIES["b15_png_in_bands"] = lambda spark, d: L.load(L.save_png(X.canvas(spark, d), band=16).select(F.col("image_id").cast("string").alias("path"), "content"), "png").select("width", "height", "x", "y", "r", "g", "b", "a")
+ORACLE_SQL["b15_png_in_bands"] = f"WITH {X.CANVAS_SQL} SELECT width, height, x, y, r, g, b, a FROM cv"

@@ -69,25 +69,40 @@ def png_notes(data: bytes) -> list[tuple[str, str | None, bytes]]:
     return out
 
 
-def encode_png(image: Image, alpha: bool = True, level: int = 6) -> bytes:
-    """True colour, with alpha if asked; every row takes the filter of least absolute sum."""
-    h, w = image.shape[:2]
-    n = 4 if alpha else 3
-    rows = image[:, :, :n].reshape(h, w * n).astype(np.int16)
-    up = np.vstack([np.zeros((1, w * n), np.int16), rows[:-1]])
-    left = np.hstack([np.zeros((h, n), np.int16), rows[:, :-n]])
-    corner = np.vstack([np.zeros((1, w * n), np.int16), left[:-1]])
+def png_lines(rows: np.ndarray, above: np.ndarray, n: int) -> bytes:
+    """Filtered lines of (h, w * n) bytes below the line `above`: each with the filter of least absolute sum."""
+    rows, h = rows.astype(np.int16), len(rows)
+    whole = np.vstack([above.astype(np.int16)[None], rows])
+    up = whole[:-1]
+    shifted = np.hstack([np.zeros((h + 1, n), np.int16), whole[:, :-n]])
+    left, corner = shifted[1:], shifted[:-1]
     p = left + up - corner
     pa, pb, pc = abs(p - left), abs(p - up), abs(p - corner)
     paeth = np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, up, corner))
     kinds = [(rows - guess) & 255 for guess in (0, left, up, (left + up) >> 1, paeth)]
     cost = np.array([np.minimum(k, 256 - k).sum(axis=1) for k in kinds])
     best = cost.argmin(axis=0)
-    lines = b"".join(bytes([best[y]]) + kinds[best[y]][y].astype(np.uint8).tobytes() for y in range(h))
+    return b"".join(bytes([best[y]]) + kinds[best[y]][y].astype(np.uint8).tobytes() for y in range(h))
+
+
+def encode_png(image: Image, alpha: bool = True, level: int = 6) -> bytes:
+    """True colour, with alpha if asked."""
+    h, w = image.shape[:2]
+    n = 4 if alpha else 3
+    lines = png_lines(image[:, :, :n].reshape(h, w * n), np.zeros(w * n, np.uint8), n)
     head = struct.pack(">IIBBBBB", w, h, 8, 6 if alpha else 2, 0, 0, 0)
     return MAGIC + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines, level)) + _chunk(b"IEND", b"")
 
 
+def png_band(rows: np.ndarray, above: np.ndarray, n: int, first: bool, last: bool, level: int = 6) -> tuple[bytes, int, int]:
+    """(an IDAT chunk, checksum of its filtered lines, their length) of a band of lines: a piece of one deflate stream that needs
+    nothing of the pieces before it."""
+    lines = png_lines(rows, above, n)
+    coder = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = coder.compress(lines) + coder.flush(zlib.Z_FINISH if last else zlib.Z_FULL_FLUSH)
+    return _chunk(b"IDAT", (b"\x78\x9c" if first else b"") + body), zlib.adler32(lines), len(lines)
+
+
 def _unfilter(raw: bytes, at: int, h: int, row: int, step: int) -> tuple[np.ndarray, int]:
     out = np.zeros((h, row), np.uint8)
     before = np.zeros(row, np.uint8)
