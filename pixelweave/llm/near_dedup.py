@@ -6,7 +6,8 @@ on one of several parts of their bits at least, in at most that part's radius. L
 * For op3 (64 bits, radius 4) the parts cover all bits and the sum of (radius + 1) is `total` + 1: by pigeonhole
   every pair within `total` is found. One part with the whole radius is the textbook tree; on 64
   nearly random bits its triangle bounds prune almost nothing (distances to a vantage point lie at
-  32 +- 4, and the bound has a width of 8), hence the parts.
+  32 +- 4, and the bound has a width of 8), hence the parts. The guests of a radius grow with a tree's depth;
+  where the parts' trees would deal more than `MOST_COPIES` copies, five parts of radius 0 take their place.
 * There is a tree for each part. A node holds a vantage point v and a cut c: fingerprints with d(x, v) <= c
   belong to the near child. By the triangle inequality partners of x within r lie only in children
   that [d - r, d + r] reaches; a fingerprint is at home in one leaf and a guest in further leaves
@@ -15,11 +16,13 @@ on one of several parts of their bits at least, in at most that part's radius. L
   all fingerprints pass through them. A leaf is a shard of the Spark job. A leaf of more than about twice
   `capacity` fingerprints is dealt in chunks to cells (chunk i against chunk j), so that no task holds
   an unbounded group, and nothing is dropped.
-* In a cell the fingerprints are grouped by their part; only groups within the part's radius are compared. A
-  cell reports stars that span its links, never all pairs; star contractions join the stars.
+* In a cell the fingerprints are grouped by their part, or by other parts that the search names for it; only groups
+  within that part's radius are compared. A cell reports stars that span its links, never all pairs; star contractions
+  join the stars.
 
-Near duplicates by shingles (`similar_groups`, `keep_one`) take wide fingerprints whose number of parts grows
-with the wanted recall, and check the groups on the shingle sets: see there. Equal texts count once.
+Near duplicates by shingles (`similar_groups`, `keep_one`) take wide fingerprints, in trees of radius 0 over a few
+bits each and with many parts inside a cell (`forest_shape`), and check the groups on the shingle sets: see there.
+Equal texts count once.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ SEED = 42
 SHINGLE = 4
 RADIUS = 4
 PART_RADII = (1, 0, 0, 0)
+#: Copies of a fingerprint at most that trees with guests may deal on average; beyond, parts of radius 0 are taken.
+MOST_COPIES = 6
 CAPACITY = 1 << 16
 SAMPLE = 65_536
 #: Ids at most that are broadcast to a join; more are joined by a shuffle.
@@ -328,10 +333,41 @@ def _gathered(batches: Iterator[pa.RecordBatch], words: int, rows: int = 1 << 16
         yield whole.column(0).to_numpy(), _words(whole.column(1), words)
 
 
-def forest_links(points: DataFrame, parts: Sequence[Part], total: int, words: int = 1, capacity: int = CAPACITY, sample: int = SAMPLE) -> DataFrame:
+class Search(NamedTuple):
+    """A tree over `part`, and the parts by which the fingerprints of one of its cells are compared."""
+
+    part: Part
+    inner: tuple[Part, ...]
+
+
+def searches_of(parts: Sequence[Part]) -> list[Search]:
+    """One tree a part, compared by that part."""
+    return [Search(part, (part,)) for part in parts]
+
+
+def equal_parts(total: int, bits: int = 64) -> list[Search]:
+    """Trees of radius 0 that find every pair within `total` bits, at total + 1 copies whatever the table's size.
+
+    One of total + 1 parts is equal in both. The others hold at most `total` differing bits, so one of them is equal
+    too, or the first of them differs in one bit at most: by these the pairs of a cell are compared.
+    """
+    parts = parts_of((0,) * (total + 1), bits)
+    return [Search(p, tuple(q._replace(radius=int(k == 0)) for k, q in enumerate(x for x in parts if x != p))) for p in parts]
+
+
+def fitted(taken: np.ndarray, searches: Sequence[Search], leaf: int) -> tuple[list[list[tuple]], list[tuple], float]:
+    """Each search's tree over the sample `taken`, where the sample goes, and the copies a fingerprint."""
+    trees = [fit_tree(part_values(taken, s.part), leaf) for s in searches]
+    routed = [route(part_values(taken, s.part), tree, s.part.radius) for s, tree in zip(searches, trees, strict=True)]
+    return trees, routed, sum(len(r[0]) for r in routed) / max(1, len(taken))
+
+
+def forest_links(points: DataFrame, searches: Sequence[Search], total: int, words: int = 1, capacity: int = CAPACITY, sample: int = SAMPLE, instead: Sequence[Search] | None = None, leaf: int | None = None) -> DataFrame:
     """(a, b) long: stars that span all links between the rows (node long, fp long or binary) of `points`.
 
-    Two rows link if some part differs in at most its radius and all bits in at most `total`. Nodes must be distinct.
+    Two rows link if they meet in a cell of some search, differ there in at most the radius of an inner part, and in all
+    bits in at most `total`. Nodes must be distinct. Leaves are meant to hold `leaf` rows (`capacity` if not given). If
+    the trees would deal more than MOST_COPIES copies a row, those of `instead` are taken.
     """
     n, kind = points.count(), points.schema["fp"].dataType.simpleString()
     if n == 0:
@@ -340,19 +376,21 @@ def forest_links(points: DataFrame, parts: Sequence[Part], total: int, words: in
     rows = (points if n <= sample else points.where(uniform(SEED, "node") < sample / n)).select("fp").toArrow()
     taken = _words(rows.column(0), words)
     scale = n / max(1, len(taken))
-    trees, split = [], {}
-    for t, part in enumerate(parts):
-        values = part_values(taken, part)
-        trees.append(fit_tree(values, max(4, round(capacity / scale))))
-        _, leaves, home = route(values, trees[t], part.radius)
-        for leaf, homes, guests in zip(*np.unique(leaves, return_counts=True), np.bincount(leaves, weights=~home), strict=True):
+    goal = max(4, round((leaf or capacity) / scale))
+    trees, routed, copies = fitted(taken, searches, goal)
+    if instead and copies > MOST_COPIES:
+        searches = instead
+        trees, routed, copies = fitted(taken, searches, goal)
+    split = {}
+    for t, (_, leaves, home) in enumerate(routed):
+        for at, homes, guests in zip(*np.unique(leaves, return_counts=True), np.bincount(leaves, weights=~home)[np.unique(leaves)], strict=True):
             if homes * scale > 2 * capacity:  # chunks of home rows and of guests, by the sample's shares
-                split[t, int(leaf)] = max(1, math.ceil((homes - guests) * scale / capacity)), math.ceil(guests * scale / capacity)
+                split[t, int(at)] = max(1, math.ceil((homes - guests) * scale / capacity)), math.ceil(guests * scale / capacity)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, fps in _gathered(batches, words):
-            for t, part in enumerate(parts):
-                idx, leaves, home = route(part_values(fps, part), trees[t], part.radius)
+            for t, search in enumerate(searches):
+                idx, leaves, home = route(part_values(fps, search.part), trees[t], search.part.radius)
                 cells = [(leaves, np.zeros(len(idx), np.int64), idx)]
                 for leaf in {x for x in np.unique(leaves).tolist() if (t, x) in split}:
                     kh, kg = split[t, leaf]
@@ -369,12 +407,13 @@ def forest_links(points: DataFrame, parts: Sequence[Part], total: int, words: in
                 for leaf, cell, at in cells:
                     if len(at):
                         fp = pa.array(fps[at, 0].view(np.int64)) if words == 1 else pa.array([x.tobytes() for x in fps[at]], pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(leaf * len(parts) + t), pa.array(cell), pa.array(node[at]), fp], names=["shard", "cell", "node", "fp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(leaf * len(searches) + t), pa.array(cell), pa.array(node[at]), fp], names=["shard", "cell", "node", "fp"])
 
     def compare(group: pa.Table) -> pa.Table:
         node, first = np.unique(group.column("node").to_numpy(), return_index=True)
         fps = _words(group.column("fp"), words)[first]
-        label = links_in_cell(fps, parts[group.column("shard")[0].as_py() % len(parts)], total)
+        near = [links_in_cell(fps, part, total) for part in searches[group.column("shard")[0].as_py() % len(searches)].inner]
+        label = near[0] if len(near) == 1 else connect(len(fps), np.tile(np.arange(len(fps)), len(near)), np.concatenate(near))
         linked = label != np.arange(len(label))
         return pa.table({"a": node[linked], "b": node[label[linked]]})
 
@@ -394,7 +433,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("the sum of part radius + 1 must be radius + 1")
     rows = cut(with_fingerprint(docs, id_col, text_col, shingle, seed))
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    links = forest_links(classes.select(F.col("fp").alias("node"), "fp"), parts_of(part_radii), radius, 1, capacity, sample)
+    links = forest_links(classes.select(F.col("fp").alias("node"), "fp"), searches_of(parts_of(part_radii)), radius, 1, capacity, sample, equal_parts(radius))
     roots = cut(components(links))
     linked = roots.join(classes, roots["node"] == classes["fp"]).select("node", "root", "least")
     least = cut(linked.groupBy("root").agg(F.min("least").alias("component")))
@@ -406,20 +445,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # ---------------------------------------------------------------- groups by shingle similarity
 
 
-def forest_shape(n: int, similarity: float, recall: float) -> tuple[int, int, int, int]:
-    """(parts, bits of a part, words, total) of wide fingerprints for n texts.
+class Shape(NamedTuple):
+    tables: int  # trees of radius 0
+    bits: int  # of each of them
+    words: int  # of a fingerprint
+    total: int  # bits in which linked fingerprints may differ
+
+
+#: Bits of a part by which the fingerprints of a cell are compared, with radius 1.
+INNER = 16
 
-    Bits of two texts of that similarity differ with probability p = acos(2s / (1 + s)) / pi. A part of k bits and
-    radius 1 shows the pair with (1 - p)^k + k p (1 - p)^(k - 1); as many parts are taken as `recall` needs. k grows
-    with the number of texts, so that a part's group of equal bits stays of some hundred texts. `total` lies
-    four standard deviations above the mean; unrelated texts lie some seven below half of the bits.
+
+def forest_shape(n: int, similarity: float, recall: float) -> Shape:
+    """Trees and width of fingerprints for n texts.
+
+    Bits of two texts of that similarity differ with probability p = acos(2s / (1 + s)) / pi. A tree of radius 0 over b
+    bits has them in one leaf with (1 - p)^b at least; a cell's part of k = INNER bits and radius 1 shows them with
+    (1 - p)^k + k p (1 - p)^(k - 1). As many trees, and as many words for the parts in a cell, are taken as `recall` needs
+    for each. b is 0 up to 16,384 texts, where one cell holds all, and grows by 0.69 for each doubling: cells grow
+    as n^0.31 (500,000 texts at 10^9), so that the trees, each a copy of the fingerprint, number 20 at 10^9 and not 54.
+    `total` lies four standard deviations above the mean; unrelated texts lie some seven below half of the bits.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    k = min(32, max(16, n.bit_length() - 6))
-    shown = (1 - p) ** k + k * p * (1 - p) ** (k - 1)
-    parts = max(1, math.ceil(math.log(1 - recall) / math.log(1 - shown)))
-    words = -(-parts * k // 64)
-    return parts, k, words, math.floor(64 * words * p + 4 * math.sqrt(64 * words * p * (1 - p)))
+    needed = lambda shown: max(1, math.ceil(math.log(1 - recall) / math.log(1 - shown)))
+    bits = max(0, math.ceil(0.69 * (math.log2(max(1, n)) - 14)))
+    tables = needed((1 - p) ** bits) if bits else 1
+    words = -(-max(INNER * needed((1 - p) ** INNER + INNER * p * (1 - p) ** (INNER - 1)), tables * bits) // 64)
+    return Shape(tables, bits, words, math.floor(64 * words * p + 4 * math.sqrt(64 * words * p * (1 - p))))
+
+
+def shaped(shape: Shape, spread: int = 12) -> list[Search]:
+    """The searches of a shape. With few trees the parts in a cell are dealt to several tasks, at up to `spread` copies."""
+    inner = [Part(at, INNER, 1) for at in range(0, 64 * shape.words, INNER)]
+    shares = max(1, spread // shape.tables)
+    return [Search(Part(shape.bits * t, shape.bits, 0), tuple(inner[k::shares])) for t in range(shape.tables) for k in range(min(shares, len(inner)))]
 
 
 def _text_key(text: bytes | None) -> int:
@@ -597,13 +656,14 @@ def _within(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame
     return docs.join(side, docs[id_col] == side["__key"], how)
 
 
-def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.975, capacity: int = CAPACITY, sample: int = SAMPLE, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, capacity: int = CAPACITY, sample: int = SAMPLE, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (id, th) of `docs`, (th, least id, root) for each class of equal texts, and ids (__key) of several rows;
     see similar_groups."""
-    parts, k, words, total = forest_shape(docs.count(), similarity, recall)
-    rows = cut(_keyed(docs, id_col, text_col, shingle, seed, words))
+    n = docs.count()
+    shape = forest_shape(n, similarity, recall)
+    rows = cut(_keyed(docs, id_col, text_col, shingle, seed, shape.words))
     classes = cut(rows.groupBy("th").agg(F.min("id").alias("least"), F.min("fp").alias("fp")))
-    links = forest_links(classes.select(F.col("th").alias("node"), "fp"), [Part(k * i, k, 1) for i in range(parts)], total, words, capacity, sample)
+    links = forest_links(classes.select(F.col("th").alias("node"), "fp"), shaped(shape), shape.total, shape.words, max(capacity, n >> shape.bits) if shape.bits else capacity, sample, leaf=max(1, n >> shape.bits))
     groups = cut(components(links).select(F.col("node").alias("th"), F.col("root").alias("grp")))
     chosen = cut(classes.join(groups, "th").select("th", "least"))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
@@ -628,8 +688,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     `shingle`-word (5) shingles (Jaccard). th is a 64-bit key of the text; texts equal but for case and white space
     are one class.
 
-    The forest searches wide SimHashes, with as many parts as the `recall` of pairs at the very threshold needs
-    (forest_shape). Its groups are then checked on the shingle sets: all pairs of a group that fits a task, and in larger
+    The forest searches wide SimHashes, with as many trees and parts as the `recall` of pairs at the very threshold needs
+    from each (forest_shape). Its groups are then checked on the shingle sets: all pairs of a group that fits a task, and in larger
     groups all pairs that could join two parts, whether the forest named them or not. So nothing links without a
     similar pair, and the only loss are pairs whose texts no chain of links brings into one group. Nulls, empty
     texts, repeated rows and an empty table are treated as in near_duplicates; ids may be of any ordered type.

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips, SQL and held-out rows."""
 
 import hashlib
+import math
 import os
 import re
 import time
@@ -86,7 +87,7 @@ def test_forest_finds_every_link(spark, parts, capacity):
     fps = {int(b) ^ int(sum(1 << int(k) for k in rng.choice(60, rng.integers(0, 6), replace=False))) for b in base for _ in range(12)}
     fps = sorted(fps)
     df = frame(spark, [(f, f) for f in fps], "node long, fp long")
-    links = near_dedup.forest_links(df, near_dedup.parts_of(parts), 4, 1, capacity)
+    links = near_dedup.forest_links(df, near_dedup.searches_of(near_dedup.parts_of(parts)), 4, 1, capacity)
     roots = {r.node: r.root for r in components.components(links).collect()}
     assert {f: roots.get(f, f) for f in fps} == brute_components(fps, fps)
 
@@ -227,10 +228,42 @@ def test_equal_fingerprints_of_different_texts(spark):
     assert near_dedup.keep_one(docs).count() == len(set(label))
 
 
-def test_forest_shape_grows_with_the_texts():
-    assert near_dedup.forest_shape(1000, 0.8, 0.975) == near_dedup.forest_shape(1 << 21, 0.8, 0.975) and near_dedup.forest_shape(1000, 0.8, 0.975)[:3] == (12, 16, 3)
-    parts, bits, words, total = near_dedup.forest_shape(1 << 30, 0.8, 0.975)
-    assert bits == 25 and parts * bits <= 64 * words and total < 16 * words
+@pytest.mark.parametrize("n", [10**5, 10**6, 10**8, 10**9])
+def test_copies_and_cells_are_bounded(n):
+    """Copies of a fingerprint with trees fitted as for n texts, on random fingerprints."""
+    shape = near_dedup.forest_shape(n, 0.8, 0.97)
+    fps = np.random.default_rng(7).integers(0, 1 << 64, (near_dedup.SAMPLE, shape.words), dtype=np.uint64)
+    goal = lambda leaf: max(4, round(leaf * len(fps) / n))
+    _, routed, copies = near_dedup.fitted(fps, near_dedup.shaped(shape), goal(n >> shape.bits))
+    assert copies <= 20 and shape.total <= 16 * shape.words and shape.bits * shape.tables <= 64 * shape.words
+    # fitted leaves take few bits more than even ones; a part of 16 bits leaves some ten texts a group in a cell
+    assert max(np.bincount(r[1]).max() for r in routed) <= 3 * max(4, len(fps) >> shape.bits) and n >> shape.bits <= 500_000
+    plain = near_dedup.fitted(fps[:, :1], near_dedup.searches_of(near_dedup.parts_of(near_dedup.PART_RADII)), goal(near_dedup.CAPACITY))[2]
+    equal = near_dedup.fitted(fps[:, :1], near_dedup.equal_parts(4), goal(near_dedup.CAPACITY))[2]
+    assert equal == 5 and (plain <= near_dedup.MOST_COPIES or n > 10**6)
+
+
+def test_equal_parts_find_every_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MOST_COPIES", 0)
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 62, 60)
+    fps = sorted({int(b) ^ int(sum(1 << int(k) for k in rng.choice(62, rng.integers(0, 6), replace=False))) for b in base for _ in range(12)})
+    df = frame(spark, [(f, f) for f in fps], "node long, fp long")
+    links = near_dedup.forest_links(df, near_dedup.searches_of(near_dedup.parts_of((1, 0, 0, 0))), 4, 1, 8, instead=near_dedup.equal_parts(4))
+    roots = {r.node: r.root for r in components.components(links).collect()}
+    assert {f: roots.get(f, f) for f in fps} == brute_components(fps, fps)
+
+
+def test_forest_recall_at_sizes():
+    """Pairs at the very threshold meet in a leaf and differ in one bit at most of an inner part there."""
+    rng, p = np.random.default_rng(9), math.acos(1.6 / 1.8) / math.pi
+    for n in (10**4, 10**6, 10**8, 10**9):
+        shape = near_dedup.forest_shape(n, 0.8, 0.97)
+        differ = rng.random((20_000, 64 * shape.words)) < p
+        sides = {s.part for s in near_dedup.shaped(shape)}
+        met = np.any([~differ[:, s.start : s.start + s.width].any(axis=1) for s in sides], axis=0)
+        shown = (differ.reshape(20_000, -1, near_dedup.INNER).sum(axis=2) <= 1).any(axis=1)
+        assert (met & shown & (differ.sum(axis=1) <= shape.total)).mean() >= 0.95
 
 
 def test_recall_around_the_threshold(spark):
