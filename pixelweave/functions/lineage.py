@@ -27,3 +27,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Write `df` there and go on from it: iterations neither grow the plan nor repeat what came before."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written there and read again: Spark then knows how large it is, and sends it to the tasks of a join only if it is small."""
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

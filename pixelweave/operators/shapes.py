@@ -1,16 +1,19 @@
 """Many shapes at once: rectangles, frames, gradients, lines, curves and polygons from a relation, painted in its order.
 
-Every shape becomes the pixels that it covers, by sequences that are clipped to its image first; a pixel then meets all its
-shapes in one join and takes them in their order, each over what the ones before left. An opaque shape hides those below it, so
-these are dropped before they are gathered.
+Every shape becomes the pixels that it covers, by sequences that are clipped to its image first. An opaque shape hides those below
+it: the last one of each pixel is found by a maximum, whose partial results are all that is shuffled, and in a second pass what lies
+below is dropped where it is made. A pixel then gathers the rest in one join and takes them in their order, each over what the ones before left.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import CHANNELS, over, over_pm
+from ..functions.lineage import written
 from .geometry import sizes_of
 
 KINDS = ("rect", "frame", "gradient", "line", "curve", "polygon")
@@ -40,19 +43,26 @@ def _cells(rects: DataFrame) -> DataFrame:
 
 
 def _rectangles(shapes: DataFrame) -> DataFrame:
-    """Rectangles as they are, frames as four strips, or whole where the strips meet."""
+    """Rectangles as they are, frames as four strips, or whole where the strips meet. Gradients are made elsewhere: with their
+    colours this would be one method too large to be compiled at run time."""
     x, y, w, h, t = _whole(0, "x"), _whole(0, "y"), _whole(1, "x"), _whole(1, "y"), F.coalesce("thickness", F.lit(1))
     strip = lambda *v: F.struct(*[e.cast("long").alias(n) for e, n in zip(v, ("rx", "ry", "rw", "rh"), strict=True)])
     strips = F.array(strip(x, y, w, t), strip(x, y + h - t, w, t), strip(x, y + t, t, h - 2 * t), strip(x + w - t, y + t, t, h - 2 * t))
     hollow = (F.col("kind") == "frame") & (2 * t < F.least(w, h))
     parts = F.when(hollow, strips).otherwise(F.array(strip(x, y, w, h)))
-    cells = _cells(shapes.where(F.col("kind").isin("rect", "frame", "gradient")).withColumn("part", F.explode(parts)).select("*", "part.*").drop("part"))
+    cells = _cells(shapes.where(F.col("kind").isin("rect", "frame")).withColumn("part", F.explode(parts)).select("*", "part.*").drop("part"))
+    return cells.withColumn("paint", F.get("colors", F.lit(0)))
+
+
+def _gradients(shapes: DataFrame) -> DataFrame:
+    """Rectangles between four corner colours."""
+    x, y, w, h = _whole(0, "x"), _whole(0, "y"), _whole(1, "x"), _whole(1, "y")
+    cells = _cells(shapes.where("kind = 'gradient'").withColumns({"rx": x, "ry": y, "rw": w, "rh": h}))
     step = lambda n: F.when(n > 1, F.floor(65_536 / (n - 1))).otherwise(0)
     fx, fy = (F.col("x") - x) * step(w), (F.col("y") - y) * step(h)
     mixed = lambda a, b, f: F.shiftright(a * (65_536 - f) + b * f + 32_768, 16)
     corner = lambda k, c: F.get("colors", F.lit(k))[c].cast("long")
-    shade = F.struct(*[mixed(mixed(corner(0, c), corner(2, c), fy), mixed(corner(1, c), corner(3, c), fy), fx).cast("int").alias(c) for c in CHANNELS])
-    return cells.withColumn("paint", F.when(F.col("kind") == "gradient", shade).otherwise(F.get("colors", F.lit(0))))
+    return cells.withColumn("paint", F.struct(*[mixed(mixed(corner(0, c), corner(2, c), fy), mixed(corner(1, c), corner(3, c), fy), fx).cast("int").alias(c) for c in CHANNELS]))
 
 
 def _segments(lines: DataFrame) -> DataFrame:
@@ -64,13 +74,13 @@ def _segments(lines: DataFrame) -> DataFrame:
     start, to, size = F.when(steep, F.col("y1")).otherwise(F.col("x1")), F.when(steep, sign(dy)).otherwise(sign(dx)), F.when(steep, F.col("height")).otherwise(F.col("width"))
     low = F.greatest(F.when(F.col("skip_start"), 1).otherwise(0), F.when(to > 0, -start).otherwise(start - size + 1))
     high = F.least(major, F.when(to > 0, size - 1 - start).otherwise(start))
-    rows = lines.withColumns({"steep": steep, "to": to, "major": major, "minor": minor, "side": F.when(steep, sign(dx)).otherwise(sign(dy))}).withColumn("i", F.explode(_range(low, high)))
-    i = F.col("i")
-    moved = F.when(F.col("major") > 0, F.floor((2 * i * F.col("minor") + F.col("major")) / (2 * F.col("major")))).otherwise(0) * F.col("side")
-    x = F.when(F.col("steep"), F.col("x1") + moved).otherwise(F.col("x1") + i * F.col("to"))
-    y = F.when(F.col("steep"), F.col("y1") + i * F.col("to")).otherwise(F.col("y1") + moved)
-    cells = rows.withColumns({"x": x, "y": y}).where((F.col("x") >= 0) & (F.col("x") < F.col("width")) & (F.col("y") >= 0) & (F.col("y") < F.col("height")))
-    return cells.withColumn("paint", F.get("colors", F.lit(0)))
+    # What a pixel needs is worked out for its line first: the code of each pixel has to stay small enough to be compiled at run time.
+    # explode and a plain condition would have all of it worked out once more below, for filters against nulls and empty ranges; these are dropped here.
+    pick = lambda a, b: F.when(steep, F.col(a)).otherwise(F.col(b))
+    known = {"steep": steep, "start": start, "to": to, "major": major, "rise": 2 * minor, "run": F.greatest(2 * major, F.lit(1)), "aside": pick("x1", "y1"), "side": F.when(steep, sign(dx)).otherwise(sign(dy)), "room": pick("width", "height")}
+    rows = lines.withColumns(known | {"low": low, "high": high}).withColumn("i", F.explode_outer(_range(F.col("low"), F.col("high"))))
+    cells = rows.withColumn("across", F.expr("aside + side * ((i * rise + major) div run)")).where("coalesce(across >= 0 AND across < room, false)").withColumn("along", F.expr("start + i * to"))
+    return cells.withColumns({"x": F.expr("if(steep, across, along)"), "y": F.expr("if(steep, along, across)"), "paint": F.get("colors", F.lit(0))})
 
 
 def _lines(shapes: DataFrame) -> DataFrame:
@@ -79,20 +89,23 @@ def _lines(shapes: DataFrame) -> DataFrame:
 
 
 def _curves(shapes: DataFrame) -> DataFrame:
-    """A cubic as lines between the rounded points of its steps; its pixels count once."""
+    """A cubic as lines between the rounded points of its steps; where they meet, a pixel comes more than once."""
     far = lambda a, b: F.sqrt(F.pow(_point(a, "x") - _point(b, "x"), F.lit(2)) + F.pow(_point(a, "y") - _point(b, "y"), F.lit(2)))
     steps = F.when(F.coalesce("n", F.lit(0)) > 0, F.col("n")).otherwise(F.greatest(((far(0, 1) + far(1, 2) + far(2, 3)) * 0.25).cast("int"), F.lit(20)))
-    t = F.col("i") / F.col("n")
-    u = 1 - t
-    at = lambda c: (u * u * u * _point(0, c) + 3 * t * u * u * _point(1, c) + 3 * t * t * u * _point(2, c) + t * t * t * _point(3, c) + 0.5).cast("long")
-    along = Window.partitionBy("image_id", "ord").orderBy("i")  # the points of one curve
-    dots = shapes.where("kind = 'curve'").withColumn("n", steps).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n")))).withColumns({"x2": at("x"), "y2": at("y")})
-    legs = dots.withColumns({"x1": F.coalesce(F.lag("x2").over(along), F.col("x2")), "y1": F.coalesce(F.lag("y2").over(along), F.col("y2"))}).withColumn("skip_start", F.col("i") > 0)
-    return _segments(legs.drop("i")).dropDuplicates(["image_id", "ord", "x", "y"])
+
+    def at(i: Column, c: str) -> Column:
+        t = i / F.col("n")
+        u = 1 - t
+        return (u * u * u * _point(0, c) + 3 * t * u * u * _point(1, c) + 3 * t * t * u * _point(2, c) + t * t * t * _point(3, c) + 0.5).cast("long")
+
+    i = F.col("i")
+    dots = shapes.where("kind = 'curve'").withColumn("n", steps).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    ends = {c + k: at(v, c) for k, v in (("1", F.greatest(i - 1, F.lit(0))), ("2", i)) for c in "xy"}
+    return _segments(dots.withColumns(ends).withColumn("skip_start", i > 0).drop("i"))
 
 
 def _polygons(shapes: DataFrame) -> DataFrame:
-    """Even-odd fill: edges meet scan lines half a pixel down, crossings are ranked in pairs; a pixel counts once."""
+    """Even-odd fill: edges meet scan lines half a pixel down, crossings are ranked in pairs; where spans touch, a pixel comes twice."""
     corners = shapes.where("kind = 'polygon'")
     edge = F.transform("points", lambda p, k: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), F.get("points", F.pmod(k + 1, F.size("points")))["x"].alias("x2"), F.get("points", F.pmod(k + 1, F.size("points")))["y"].alias("y2")))
     edges = corners.withColumn("edge", F.explode(edge)).select("*", "edge.*").drop("edge").where("y1 <> y2")
@@ -102,15 +115,20 @@ def _polygons(shapes: DataFrame) -> DataFrame:
     order = Window.partitionBy("image_id", "ord", "y").orderBy("cx")  # the crossings of one shape on one line
     spans = cross.withColumns({"k": F.row_number().over(order), "end": F.lead("cx").over(order)}).where("k % 2 = 1 AND end IS NOT NULL")
     cells = spans.withColumn("x", F.explode(_range(F.greatest("cx", F.lit(0)), F.least(F.col("end"), F.col("width") - 1))))
-    return cells.dropDuplicates(["image_id", "ord", "x", "y"]).withColumn("paint", F.get("colors", F.lit(0)))
+    return cells.withColumn("paint", F.get("colors", F.lit(0)))
 
 
 def marks(shapes: DataFrame, images: DataFrame) -> DataFrame:
-    """(image_id, ord, x, y, mode, paint): the pixels that each of `shapes` (SCHEMA) covers on `images` (image_id, width, height)."""
-    known = shapes.join(images.select("image_id", "width", "height"), "image_id")
-    out = ("image_id", "ord", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "mode", "paint")
-    parts = [f(known).select(*out) for f in (_rectangles, _lines, _curves, _polygons)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    """(image_id, ord, x, y, mode, paint, once): the pixels that each of `shapes` (SCHEMA) covers on `images` (image_id, width, height).
+    A curve or polygon may have a pixel more than once, but paints it once: there `once` tells it from others of equal `ord`; else it is null."""
+    once = F.when(F.col("kind").isin("curve", "polygon"), F.xxhash64("points", "n"))
+    # A small file of shapes, which one task would read, has many pixels: it is dealt to a given number of tasks, since Spark would choose it by bytes.
+    session = shapes.sparkSession
+    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    spread = shapes.repartition(tasks, "image_id", "ord", "points")
+    known = spread.withColumn("once", once).join(images.select("image_id", "width", "height"), "image_id")
+    out = ("image_id", "ord", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "mode", "paint", "once")
+    return reduce(DataFrame.unionByName, [f(known).select(*out) for f in (_rectangles, _gradients, _lines, _curves, _polygons)])
 
 
 def _over(under: Column, mark: Column) -> Column:
@@ -129,11 +147,14 @@ def paint(df: DataFrame, shapes: DataFrame) -> DataFrame:
     copy. A null mode is copy. Shapes of equal `ord` go by mode and colour. A pixel gathers its marks above the last
     opaque one only; the see-through marks of one pixel have to fit a row.
     """
-    found = marks(shapes.where("points IS NOT NULL AND colors IS NOT NULL").withColumn("mode", F.coalesce("mode", F.lit("copy"))), sizes_of(df)).where("paint IS NOT NULL")
+    found = marks(shapes.where("points IS NOT NULL AND colors IS NOT NULL").withColumn("mode", F.coalesce("mode", F.lit("copy"))), written(sizes_of(df), "sizes")).where("paint IS NOT NULL")
     solid = (F.col("mode") == "copy") | (F.col("paint.a") == 255) | ~F.col("mode").isin(*MODES)
-    pixel = Window.partitionBy("image_id", "x", "y")
-    top = found.withColumn("least", F.max(F.when(solid, F.col("ord"))).over(pixel)).where(F.col("least").isNull() | (F.col("ord") >= F.col("least")))
-    stacked = top.groupBy("image_id", "x", "y").agg(F.sort_array(F.collect_list(F.struct("ord", "mode", "paint"))).alias("__marks"))
+    pixel = ["image_id", "x", "y"]
+    least = written(found.where(solid).groupBy(*pixel).agg(F.max("ord").alias("least")), "opaque")
+    top = found.join(least, pixel, "left").where(F.col("least").isNull() | (F.col("ord") >= F.col("least")))
+    mark = F.struct("ord", "mode", "paint", "once")
+    gathered = F.concat(F.collect_list(F.when(F.col("once").isNull(), mark)), F.collect_set(F.when(F.col("once").isNotNull(), mark)))
+    stacked = top.groupBy(*pixel).agg(F.sort_array(gathered).alias("__marks"))
     met = df.join(stacked, ["image_id", "x", "y"], "left")
     first = F.struct(*[F.col(c).cast("int").alias(c) for c in CHANNELS])
     painted = met.withColumn("__painted", F.when(F.col("__marks").isNotNull(), F.aggregate("__marks", first, _over)))

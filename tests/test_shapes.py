@@ -85,3 +85,18 @@ def test_hidden_marks_are_not_gathered(spark):
     rows = [(0, k, "rect", [(0.0, 0.0), (2.0, 2.0)], 0, 1, False, "alpha", [(k % 256, 0, 0, 100)]) for k in range(3000)] + [(0, 3000, "rect", [(0.0, 0.0), (2.0, 2.0)], 0, 1, False, "copy", [(5, 6, 7, 8)]), (0, 3001, "line", [(0.0, 0.0), (1.0, 1.0)], 0, 1, False, "transparent", [(1, 1, 1, 9)])]
     out = {(x, y): c for _, x, y, *c in table(shapes.paint(canvas(spark, {0: (2, 2)}), relation(spark, rows)))}
     assert out == {(0, 0): [1, 1, 1, 9], (1, 1): [1, 1, 1, 9], (0, 1): [5, 6, 7, 8], (1, 0): [5, 6, 7, 8]}
+
+
+def test_marks_are_not_sorted_by_pixel_to_find_the_opaque_ones(spark):
+    """Hidden marks are dropped where they are made: no window over each pixel's marks, which would sort all of them."""
+    rows = [(0, k, "rect", [(0.0, 0.0), (2.0, 2.0)], 0, 1, False, "alpha", [(k, 0, 0, 100)]) for k in range(9)]
+    plan = shapes.paint(canvas(spark, {0: (2, 2)}), relation(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [max(" not in plan
+
+
+def test_curves_of_equal_order_are_not_mixed(spark):
+    """Each is drawn by its own steps, once a pixel, the one with the smaller colour first."""
+    a, b = [(0.0, 0.0), (3.0, 12.0), (6.0, -5.0), (11.0, 9.0)], [(11.0, 0.0), (2.0, 3.0), (9.0, 8.0), (0.0, 11.0)]
+    drawn = [("curve", a, 9, 1, False, "alpha", [(10, 200, 30, 120)]), ("curve", b, 9, 1, False, "alpha", [(200, 10, 60, 90)])]
+    df = canvas(spark, {0: (12, 12)})
+    assert table(shapes.paint(df, relation(spark, [(0, 5, *s) for s in drawn]))) == table(one_by_one(df, drawn))
