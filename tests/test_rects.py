@@ -48,3 +48,31 @@ def test_lists_salts_and_tasks_lose_no_pair(spark, monkeypatch):
     out = rects.intersecting(listed(a), listed(b), 3).select(F.explode("keys").alias("k"), "s_keys").select("k", F.explode("s_keys").alias("s")).collect()
     assert sorted(map(tuple, out)) == sorted((p[0], q[0]) for p in a for q in b if p[1] < q[1] + q[3] and q[1] < p[1] + p[3] and p[2] < q[2] + q[4] and q[2] < p[2] + p[4])
     assert rects.intersecting(listed([]), listed(b), 3).count() == 0
+
+
+def made_by_explodes(df):
+    """Rows that each explode of a collected `df` made."""
+    nodes, found = [df._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        if node.nodeName() == "ResultQueryStage":
+            nodes.append(node.plan())
+        if node.nodeName() == "Generate":
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_pairs_are_not_held_back(spark):
+    """The first pair is handed on when the keys of one list are written out, not the product of all lists that meet."""
+    near = lambda n, copies: [(k, k // copies % 3, 0, 9, 9) for k in range(n)]
+    listed = lambda v: rects.listed(spark.createDataFrame(v, "k long, x int, y int, w int, h int"), "k")
+    met = rects.intersecting(listed(near(600, 200)), listed(near(900, 300)), 20).select("keys", "s_keys")
+    pairs = rects.paired(met, "k", "s")
+    first = pairs.limit(1)
+    assert len(first.collect()) == 1
+    assert sorted(made_by_explodes(first))[-2:] == [200, 300]
+    assert pairs.distinct().count() == pairs.count() == 600 * 900
